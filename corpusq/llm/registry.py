@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corpusq.llm import mix
+from corpusq.llm import mix, tokens
 
 QUERIES = {
     "op1_mix_sources": mix.op1_mix_sources,
+    "op6_token_files": tokens.op6_token_files,
 }
 
 ORACLE_SQL = {
