@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from corpusq.llm import mix, tokens
+from corpusq.llm import decontaminate, mix, tokens
 
 QUERIES = {
     "op1_mix_sources": mix.op1_mix_sources,
     "op6_token_files": tokens.op6_token_files,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
 }
 
 ORACLE_SQL = {
     "op1_mix_sources": mix.ORACLE_SQL,
+    "op8_decontaminate": decontaminate.ORACLE_SQL,
 }
