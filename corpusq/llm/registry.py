@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from corpusq.llm import decontaminate, mix, neardup, tokens
+from corpusq.llm import decontaminate, mix, neardup, quality, tokens
 
 QUERIES = {
     "op1_mix_sources": mix.op1_mix_sources,
     "op6_token_files": tokens.op6_token_files,
     "op7_near_duplicates": neardup.op7_near_duplicates,
     "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLE_SQL = {
