@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corpusq.llm import decontaminate, mix, neardup, quality, secret_scan, tokens
+from corpusq.llm import decontaminate, forest, mix, neardup, quality, secret_scan, tokens
 
 QUERIES = {
     "op1_mix_sources": mix.op1_mix_sources,
+    "op3_nearest": forest.op3_nearest,
     "op4_secrets": secret_scan.op4_secrets,
     "op6_token_files": tokens.op6_token_files,
     "op7_near_duplicates": neardup.op7_near_duplicates,
