@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corpusq.llm import decontaminate, forest, mix, neardup, quality, secret_scan, tokens
+from corpusq.llm import decontaminate, forest, mix, neardup, quality, secret_scan, tokens, warc
 
 QUERIES = {
     "op1_mix_sources": mix.op1_mix_sources,
+    "op2_revisits": warc.op2_revisits,
     "op3_nearest": forest.op3_nearest,
     "op4_secrets": secret_scan.op4_secrets,
     "op6_token_files": tokens.op6_token_files,
@@ -16,5 +17,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_mix_sources": mix.ORACLE_SQL,
+    "op2_revisits": warc.ORACLE_SQL,
     "op8_decontaminate": decontaminate.ORACLE_SQL,
 }
