@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -35,22 +35,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Null-safe equality of ``keys``, still an equi-join to Spark."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
 def running_total(df: DataFrame, group: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """Add ``name``: the sum of ``value`` over rows of the group up to this one.
 
     Rows that tie on ``order`` share one total.  A group may hold any share
     of the rows: rows are dealt out by ranges of (group, order), each range is
     summed, ranges before this one give the offset, and the window runs inside
-    one range only.  So no task needs a whole group.  ``order`` may name
-    columns prefixed with nothing only; ascending, nulls first.
+    one range only.  So no task needs a whole group.  ``order`` names
+    columns; ascending, nulls first.
     """
     ranged = cut(df.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id()))
     sums = ranged.groupBy(*group, "_range").agg(F.sum(value).alias("_sum"))

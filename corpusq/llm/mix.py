@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusq.llm.common import cut, running_total, same, table
+from corpusq.llm.common import cut, running_total, table
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from corpusq.llm import decontaminate, forest, mix, neardup, quality, secret_scan, tokens, warc
+from corpusq.llm import decontaminate, forest, license_scan, mix, neardup, perspectives, quality, secret_scan, tokens, warc
 
 QUERIES = {
     "op1_mix_sources": mix.op1_mix_sources,
     "op2_revisits": warc.op2_revisits,
     "op3_nearest": forest.op3_nearest,
     "op4_secrets": secret_scan.op4_secrets,
+    "op5_licenses": license_scan.op5_licenses,
     "op6_token_files": tokens.op6_token_files,
     "op7_near_duplicates": neardup.op7_near_duplicates,
     "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_perspectives": perspectives.op9_perspectives,
     "op10_quality": quality.op10_quality,
 }
 
 ORACLE_SQL = {
     "op1_mix_sources": mix.ORACLE_SQL,
     "op2_revisits": warc.ORACLE_SQL,
+    "op5_licenses": license_scan.ORACLE_SQL,
     "op8_decontaminate": decontaminate.ORACLE_SQL,
+    "op9_perspectives": perspectives.ORACLE_SQL,
 }
