@@ -2,37 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusq.session import cut, shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["cut", "running_total", "shared_dir", "table"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``.  Only a local session that
-    sets none (tests) gets a temporary folder, made once per session.
-    """
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        given = "file://" + tempfile.mkdtemp(prefix="corpusq-")
-        spark.conf.set("spark.checkpoint.dir", given)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(given)
-    return given
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage by a reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def running_total(df: DataFrame, group: list[str], order: list[str], value: str, name: str) -> DataFrame:
