@@ -20,6 +20,7 @@ special token, goes to the tokenizer whole.
 from __future__ import annotations
 
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -34,8 +35,9 @@ from corpusq.llm.pfor import Reader, Writer
 
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 DECODE_IDS = 1 << 20
+SLICE = 1 << 23
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -44,8 +46,8 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class PieceEncoder(dict):
-    """Text to little-endian u16 ids of a lower-casing word BPE with an empty space rule."""
+class Encoder(dict):
+    """Text to little-endian u16 ids; remembers the ids of the pieces of words."""
 
     PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xff]*").fullmatch
     PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+").findall
@@ -55,23 +57,97 @@ class PieceEncoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this tokenizer need more than 16 bits")
+        # bytes as the letters that a byte-level vocabulary has for them: visible ones stand for themselves
+        visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = iter(range(256, 512))
+        self.letters = {b: b if b in visible else next(others) for b in range(256)}
+        probe = ("word", "'s", "7", "é", "!?", "straße", "½")
+        self.direct = all(self.by_model(x) == self.whole(x) for x in probe)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def __missing__(self, piece: str) -> bytes:
-        got = self[piece] = self.whole(piece)
+    def by_model(self, piece: str) -> bytes:
+        """A piece by the tokenizer's model alone, without normalising and splitting it again."""
+        ids = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters))]
+        return struct.pack(f"<{len(ids)}H", *ids)
+
+    def __missing__(self, word: str) -> bytes:
+        """A lower-cased piece is encoded and remembered; other words are put together of pieces."""
+        low = word.lower()
+        if word.isalpha():
+            if low != word:
+                return self[low]
+        else:
+            pieces = self.PIECES(low)
+            if pieces != [word]:
+                return b"".join([self[p] for p in pieces])
+        got = self[word] = self.by_model(word) if self.direct else self.whole(word)
         return got
 
+    def batch(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each with its end id, and the number of ids of each.
+
+        Words are made distinct in Arrow first, so that each is looked up once a
+        batch; ids are then laid out by array operations.
+        """
+        import pyarrow.compute as pc
+
+        self.forget()
+        plain = [self.PLAIN(t) is not None and not any(s in t for s in self.specials) for t in texts]
+        words = pc.utf8_split_whitespace(pa.array([t if p else "" for t, p in zip(texts, plain)], pa.string()))
+        bounds = words.offsets.to_numpy().astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        known = [self[w] for w in coded.dictionary.to_pylist()]
+        of = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        if not all(plain):
+            parts = []
+            for i, p in enumerate(plain):
+                if not p:
+                    known.append(self.whole(texts[i]))
+                parts.append(of[bounds[i] - bounds[0]: bounds[i + 1] - bounds[0]] if p else np.array([len(known) - 1]))
+            of, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        else:
+            bounds = bounds - bounds[0]
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 2
+        flat = np.frombuffer(b"".join(known), "<u2")
+        n = sizes[of]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        at = np.arange(upto[-1])
+        at += np.repeat((np.cumsum(sizes) - sizes)[of] - upto[:-1], n)
+        ids = flat[at]
+        lengths = np.diff(upto[bounds]) + 1
+        return np.insert(ids, upto[bounds[1:]], end_id).astype(np.uint32), lengths
+
     def __call__(self, text: str) -> bytes:
-        if not self.PLAIN(text) or any(s in text for s in self.specials):
-            return self.whole(text)
+        """Ids of one text, without end id."""
+        return self.batch([text], 0)[0][:-1].astype("<u2").tobytes()
+
+    def forget(self) -> None:
         if len(self) > REMEMBERED:
             self.clear()
-        return b"".join(map(self.__getitem__, self.PIECES(text.lower())))
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The Python worker's encoder; it serves one task after the other."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
+def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the texts in column 1 of each have about ``size`` bytes, one row at least."""
+    for batch in batches:
+        rows = max(1, min(batch.num_rows, batch.num_rows * size // max(1, batch.column(1).nbytes)))
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
 
 
 def _write_file(base: str, name: str, writer: Writer) -> None:
@@ -96,13 +172,11 @@ def write_tokens(docs: DataFrame, base: str, tokenizer: str, end_id: int = END_I
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        pieces, writer = PieceEncoder(tokenizer), Writer()
-        end = np.array([end_id], "<u2").tobytes()
-        for batch in batches:
+        tokenize, writer = encoder(tokenizer), Writer()
+        for batch in slices(batches):
             ids = batch.column(0)
-            got = [pieces(t or "") + end for t in map(pa.StringScalar.as_py, batch.column(1))]
-            nulls = np.asarray(ids.is_null())
-            writer.add(np.asarray(ids.fill_null(0)), nulls, np.array([len(x) // 2 for x in got], np.int64), np.frombuffer(b"".join(got), "<u2").astype(np.uint32))
+            got, lengths = tokenize.batch([t or "" for t in batch.column(1).to_pylist()], end_id)
+            writer.add(np.asarray(ids.fill_null(0)), np.asarray(ids.is_null()), lengths, got)
         if writer.lengths:
             name = f"part-{TaskContext.get().partitionId():06d}.pfor"
             n_docs, n_ids = sum(map(len, writer.lengths)), writer.n_ids

@@ -28,7 +28,7 @@ def test_outliers_become_exceptions():
 
 
 def test_pieces_agree_with_the_whole_encoding():
-    enc = tokens.PieceEncoder(tokens.tokenizer_path())
+    enc = tokens.Encoder(tokens.tokenizer_path())
     for text in ["", " ", "It's l'été's don'T THEY'LL 12½ a_b-c!!??", "ÀÉÎß straße ÿ 'sam ''s", "日本 café́", "x<|endoftext|>y", "a\x1cb", "tab\tnew\nline\r\n", "a" * 3000, "\xa0nb\xa0sp", "ªº¹²³ ×÷"]:
         assert enc(text) == enc.whole(text), text
 
@@ -37,7 +37,7 @@ def test_token_table_against_brute_force(spark):
     texts = ["b c", None, "", "Long text " * 2000, "b c", "é à", "same"]
     rows = [(i * 3 % 7, t, "extra") for i, t in enumerate(texts)] + [(5, "zz", "extra"), (None, "null id", "extra")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start string").repartition(5)
-    enc = tokens.PieceEncoder(tokens.tokenizer_path())
+    enc = tokens.Encoder(tokens.tokenizer_path())
     want, at = [], 0
     for doc_id, text, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
         ids = enc.tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
