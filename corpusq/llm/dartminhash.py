@@ -21,6 +21,8 @@ import numpy as np
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 #: First strip: ranks below 2**-FINEST; each next one doubles the rank searched.
 FINEST = 5
+#: Cells hashed at once, times parts.
+CELLS = 1 << 19
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -64,46 +66,52 @@ def cells(elements: np.ndarray) -> np.ndarray:
     return x
 
 
-def signature(unit_cells: np.ndarray, k: int) -> np.ndarray:
-    """k dart hashes of a set of unit cells; the set must not be empty."""
-    best_rank = np.full(k, np.inf)
-    best = np.zeros(k, np.uint64)
+def signatures(unit_cells: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
+    """k dart hashes for each of several sets, given one after the other; none may be empty.
+
+    Strips of rank are searched in order, so a coordinate that has a dart from
+    an earlier strip keeps it, and a set that has all its darts drops out.
+    """
+    n = len(counts)
+    best, filled = np.zeros(n * k, np.uint64), np.zeros(n * k, bool)
+    cell, owner = unit_cells, np.repeat(np.arange(n), counts)
     low, strip = 0.0, 0
-    while True:
+    while len(cell):
         high = 2.0 ** (strip - FINEST)
         whole = max(1, int(high - low))  # strips above rank 1 are cut into parts of height 1
         height = (high - low) / whole
         steps = _poisson_steps(height)
-        for part in range(whole):
-            salt = mix64(np.array([(strip << 32) + part + 1], np.uint64))[0]
-            seed = mix64(unit_cells ^ salt)
-            u = _unit(seed)
-            hit = np.nonzero(u >= steps[0])[0]
-            if not len(hit):
-                continue
-            count = np.searchsorted(steps, u[hit], "right")
-            of = np.repeat(hit, count)
-            nth = (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64)
+        least = np.uint64(int(steps[0] * 2.0**64))
+        at_once = max(1, min(whole, CELLS // len(cell)))
+        for first in range(0, whole, at_once):
+            part = np.arange(first, min(whole, first + at_once))
+            salt = mix64(((np.uint64(strip) << np.uint64(32)) + part.astype(np.uint64)) + np.uint64(1))
+            seed = mix64(cell[:, None] ^ salt)
+            hit = np.flatnonzero(seed >= least)
+            seed = seed.ravel()[hit]
+            darts = np.maximum(np.searchsorted(steps, _unit(seed), "right"), 1)
+            of = np.repeat(np.arange(len(hit)), darts)
+            nth = (np.arange(len(of)) - np.repeat(np.cumsum(darts) - darts, darts)).astype(np.uint64)
             dart = mix64(seed[of] + (nth + np.uint64(1)) * _A)
-            rank = low + height * (part + _unit(mix64(dart ^ _C)))
-            slot = (dart % np.uint64(k)).astype(np.int64)
-            order = np.lexsort((dart, rank, slot))
-            slot, rank, dart = slot[order], rank[order], dart[order]
-            first = np.concatenate([[True], slot[1:] != slot[:-1]])
-            slot, rank, dart = slot[first], rank[first], dart[first]
-            better = rank < best_rank[slot]
-            best_rank[slot[better]], best[slot[better]] = rank[better], dart[better]
-            if part and not np.isinf(best_rank).any():
-                break
-        if not np.isinf(best_rank).any():
-            return best
+            cell_at, part_at = np.divmod(hit[of], len(part))
+            slot = owner[cell_at] * k + (dart % np.uint64(k)).astype(np.int64)
+            new = ~filled[slot]
+            slot, dart, part_at = slot[new], dart[new], part_at[new]
+            rank = part[part_at] + _unit(mix64(dart ^ _C))
+            last_wins = np.argsort(-rank, kind="stable")
+            best[slot[last_wins]] = dart[last_wins]
+            filled[slot] = True
+        open_ = ~filled.reshape(n, k).all(axis=1)
+        stay = open_[owner]
+        cell, owner = cell[stay], owner[stay]
         low, strip = high, strip + 1
+    return best.reshape(n, k)
 
 
-def bands(sig: np.ndarray, n_bands: int) -> np.ndarray:
-    """One 64-bit key for each band of equal length."""
-    rows = sig.reshape(n_bands, -1)
-    key = mix64(np.arange(n_bands, dtype=np.uint64))
-    for j in range(rows.shape[1]):
-        key = mix64(key ^ rows[:, j])
+def bands(sigs: np.ndarray, n_bands: int) -> np.ndarray:
+    """One 64-bit key for each set and band of equal length."""
+    rows = sigs.reshape(len(sigs), n_bands, -1)
+    key = np.broadcast_to(mix64(np.arange(n_bands, dtype=np.uint64)), rows.shape[:2])
+    for j in range(rows.shape[2]):
+        key = mix64(key ^ rows[:, :, j])
     return key

@@ -6,14 +6,20 @@ weighted Jaccard similarity, the sum of smaller over the sum of larger shingle
 counts, is 0.8 or more; a class is a connected component of links.
 
 Equal multisets are one node from the start, so copies never form pairs.
-Nodes get signatures of 25 bands of 5 coordinates; two nodes of similarity 0.8
-share a band but for 5 in 100,000, and nearer ones miss far less often.  In a
+Nodes get signatures of 42 bands of 7 coordinates; two nodes of similarity 0.8
+share a band but for 5 in 100,000, and nearer ones miss far less often; texts
+that only share a passage, at similarity 0.2, meet in 1 of 2,000 cases.  In a
 bucket (nodes with one band in common) all are checked against one centre,
 the node that shares most buckets with others, which in a family of edited copies
-is the original.  Then only pairs of a bucket that are still in different
-components are checked, so every pair of nodes that shares a band is
-either checked exactly or already in one class, and a large family costs one
-check for each member, not one for each pair.
+is the original.  Nodes with too many shingles that no other candidate has are
+then out, since they reach no one.  In further rounds the nodes outside a bucket's largest component
+are checked against one member of it that changes with bucket and round, as
+long as that joins many.  At last all pairs of a bucket that are still in
+different components are checked, those first by their signatures, which
+at similarity 0.8 agree in too few places for 1 pair in 100,000, and the
+others exactly.  So every pair of nodes that shares a band is either checked or
+already in one class, and a large family costs a few checks for each member,
+not one for each pair.
 
 Defined cases: texts that are null or have no words are not compared, each is a
 class by itself; the class id is its smallest doc_id, null if it has none;
@@ -31,13 +37,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusq.llm import dartminhash
-from corpusq.llm.common import cut, same, table
+from corpusq.llm.common import cut, table
 from corpusq.llm.components import components
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BANDS = 25
-ROWS = 5
+BANDS = 42
+ROWS = 7
+PAIRS_EACH = 4  # pairs for each membership of a bucket that are checked without further rounds
 BROADCAST_ROWS = 1_000_000  # about 40 MB of document ids
 REMEMBERED = 1_000_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -88,23 +95,38 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.
             yield batch.slice(i, rows)
 
 
+def _all_signatures(cells: list[np.ndarray]) -> list[np.ndarray]:
+    """Signature of each of several sets, empty for an empty set."""
+    sizes = np.array([len(x) for x in cells])
+    some = np.flatnonzero(sizes)
+    sigs: list[np.ndarray] = [np.empty(0, np.uint64)] * len(cells)
+    held: list[int] = []
+    n_held = 0
+    for i in some:
+        held.append(i)
+        n_held += sizes[i]
+        if n_held >= dartminhash.CELLS or i == some[-1]:
+            for j, row in zip(held, dartminhash.signatures(np.concatenate([cells[j] for j in held]), sizes[held], BANDS * ROWS)):
+                sigs[j] = row
+            held, n_held = [], 0
+    return sigs
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingle = _SHINGLER
     for batch in _slices(batches):
-        keys, sigs = [], []
-        for text in map(pa.StringScalar.as_py, batch.column(1)):
-            cells = shingle(text)
-            keys.append(_key(cells))
-            sigs.append(dartminhash.bands(dartminhash.signature(cells, BANDS * ROWS), BANDS) if len(cells) else np.empty(0, np.uint64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), _ragged(sigs)], ["doc_id", "k1", "k2", "bands"])
+        cells = [_SHINGLER(text) for text in map(pa.StringScalar.as_py, batch.column(1))]
+        keys = [_key(x) for x in cells]
+        keyed = [dartminhash.bands(x[None, :], BANDS)[0] if len(x) else x for x in _all_signatures(cells)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), _ragged(keyed)], ["doc_id", "k1", "k2", "bands"])
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingle = _SHINGLER
+    """Cells, and one byte of each coordinate of the signature."""
     for batch in _slices(batches, 200):
-        cells = [shingle(text) for text in map(pa.StringScalar.as_py, batch.column(1))]
+        cells = [_SHINGLER(text) for text in map(pa.StringScalar.as_py, batch.column(1))]
         keys = [_key(x) for x in cells]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), _ragged(cells)], ["doc_id", "k1", "k2", "cells"])
+        sketch = pa.array([(x & np.uint64(255)).astype(np.uint8).view(np.int8) for x in _all_signatures(cells)], pa.list_(pa.int8()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), _ragged(cells), sketch], ["doc_id", "k1", "k2", "cells", "sketch"])
 
 
 def _verified(pairs: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
@@ -118,8 +140,35 @@ def _verified(pairs: DataFrame, cells: DataFrame, threshold: float) -> DataFrame
     return pairs.join(left, "a").join(right, "b").filter(fits & near).select("a", "b")
 
 
-def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
-    return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _joined(of: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) with the roots of nodes that ``links`` (a, b) connect made one."""
+    left, right = (of.select(F.col("node").alias(x), F.col("root").alias(y)) for x, y in (("a", "ra"), ("b", "rb")))
+    joined = cut(links.join(left, "a").join(right, "b").filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+    if joined.isEmpty():
+        return of
+    new = components(joined).select(F.col("node").alias("root"), F.col("root").alias("joined"))
+    return cut(of.join(new, "root", "left").select("node", F.coalesce("joined", "root").alias("root")))
+
+
+def _agreeing(threshold: float) -> int:
+    """Coordinates in which two signatures of that similarity agree but for 1 pair in 100,000."""
+    n = BANDS * ROWS
+    return int(n * threshold - 4.27 * (n * threshold * (1 - threshold)) ** 0.5)
+
+
+def _possible(open_: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
+    """Rows (band, node, common, cells) of ``open_`` whose node can reach the threshold with any node of its bucket.
+
+    What two nodes have in common is at most the cells of either that are in
+    more than one node, so a node with too many cells of its own is
+    out for good; this takes one count of cells, no pairs.
+    """
+    some = cells.join(open_.select("node").distinct(), "node", "left_semi")
+    own = some.select("node", F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("own"))
+    facts = some.select("node", F.size("cells").alias("cells")).join(own, "node", "left").select("node", "cells", (F.col("cells") - F.coalesce("own", F.lit(0))).alias("common"))
+    rows = open_.select("band", "node").join(facts, "node")
+    least = rows.groupBy("band").agg(F.min("cells").alias("least"))
+    return rows.join(least, "band").filter(F.col("common") >= threshold * (F.col("cells") + F.col("least") - F.col("common"))).select("band", "node", "common", "cells")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -142,26 +191,46 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     if degree.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     texts = ids.join(wanted.select("d").distinct(), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
-    hashed = texts.mapInArrow(_cells, "doc_id long, k1 long, k2 long, cells array<long>")
+    hashed = texts.mapInArrow(_cells, "doc_id long, k1 long, k2 long, cells array<long>, sketch array<tinyint>")
     on = hashed["doc_id"].eqNullSafe(wanted["d"]) & (hashed["k1"] == wanted["x1"]) & (hashed["k2"] == wanted["x2"])
-    cells = cut(hashed.join(wanted, on).select("node", "cells").dropDuplicates(["node"]))
-
-    links = cut(_verified(stars, cells, threshold))
-    labelled = _labelled(members.select("band", "node"), components(links))
-    sizes = labelled.groupBy("band", "root").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count("*").alias("roots")).filter("roots > 1")
-    open_ = cut(labelled.join(mixed.select("band", "major"), "band"))
-    minor = open_.filter("root <> major").select("band", F.col("node").alias("x"), F.col("root").alias("rx"))
-    other = open_.select("band", F.col("node").alias("y"), F.col("root").alias("ry"))
-    rest = (
-        minor.join(other, (minor["band"] == other["band"]) & (F.col("rx") != F.col("ry")))
-        .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    more = cut(_verified(rest, cells, threshold))
-    roots = components(links.unionByName(more)) if not more.isEmpty() else components(links)
-
-    named = _labelled(nodes.select("node", "k1", "k2", "doc_id"), roots)
+    cells = cut(hashed.join(wanted, on).select("node", "cells", "sketch").dropDuplicates(["node"]))
+
+    of = _joined(cut(degree.select("node", F.col("node").alias("root"))), cut(_verified(stars, cells, threshold)))
+    live, left, turn = None, None, 0
+    while True:
+        labelled = (members.select("band", "node") if live is None else live).join(of, "node")
+        sizes = labelled.groupBy("band", "root").agg(F.count("*").alias("n"))
+        mixed = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.sum("n").alias("n"), F.count("*").alias("roots")).filter("roots > 1")
+        # a bucket whose nodes are in one component is done with
+        open_ = cut(labelled.join(mixed.select("band", "major", "n"), "band"))
+        if live is None:
+            live = cut(_possible(open_, cells, threshold))
+            n_members = live.count()
+            continue
+        live = open_.drop("root", "major", "n")
+        minor = open_.filter("root <> major")
+        before, left = left, minor.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if left <= PAIRS_EACH * n_members or before is not None and left > 0.8 * before:
+            break
+        turn += 1
+        delegates = open_.filter("root = major").groupBy("band").agg(F.max_by("node", F.xxhash64("node", "band", F.lit(turn))).alias("other"))
+        tries = minor.join(delegates, "band").select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+        of = _joined(of, cut(_verified(tries, cells, threshold)))
+    if left:
+        live = cut(_possible(open_, cells, threshold).join(of, "node").join(cells.select("node", "sketch"), "node"))
+        minor = live.join(mixed.select(F.col("band").alias("_band"), "major"), F.col("band") == F.col("_band")).filter("root <> major")
+        some = minor.select("band", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("common").alias("mx"), F.col("cells").alias("cx"), F.col("sketch").alias("sx"))
+        every = live.select(F.col("band").alias("_band"), F.col("node").alias("y"), F.col("root").alias("ry"), F.col("common").alias("my"), F.col("cells").alias("cy"), F.col("sketch").alias("sy"))
+        most = F.least("mx", "my")
+        can = most >= threshold * (F.col("cx") + F.col("cy") - most)
+        agree = F.aggregate(F.zip_with("sx", "sy", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
+        rest = (
+            some.join(every, (F.col("band") == F.col("_band")) & (F.col("rx") != F.col("ry")) & can & (agree >= _agreeing(threshold)))
+            .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+        )
+        of = _joined(of, cut(_verified(rest, cells, threshold)))
+
+    named = nodes.select("node", "k1", "k2", "doc_id").join(of, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     named = named.join(smallest, "root").select(F.col("k1").alias("x1"), F.col("k2").alias("x2"), "class_id", F.lit(True).alias("compared"))
     rows = sigs.select("doc_id", "k1", "k2")
