@@ -144,7 +144,7 @@ WITH d AS (
   SELECT DISTINCT ds.doc_id, its.size, its.width, greatest(0, place - pos) AS start, least(n, place - pos + its.size) AS stop
   FROM ds JOIN its USING (width, shingle)
 ), wc AS (
-  SELECT w.doc_id, w.size, w.start, w.stop, ds.shingle, count(*) AS n FROM win w JOIN ds ON ds.doc_id = w.doc_id AND ds.width = w.width
+  SELECT w.doc_id, w.size, w.start, w.stop, ds.shingle, count(*) AS n FROM win w JOIN ds ON ds.doc_id IS NOT DISTINCT FROM w.doc_id AND ds.width = w.width
   AND ds.place >= w.start AND ds.place + w.width <= w.stop GROUP BY ALL
 ), ic AS (SELECT item_id, size, width, shingle, count(*) AS n FROM its GROUP BY ALL),
 shared AS (
