@@ -129,3 +129,19 @@ def scan_report(sections: DataFrame, hits: DataFrame, generate: Callable[[str],
     asked = placed.groupBy("ord", "batch").agg(F.count("*").alias("files"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("hits")).alias("h"), "source_file", "content"))), lambda x: x["content"]), "\n\n").alias("prompt"))
     answers = generated(asked, "prompt", generate).groupBy("ord").agg(F.sum("files").alias("files"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("batch", "answer"))), lambda x: x["answer"]), "\n\n").alias("body"))
     return sections.join(answers, "ord", "left").select("ord", "title", F.coalesce("files", F.lit(0)).alias("files"), F.concat(F.lit("## "), "title", F.lit("\n"), F.coalesce("body", F.lit(""))).alias("report")).orderBy("ord")
+
+
+def material(sections: DataFrame, hits: DataFrame, generate: Callable[[str], str | None], chars: int = 1000) -> DataFrame:
+    """id, ord, number, title, depth, content: for every top section of an outline a text made of its hits.
+
+    ``sections`` is of ``outline.tree_sections``; ``hits`` has id, ord, rank and text of the search for each top section.
+    """
+    found = hits.groupBy("id", "ord").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.substring("text", 1, chars).alias("t")))), lambda x: x["t"]), "\n\n").alias("context"))
+    top = sections.filter("parent_ord is null").join(found, ["id", "ord"], "left")
+    prompt = F.concat(F.col("number"), F.lit(" "), "title", F.lit("\n"), F.array_join("extra", "\n"), F.lit("\n\n"), F.coalesce("context", F.lit("")))
+    return generated(top.withColumn("prompt", prompt), "prompt", generate, "content").select("id", "ord", "number", "title", "depth", F.coalesce("content", F.lit("(failed)")).alias("content"))
+
+
+def templates(named: dict[str, str], prefix: str | None = None) -> dict[str, str]:
+    """Outline templates, those whose name starts with ``prefix`` if given."""
+    return {k: v for k, v in named.items() if prefix is None or k.startswith(prefix)}

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from corpusq.functions import text as tx
 from corpusq.functions.vectors import l2_normalize
-from corpusq.operators import analysis, evidence, outline, rag, search, sessions, status
+from corpusq.operators import analysis, ann, evidence, outline, postings, rag, search, sessions, status
+from corpusq.operators.chunk import chunk_documents
 from corpusq.plans.views import PADDED_SQL, chunks, chunks_sql, table
+from corpusq.sources.files import page_text
+from corpusq.streaming.ingest import event_windows as windows_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -471,3 +474,88 @@ def summary_tree(spark, sf_dir):
 @query()
 def focus_batches(spark, sf_dir):
     return analysis.focus(chunks(spark, sf_dir, with_vector=False), "task", _echo, 30).select("batch", F.array_join("files", ",").alias("files"), "answer")
+
+
+# ---- index, outlines to documents, chunking, pages
+
+@query(f"{_c()} SELECT rowid, 1.0::DOUBLE AS score FROM (SELECT * FROM c WHERE {_match_sql(WORDS)} OR contains({PADDED_SQL.format('text')}, ' of the ') ORDER BY rowid LIMIT 250)")
+def postings_search(spark, sf_dir):
+    c = chunks(spark, sf_dir, with_vector=False)
+    return postings.keyword_search(c, postings.build(c), WORDS + " of-the", 50).select("rowid", "score")
+
+
+@query(f"""{_c()}, t AS (SELECT unnest(regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+')) AS token, rowid FROM c) SELECT token, count(*) AS n, count(DISTINCT rowid) AS chunks FROM t GROUP BY token""")
+def token_statistics(spark, sf_dir):
+    return postings.build(chunks(spark, sf_dir, with_vector=False)).filter("part = 'text'").groupBy("token").agg(F.count("*").alias("n"), F.countDistinct("rowid").alias("chunks"))
+
+
+@query()
+def ann_search(spark, sf_dir):
+    v = chunks(spark, sf_dir).select("rowid", "vector")
+    centroids = ann.fit(v)
+    return ann.search(ann.assign(v, centroids), centroids, _query_vector(spark, sf_dir), 20, max(1, len(centroids) // 3))
+
+
+@query("""SELECT item_id AS id, '# 审核/核实材料' || chr(10) || chr(10) || string_agg(chr(10) || repeat('#', least(d + 1, 6)) || ' ' || item_id || '.' || d || ' T' || d || chr(10) || chr(10) || chr(10) || text || chr(10), chr(10) ORDER BY d) AS document
+FROM benchmark, range(1, 8) r(d) GROUP BY item_id""")
+def assembled_documents(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(7))))
+    return outline.assemble(b.select(F.col("item_id").alias("id"), F.col("d").alias("ord"), F.concat(F.col("item_id").cast("string"), F.lit("."), F.col("d").cast("string")).alias("number"), F.concat(F.lit("T"), F.col("d").cast("string")).alias("title"), F.col("d").alias("depth"), F.col("text").alias("content")))
+
+
+_GRAMS = "list_distinct(list_transform(range(1, length({0}) - 1), lambda i: substr({0}, i, 3)))"
+
+
+@query(f"""SELECT d.doc_id, b.item_id, round(CAST(len(list_intersect({_GRAMS.format('d.t')}, {_GRAMS.format('b.text')})) AS DOUBLE) / len({_GRAMS.format('d.t')}), 4) AS share
+FROM (SELECT doc_id, substr(text, 1, 200) AS t FROM documents WHERE length(text) > 10 AND doc_id % 2 = 1) d, (SELECT * FROM benchmark WHERE item_id < 5) b""")
+def page_attribution(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").filter((F.length("text") > 10) & (F.col("doc_id") % 2 == 1)).select("doc_id", F.substring("text", 1, 200).alias("t"))
+    b = table(spark, sf_dir, "benchmark").filter("item_id < 5").select("item_id", F.col("text").alias("page"))  # pages of one document
+    return d.join(b, how="cross").select("doc_id", "item_id", F.round(tx.trigram_containment(F.col("t"), F.col("page")), 4).alias("share"))
+
+
+@query()
+def chunk_table(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("/kb/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_path"), F.lit("text").alias("file_type"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("content"),
+        F.split("text", "\n").alias("pages"), F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"))
+    return chunk_documents(d, lossless=True).drop("page")
+
+
+@query()
+def html_text(spark, sf_dir):
+    return page_text(table(spark, sf_dir, "pages")).select("page_id", F.length("text").alias("chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+# ---- session log and prompts
+
+@query("""WITH e AS (SELECT event_id AS seq, user_id AS session_id, CASE event_id % 9 WHEN 0 THEN 'create' WHEN 1 THEN 'topic' WHEN 2 THEN 'switch' WHEN 3 THEN 'close' WHEN 4 THEN CASE WHEN event_id % 97 = 0 THEN 'delete' ELSE 'topic' END ELSE 'topic' END AS kind, event_type AS value FROM events)
+SELECT session_id AS id, arg_max(value, seq) FILTER (kind IN ('create', 'topic')) AS topic, CAST(arg_max(CASE WHEN kind IN ('create', 'switch') THEN 1 ELSE 0 END, seq) FILTER (kind IN ('create', 'switch', 'close')) AS INTEGER) AS is_active, max(seq) AS updated_at
+FROM e GROUP BY session_id HAVING bool_or(kind = 'create') AND NOT bool_or(kind = 'delete')""")
+def session_view(spark, sf_dir):
+    i = F.col("event_id") % 9
+    kind = F.when(i == 0, "create").when(i == 2, "switch").when(i == 3, "close").when((i == 4) & (F.col("event_id") % 97 == 0), "delete").otherwise("topic")
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("session_id"), kind.alias("kind"), F.col("event_type").alias("value"), F.col("event_id").alias("at"))
+    none = spark.createDataFrame([], "session_id long, created_at long")
+    return sessions.current_sessions(e, none).select("id", "topic", "is_active", "updated_at")
+
+
+@query("""SELECT conv_id AS session_id, count(*) AS messages, CAST(sum(length(text)) AS BIGINT) + 12 + 8 AS chars FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 3 AND role IN ('user', 'assistant') GROUP BY conv_id""".replace("count(*) AS", "count(*) + 2 AS"))
+def prompts(spark, sf_dir):
+    t = _turns(spark, sf_dir)
+    names = spark.createDataFrame([], "session_id long, names map<int,string>")
+    m = rag.prompt_messages(rag.recent_history(t, 3), names, "instructions", "question")
+    return m.select("session_id", F.size("messages").cast("long").alias("messages"), F.aggregate("messages", F.lit(0).cast("long"), lambda s, x: s + F.length(x["content"])).alias("chars"))
+
+
+@query("""SELECT DISTINCT ON (source) source AS file_path, lang AS file, doc_id AS pos FROM documents ORDER BY source, doc_id""")
+def source_union(spark, sf_dir):
+    s = table(spark, sf_dir, "documents").select(F.lit(0).alias("batch"), F.col("doc_id").alias("pos"), F.col("source").alias("file_path"), F.col("lang").alias("file"))
+    return analysis.union_sources(s).select("file_path", "file", "pos")
+
+
+# ---- extension: event-time windows, batch form of the streaming query
+
+@query("""SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL""")
+def event_windows(spark, sf_dir):
+    return windows_of(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 3))
