@@ -92,14 +92,13 @@ def resolve(captures: DataFrame) -> DataFrame:
     bodies = captures.filter("status = 200").select(F.col("record_id").alias("_response"), F.struct("body", F.to_json(_lower_keys(F.col("headers"))).alias("h")).alias("stored"))
     bodies = bodies.join(found.select(F.col("response_id").alias("_wanted")).distinct(), F.col("_response") == F.col("_wanted"), "left_semi").groupBy("_response").agg(F.min("stored").alias("stored"))
     own = captures.filter("status = 304").select(F.col("record_id").alias("_own"), "url", "captured", _lower_keys(F.col("headers")).alias("own"))
-    return (
-        own.join(found, F.col("_own").eqNullSafe(F.col("record_id"))).join(bodies, F.col("response_id") == F.col("_response"), "left")
-        .select(
-            "record_id", "url", "captured", "outcome", "response_id",
-            F.when(F.col("response_id").isNotNull(), merged_headers(F.from_json("stored.h", "map<string,string>"), F.col("own"))).otherwise(F.col("own")).alias("headers"),
-            F.col("stored.body").alias("body"),
-        )
-    )
+    told = own.join(found, F.col("_own").eqNullSafe(F.col("record_id")))
+    columns = ["record_id", "url", "captured", "outcome", "response_id"]
+    with_body = told.filter("response_id is not null").join(bodies, F.col("response_id") == F.col("_response")).select(
+        *columns, merged_headers(F.from_json("stored.h", "map<string,string>"), F.col("own")).alias("headers"), F.col("stored.body").alias("body"))
+    # the others have no response to join with; as null keys they would meet in one task
+    without = told.filter("response_id is null").select(*columns, F.col("own").alias("headers"), F.lit(None).cast("string").alias("body"))
+    return with_body.unionByName(without)
 
 
 def captures_of_pages(pages: DataFrame) -> DataFrame:
