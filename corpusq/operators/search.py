@@ -164,6 +164,50 @@ def hybrid_search(chunks: DataFrame, query: str, query_vector: list[float] | Non
     return diverse_top(merged, top_k)
 
 
+def hybrid_search_many(chunks: DataFrame, queries: list[tuple[str, str, list[float] | None]], top_k: int, n_vectors: int) -> DataFrame:
+    """``hybrid_search`` for many (point, query, vector) in one pass over the chunks; adds ``point``.
+
+    A chunk is tokenised once for all queries; each query keeps its best hits by
+    a rank limit, which Spark applies before the shuffle.
+    """
+    fetch_k, fetch_v = max(5 * top_k, 200), fetch_size(n_vectors, top_k)
+    base = chunks.select(*HIT_COLUMNS, "vector", padded(F.col("text")).alias("_text"), padded(F.col("source_file")).alias("_path"))
+
+    def matches(query: str) -> Column:
+        cond, phrases = F.lit(False), query_phrases(query)
+        if not phrases or any('"' in p for p in phrases):
+            words = python_tokens(query)
+            both = F.lit(bool(words))
+            for w in words:
+                both = both & (F.contains("_text", F.lit(f" {w} ")) | F.contains("_path", F.lit(f" {w} ")))
+            return both
+        for words in filter(None, map(python_tokens, dict.fromkeys(phrases))):
+            text = F.lit(f" {' '.join(words)} ")
+            cond = cond | F.contains("_text", text) | F.contains("_path", text)
+        return cond
+
+    hit = F.array_compact(F.array(*[F.when(matches(q), F.lit(p)) for p, q, _ in queries]))
+    by_row = Window.partitionBy("point").orderBy("rowid")
+    kw = base.select(*HIT_COLUMNS, F.explode(hit).alias("point")).withColumn("kr", F.row_number().over(by_row)).filter(F.col("kr") <= fetch_k).drop("kr")
+    near = [F.struct(F.lit(p).alias("point"), dot(F.col("vector"), F.array(*[F.lit(float(x)) for x in v])).alias("v_score")) for p, _, v in queries if v is not None]
+    if not near:
+        near = [F.struct(F.lit(None).cast("string").alias("point"), F.lit(0.0).alias("v_score"))]
+    by_score = Window.partitionBy("point").orderBy(F.desc("v_score"), "rowid")
+    vec = base.filter("vector is not null").select(*HIT_COLUMNS, F.inline(F.array(*near))).filter("point is not null").withColumn("v_tie", F.row_number().over(by_score).cast("long")).filter(F.col("v_tie") <= fetch_v)
+    v = vec.select(F.col("point").alias("v_point"), *[F.col(c).alias(f"v_{c}") for c in HIT_COLUMNS], "v_score", "v_tie")
+    without = [p for p, _, q in queries if q is None]
+    stands_in = F.col("point").isin(*without) if without else F.lit(False)
+    merged = kw.join(v, (F.col("point") == F.col("v_point")) & (F.col("rowid") == F.col("v_rowid")), "full_outer").select(
+        *[F.coalesce(F.col(c), F.col(f"v_{c}")).alias(c) for c in ("point", *HIT_COLUMNS)],
+        (F.when(F.col("rowid").isNotNull(), F.when(stands_in, 3.0).otherwise(2.0)).otherwise(0.0) + F.coalesce("v_score", F.lit(0.0))).alias("score"),
+        F.when(F.col("v_rowid").isNotNull(), "vector").otherwise("keyword").alias("match_type"), F.col("rowid").isNull().alias("only_vector"), F.coalesce("rowid", "v_tie").alias("tie"))
+    order = (F.desc("score"), "only_vector", "tie")
+    in_file = Window.partitionBy("point", "source_file").orderBy(*order)
+    tiered = merged.withColumn("tier", F.when((F.col("source_file") != "") & (F.row_number().over(in_file) == 1), 0).otherwise(1))
+    ranked = tiered.withColumn("rank", F.row_number().over(Window.partitionBy("point").orderBy("tier", *order))).filter(F.col("rank") <= top_k)
+    return ranked.select("point", *HIT_COLUMNS, "score", "match_type", "rank")
+
+
 def search(chunks: DataFrame, query: str, mode: str = "hybrid", embed: Callable[[str], list[float] | None] | None = None, top_k: int = 100) -> DataFrame:
     """keyword or vector; any other mode is hybrid.  Scores are rounded to 4 places."""
     vector = embed(query) if embed and mode != "keyword" else None

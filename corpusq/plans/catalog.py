@@ -263,12 +263,8 @@ def ok_summary(spark, sf_dir):
 # ---- evidence
 
 def _evidence_hits(spark, sf_dir) -> DataFrame:
-    c, q = chunks(spark, sf_dir), _query_vector(spark, sf_dir)
-    out = None
-    for p in POINTS:
-        h = search.hybrid_search(c, p, q, 30, n_vectors=200).withColumn("point", F.lit(p))
-        out = h if out is None else out.unionByName(h)
-    return out
+    q = _query_vector(spark, sf_dir)
+    return search.hybrid_search_many(chunks(spark, sf_dir), [(p, p, q) for p in POINTS], 30, 200)
 
 
 _EV = _c() + ", " + ", ".join(_merged_sql(p, 30, QUERY_ID, f"_{i}").replace("LIMIT (SELECT greatest(150, least(200, count(*))) FROM c WHERE vector IS NOT NULL)", "LIMIT 200") for i, p in enumerate(POINTS)) + """,

@@ -80,3 +80,13 @@ def test_arrow_scores_agree(spark, chunks):
     a = [(x.rowid, round(x.score, 9)) for x in search.vector_search_arrow(chunks, q, 5).collect()]
     b = [(x.rowid, round(x.score, 9)) for x in search.vector_search(chunks, q, 1, 5).collect()]
     assert a == b
+
+
+def test_many_queries_in_one_pass(chunks):
+    queries = [("a", "foo 质量 pdf", [0.6, 0.8]), ("b", "word", None), ("c", 'say "foo', [1.0, 0.0]), ("d", "none", [0.0, 1.0])]
+    got = {}
+    for r in search.hybrid_search_many(chunks, queries, 5, 8).collect():
+        got.setdefault(r.point, []).append((r.rank, r.rowid, round(r.score, 6), r.match_type))
+    for p, q, v in queries:
+        one = search.hybrid_search(chunks, q, v, 5).collect()
+        assert sorted(got.get(p, [])) == sorted((r.rank, r.rowid, round(r.score, 6), r.match_type) for r in one)
