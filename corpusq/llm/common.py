@@ -7,13 +7,22 @@ from pyspark.sql import functions as F
 
 from corpusq.session import cut, shared_dir
 
-__all__ = ["cut", "running_total", "shared_dir", "table"]
+__all__ = ["BROADCAST_ROWS", "cut", "running_total", "shared_dir", "small", "table"]
+
+#: Rows of a few numbers each that are broadcast at most, about 40 MB; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """``rows``, computed once, and marked for broadcast if they are ``BROADCAST_ROWS`` at most."""
+    done = cut(rows)
+    return F.broadcast(done) if done.count() <= BROADCAST_ROWS else done
+
+
 def running_total(df: DataFrame, group: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """Add ``name``: the sum of ``value`` over rows of the group up to this one.
 

@@ -25,13 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.llm.common import cut, table
+from corpusq.llm.common import BROADCAST_ROWS, cut, small, table
 
 WIDTH = 5
 THRESHOLD = 0.8
 BITS = 60
 BLOCK_BITS = 4
-BROADCAST_ROWS = 1_000_000  # about 40 MB of anchors; beyond it they are joined by shuffle
 
 
 def words(text: Column) -> Column:
@@ -120,7 +119,7 @@ def found(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD, width
 
 def clean(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` in which no item of ``bench`` is found."""
-    bad = found(docs, bench, **options).select(F.col("doc_id").alias("_bad")).distinct()
+    bad = small(found(docs, bench, **options).select(F.col("doc_id").alias("_bad")).distinct())
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusq.llm import dartminhash
-from corpusq.llm.common import cut, table
+from corpusq.llm.common import BROADCAST_ROWS, cut, small, table
 from corpusq.llm.components import components
 
 SHINGLE = 5
@@ -45,8 +45,7 @@ THRESHOLD = 0.8
 BANDS = 42
 ROWS = 7
 PAIRS_EACH = 4  # pairs for each membership of a bucket that are checked without further rounds
-BROADCAST_ROWS = 1_000_000  # about 40 MB of document ids
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -245,7 +244,7 @@ def unique_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame
 
     Of rows with one doc_id in one class, all stay.
     """
-    gone = classes(docs, threshold).filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = small(classes(docs, threshold).filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone")).distinct())
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
 
 

@@ -35,9 +35,9 @@ from corpusq.llm.pfor import Reader, Writer
 
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 DECODE_IDS = 1 << 20
-SLICE = 1 << 23
+SLICE = 1 << 22
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
