@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusq.session import cut, shared_dir
 
-__all__ = ["BROADCAST_ROWS", "cut", "running_total", "shared_dir", "small", "table"]
+__all__ = ["BROADCAST_ROWS", "cut", "running_total", "shared_dir", "small", "table", "text_batches"]
 
 #: Rows of a few numbers each that are broadcast at most, about 40 MB; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -17,6 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let Arrow batches of this session hold ``rows`` rows at most, since whole texts are in them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def small(rows: DataFrame) -> DataFrame:
     """``rows``, computed once, and marked for broadcast if they are ``BROADCAST_ROWS`` at most."""
     done = cut(rows)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusq.llm import dartminhash
-from corpusq.llm.common import BROADCAST_ROWS, cut, small, table
+from corpusq.llm.common import BROADCAST_ROWS, cut, small, table, text_batches
 from corpusq.llm.components import components
 
 SHINGLE = 5
@@ -172,6 +172,7 @@ def _possible(open_: DataFrame, cells: DataFrame, threshold: float) -> DataFrame
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id: one row for each row of ``docs``."""
+    text_batches(docs.sparkSession)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sigs = cut(ids.mapInArrow(_signatures, "doc_id long, k1 long, k2 long, bands array<long>"))
     nodes = cut(

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.llm.common import table
+from corpusq.llm.common import table, text_batches
 
 FOLDS = 5
 CUTOFF = 0.3
@@ -182,6 +182,7 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS) -> AttentionMIL:
     """Fit on labelled documents outside the held-out fold, ``max_docs`` at most."""
+    text_batches(docs.sparkSession)
     known = (
         labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy(F.col("doc_id").alias("_id")).agg(F.avg(F.col("quality").cast("double")).alias("_y"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.llm.common import shared_dir, table
+from corpusq.llm.common import shared_dir, table, text_batches
 from corpusq.llm.pfor import Reader, Writer
 
 END_ID = 1
@@ -183,6 +183,7 @@ def write_tokens(docs: DataFrame, base: str, tokenizer: str, end_id: int = END_I
             _write_file(base, name, writer)
             yield pa.RecordBatch.from_pylist([{"file": name, "n_docs": n_docs, "n_ids": n_ids}], pa.schema([("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
+    text_batches(docs.sparkSession)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     manifest = ordered.mapInArrow(encode, "file string, n_docs long, n_ids long").collect()  # one short row a file
     return docs.sparkSession.createDataFrame(sorted(map(tuple, manifest)), "file string, n_docs long, n_ids long")
