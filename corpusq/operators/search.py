@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
+from operator import and_, or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -19,7 +21,7 @@ from corpusq.functions.vectors import dot
 HIT_COLUMNS = ("rowid", "chunk_id", "text", "source_file", "file_type", "chunk_index", "total_chunks")
 
 
-def query_phrases(query: str, mode: str = "compat") -> list[str]:
+def query_phrases(query: str) -> list[str]:
     """Phrases of a query, any of which may match; each is tokens between spaces.
 
     CJK runs give their pairs of characters (a run of one gives nothing), the
@@ -37,15 +39,9 @@ def python_tokens(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", text.lower().translate(str.maketrans(ACCENTED, FOLDED)))
 
 
-def _has(columns: list[Column], phrase: str) -> Column:
+def _padded_phrase(phrase: str) -> str | None:
     words = python_tokens(phrase)
-    if not words:
-        return F.lit(False)
-    text = f" {' '.join(words)} "
-    cond = F.lit(False)
-    for c in columns:
-        cond = cond | F.contains(padded(c), F.lit(text))
-    return cond
+    return f" {' '.join(words)} " if words else None
 
 
 def keyword_predicate(query: str, mode: str = "compat") -> Column:
@@ -53,23 +49,28 @@ def keyword_predicate(query: str, mode: str = "compat") -> Column:
 
     compat: phrases are whole tokens.  cjk_bigram: a pair of CJK characters
     may also stand inside a run.  A phrase cannot span text and path.
+
+    Both columns are tokenised once for all phrases: they are bound as fields
+    of the one element of an array.
     """
-    columns = [F.col("text"), F.col("source_file")]
     phrases = query_phrases(query)
+    fields = [padded(F.col("text")).alias("t"), padded(F.col("source_file")).alias("p")]
+    if mode == "cjk_bigram":
+        fields += [fold(F.col("text")).alias("ft"), fold(F.col("source_file")).alias("fp")]
+    bound = F.array(F.struct(*fields))
+
+    def either(c: Column, phrase: str) -> Column:
+        return F.contains(c["t"], F.lit(phrase)) | F.contains(c["p"], F.lit(phrase))
+
     if not phrases or any('"' in p for p in phrases):
         # the query as typed: all its tokens, each in either column
-        words = python_tokens(query)
-        cond = F.lit(bool(words))
-        for w in words:
-            cond = cond & _has(columns, w)
-        return cond
-    cond = F.lit(False)
-    for p in dict.fromkeys(phrases):
-        cond = cond | _has(columns, p)
-        if mode == "cjk_bigram" and re.fullmatch(r"[一-鿿]{2}", p):
-            for c in columns:
-                cond = cond | F.contains(fold(c), F.lit(p))
-    return cond
+        words = [f" {w} " for w in python_tokens(query)]
+        return F.exists(bound, lambda c: reduce(and_, (either(c, w) for w in words))) if words else F.lit(False)
+    whole = [w for w in map(_padded_phrase, dict.fromkeys(phrases)) if w]
+    inside = [p for p in dict.fromkeys(phrases) if mode == "cjk_bigram" and re.fullmatch(r"[一-鿿]{2}", p)]
+    if not whole:
+        return F.lit(False)
+    return F.exists(bound, lambda c: reduce(or_, [either(c, w) for w in whole] + [F.contains(c[x], F.lit(p)) for p in inside for x in ("ft", "fp")]))
 
 
 def keyword_search(chunks: DataFrame, query: str, top_k: int = 5, fetch_k: int | None = None, mode: str = "compat") -> DataFrame:

@@ -424,9 +424,9 @@ def session_export(spark, sf_dir):
     return sessions.export_markdown(_sessions(spark, sf_dir), _turns(spark, sf_dir))
 
 
-@query("SELECT conv_id AS session_id, turn AS id, arg_min(text, turn) OVER (PARTITION BY conv_id) AS topic FROM conversations WHERE conv_id % 2 = 0")
+@query("SELECT conv_id AS session_id, turn AS id, arg_min(text, turn) OVER (PARTITION BY conv_id) AS topic FROM conversations")
 def session_turns(spark, sf_dir):
-    return sessions.session_turns(_sessions(spark, sf_dir).filter("id % 2 = 0"), _turns(spark, sf_dir)).select("session_id", "id", "topic")
+    return sessions.session_turns(_sessions(spark, sf_dir), _turns(spark, sf_dir)).select("session_id", "id", "topic")
 
 
 # ---- outlines
@@ -502,12 +502,15 @@ def assembled_documents(spark, sf_dir):
 _GRAMS = "list_distinct(list_transform(range(1, length({0}) - 1), lambda i: substr({0}, i, 3)))"
 
 
-@query(f"""SELECT d.doc_id, b.item_id, round(CAST(len(list_intersect({_GRAMS.format('d.t')}, {_GRAMS.format('b.text')})) AS DOUBLE) / len({_GRAMS.format('d.t')}), 4) AS share
-FROM (SELECT doc_id, substr(text, 1, 200) AS t FROM documents WHERE length(text) > 10 AND doc_id % 2 = 1) d, (SELECT * FROM benchmark WHERE item_id < 5) b""")
+@query(f"""WITH p AS (SELECT doc_id, substr(text, 1, 200) AS start, unnest(string_split(text, chr(10))) AS page, generate_subscripts(string_split(text, chr(10)), 1) AS n, len(string_split(text, chr(10))) AS pages FROM documents),
+s AS (SELECT doc_id, n, CAST(len(list_intersect({_GRAMS.format('start')}, {_GRAMS.format('page')})) AS DOUBLE) / len({_GRAMS.format('start')}) AS share FROM p WHERE pages > 1 AND length(start) > 2),
+b AS (SELECT doc_id, arg_min(n, (-share, n)) AS page, max(share) AS share FROM s GROUP BY doc_id)
+SELECT doc_id, CAST(CASE WHEN share > 0.3 THEN page END AS INTEGER) AS page, round(share, 4) AS share FROM b""")
 def page_attribution(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter((F.length("text") > 10) & (F.col("doc_id") % 2 == 1)).select("doc_id", F.substring("text", 1, 200).alias("t"))
-    b = table(spark, sf_dir, "benchmark").filter("item_id < 5").select("item_id", F.col("text").alias("page"))  # pages of one document
-    return d.join(b, how="cross").select("doc_id", "item_id", F.round(tx.trigram_containment(F.col("t"), F.col("page")), 4).alias("share"))
+    pages = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 200).alias("start"), F.split("text", "\n").alias("p")).filter((F.size("p") > 1) & (F.length("start") > 2))
+    each = pages.select("doc_id", "start", F.posexplode("p").alias("n", "page")).withColumn("share", tx.trigram_containment(F.col("start"), F.col("page")))
+    best = each.groupBy("doc_id").agg(F.min_by(F.struct("n", "share"), F.struct(-F.col("share"), F.col("n"))).alias("b"))
+    return best.select("doc_id", F.when(F.col("b.share") > 0.3, F.col("b.n") + 1).alias("page"), F.round("b.share", 4).alias("share"))
 
 
 @query()
