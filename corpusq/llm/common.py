@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusq.session import cut, shared_dir
 
-__all__ = ["BROADCAST_ROWS", "cut", "running_total", "shared_dir", "small", "table", "text_batches"]
+__all__ = ["BROADCAST_ROWS", "cut", "give_back", "running_total", "shared_dir", "small", "table", "text_batches"]
+
+_LIBC = ctypes.CDLL(None)
 
 #: Rows of a few numbers each that are broadcast at most, about 40 MB; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -24,6 +29,18 @@ def text_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(key, rows)
 
 
+def give_back() -> None:
+    """Return to the system what this Python worker has freed.
+
+    Large arrays of one batch otherwise stay with the process, which waits beside
+    the JVM for its next task.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_LIBC, "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def small(rows: DataFrame) -> DataFrame:
     """``rows``, computed once, and marked for broadcast if they are ``BROADCAST_ROWS`` at most."""
     done = cut(rows)

@@ -22,7 +22,7 @@ _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.ui
 #: First strip: ranks below 2**-FINEST; each next one doubles the rank searched.
 FINEST = 5
 #: Cells hashed at once, times parts.
-CELLS = 1 << 19
+CELLS = 1 << 18
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusq.llm import dartminhash
-from corpusq.llm.common import BROADCAST_ROWS, cut, small, table, text_batches
+from corpusq.llm.common import BROADCAST_ROWS, cut, give_back, small, table, text_batches
 from corpusq.llm.components import components
 
 SHINGLE = 5
@@ -88,10 +88,11 @@ def _ragged(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([np.empty(0, np.uint64), *parts]).view(np.int64)))
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+        give_back()
 
 
 def _all_signatures(cells: list[np.ndarray]) -> list[np.ndarray]:

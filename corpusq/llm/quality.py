@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.llm.common import table, text_batches
+from corpusq.llm.common import give_back, table, text_batches
 
 FOLDS = 5
 CUTOFF = 0.3
@@ -34,7 +34,7 @@ PASSAGE_WORDS = 64
 TRAIN_DOCS = 6000
 TRAIN_PASSAGES = 256
 PIECE = 1 << 22
-SLICE = 1 << 21
+SLICE = 1 << 19
 HIDDEN, GATE = 16, 8
 
 _SPACE, _LOWER, _UPPER, _DIGIT, _SYMBOL, _BANG, _PIPE, _PUNCT, _HIGH = range(9)
@@ -200,6 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS) -> Atten
                     out.append(bag[np.linspace(0, n - 1, min(n, TRAIN_PASSAGES)).round().astype(int)].astype(np.float32).tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(counts)), batch.column(1).slice(at, len(counts)), pa.array(out, pa.binary())], ["id", "y", "bag"])
                 at += len(counts)
+            give_back()
 
     sample = (
         docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id"))
@@ -218,6 +219,7 @@ def scorer(model: AttentionMIL):
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
         got = [model.score(x, counts) for x, counts in bags(texts)]
+        give_back()
         return pa.array(np.concatenate(got) if got else np.empty(0), pa.float64())
 
     return score

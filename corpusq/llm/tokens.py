@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.llm.common import shared_dir, table, text_batches
+from corpusq.llm.common import give_back, shared_dir, table, text_batches
 from corpusq.llm.pfor import Reader, Writer
 
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 DECODE_IDS = 1 << 20
 SLICE = 1 << 22
 
@@ -148,6 +148,7 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.
         rows = max(1, min(batch.num_rows, batch.num_rows * size // max(1, batch.column(1).nbytes)))
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+        give_back()
 
 
 def _write_file(base: str, name: str, writer: Writer) -> None:
@@ -218,6 +219,8 @@ def read_tokens(spark: SparkSession, base: str, manifest: DataFrame) -> DataFram
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(file.doc_ids, mask=file.nulls.astype(bool)), pa.array(bounds[:-1] + starts[path.as_py().rsplit("/", 1)[-1]]), pa.array(file.lengths.astype(np.int64)), pa.array(sums)],
                     ["doc_id", "start", "n_tokens", "ids_crc32"])
+                del file
+            give_back()
 
     files = spark.read.format("binaryFile").load([f"{base}/{r['file']}" for r in rows]).select("path", "content")
     return files.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
