@@ -16,13 +16,14 @@ WIDE = r"[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}\x{20000}-\x{2a6df}\x{f900}-\x{faff}
 
 
 def _count(text: Column, pattern: str) -> Column:
-    """Characters of ``text`` that match a one-character pattern."""
-    return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+    """Characters of ``text`` that match a one-character pattern; runs are taken at once."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"{pattern}+", ""))
 
 
 def chunk_tokens(text: Column) -> Column:
     """Estimate for sizing chunks: 2.5 a CJK character, 2 an ASCII word, 1 any other character; rounded down."""
-    n_words = F.length(F.regexp_replace(F.regexp_replace(text, "[a-zA-Z]+", "x"), "[^x]", ""))
+    marks = F.regexp_replace(text, "[^a-zA-Z]*+[a-zA-Z]++", "x")  # a mark for each word, then what follows the last one
+    n_words = F.length(marks) - F.length(F.regexp_replace(marks, "^x*+", ""))
     letters = _count(text, "[a-zA-Z]")
     cjk = _count(text, CJK)
     return F.floor(cjk * 2.5 + n_words * 2.0 + (F.length(text) - cjk - letters)).cast("long")
@@ -30,7 +31,7 @@ def chunk_tokens(text: Column) -> Column:
 
 def budget_tokens(text: Column) -> Column:
     """Estimate for model budgets: 1.5 a wide character, 0.25 any other but white space, rounded down, plus 1; 0 if empty."""
-    solid = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s", "")
+    solid = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", "")
     wide = _count(solid, WIDE)
     return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.floor(wide * 1.5 + (F.length(solid) - wide) * 0.25) + 1).cast("long")
 
