@@ -5,12 +5,12 @@ from __future__ import annotations
 import ctypes
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusq.session import cut, shared_dir
 
-__all__ = ["BROADCAST_ROWS", "cut", "give_back", "running_total", "shared_dir", "small", "table", "text_batches"]
+__all__ = ["BROADCAST_ROWS", "cut", "give_back", "running_total", "shared_dir", "small", "table", "text_batches", "text_key"]
 
 _LIBC = ctypes.CDLL(None)
 
@@ -29,6 +29,11 @@ def text_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(key, rows)
 
 
+def text_key(text: Column) -> list[Column]:
+    """_t1, _t2: 128 bits that stand for a text, to tell apart rows of one doc_id."""
+    return [F.xxhash64(text).alias("_t1"), F.xxhash64(F.lit("text"), text).alias("_t2")]
+
+
 def give_back() -> None:
     """Return to the system what this Python worker has freed.
 

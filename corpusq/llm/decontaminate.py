@@ -15,7 +15,8 @@ Shingles take ``width`` words, or the whole item if it has fewer.
 
 Defined cases: null and empty texts, and items without words, match nothing; a
 window is clipped at the ends of its text; rows with one doc_id, null
-included, count as one document; equally similar windows of a document give
+included, count as one document, but ``clean`` decides each row without
+doc_id by its own text; equally similar windows of a document give
 the first; repeated items are reported once each by item_id; empty tables give
 an empty result; other columns are ignored (``found``) or kept (``clean``).
 """
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.llm.common import BROADCAST_ROWS, cut, small, table
+from corpusq.llm.common import BROADCAST_ROWS, cut, small, table, text_key
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -89,7 +90,8 @@ def found(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD, width
         )
         windows = places if windows is None else windows.unionByName(places)
     if windows is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start long, similarity double")
+        none = [F.lit(None).cast(kind).alias(c) for c, kind in (("item_id", "long"), ("start", "long"), ("similarity", "double"))]
+        return docs.select("doc_id", *none).filter(F.lit(False))
     windows = cut(windows.distinct().withColumn("window", F.monotonically_increasing_id()))
     window_counts = cut(_counts(windows, ["window", "size"], item_width))
     item_counts = cut(_counts(items, ["item", "size"], item_width))
@@ -118,9 +120,12 @@ def found(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD, width
 
 
 def clean(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` in which no item of ``bench`` is found."""
-    bad = small(found(docs, bench, **options).select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """The rows of ``docs`` of documents in which no item of ``bench`` is found; a row without doc_id is a document by itself."""
+    # rows without doc_id are told apart by their texts
+    t1, t2 = (F.when(docs["doc_id"].isNull(), t).alias(f"t{i}") for i, t in enumerate(text_key(docs["text"])))
+    keyed = docs.select(F.struct(docs["doc_id"].alias("id"), t1, t2).alias("doc_id"), "text")
+    bad = small(found(keyed, bench, **options).select("doc_id.*").select(F.col("id").alias("_bad"), F.col("t0").alias("_b1"), F.col("t1").alias("_b2")).distinct())
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]) & t1.eqNullSafe(bad["_b1"]) & t2.eqNullSafe(bad["_b2"]), "left_anti")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

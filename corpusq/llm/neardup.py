@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusq.llm import dartminhash
-from corpusq.llm.common import BROADCAST_ROWS, cut, give_back, small, table, text_batches
+from corpusq.llm.common import BROADCAST_ROWS, cut, give_back, small, table, text_batches, text_key
 from corpusq.llm.components import components
 
 SHINGLE = 5
@@ -117,7 +117,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = [_SHINGLER(text) for text in map(pa.StringScalar.as_py, batch.column(1))]
         keys = [_key(x) for x in cells]
         keyed = [dartminhash.bands(x[None, :], BANDS)[0] if len(x) else x for x in _all_signatures(cells)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), _ragged(keyed)], ["doc_id", "k1", "k2", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), _ragged(keyed), *batch.columns[2:]], ["doc_id", "k1", "k2", "bands", *batch.schema.names[2:]])
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,9 +173,16 @@ def _possible(open_: DataFrame, cells: DataFrame, threshold: float) -> DataFrame
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id: one row for each row of ``docs``."""
+    return _classes(docs.select("doc_id", "text"), threshold)
+
+
+def _classes(docs: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, class_id and the columns (long) that ``docs`` has besides doc_id and text."""
     text_batches(docs.sparkSession)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sigs = cut(ids.mapInArrow(_signatures, "doc_id long, k1 long, k2 long, bands array<long>"))
+    carried = [c for c in docs.columns if c not in ("doc_id", "text")]
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carried)
+    sigs = cut(ids.mapInArrow(_signatures, ", ".join(["doc_id long, k1 long, k2 long, bands array<long>", *[f"{c} long" for c in carried]])))
+    ids = ids.select("doc_id", "text")
     nodes = cut(
         sigs.filter(F.size("bands") > 0).groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands"))
         .withColumn("node", F.monotonically_increasing_id())
@@ -234,20 +241,23 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     named = nodes.select("node", "k1", "k2", "doc_id").join(of, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     named = named.join(smallest, "root").select(F.col("k1").alias("x1"), F.col("k2").alias("x2"), "class_id", F.lit(True).alias("compared"))
-    rows = sigs.select("doc_id", "k1", "k2")
+    rows = sigs.select("doc_id", "k1", "k2", *carried)
     return (
         rows.join(named, (rows["k1"] == named["x1"]) & (rows["k2"] == named["x2"]), "left")
-        .select("doc_id", F.when(F.col("compared"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+        .select("doc_id", F.when(F.col("compared"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), *carried)
     )
 
 
 def unique_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose doc_id is that of their class; all rows without doc_id in a class without any.
 
-    Of rows with one doc_id in one class, all stay.
+    Of rows with one doc_id in one class, all stay.  Each row is decided by
+    doc_id and text, since rows with one doc_id may be in several classes.
     """
-    gone = small(classes(docs, threshold).filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    copies = _classes(docs.select("doc_id", "text", *text_key(F.col("text"))), threshold).filter(~F.col("doc_id").eqNullSafe(F.col("class_id")))
+    gone = small(copies.select(F.col("doc_id").alias("_gone"), F.col("_t1").alias("_g1"), F.col("_t2").alias("_g2")).distinct())
+    t1, t2 = text_key(docs["text"])
+    return docs.join(gone, (t1 == gone["_g1"]) & (t2 == gone["_g2"]) & docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

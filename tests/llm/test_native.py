@@ -88,6 +88,15 @@ def test_decontaminate_against_sql(spark, tmp_path):
     assert decontaminate.found(docs.limit(0), bench).count() == 0 and decontaminate.found(docs, bench.limit(0)).count() == 0
 
 
+def test_clean_decides_each_row_without_id(spark):
+    item = "one two three four five six seven"
+    rows = [(None, f"x {item} y", "s"), (None, "nothing to see here at all", "s"), (3, "a clean text of three", "s"), (4, item, "s"), (5, None, "s"), (None, None, "s")]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = [(r.doc_id, r.text) for r in decontaminate.clean(documents(spark, rows), bench).collect()]
+    assert sorted(got, key=str) == sorted(((i, t) for i, t, _ in rows if item not in (t or "")), key=str)
+    assert decontaminate.clean(documents(spark, rows), bench.limit(0)).count() == len(rows)
+
+
 def test_licenses_against_sql(spark, tmp_path):
     texts = [
         "Released under the MIT License.", "x\nLicensed under the Apache License, Version 2.0.\nmore", "no end\nAll rights reserved\nthis", None, "", "license " * 5000,

@@ -64,3 +64,12 @@ def test_null_and_repeated_ids(spark):
     docs = spark.createDataFrame([(None, t), (5, t), (5, t), (5, "other words here entirely now"), (None, "z y x w v u")], "doc_id long, text string")
     got = Counter(map(tuple, neardup.classes(docs).collect()))
     assert got == Counter({(None, 5): 1, (5, 5): 3, (None, None): 1})
+
+
+def test_unique_documents_decides_each_row(spark):
+    t, other = "a b c d e f g h i j", "z y x w v u"
+    rows = [(None, t), (5, t), (None, other), (7, t), (7, "only seven has these words"), (8, "k l m n o p"), (7, "k l m n o p"), (None, None), (None, "twice without any id"), (None, "twice  without any id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter(map(tuple, neardup.unique_documents(docs).collect()))
+    gone = {(None, t), (7, t), (8, "k l m n o p")}
+    assert got == Counter(x for x in rows if x not in gone)
