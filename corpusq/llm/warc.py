@@ -10,13 +10,15 @@ headers, updated by those headers of the revisit that a 304 may change.
 Any share of captures may have one URL: rows are dealt out by ranges of (URL,
 time) and the last response of a range is handed to the ranges after it, so no
 task needs a whole URL.  Only row numbers and validators take part in
-the join; headers and bodies are fetched by record afterwards.
+the join; headers and bodies are fetched afterwards, by a key of the row's
+record_id, URL, time and validators, since record_id may be null or repeated.
 
 Defined cases: a null URL or time resolves nothing (``no_response``); responses at the
 revisit's own time are not earlier, and of responses at one time that with the largest
 record_id counts; a revisit without any validator is ``no_validator``; null headers are
-an empty map; rows that repeat a record_id are separate revisits, and the
-smallest body of the repeated response is used; empty input gives no rows; other columns are
+an empty map; rows that repeat a record_id are separate captures; of
+responses with one URL, time and record_id that with the largest validators counts, of those
+with equal ones the smallest body; empty input gives no rows; other columns are
 ignored.
 """
 
@@ -55,6 +57,17 @@ def merged_headers(stored: Column, update: Column) -> Column:
     return F.map_concat(F.map_filter(stored, lambda k, _: ~F.map_contains_key(changed, k)), changed)
 
 
+def _tag(headers: Column) -> Column:
+    return F.regexp_replace(headers["etag"], r"^W/", "")
+
+
+def _row_key(headers: Column) -> list[Column]:
+    """128 bits of all that decides how a capture is matched; captures with one key have one outcome."""
+    parts = [F.col("record_id"), F.col("url"), F.col("captured"), _tag(headers), headers["last-modified"]]
+    parts += [x.isNull() for x in parts]  # hashes pass over nulls
+    return [F.xxhash64(*parts), F.xxhash64(F.lit("row"), *parts)]
+
+
 def resolve(captures: DataFrame) -> DataFrame:
     """record_id, url, captured, outcome, response_id, headers, body: one row a revisit.
 
@@ -63,16 +76,15 @@ def resolve(captures: DataFrame) -> DataFrame:
     no_response; only resolved revisits have a body, others keep their own
     headers.
     """
-    tag = lambda h: F.regexp_replace(h["etag"], r"^W/", "")
-    rows = captures.select(
-        F.col("record_id"), F.col("captured"), canonical_url(F.col("url")).alias("site"), (F.col("status") == 200).alias("full"), (F.col("status") == 304).alias("revisit"),
+    known = F.col("url").isNotNull() & F.col("captured").isNotNull()
+    rows = captures.filter(known).select(
+        F.col("record_id"), F.col("url"), F.col("captured"), canonical_url(F.col("url")).alias("site"), (F.col("status") == 200).alias("full"), (F.col("status") == 304).alias("revisit"),
         _lower_keys(F.col("headers")).alias("h"),
-    ).filter("full or revisit").select("record_id", "captured", "site", "full", tag(F.col("h")).alias("etag"), F.col("h")["last-modified"].alias("modified"))
-    known = F.col("site").isNotNull() & F.col("captured").isNotNull()
+    ).filter("full or revisit").select("record_id", "captured", "site", "full", _tag(F.col("h")).alias("etag"), F.col("h")["last-modified"].alias("modified"), *[k.alias(n) for k, n in zip(_row_key(F.col("h")), ("k1", "k2"))])
     # at one time revisits come before responses, so that these are not earlier
-    order = ["captured", "full", "record_id"]
-    ranged = cut(rows.filter(known).repartitionByRange("site", *order).withColumn("_range", F.spark_partition_id()))
-    response = F.when(F.col("full"), F.struct("captured", "record_id", "etag", "modified"))
+    order = ["captured", "full", "record_id", "etag", "modified", "k1", "k2"]
+    ranged = cut(rows.repartitionByRange("site", *order).withColumn("_range", F.spark_partition_id()))
+    response = F.when(F.col("full"), F.struct("captured", "record_id", "etag", "modified", "k1", "k2"))
     last = ranged.groupBy("site", "_range").agg(F.max(response).alias("last"))
     before = Window.partitionBy("site").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     carried = last.select(F.col("site").alias("_site"), F.col("_range").alias("_r"), F.max("last").over(before).alias("carried"))
@@ -82,23 +94,28 @@ def resolve(captures: DataFrame) -> DataFrame:
         .withColumn("stored", F.coalesce(F.last(response, ignorenulls=True).over(within), F.col("carried")))
         .filter("not full")
     )
-    found = joined.unionByName(rows.filter("not full").filter(~known), allowMissingColumns=True).withColumn(
+    found = joined.withColumn(
         "outcome",
         F.when(F.col("stored").isNull(), "no_response")
         .when(F.col("etag").isNotNull(), F.when(F.col("etag") == F.col("stored.etag"), "resolved").otherwise("changed"))
         .when(F.col("modified").isNotNull(), F.when(F.col("modified") == F.col("stored.modified"), "resolved").otherwise("changed"))
         .otherwise("no_validator"),
-    ).select("record_id", "outcome", F.when(F.col("outcome") == "resolved", F.col("stored.record_id")).alias("response_id")).distinct()
-    bodies = captures.filter("status = 200").select(F.col("record_id").alias("_response"), F.struct("body", F.to_json(_lower_keys(F.col("headers"))).alias("h")).alias("stored"))
-    bodies = bodies.join(found.select(F.col("response_id").alias("_wanted")).distinct(), F.col("_response") == F.col("_wanted"), "left_semi").groupBy("_response").agg(F.min("stored").alias("stored"))
-    own = captures.filter("status = 304").select(F.col("record_id").alias("_own"), "url", "captured", _lower_keys(F.col("headers")).alias("own"))
-    told = own.join(found, F.col("_own").eqNullSafe(F.col("record_id")))
+    ).select("k1", "k2", "outcome", *[F.when(F.col("outcome") == "resolved", F.col(f"stored.{c}")).alias(n) for c, n in (("record_id", "response_id"), ("k1", "r1"), ("k2", "r2"))]).distinct()
+    headers = _lower_keys(F.col("headers"))
+    b1, b2 = _row_key(headers)
+    bodies = captures.filter("status = 200").filter(known).select(b1.alias("_b1"), b2.alias("_b2"), F.struct("body", F.to_json(headers).alias("h")).alias("stored"))
+    wanted = found.filter("r1 is not null").select(F.col("r1").alias("_w1"), F.col("r2").alias("_w2")).distinct()
+    bodies = bodies.join(wanted, (F.col("_b1") == F.col("_w1")) & (F.col("_b2") == F.col("_w2")), "left_semi").groupBy("_b1", "_b2").agg(F.min("stored").alias("stored"))
+    own = captures.filter("status = 304").select("record_id", "url", "captured", headers.alias("own"))
+    o1, o2 = _row_key(F.col("own"))
+    told = own.filter(known).withColumn("_o1", o1).withColumn("_o2", o2).join(found, (F.col("_o1") == F.col("k1")) & (F.col("_o2") == F.col("k2")))
     columns = ["record_id", "url", "captured", "outcome", "response_id"]
-    with_body = told.filter("response_id is not null").join(bodies, F.col("response_id") == F.col("_response")).select(
+    with_body = told.filter("outcome = 'resolved'").join(bodies, (F.col("r1") == F.col("_b1")) & (F.col("r2") == F.col("_b2"))).select(
         *columns, merged_headers(F.from_json("stored.h", "map<string,string>"), F.col("own")).alias("headers"), F.col("stored.body").alias("body"))
     # the others have no response to join with; as null keys they would meet in one task
-    without = told.filter("response_id is null").select(*columns, F.col("own").alias("headers"), F.lit(None).cast("string").alias("body"))
-    return with_body.unionByName(without)
+    unknown = own.filter(~known).withColumn("outcome", F.lit("no_response")).withColumn("response_id", F.lit(None).cast(captures.schema["record_id"].dataType))
+    rest = told.filter("outcome <> 'resolved'").select(*columns, "own").unionByName(unknown.select(*columns, "own"))
+    return with_body.unionByName(rest.select(*columns, F.col("own").alias("headers"), F.lit(None).cast("string").alias("body")))
 
 
 def captures_of_pages(pages: DataFrame) -> DataFrame:

@@ -149,6 +149,22 @@ def test_revisit_rules(spark):
     assert warc.resolve(captures.limit(0)).collect() == []
 
 
+def test_repeated_record_ids(spark):
+    site, other, tag = "http://a.com", "http://b.com", lambda v: {"ETag": f'"{v}"'}
+    rows = [
+        (1, site, 10, 200, tag("v1"), "b body of a"), (1, other, 10, 200, tag("w1"), "a body of b"), (None, "http://c.com", 10, 200, tag("x"), "c body"),
+        (2, site, 20, 304, tag("v1"), None), (2, site, 20, 304, tag("old"), None), (2, other, 30, 304, tag("w1"), None), (2, other, 30, 304, tag("w1"), None),
+        (None, site, 40, 304, tag("v1"), None), (None, site, 41, 304, tag("old"), None), (None, None, 42, 304, tag("v1"), None), (None, "http://c.com", 43, 304, tag("x"), None),
+    ]
+    captures = spark.createDataFrame(rows, "record_id long, url string, captured long, status int, headers map<string,string>, body string").repartition(3)
+    got = [(r.record_id, r.url, r.captured, r.headers["etag"].strip('"'), r.outcome, r.response_id, r.body) for r in warc.resolve(captures).collect()]
+    want = [
+        (2, site, 20, "v1", "resolved", 1, "b body of a"), (2, site, 20, "old", "changed", None, None), (2, other, 30, "w1", "resolved", 1, "a body of b"), (2, other, 30, "w1", "resolved", 1, "a body of b"),
+        (None, site, 40, "v1", "resolved", 1, "b body of a"), (None, site, 41, "old", "changed", None, None), (None, None, 42, "v1", "no_response", None, None), (None, "http://c.com", 43, "x", "resolved", None, "c body"),
+    ]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_native_plans(spark, tmp_path, some_docs):
     docs = documents(spark, some_docs)
     bench = spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6")], "item_id long, text string")
