@@ -44,11 +44,13 @@ def embed_chunks(chunks: DataFrame, embed: Callable[[list[str]], list[list[float
 
 def ingest(
     spark: SparkSession, source: str | DataFrame, store: ChunkStore, embed: Callable[[list[str]], list], manifest: DataFrame | None = None, context: Context | None = None, indexed_at: float = 0.0,
+    lossless: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Index what is new or changed below a folder; the manifest afterwards, and the status of every file.
 
     Files already indexed under their path are passed over by hash, so a run
-    that was broken off continues where it stopped.
+    that was broken off continues where it stopped.  Long chunks go on in
+    further chunks; with ``lossless=False`` their rest is dropped.
     """
     files = scan_directory(spark, source) if isinstance(source, str) else source
     listed = files.select("path", F.md5("content").alias("hash"))
@@ -56,7 +58,7 @@ def ingest(
     judged = cut(status.dedup(numbered, manifest).select("path", "hash", "verdict"))
     wanted = judged.filter(F.col("verdict").isin("new", "changed"))
     parsed = cut(parse_files(files.join(wanted.select("path"), "path", "left_semi"), context))
-    chunks = cut(embed_chunks(chunk_documents(parsed.filter("error is null")).drop("page"), embed))
+    chunks = cut(embed_chunks(chunk_documents(parsed.filter("error is null"), lossless=lossless).drop("page"), embed))
     changed = judged.filter("verdict = 'changed'").select("path")
     if not changed.isEmpty():
         store.delete_sources(changed)
@@ -77,11 +79,11 @@ def ingest(
     return status.merge_manifest(known, done), state
 
 
-def retry_file(spark: SparkSession, path: str, store: ChunkStore, embed: Callable[[list[str]], list], manifest: DataFrame, context: Context | None = None) -> tuple[DataFrame, DataFrame]:
+def retry_file(spark: SparkSession, path: str, store: ChunkStore, embed: Callable[[list[str]], list], manifest: DataFrame, context: Context | None = None, lossless: bool = True) -> tuple[DataFrame, DataFrame]:
     """Delete a file's chunks and index it again; manifest and status."""
     store.delete_sources([path])
     rest = status.remove_paths(manifest, spark.createDataFrame([(path,)], "path string"))
-    return ingest(spark, scan_directory(spark, path), store, embed, rest, context)
+    return ingest(spark, scan_directory(spark, path), store, embed, rest, context, lossless=lossless)
 
 
 def merged_ocr(batches: DataFrame) -> DataFrame:

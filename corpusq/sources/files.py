@@ -80,10 +80,10 @@ def page_text(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.withColumn("text", F.pandas_udf(each, "string")(F.col(html)))
 
 
-def test_file(spark: SparkSession, path: str, context: parsers.Context | None = None) -> DataFrame:
+def test_file(spark: SparkSession, path: str, context: parsers.Context | None = None, lossless: bool = True) -> DataFrame:
     """file_name, chars, chunks, preview of one file, parsed and chunked."""
     from corpusq.operators.chunk import chunk_documents
 
     parsed = parse_files(spark.read.format("binaryFile").load(path), context)
-    n = chunk_documents(parsed).groupBy("source_file").agg(F.count("*").alias("chunks"))
+    n = chunk_documents(parsed, lossless=lossless).groupBy("source_file").agg(F.count("*").alias("chunks"))
     return parsed.join(n, F.col("file_path") == F.col("source_file"), "left").select("file_name", F.length("content").alias("chars"), F.coalesce("chunks", F.lit(0)).alias("chunks"), F.substring("content", 1, 500).alias("preview"), "error")

@@ -41,11 +41,11 @@ def file_stream(spark: SparkSession, path: str, per_batch: int = 1000) -> DataFr
     )
 
 
-def ingest_stream(spark: SparkSession, path: str, store: ChunkStore, embed: Callable[[list[str]], list], checkpoint: str, context: Context | None = None, per_batch: int = 1000, available_now: bool = True) -> StreamingQuery:
+def ingest_stream(spark: SparkSession, path: str, store: ChunkStore, embed: Callable[[list[str]], list], checkpoint: str, context: Context | None = None, per_batch: int = 1000, available_now: bool = True, lossless: bool = True) -> StreamingQuery:
     """Start ingesting; ``lastProgress`` of the query is the progress, ``stop`` ends it between batches."""
 
     def batch(files: DataFrame, number: int) -> None:
-        manifest, _ = ingest(files.sparkSession, files, store, embed, read_manifest(store), context, float(number))
+        manifest, _ = ingest(files.sparkSession, files, store, embed, read_manifest(store), context, float(number), lossless)
         write_manifest(store, manifest)
 
     writer = file_stream(spark, path, per_batch).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).queryName(f"ingest-{uuid.uuid4().hex[:8]}")

@@ -113,3 +113,15 @@ def test_event_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.path: (r.status, r.events) for r in spark.sql("select * from states").collect()} == {f"/f{i}": ("embedded", 3) for i in range(3)}
+
+
+def test_long_chunks_are_ingested_whole(spark, tmp_path):
+    src, store = tmp_path / "src", ChunkStore(spark, str(tmp_path / "kb"))
+    words = [f"word{i}." for i in range(900)]
+    put(src, long=" ".join(words) + "\n")
+    ing.ingest(spark, str(src), store, doubles.hash_embed)
+    got = [r.text for r in store.load().orderBy("chunk_index").collect()]
+    assert len(got) > 1 and "".join("".join(got).split()) == "".join(words)
+    cut = ChunkStore(spark, str(tmp_path / "cut"))
+    ing.ingest(spark, str(src), cut, doubles.hash_embed, lossless=False)
+    assert cut.load().count() == 1
