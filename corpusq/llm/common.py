@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 
 from corpusq.session import cut, shared_dir
 
-__all__ = ["BROADCAST_ROWS", "cut", "give_back", "running_total", "shared_dir", "small", "table", "text_batches", "text_key"]
+__all__ = ["BROADCAST_ROWS", "cut", "give_back", "packed", "running_total", "shared_dir", "small", "spread_join", "table", "text_batches", "text_key"]
 
 _LIBC = ctypes.CDLL(None)
 
 #: Rows of a few numbers each that are broadcast at most, about 40 MB; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: A key with more rows is dealt out in parts of so many.
+HOT = 2000
+#: Keys that are dealt out in parts, at most; with more, only the heaviest are.
+HOT_KEYS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +56,40 @@ def small(rows: DataFrame) -> DataFrame:
     return F.broadcast(done) if done.count() <= BROADCAST_ROWS else done
 
 
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """``_row``, the whole row of ``docs``, and ``columns``: no column of the input can clash with one of an operator's."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[c.alias(n) for n, c in columns.items()])
+
+
+def hot_keys(rows: DataFrame, key: list[str]) -> DataFrame | None:
+    """``key`` and ``_parts``: into how many parts of ``HOT`` rows each key of more rows is cut; None if there is none.
+
+    ``HOT_KEYS`` rows at most, so the result is marked for broadcast.
+    """
+    counts = cut(rows.groupBy(*key).agg(F.count("*").alias("_n")).filter(F.col("_n") > HOT))
+    n, total = counts.agg(F.count("*"), F.sum("_n")).first()
+    if not n:
+        return None
+    if n > HOT_KEYS:
+        counts = counts.filter(F.col("_n") > total / HOT_KEYS)
+    return F.broadcast(counts.select(*key, F.ceil(F.col("_n") / HOT).cast("int").alias("_parts")))
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: list[str], by: list[str]) -> DataFrame:
+    """Inner join of ``rows`` with ``facts``, which has one row a key, where a key may hold any share of ``rows``.
+
+    The rows of a hot key are dealt out into parts by a hash of ``by``, and its fact is
+    copied to each part, so no task gets all of them.  ``key`` columns are not null.
+    """
+    hot = hot_keys(rows.select(*key), key)
+    if hot is None:
+        return rows.join(facts, key)
+    part = F.pmod(F.xxhash64(*by), F.coalesce("_parts", F.lit(1))).cast("int")
+    left = rows.join(hot, key, "left").withColumn("_part", part).drop("_parts")
+    right = facts.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return left.join(right, [*key, "_part"]).drop("_part")
+
+
 def running_total(df: DataFrame, group: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """Add ``name``: the sum of ``value`` over rows of the group up to this one.
 
