@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusq.session import cut, shared_dir
 
-__all__ = ["BROADCAST_ROWS", "cut", "give_back", "packed", "running_total", "shared_dir", "small", "spread_join", "table", "text_batches", "text_key"]
+__all__ = ["BROADCAST_ROWS", "cut", "free_name", "give_back", "packed", "running_total", "shared_dir", "small", "spread_join", "table", "text_batches", "text_key"]
 
 _LIBC = ctypes.CDLL(None)
 
@@ -61,6 +61,14 @@ def packed(docs: DataFrame, **columns: Column) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[c.alias(n) for n, c in columns.items()])
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name`` for a column added to ``docs``; if the input has it already, with ``_`` after it until it is free."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def hot_keys(rows: DataFrame, key: list[str]) -> DataFrame | None:
     """``key`` and ``_parts``: into how many parts of ``HOT`` rows each key of more rows is cut; None if there is none.
 

@@ -5,13 +5,15 @@ finish time, the source's words up to and including it over the source's
 target.  Entries of all sources and repeats are sorted by finish time over the
 whole corpus and cut where the budget is used up; since each source reaches
 finish time 1 when its target is met, the cut meets every target to within a
-few documents.
+few documents: no entry that ends by finish time 1 is cut, so a source takes its target less at
+most the next entry in its queue, and more than its target by at most what the others
+fall short.  Targets are computed from one row a source in one task; sources are few.
 
 Defined cases: a null text has size 0; a null source is a source of its own,
 sorted last; rows of one (source, doc_id, size) are decided alike, so repeated
 rows are taken equally often; a source without words has target 0 and takes
 nothing; empty input gives an empty result; columns of the input other than
-doc_id, text and source are ignored.
+doc_id, text and source are ignored (``taken``) or kept (``mixed_documents``).
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusq.llm.common import cut, running_total, table
+from corpusq.llm.common import cut, packed, running_total, table
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -116,12 +118,11 @@ def taken(docs: DataFrame, **options) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` as the mix takes them: none, once or repeatedly."""
-    names = docs.columns
     keep = taken(docs, **options).filter("repeats > 0").select(
         F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("repeats").alias("_n")).distinct()
-    left = docs.withColumn("_words", word_count(F.col("text")))
-    on = left["doc_id"].eqNullSafe(keep["_id"]) & left["source"].eqNullSafe(keep["_source"]) & (left["_words"] == keep["_size"])
-    return left.join(keep, on).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*names)
+    left = packed(docs, doc_id=F.col("doc_id"), source=F.col("source"), words=word_count(F.col("text")))
+    on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("words") == F.col("_size"))
+    return left.join(keep, on).select("_row", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select("_row.*")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ by side, from each state that a block can be entered in, and the blocks are chai
 Defined cases: a null text is empty and has no spans; offsets are code points,
 end exclusive; rows with one doc_id are scanned each by its own text; a ``crf`` span
 may overlap base spans, which always stay; empty input gives no rows; other columns are
-kept, and the result has one more (``scan``).
+kept (``scan``); the spans are in ``secrets``, or ``secrets_`` if the input has such a column.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.llm.common import give_back, table, text_batches
+from corpusq.llm.common import free_name, give_back, table, text_batches
 
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -511,10 +511,8 @@ def _tagger(crf: ChainCRF) -> Tagger:
     return _TAGGERS[key]
 
 
-def scan(docs: DataFrame, name: str = "secrets") -> DataFrame:
-    """``docs`` with ``name``, an array of (kind, start, end) in order; a column that has this name already is an error."""
-    if name in docs.columns:
-        raise ValueError(f"the input has a column {name}; choose another name for the spans")
+def scan(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``secrets``: an array of (kind, start, end) in order."""
     text_batches(docs.sparkSession)
     crf = model()
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -533,7 +531,7 @@ def scan(docs: DataFrame, name: str = "secrets") -> DataFrame:
         give_back()
         return pa.array(out, kind)
 
-    return docs.withColumn(name, find(F.col("text")))
+    return docs.withColumn(free_name(docs, "secrets"), find(F.col("text")))
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
