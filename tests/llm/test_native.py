@@ -114,12 +114,18 @@ def test_perspectives_against_sql(spark, tmp_path):
     rows = [(1, 0, "ann", "hi"), (1, 1, "bob", "<|end|>"), (1, 2, "cara", None), (1, 3, "ann", "é bye"), (2, 0, "system", "only"), (3, None, None, "x"), (3, 1, "system", "rules"), (None, 1, "ann", "a"), (None, 1, "ann", "a"), (4, 7, "bob", "q" * 5000)]
     rows += [(5, i // 2, "ann" if i % 3 else "bob", f"turn {i}") for i in range(700)]
     write(spark.createDataFrame([(*x, "extra") for x in rows], "conv_id long, turn long, role string, text string, part string").repartition(3), tmp_path, "conversations")
-    got = agree(spark, tmp_path, perspectives.op9_perspectives, perspectives.ORACLE_SQL, ["conversations"], ["conv_id", "perspective", "part", "n_turns", "rendered", "masks"])
+    got = agree(spark, tmp_path, perspectives.op9_perspectives, perspectives.ORACLE_SQL, ["conversations"], ["conv_id", "perspective", "part", "n_turns", "start", "rendered", "masks"])
     assert sum(g[0] == "5" for g in got) == 6 and not any(g[0] == "2" for g in got)
-    for conv, who, _, _, text, masks in got:
+    for conv, who, _, _, start, text, masks in got:
         for m in filter(None, masks.split(",")):
-            a, b = map(int, m.split(":"))
+            a, b = (int(x) - int(start) for x in m.split(":"))
             assert text[a:b].endswith("<|end|>\n") and text[:a].endswith("<|start|>assistant\n")
+    turns = spark.read.parquet(f"{tmp_path}/conversations.parquet").withColumnRenamed("role", "speaker")
+    for r in perspectives.whole(perspectives.perspectives(turns)).filter("conv_id = 5").collect():
+        told = sorted((i // 2, "ann" if i % 3 else "bob", f"turn {i}") for i in range(700))
+        assert r.rendered == "".join(f"<|start|>{'assistant' if w == r.perspective else 'user name=' + w}\n{t}<|end|>\n" for _, w, t in told)
+        assert [r.rendered[a:b] for a, b in r.masks] == [f"{t}<|end|>\n" for _, w, t in told if w == r.perspective]
+    assert perspectives.perspectives(turns.limit(0)).collect() == []
 
 
 def test_revisits_against_sql(spark, tmp_path):
