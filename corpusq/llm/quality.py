@@ -6,15 +6,15 @@ attention, learnt from document labels alone, weighs the passages; the
 weighted sum of their codes is scored by a logistic output.  So one bad passage can
 decide a document, and nobody has to label passages.
 
-The model is fitted on the driver on at most ``TRAIN_DOCS`` labelled documents
-outside the held-out fold, chosen by a hash of doc_id, and at most
-``TRAIN_PASSAGES`` evenly spaced passages of each.  Scores read every passage of every text.
+The model is fitted on the driver, in batches of documents, on at most ``TRAIN_DOCS`` labelled
+documents outside the held-out fold, chosen by a hash of doc_id, with all their passages.
+Scores read every passage of every text.
 
 Defined cases: a null text is empty; an empty text is a bag with one passage
 of zeros; a null doc_id is not held out and carries no label; rows with one doc_id are scored each by its own text; several labels
 of a doc_id count by their mean; without labels of both kinds every score is
 0.5; texts of over ``PIECE`` bytes are cut at white space into pieces whose
-passages all belong to the bag; other columns are ignored.
+passages all belong to the bag; other columns are kept, and an added column whose name the input has gets ``_`` after it.
 """
 
 from __future__ import annotations
@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.llm.common import give_back, table, text_batches
+from corpusq.llm.common import free_name, give_back, packed, table, text_batches
 
 FOLDS = 5
 CUTOFF = 0.3
 PASSAGE_WORDS = 64
 TRAIN_DOCS = 6000
-TRAIN_PASSAGES = 256
+BATCH_DOCS, BATCH_PASSAGES = 256, 1 << 15
 PIECE = 1 << 22
 SLICE = 1 << 19
 HIDDEN, GATE = 16, 8
@@ -146,33 +146,49 @@ class AttentionMIL:
     def score(self, x: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.full(len(counts), 0.5) if self.p is None else self._forward(x, counts)["y"]
 
-    def fit(self, x: np.ndarray, counts: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.03, decay: float = 1e-4, seed: int = 7) -> AttentionMIL:
+    def gradients(self, x: np.ndarray, counts: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log loss of the documents."""
+        p, f = self.p, self._forward(x, counts)
+        dy = (f["y"] - y) / len(y)
+        dz = dy[:, None] * p["c"]
+        dz_each = np.repeat(dz, counts, axis=0)
+        da = (dz_each * f["h"]).sum(axis=1)
+        de = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, f["heads"]), counts))
+        dt, ds = de[:, None] * p["w"] * f["s"] * (1 - f["t"] ** 2), de[:, None] * p["w"] * f["t"] * f["s"] * (1 - f["s"])
+        dh = (f["a"][:, None] * dz_each + dt @ p["V"].T + ds @ p["U"].T) * (1 - f["h"] ** 2)
+        return {"W": f["x"].T @ dh, "b": dh.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ ds, "w": (f["t"] * f["s"]).T @ de, "c": f["z"].T @ dy, "d": dy.sum(keepdims=True)}
+
+    def fit(self, x: np.ndarray, counts: np.ndarray, y: np.ndarray, steps: int = 500, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> AttentionMIL:
+        """Adam over batches of whole documents; ``x`` may be single precision."""
         if len(y) == 0 or y.min() == y.max():
             self.p = None
             return self
         r = np.random.default_rng(seed)
-        scale = x.std(axis=0)
+        mean = x.mean(axis=0, dtype=np.float64)
+        scale = np.sqrt(np.maximum(0.0, np.einsum("ij,ij->j", x, x, dtype=np.float64) / len(x) - mean**2))
         self.p = p = {
-            "mean": x.mean(axis=0), "scale": np.where(scale > 1e-6, scale, 1.0), "W": r.normal(0, x.shape[1] ** -0.5, (x.shape[1], HIDDEN)), "b": np.zeros(HIDDEN),
+            "mean": mean, "scale": np.where(scale > 1e-6, scale, 1.0), "W": r.normal(0, x.shape[1] ** -0.5, (x.shape[1], HIDDEN)), "b": np.zeros(HIDDEN),
             "V": r.normal(0, 0.2, (HIDDEN, GATE)), "U": r.normal(0, 0.2, (HIDDEN, GATE)), "w": r.normal(0, 0.2, GATE), "c": r.normal(0, 0.2, HIDDEN), "d": np.zeros(1),
         }
         learnt = ("W", "b", "V", "U", "w", "c", "d")
         m, v = ({k: np.zeros_like(p[k]) for k in learnt} for _ in range(2))
-        for step in range(1, steps + 1):
-            f = self._forward(x, counts)
-            dy = (f["y"] - y) / len(y)
-            dz = dy[:, None] * p["c"]
-            dz_each = np.repeat(dz, counts, axis=0)
-            da = (dz_each * f["h"]).sum(axis=1)
-            de = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, f["heads"]), counts))
-            dt, ds = de[:, None] * p["w"] * f["s"] * (1 - f["t"] ** 2), de[:, None] * p["w"] * f["t"] * f["s"] * (1 - f["s"])
-            dh = (f["a"][:, None] * dz_each + dt @ p["V"].T + ds @ p["U"].T) * (1 - f["h"] ** 2)
-            g = {"W": f["x"].T @ dh, "b": dh.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ ds, "w": (f["t"] * f["s"]).T @ de, "c": f["z"].T @ dy, "d": dy.sum(keepdims=True)}
-            for k in learnt:
-                grad = g[k] + decay * p[k]
-                m[k] = 0.9 * m[k] + 0.1 * grad
-                v[k] = 0.999 * v[k] + 0.001 * grad**2
-                p[k] = p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+        starts = np.cumsum(counts) - counts
+        step = 0
+        while step < steps:
+            order = r.permutation(len(y))
+            held = np.cumsum(counts[order])
+            a = 0
+            while a < len(y) and step < steps:
+                b = min(a + BATCH_DOCS, max(a + 1, int(np.searchsorted(held, (held[a - 1] if a else 0) + BATCH_PASSAGES, "right"))))
+                docs = order[a:b]
+                a, step = b, step + 1
+                rows = np.concatenate([np.arange(starts[i], starts[i] + counts[i]) for i in docs])
+                grads = self.gradients(x[rows].astype(np.float64), counts[docs], y[docs])
+                for k in learnt:
+                    grad = grads[k] + decay * p[k]
+                    m[k] = 0.9 * m[k] + 0.1 * grad
+                    v[k] = 0.999 * v[k] + 0.001 * grad**2
+                    p[k] = p[k] - rate * (1 - step / (steps + 1)) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
         return self
 
 
@@ -197,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS) -> Atten
                 for n in counts:
                     bag = x[edge: edge + n]
                     edge += n
-                    out.append(bag[np.linspace(0, n - 1, min(n, TRAIN_PASSAGES)).round().astype(int)].astype(np.float32).tobytes())
+                    out.append(bag.astype(np.float32).tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(counts)), batch.column(1).slice(at, len(counts)), pa.array(out, pa.binary())], ["id", "y", "bag"])
                 at += len(counts)
             give_back()
@@ -205,12 +221,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS) -> Atten
     sample = (
         docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id"))
         .select(F.col("doc_id").cast("long").alias("doc_id"), "_y", "text").mapInArrow(features, "id long, y double, bag binary")
-        .orderBy("id", "bag").limit(max_docs).collect()  # bounded by max_docs and TRAIN_PASSAGES
+        .orderBy("id", "bag").limit(max_docs).collect()  # bounded by max_docs
     )
     if not sample:
         return AttentionMIL()
     parts = [np.frombuffer(r["bag"], np.float32).reshape(-1, N_FEATURES) for r in sample]
-    return AttentionMIL().fit(np.concatenate(parts).astype(np.float64), np.array(list(map(len, parts))), np.array([float(r["y"] >= 0.5) for r in sample]))
+    return AttentionMIL().fit(np.concatenate(parts), np.array(list(map(len, parts))), np.array([float(r["y"] >= 0.5) for r in sample]))
 
 
 def scorer(model: AttentionMIL):
@@ -228,17 +244,14 @@ def scorer(model: AttentionMIL):
 def scored(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS) -> DataFrame:
     """``docs`` with held_out, score and predicted added."""
     score = scorer(fit(docs, labels, max_docs))
-    return (
-        docs.withColumn("score", score(F.col("text"))).withColumn("held_out", held_out(F.col("doc_id")))
-        .withColumn("predicted", F.when(F.col("score") >= CUTOFF, 1).otherwise(0))
-    )
+    names = [free_name(docs, c) for c in ("held_out", "score", "predicted")]
+    got = packed(docs, score=score(F.col("text")), held_out=held_out(F.col("doc_id")))
+    return got.select("_row.*", F.col("held_out").alias(names[0]), F.col("score").alias(names[1]), F.when(F.col("score") >= CUTOFF, 1).otherwise(0).alias(names[2]))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject."""
-    names = docs.columns
-    score = scorer(fit(docs, labels, max_docs))
-    return docs.withColumn("_score", score(F.col("text"))).filter(F.col("_score") >= CUTOFF).select(*names)
+    return packed(docs, score=scorer(fit(docs, labels, max_docs))(F.col("text"))).filter(F.col("score") >= CUTOFF).select("_row.*")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
