@@ -7,18 +7,20 @@ task that runs again replaces its file by an equal one.  ``read_tokens``
 reads the files back.
 
 Defined cases: a null text is empty and gets the end id alone; a null doc_id
-comes first; rows with one doc_id are kept, in order of their texts; a table
+comes first; rows with one doc_id are kept, in order of a digest of their texts, and may be
+in several tasks; a task's file is closed at ``FILE_IDS`` ids and a further one begun; a table
 without rows writes no file and reads as no rows; other columns are ignored.
 
-Speed: the tokenizer splits a text at once into words, numbers and signs and
-encodes each by itself.  For texts of printable ASCII and Latin-1 that split
-is made here by one regular expression and each distinct piece is encoded by
-the tokenizer once and remembered; any other text, and any that may hold a
-special token, goes to the tokenizer whole.
+Speed: under the settings of the tokenizer used here a text is split at once into words, numbers
+and signs, each encoded by itself.  For texts of printable ASCII and Latin-1 that split is
+made by one regular expression and each distinct piece is encoded by the tokenizer's model once
+and remembered; any other text, any that may hold a special token, and all texts under a
+tokenizer of other settings go to the tokenizer whole.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -36,6 +38,7 @@ from corpusq.llm.pfor import Reader, Writer
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 REMEMBERED = 250_000
+FILE_IDS = 1 << 24
 DECODE_IDS = 1 << 20
 SLICE = 1 << 22
 
@@ -46,8 +49,18 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: The settings that splitting texts here is written for.
+SETTINGS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None, "truncation": None,
+}
+
+
 class Encoder(dict):
-    """Text to little-endian u16 ids; remembers the ids of the pieces of words."""
+    """Texts to ids; remembers the ids of the pieces of words as little-endian u16."""
 
     PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xff]*").fullmatch
     PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+").findall
@@ -57,16 +70,16 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        settings = json.loads(self.tokenizer.to_str())
+        self.by_word = all(settings.get(k) == v for k, v in SETTINGS.items()) and not settings["model"].get("dropout") and self.tokenizer.get_vocab_size() <= 1 << 16
         self.model = self.tokenizer.model
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        if self.tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("ids of this tokenizer need more than 16 bits")
         # bytes as the letters that a byte-level vocabulary has for them: visible ones stand for themselves
         visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
         others = iter(range(256, 512))
         self.letters = {b: b if b in visible else next(others) for b in range(256)}
         probe = ("word", "'s", "7", "é", "!?", "straße", "½")
-        self.direct = all(self.by_model(x) == self.whole(x) for x in probe)
+        self.direct = self.by_word and all(self.by_model(x) == self.whole(x) for x in probe)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
@@ -97,6 +110,9 @@ class Encoder(dict):
         """
         import pyarrow.compute as pc
 
+        if not self.by_word:
+            got = [np.array([*x.ids, end_id], np.uint32) for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            return np.concatenate([np.empty(0, np.uint32), *got]), np.array([len(x) for x in got], np.int64)
         self.forget()
         plain = [self.PLAIN(t) is not None and not any(s in t for s in self.specials) for t in texts]
         words = pc.utf8_split_whitespace(pa.array([t if p else "" for t, p in zip(texts, plain)], pa.string()))
@@ -123,9 +139,9 @@ class Encoder(dict):
         lengths = np.diff(upto[bounds]) + 1
         return np.insert(ids, upto[bounds[1:]], end_id).astype(np.uint32), lengths
 
-    def __call__(self, text: str) -> bytes:
+    def __call__(self, text: str) -> list[int]:
         """Ids of one text, without end id."""
-        return self.batch([text], 0)[0][:-1].astype("<u2").tobytes()
+        return self.batch([text], 0)[0][:-1].tolist()
 
     def forget(self) -> None:
         if len(self) > REMEMBERED:
@@ -163,7 +179,7 @@ def _write_file(base: str, name: str, writer: Writer) -> None:
     store.move(temporary, f"{path}/{name}")
 
 
-def write_tokens(docs: DataFrame, base: str, tokenizer: str, end_id: int = END_ID) -> DataFrame:
+def write_tokens(docs: DataFrame, base: str, tokenizer: str, end_id: int = END_ID, file_ids: int = FILE_IDS) -> DataFrame:
     """Write the token files; return file, n_docs, n_ids, one row a file, in order of file.
 
     ``base`` is the URI of a folder that all executors share and pyarrow can
@@ -173,19 +189,28 @@ def write_tokens(docs: DataFrame, base: str, tokenizer: str, end_id: int = END_I
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokenize, writer = encoder(tokenizer), Writer()
-        for batch in slices(batches):
+        tokenize, writer, nth = encoder(tokenizer), Writer(), 0
+
+        def close() -> pa.RecordBatch:
+            name = f"part-{TaskContext.get().partitionId():06d}-{nth:04d}.pfor"
+            n_docs, n_ids = sum(map(len, writer.lengths)), writer.n_ids
+            _write_file(base, name, writer)
+            return pa.RecordBatch.from_pylist([{"file": name, "n_docs": n_docs, "n_ids": n_ids}], pa.schema([("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+
+        for batch in slices(batches, min(SLICE, 4 * file_ids)):
             ids = batch.column(0)
             got, lengths = tokenize.batch([t or "" for t in batch.column(1).to_pylist()], end_id)
             writer.add(np.asarray(ids.fill_null(0)), np.asarray(ids.is_null()), lengths, got)
+            if writer.n_ids >= file_ids:
+                yield close()
+                writer, nth = Writer(), nth + 1
         if writer.lengths:
-            name = f"part-{TaskContext.get().partitionId():06d}.pfor"
-            n_docs, n_ids = sum(map(len, writer.lengths)), writer.n_ids
-            _write_file(base, name, writer)
-            yield pa.RecordBatch.from_pylist([{"file": name, "n_docs": n_docs, "n_ids": n_ids}], pa.schema([("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+            yield close()
 
     text_batches(docs.sparkSession)
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one doc_id are dealt out by their texts' digests
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("digest"))
+    ordered = keyed.repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest", "text").select("doc_id", "text")
     manifest = ordered.mapInArrow(encode, "file string, n_docs long, n_ids long").collect()  # one short row a file
     return docs.sparkSession.createDataFrame(sorted(map(tuple, manifest)), "file string, n_docs long, n_ids long")
 
