@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.llm.common import running_total, table
+from corpusq.llm.common import cut, running_total, table
 
 PART_TURNS = 256
 SYSTEM = "system"
@@ -61,16 +61,20 @@ def perspectives(turns: DataFrame) -> DataFrame:
     numbered = running_total(said, ["conv_id"], ["turn", "speaker", "text", "row"], "one", "upto").withColumn("part", F.floor((F.col("upto") - 1) / PART_TURNS))
     # characters of a turn that is not the perspective's own
     length = F.length(F.concat(_head(F.when(F.col("speaker") == SYSTEM, "system").otherwise(_name("speaker"))), _body(F.col("text"))))
-    parts = numbered.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "speaker", "text"))).alias("turns"), F.sum(length).alias("chars"))
-    placed = running_total(parts, ["conv_id"], ["part"], "chars", "upto").withColumn("before", F.col("upto") - F.col("chars"))
+    turns_ = F.sort_array(F.collect_list(F.struct("turn", "speaker", "text")))
+    parts = cut(numbered.groupBy("conv_id", "part").agg(turns_.alias("turns"), F.sum(length).alias("chars")))
+    # places are worked out without the texts
+    placed = running_total(parts.select("conv_id", "part", "chars", F.transform("turns", lambda t: t["speaker"]).alias("speakers")), ["conv_id"], ["part"], "chars", "upto")
     people = said.filter(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("_conv"), F.col("speaker").alias("perspective")).distinct()
-
     # the slices of one conversation and its speakers meet in parts of 16 slices
     slices = parts.groupBy(F.col("conv_id").alias("_c")).agg(F.ceil(F.count("*") / 16).cast("int").alias("_parts"))
     people = people.join(slices, F.col("_conv").eqNullSafe(F.col("_c"))).select("_conv", "perspective", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_at"))
-    views = placed.withColumn("_slice", F.floor(F.col("part") / 16).cast("int")).join(people, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_slice") == F.col("_at"))).drop("_conv", "_slice", "_at")
-    own = F.size(F.filter("turns", lambda t: t["speaker"] == F.col("perspective")))
-    views = running_total(views.withColumn("own", own), ["conv_id", "perspective"], ["part"], "own", "own_upto")
+    views = (
+        placed.withColumn("_slice", F.floor(F.col("part") / 16).cast("int")).join(people, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_slice") == F.col("_at")))
+        .select("conv_id", "perspective", "part", (F.col("upto") - F.col("chars")).alias("before"), F.size(F.filter("speakers", lambda x: x == F.col("perspective"))).alias("own"))
+    )
+    views = running_total(views, ["conv_id", "perspective"], ["part"], "own", "own_upto").withColumnsRenamed({"conv_id": "_conv", "part": "_part"})
+    views = parts.join(views, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("part") == F.col("_part")))
     # an own turn says "assistant" in place of the name
     saved = F.length(_name("perspective")) - F.length(F.lit("assistant"))
 
