@@ -5,42 +5,47 @@ shingle with some item of their size can be similar to one, so windows are
 made where a shingle of the text equals one of an item, aligned with it; this
 loses no window that reaches the threshold and aligns with a shared shingle.
 Each window and item gets a SimHash of 60 bits.  Fingerprints are indexed by
-15 blocks of 4 bits and a window meets the items of its size that agree in at
-least one block: all pairs within Hamming distance 14 do, and at similarity
-0.8 (9 bits apart on average) two in 100,000 do not.  Every pair found is
-checked exactly: sum of smaller over sum of larger shingle counts.
+5 blocks of 12 bits: two within Hamming distance 14 differ by at most 2 in some block, so
+each item is entered under all values within 2 of each of its blocks and a window looks
+up its own five values; pairs that this hands over are kept if all their 60 bits are within
+14.  So every pair within the radius is found, and at similarity 0.8 (9 bits apart on
+average) two in 100,000 are further apart.  Every pair kept is checked exactly: sum
+of smaller over sum of larger shingle counts.
 
 Words are runs without white space and ASCII punctuation, lower-cased.
 Shingles take ``width`` words, or the whole item if it has fewer.
 
 Defined cases: null and empty texts, and items without words, match nothing; a
-window is clipped at the ends of its text; rows with one doc_id, null
-included, count as one document, but ``clean`` decides each row without
-doc_id by its own text; equally similar windows of a document give
+window is clipped at the ends of its text; ``found`` reports by doc_id, so rows with one doc_id, null
+included, count as one document there, but ``clean`` decides each row by its own text; equally similar windows of a document give
 the first; repeated items are reported once each by item_id; empty tables give
 an empty result; other columns are ignored (``found``) or kept (``clean``).
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.llm.common import BROADCAST_ROWS, cut, small, table, text_key
+from corpusq.llm.common import cut, packed, small, table, text_key
 
 WIDTH = 5
 THRESHOLD = 0.8
 BITS = 60
-BLOCK_BITS = 4
+BLOCK_BITS = 12
+RADIUS = 14
 
 
 def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s\p{Punct}]+"), "")
 
 
-def _hashes(width: int) -> Column:
-    """A hash for each place of ``words``; the last ``width - 1`` equal no item's."""
-    return F.transform("words", lambda w, i: F.xxhash64(F.lit(width), w, *[F.get(F.col("words"), i + k) for k in range(1, width)]))
+def _hashes(widths: list[int]) -> Column:
+    """For each width in turn, a hash for each place of ``words``; the last ``width - 1`` of each equal no item's."""
+    of = lambda width: F.transform("words", lambda w, i: F.xxhash64(F.lit(width), w, *[F.get(F.col("words"), i + k) for k in range(1, width)]))
+    return F.concat(*[of(w) for w in widths])
 
 
 def _shingles(width: Column) -> Column:
@@ -50,17 +55,34 @@ def _shingles(width: Column) -> Column:
 
 
 def _fingerprints(shingles: DataFrame, keys: list[str]) -> DataFrame:
-    """SimHash by key of rows (key, shingle, n): each shingle votes ``n`` times on each bit."""
+    """``print``, the SimHash by key of rows (key, shingle, n): each shingle votes ``n`` times on each bit."""
     hashed = shingles.withColumn("_h", F.conv(F.substring(F.md5(F.col("shingle").cast("binary")), 1, BITS // 4), 16, 10).cast("long"))
     votes = [F.sum(F.when(F.col("_h").bitwiseAND(F.lit(1 << b)) != 0, F.col("n")).otherwise(-F.col("n"))).alias(f"_b{b}") for b in range(BITS)]
-    bit = lambda b: F.when(F.col(f"_b{b}") > 0, F.lit(1 << b)).otherwise(F.lit(0).cast("long"))
-    blocks = []
-    for first in range(0, BITS, BLOCK_BITS):
-        value = bit(first)
-        for b in range(first + 1, first + BLOCK_BITS):
-            value = value + bit(b)
-        blocks.append(F.struct(F.lit(first // BLOCK_BITS).alias("block"), value.alias("value")))
-    return hashed.groupBy(*keys).agg(*votes).select(*keys, F.inline(F.array(*blocks)))
+    bits = [F.when(F.col(f"_b{b}") > 0, F.lit(1 << b)).otherwise(F.lit(0).cast("long")) for b in range(BITS)]
+    return hashed.groupBy(*keys).agg(*votes).select(*keys, sum(bits[1:], bits[0]).alias("print"))
+
+
+def _blocks(flips: list[int]) -> Column:
+    """(block, value) of ``print`` for each block and each pattern of flipped bits."""
+    flipped = F.array(*[F.lit(x).cast("long") for x in flips])
+
+    def of(block: int) -> Column:
+        value = F.shiftright("print", block * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1).cast("long"))
+        return F.transform(flipped, lambda x: F.struct(F.lit(block).alias("block"), value.bitwiseXOR(x).alias("value")))
+
+    return F.flatten(F.array(*[of(k) for k in range(BITS // BLOCK_BITS)]))
+
+
+def near_pairs(windows: DataFrame, items: DataFrame) -> DataFrame:
+    """window, item: all pairs of one size whose fingerprints are within ``RADIUS``, from (window | item, size, print)."""
+    reach = RADIUS // (BITS // BLOCK_BITS)
+    flips = [sum(1 << b for b in bits) for n in range(reach + 1) for bits in combinations(range(BLOCK_BITS), n)]
+    entered = items.select("item", "size", F.col("print").alias("item_print"), F.inline(_blocks(flips)))
+    asked = windows.select("window", "size", "print", F.inline(_blocks([0])))
+    return (
+        asked.join(entered, ["size", "block", "value"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
+        .select("window", "item").distinct()
+    )
 
 
 def _counts(rows: DataFrame, keys: list[str], width: Column) -> DataFrame:
@@ -73,32 +95,25 @@ def found(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD, width
     items = cut(bench.select("item_id", words(F.col("text")).alias("words")).withColumn("size", F.size("words")).filter("size > 0").distinct()
                 .withColumn("item", F.monotonically_increasing_id()))
     widths = sorted(r[0] for r in items.select(item_width).distinct().collect())  # at most ``width`` numbers
-    windows = None
-    for w in widths:
-        anchors = (
-            items.filter(item_width == w).select("size", F.posexplode(_hashes(w)).alias("at", "hash"))
-            .filter(F.col("at") <= F.col("size") - w).distinct()
-        )
-        if anchors.count() <= BROADCAST_ROWS:
-            anchors = F.broadcast(anchors)
-        places = (
-            docs.select("doc_id", words(F.col("text")).alias("words")).select("doc_id", "words", F.posexplode(_hashes(w)).alias("place", "hash"))
-            .join(anchors, "hash")
-            .withColumn("begin", F.greatest(F.lit(0), F.col("place") - F.col("at")))
-            .withColumn("end", F.least(F.size("words"), F.col("place") - F.col("at") + F.col("size")))
-            .select("doc_id", "size", F.col("begin").alias("start"), F.slice("words", F.col("begin") + 1, F.col("end") - F.col("begin")).alias("words"))
-        )
-        windows = places if windows is None else windows.unionByName(places)
-    if windows is None:
+    if not widths:
         none = [F.lit(None).cast(kind).alias(c) for c, kind in (("item_id", "long"), ("start", "long"), ("similarity", "double"))]
         return docs.select("doc_id", *none).filter(F.lit(False))
-    windows = cut(windows.distinct().withColumn("window", F.monotonically_increasing_id()))
+    anchors = None
+    for w in widths:
+        own = items.filter(item_width == w).select("size", F.posexplode(_hashes([w])).alias("at", "hash")).filter(F.col("at") <= F.col("size") - w).distinct()
+        anchors = own if anchors is None else anchors.unionByName(own)
+    begin, n = F.col("place") % F.col("n") - F.col("at"), F.col("n")
+    # one pass over the texts for all widths; the hash tells the width
+    windows = cut(
+        docs.select("doc_id", words(F.col("text")).alias("words")).select("doc_id", "words", F.size("words").alias("n"), F.posexplode(_hashes(widths)).alias("place", "hash"))
+        .join(small(anchors), "hash")
+        .withColumn("start", F.greatest(F.lit(0), begin).cast("int")).withColumn("end", F.least(n, begin + F.col("size")).cast("int"))
+        .select("doc_id", "size", "start", F.slice("words", F.col("start") + 1, F.col("end") - F.col("start")).alias("words"))
+        .distinct().withColumn("window", F.monotonically_increasing_id())
+    )
     window_counts = cut(_counts(windows, ["window", "size"], item_width))
     item_counts = cut(_counts(items, ["item", "size"], item_width))
-    pairs = (
-        _fingerprints(window_counts, ["window", "size"]).join(_fingerprints(item_counts, ["item", "size"]), ["size", "block", "value"])
-        .select("window", "item").distinct()
-    )
+    pairs = near_pairs(_fingerprints(window_counts, ["window", "size"]), _fingerprints(item_counts, ["item", "size"]))
     all_w = window_counts.groupBy("window").agg(F.sum("n").alias("of_window"))
     all_i = item_counts.groupBy("item").agg(F.sum("n").alias("of_item"))
     shared = (
@@ -120,12 +135,10 @@ def found(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD, width
 
 
 def clean(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` of documents in which no item of ``bench`` is found; a row without doc_id is a document by itself."""
-    # rows without doc_id are told apart by their texts
-    t1, t2 = (F.when(docs["doc_id"].isNull(), t).alias(f"t{i}") for i, t in enumerate(text_key(docs["text"])))
-    keyed = docs.select(F.struct(docs["doc_id"].alias("id"), t1, t2).alias("doc_id"), "text")
-    bad = small(found(keyed, bench, **options).select("doc_id.*").select(F.col("id").alias("_bad"), F.col("t0").alias("_b1"), F.col("t1").alias("_b2")).distinct())
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]) & t1.eqNullSafe(bad["_b1"]) & t2.eqNullSafe(bad["_b2"]), "left_anti")
+    """The rows of ``docs`` in whose text no item of ``bench`` is found; each row is decided by doc_id and text."""
+    rows = packed(docs, doc_id=F.struct(F.col("doc_id").alias("id"), *text_key(F.col("text"))), text=F.col("text"))
+    bad = small(found(rows.select("doc_id", "text"), bench, **options).select(F.col("doc_id").alias("_bad")).distinct())
+    return rows.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti").select("_row.*")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
