@@ -1,12 +1,14 @@
 """Operators that have SQL, on small awkward tables: defined results, no crashes, no Python in the plan."""
 
 import random
+import textwrap
 from collections import Counter
 
 import duckdb
 import pytest
 
 from corpusq.llm import decontaminate, license_scan, mix, perspectives, warc
+from corpusq.llm.license_texts import TEXTS
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, size int, start long"
 
@@ -142,14 +144,43 @@ def test_clean_decides_each_row_without_id(spark):
 def test_licenses_against_sql(spark, tmp_path):
     texts = [
         "Released under the MIT License.", "x\nLicensed under the Apache License, Version 2.0.\nmore", "no end\nAll rights reserved\nthis", None, "", "license " * 5000,
-        "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction. The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED. Released under the MIT License.",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0.", "Licensed under CC BY-NC 4.0. Licensed under CC BY-NC 4.0.",
+        "Licensed under CC BY-NC 4.0. Licensed under CC BY-NC 4.0.", "This file is licensed under the MIT License. And more", "// SPDX-License-Identifier: GPL-3.0-or-later\nint main", "SPDX-License-Identifier: none\nMIT", "This project is distributed under the terms of the GNU General Public License version 3.",
+        "Copyright 2020 x\nthe software is nice\nLicensed under the foo license.", "all code is licensed under the Apache 2.0 license", "MIT License\n\nCopyright (c) 2020 A. N. Other\n\n" + dict(TEXTS)["MIT"], "q " * 9000 + "\nThis work is licensed under CC BY 4.0.\nend",
     ]
-    write(documents(spark, [(i, t, "s") for i, t in enumerate(texts)] + [(1, texts[0], "s")]), tmp_path, "documents")
+    texts += [text for _, text in TEXTS] + ["\n".join(textwrap.wrap(text.replace("\n\n", " @@ "), 66)).replace(" @@ ", "\n\n").replace("@@", "\n") for _, text in TEXTS]
+    write(documents(spark, [(i, t, "s") for i, t in enumerate(texts)] + [(1, texts[0], "s"), (None, texts[0], None)]), tmp_path, "documents")
     got = agree(spark, tmp_path, license_scan.op5_licenses, license_scan.ORACLE_SQL, ["documents"], ["doc_id", "sentences", "rules", "licences"])
     by = {(g[0], g[3]) for g in got}
-    assert {("0", "MIT"), ("1", "Apache-2.0"), ("2", ""), ("3", ""), ("6", "MIT"), ("7", "Apache-2.0"), ("8", "CC-BY-NC-4.0")} <= by
-    assert [g[2] for g in got if g[0] == "6"] == ["mit-text"] and [g[2] for g in got if g[0] == "7"] == ["apache-header"]
+    want = ["MIT", "Apache-2.0", "", "", "", "", "CC-BY-NC-4.0", "MIT", "GPL-3.0-or-later", "", "GPL-3.0-only", "", "Apache-2.0", "MIT", "CC-BY-4.0"]
+    assert {(str(i), w) for i, w in enumerate(want)} <= by
+    assert [g[2] for g in got if g[0] == "13"] == ["mit-text"]
+    docs = spark.createDataFrame([(1, "Released under the MIT License.", "own", 2)], "doc_id long, text string, rules string, licences int")
+    row = license_scan.recognise(docs).first()
+    assert (row.rules, row.licences, row.rules_, row.licences_) == ("own", 2, ["says-MIT"], ["MIT"])
+    assert license_scan.recognise(docs.limit(0)).collect() == []
+
+
+#: Whole files and headers as they are published, wrapped and commented as in real files.
+FILES = [
+    ("mit-text", "MIT", ("MIT License", "", "Copyright (c) 2019 Some Body", "", "MIT"), ""), ("apache-header", "Apache-2.0", ("Copyright 2021 Some Body", "", "APACHE"), "# "), ("apache-header", "Apache-2.0", ("APACHE",), " * "),
+    ("bsd-3-text", "BSD-3-Clause", ("Copyright (c) 2018, Some Body. All rights reserved.", "", "BSD", "", "3. ", "BSD-NAME", "", "BSD-WARRANTY"), ""), ("bsd-2-text", "BSD-2-Clause", ("Copyright (c) 2018, Some Body", "", "BSD", "", "BSD-WARRANTY"), ""),
+    ("gpl-2-header", "GPL-2.0-or-later", ("prog - does things", "Copyright (C) 2001 Some Body", "", "GPL2", "", "GPL-WARRANTY"), "// "), ("gpl-3-header", "GPL-3.0-or-later", ("GPL3", "", "GPL-WARRANTY"), "# "), ("lgpl-2.1-header", "LGPL-2.1-or-later", ("LGPL21",), " * "),
+    ("agpl-3-header", "AGPL-3.0-or-later", ("AGPL3", "", "GPL-WARRANTY"), ""), ("mpl-header", "MPL-2.0", ("MPL",), "# "), ("isc-text", "ISC", ("ISC License", "", "Copyright Some Body", "", "ISC", "", "ISC-WARRANTY"), ""), ("unlicense-text", "Unlicense", ("UNLICENSE",), ""),
+    ("zlib-text", "Zlib", ("ZLIB",), ""), ("boost-text", "BSL-1.0", ("BOOST",), ""), ("gpl-2-only-header", "GPL-2.0-only", ("GPL2-ONLY",), ""),
+]
+
+
+def test_published_texts_are_recognised(spark):
+    rows = []
+    for i, (_, _, parts, sign) in enumerate(FILES):
+        lines = []
+        for part in parts:
+            for paragraph in dict(TEXTS).get(part, part).split("\n\n"):
+                lines += [*(textwrap.wrap(paragraph.strip(), 72) or [""]), ""] if part in dict(TEXTS) else [paragraph]
+        rows.append((i, "code before;\n\n" + "\n".join((sign + x).rstrip() for x in lines) + "\n\nint main() { return 0; }\n"))
+    got = {r.doc_id: r for r in license_scan.recognise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    missed = [(rule, got[i].rules, got[i].sentences) for i, (rule, licence, *_) in enumerate(FILES) if got[i].rules != [rule] or got[i].licences != [licence]]
+    assert not missed, missed
 
 
 def test_perspectives_against_sql(spark, tmp_path):
