@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 from corpusq.session import cut, shared_dir
 
-__all__ = ["BROADCAST_ROWS", "cut", "free_name", "give_back", "packed", "running_total", "shared_dir", "small", "spread_join", "table", "text_batches", "text_key"]
+__all__ = ["BROADCAST_ROWS", "cut", "free_name", "give_back", "hot_keys", "packed", "running_total", "shared_dir", "small", "spread_join", "table", "text_batches", "text_key"]
 
 _LIBC = ctypes.CDLL(None)
 
 #: Rows of a few numbers each that are broadcast at most, about 40 MB; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
-#: A key with more rows is dealt out in parts of so many.
-HOT = 2000
+#: A key with more rows is dealt out in parts of about ``PART``.
+HOT = 1000
+PART = 250
 #: Keys that are dealt out in parts, at most; with more, only the heaviest are.
 HOT_KEYS = 200_000
 
@@ -69,27 +70,30 @@ def free_name(docs: DataFrame, name: str) -> str:
     return name
 
 
-def hot_keys(rows: DataFrame, key: list[str]) -> DataFrame | None:
-    """``key`` and ``_parts``: into how many parts of ``HOT`` rows each key of more rows is cut; None if there is none.
+def hot_keys(rows: DataFrame, key: list[str], counts: DataFrame | None = None) -> DataFrame | None:
+    """``key`` and ``_parts``: into how many parts of ``PART`` rows each key of over ``HOT`` rows is cut; None if there is none.
 
-    ``HOT_KEYS`` rows at most, so the result is marked for broadcast.
+    ``counts`` has the key and its number of rows ``n``, if known.  ``HOT_KEYS`` rows
+    at most, so the result is marked for broadcast.
     """
-    counts = cut(rows.groupBy(*key).agg(F.count("*").alias("_n")).filter(F.col("_n") > HOT))
-    n, total = counts.agg(F.count("*"), F.sum("_n")).first()
+    counts = rows.groupBy(*key).agg(F.count("*").alias("n")) if counts is None else counts
+    hot = cut(counts.select(*key, "n").filter(F.col("n") > HOT))
+    n, total = hot.agg(F.count("*"), F.sum("n")).first()
     if not n:
         return None
     if n > HOT_KEYS:
-        counts = counts.filter(F.col("_n") > total / HOT_KEYS)
-    return F.broadcast(counts.select(*key, F.ceil(F.col("_n") / HOT).cast("int").alias("_parts")))
+        hot = hot.filter(F.col("n") > total / HOT_KEYS)
+    return F.broadcast(hot.select(*key, F.ceil(F.col("n") / PART).cast("int").alias("_parts")))
 
 
-def spread_join(rows: DataFrame, facts: DataFrame, key: list[str], by: list[str]) -> DataFrame:
+def spread_join(rows: DataFrame, facts: DataFrame, key: list[str], by: list[str], hot: DataFrame | None | bool = True) -> DataFrame:
     """Inner join of ``rows`` with ``facts``, which has one row a key, where a key may hold any share of ``rows``.
 
     The rows of a hot key are dealt out into parts by a hash of ``by``, and its fact is
     copied to each part, so no task gets all of them.  ``key`` columns are not null.
+    ``hot`` is ``hot_keys`` of the rows, if known.
     """
-    hot = hot_keys(rows.select(*key), key)
+    hot = hot_keys(rows.select(*key), key) if hot is True else hot
     if hot is None:
         return rows.join(facts, key)
     part = F.pmod(F.xxhash64(*by), F.coalesce("_parts", F.lit(1))).cast("int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusq.llm.common import cut
+from corpusq.llm.common import cut, hot_keys, spread_join
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -16,17 +16,17 @@ def components(links: DataFrame) -> DataFrame:
     """node, root: the smallest node of its component, for every node of a link (a, b).
 
     Each round joins every node's links with the node's smallest neighbour
-    and reconnects the others to it; rounds grow with the logarithm of the
+    and reconnects the others to it; a node of many links has them dealt out in parts; rounds grow with the logarithm of the
     longest path.  Only counts and a checksum reach the driver.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     before = _state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = spread_join(both, low.drop("n"), ["a"], ["b"], hot_keys(both, ["a"], low)).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, low.drop("n"), ["a"], ["b"], hot_keys(large, ["a"], low)).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         edges = cut(small.filter("a <> b").distinct())
         after = _state(edges)
         if after == before:

@@ -14,12 +14,14 @@ the node that shares most buckets with others, which in a family of edited copie
 is the original.  Nodes with too many shingles that no other candidate has are
 then out, since they reach no one.  In further rounds the nodes outside a bucket's largest component
 are checked against one member of it that changes with bucket and round, as
-long as that joins many.  At last all pairs of a bucket that are still in
-different components are checked, those first by their signatures, which
-at similarity 0.8 agree in too few places for 1 pair in 100,000, and the
-others exactly.  So every pair of nodes that shares a band is either checked or
-already in one class, and a large family costs a few checks for each member,
-not one for each pair.
+long as that joins a fifth of them.  What is then still apart is settled exactly by prefixes: with
+shingles in order of how many open nodes have them, rarest first, two nodes of
+similarity 0.8 share one of the first fifth of either's, so nodes of
+different components that do are checked.  No bucket's pairs are listed, and a large
+family costs a few checks for each member.
+
+Bands, centres and hubs may be those of any share of the nodes: their rows are dealt out in
+parts and the one row that all of them meet is copied to each part.
 
 Defined cases: texts that are null or have no words are not compared, each is a
 class by itself; the class id is its smallest doc_id, null if it has none;
@@ -37,20 +39,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusq.llm import dartminhash
-from corpusq.llm.common import BROADCAST_ROWS, cut, give_back, small, table, text_batches, text_key
+from corpusq.llm.common import BROADCAST_ROWS, cut, give_back, hot_keys, packed, small, spread_join, table, text_batches, text_key
 from corpusq.llm.components import components
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 42
 ROWS = 7
-PAIRS_EACH = 4  # pairs for each membership of a bucket that are checked without further rounds
 REMEMBERED = 200_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
 class Shingler(dict):
-    """Text to the sorted unit cells of its shingles; remembers hashes of words."""
+    """Text to the sorted hashes of its shingles, repeats included; remembers hashes of words."""
 
     def __missing__(self, word: str) -> int:
         import xxhash
@@ -70,16 +71,16 @@ class Shingler(dict):
         mixed = h[:n] * _ODD[0]
         for j in range(1, width):
             mixed += dartminhash.mix64(h[j: j + n] + _ODD[j])  * _ODD[j]
-        return dartminhash.cells(dartminhash.mix64(mixed + np.uint64(width)))
+        return np.sort(dartminhash.mix64(mixed + np.uint64(width)))
 
 
 _SHINGLER = Shingler()  # of this Python worker; it serves one task after the other
 
 
-def _key(cells: np.ndarray) -> tuple[int, int]:
+def _key(shingles: np.ndarray) -> tuple[int, int]:
     import hashlib
 
-    digest = hashlib.blake2b(cells.astype("<u8").tobytes(), digest_size=16).digest()
+    digest = hashlib.blake2b(shingles.astype("<u8").tobytes(), digest_size=16).digest()
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
@@ -95,18 +96,20 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.R
         give_back()
 
 
-def _all_signatures(cells: list[np.ndarray]) -> list[np.ndarray]:
-    """Signature of each of several sets, empty for an empty set."""
-    sizes = np.array([len(x) for x in cells])
+def _all_signatures(shingles: list[np.ndarray]) -> list[np.ndarray]:
+    """Signature of each of several multisets, empty for an empty one."""
+    sets = [np.unique(x, return_counts=True) for x in shingles]
+    sizes = np.array([len(x) for x, _ in sets])
     some = np.flatnonzero(sizes)
-    sigs: list[np.ndarray] = [np.empty(0, np.uint64)] * len(cells)
+    sigs: list[np.ndarray] = [np.empty(0, np.uint64)] * len(sets)
     held: list[int] = []
     n_held = 0
     for i in some:
         held.append(i)
         n_held += sizes[i]
         if n_held >= dartminhash.CELLS or i == some[-1]:
-            for j, row in zip(held, dartminhash.signatures(np.concatenate([cells[j] for j in held]), sizes[held], BANDS * ROWS)):
+            elements, weights = (np.concatenate([sets[j][x] for j in held]) for x in (0, 1))
+            for j, row in zip(held, dartminhash.signatures(elements, weights.astype(np.float64), sizes[held], BANDS * ROWS)):
                 sigs[j] = row
             held, n_held = [], 0
     return sigs
@@ -114,19 +117,18 @@ def _all_signatures(cells: list[np.ndarray]) -> list[np.ndarray]:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _slices(batches):
-        cells = [_SHINGLER(text) for text in map(pa.StringScalar.as_py, batch.column(1))]
-        keys = [_key(x) for x in cells]
-        keyed = [dartminhash.bands(x[None, :], BANDS)[0] if len(x) else x for x in _all_signatures(cells)]
+        shingles = [_SHINGLER(text) for text in map(pa.StringScalar.as_py, batch.column(1))]
+        keys = [_key(x) for x in shingles]
+        keyed = [dartminhash.bands(x[None, :], BANDS)[0] if len(x) else x for x in _all_signatures(shingles)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), _ragged(keyed), *batch.columns[2:]], ["doc_id", "k1", "k2", "bands", *batch.schema.names[2:]])
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cells, and one byte of each coordinate of the signature."""
+    """One hash for each shingle and occurrence, so that sets of them compare as the multisets do."""
     for batch in _slices(batches, 200):
-        cells = [_SHINGLER(text) for text in map(pa.StringScalar.as_py, batch.column(1))]
-        keys = [_key(x) for x in cells]
-        sketch = pa.array([(x & np.uint64(255)).astype(np.uint8).view(np.int8) for x in _all_signatures(cells)], pa.list_(pa.int8()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), _ragged(cells), sketch], ["doc_id", "k1", "k2", "cells", "sketch"])
+        shingles = [_SHINGLER(text) for text in map(pa.StringScalar.as_py, batch.column(1))]
+        keys = [_key(x) for x in shingles]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), _ragged([dartminhash.cells(x) for x in shingles])], ["doc_id", "k1", "k2", "cells"])
 
 
 def _verified(pairs: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
@@ -137,7 +139,7 @@ def _verified(pairs: DataFrame, cells: DataFrame, threshold: float) -> DataFrame
     near = both >= threshold * (F.size("ca") + F.size("cb") - both)
     # no similarity reaches the threshold if the sizes differ by more
     fits = F.least(F.size("ca"), F.size("cb")) >= threshold * F.greatest(F.size("ca"), F.size("cb"))
-    return pairs.join(left, "a").join(right, "b").filter(fits & near).select("a", "b")
+    return spread_join(spread_join(pairs, left, ["a"], ["b"]), right, ["b"], ["a"], hot_keys(pairs, ["b"])).filter(fits & near).select("a", "b")
 
 
 def _joined(of: DataFrame, links: DataFrame) -> DataFrame:
@@ -150,25 +152,47 @@ def _joined(of: DataFrame, links: DataFrame) -> DataFrame:
     return cut(of.join(new, "root", "left").select("node", F.coalesce("joined", "root").alias("root")))
 
 
-def _agreeing(threshold: float) -> int:
-    """Coordinates in which two signatures of that similarity agree but for 1 pair in 100,000."""
-    n = BANDS * ROWS
-    return int(n * threshold - 4.27 * (n * threshold * (1 - threshold)) ** 0.5)
+def _facts(nodes: DataFrame, cells: DataFrame) -> DataFrame:
+    """node, size, common: the number of its cells, and of those that another of ``nodes`` has as well."""
+    some = cells.join(nodes, "node", "left_semi")
+    own = some.select("node", F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("own"))
+    return some.select("node", F.size("cells").alias("size")).join(own, "node", "left").select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("common"))
 
 
-def _possible(open_: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
-    """Rows (band, node, common, cells) of ``open_`` whose node can reach the threshold with any node of its bucket.
+def _possible(open_: DataFrame, cells: DataFrame, threshold: float, hot: DataFrame | None) -> DataFrame:
+    """Rows (band, node) of ``open_`` whose node can reach the threshold with any node of its bucket.
 
     What two nodes have in common is at most the cells of either that are in
     more than one node, so a node with too many cells of its own is
     out for good; this takes one count of cells, no pairs.
     """
-    some = cells.join(open_.select("node").distinct(), "node", "left_semi")
-    own = some.select("node", F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("own"))
-    facts = some.select("node", F.size("cells").alias("cells")).join(own, "node", "left").select("node", "cells", (F.col("cells") - F.coalesce("own", F.lit(0))).alias("common"))
-    rows = open_.select("band", "node").join(facts, "node")
-    least = rows.groupBy("band").agg(F.min("cells").alias("least"))
-    return rows.join(least, "band").filter(F.col("common") >= threshold * (F.col("cells") + F.col("least") - F.col("common"))).select("band", "node", "common", "cells")
+    rows = open_.select("band", "node").join(_facts(open_.select("node").distinct(), cells), "node")
+    least = rows.groupBy("band").agg(F.min("size").alias("least"))
+    return spread_join(rows, least, ["band"], ["node"], hot).filter(F.col("common") >= threshold * (F.col("size") + F.col("least") - F.col("common"))).select("band", "node")
+
+
+def _by_prefix(open_: DataFrame, cells: DataFrame, of: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of the nodes of ``open_`` in different components that can reach the threshold.
+
+    Cells are in order of how many of these nodes have them, then of their hash.  Of n cells, two
+    nodes that reach the threshold have at least threshold * n in common, so one
+    of the first n - ceil(threshold * n) + 1 of each.
+    """
+    nodes = cells.join(open_.select("node").distinct(), "node", "left_semi")
+    each = nodes.select("node", F.size("cells").alias("size"), F.explode("cells").alias("cell"))
+    counts = each.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = spread_join(each, counts, ["cell"], ["node"], hot_keys(each, ["cell"], counts))
+    # cells of one node alone come first and meet no one: only how many they are matters
+    alone = F.col("size") - F.size("order")
+    length = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1 - alone
+    first = (
+        shared.groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "cell"))).alias("order"))
+        .filter(length > 0).select("node", "size", F.explode(F.slice("order", F.lit(1), length.cast("int"))).alias("at")).select("node", "size", F.col("at.cell").alias("cell"))
+        .join(of, "node")
+    )
+    left, right = (first.select("cell", F.col("node").alias(x), F.col("size").alias(f"s{x}"), F.col("root").alias(f"r{x}")) for x in ("x", "y"))
+    fits = F.least("sx", "sy") >= threshold * F.greatest("sx", "sy")
+    return left.join(right, "cell").filter((F.col("x") > F.col("y")) & (F.col("rx") != F.col("ry")) & fits).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -188,54 +212,44 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
         .withColumn("node", F.monotonically_increasing_id())
     )
     keyed = nodes.select("node", F.explode("bands").alias("band"))
-    shared = keyed.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    members = cut(keyed.join(shared, "band"))
+    shared = cut(keyed.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"))
+    hot = hot_keys(keyed, ["band"], shared)
+    members = cut(spread_join(keyed, shared, ["band"], ["node"], hot))
     degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
     ranked = members.join(degree, "node").select("band", "node", "degree")
     centres = ranked.groupBy("band").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("centre"))
-    stars = cut(members.join(centres, "band").filter("node <> centre").select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct())
+    stars = cut(spread_join(members.select("band", "node"), centres, ["band"], ["node"], hot).filter("node <> centre").select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct())
 
     wanted = nodes.join(degree.select("node"), "node", "left_semi").select("node", F.col("doc_id").alias("d"), F.col("k1").alias("x1"), F.col("k2").alias("x2"))
     if degree.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     texts = ids.join(wanted.select("d").distinct(), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
-    hashed = texts.mapInArrow(_cells, "doc_id long, k1 long, k2 long, cells array<long>, sketch array<tinyint>")
+    hashed = texts.mapInArrow(_cells, "doc_id long, k1 long, k2 long, cells array<long>")
     on = hashed["doc_id"].eqNullSafe(wanted["d"]) & (hashed["k1"] == wanted["x1"]) & (hashed["k2"] == wanted["x2"])
-    cells = cut(hashed.join(wanted, on).select("node", "cells", "sketch").dropDuplicates(["node"]))
+    cells = cut(hashed.join(wanted, on).select("node", "cells").dropDuplicates(["node"]))
 
     of = _joined(cut(degree.select("node", F.col("node").alias("root"))), cut(_verified(stars, cells, threshold)))
     live, left, turn = None, None, 0
     while True:
         labelled = (members.select("band", "node") if live is None else live).join(of, "node")
         sizes = labelled.groupBy("band", "root").agg(F.count("*").alias("n"))
-        mixed = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.sum("n").alias("n"), F.count("*").alias("roots")).filter("roots > 1")
+        mixed = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count("*").alias("roots")).filter("roots > 1").select("band", "major")
         # a bucket whose nodes are in one component is done with
-        open_ = cut(labelled.join(mixed.select("band", "major", "n"), "band"))
+        open_ = cut(spread_join(labelled, mixed, ["band"], ["node"], hot))
         if live is None:
-            live = cut(_possible(open_, cells, threshold))
-            n_members = live.count()
+            live = cut(_possible(open_, cells, threshold, hot))
             continue
-        live = open_.drop("root", "major", "n")
-        minor = open_.filter("root <> major")
-        before, left = left, minor.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        if left <= PAIRS_EACH * n_members or before is not None and left > 0.8 * before:
+        live = open_.select("band", "node")
+        minor = open_.filter("root <> major").select("band", "node")
+        before, left = left, minor.count()
+        if not left or before is not None and left > 0.8 * before:
             break
         turn += 1
         delegates = open_.filter("root = major").groupBy("band").agg(F.max_by("node", F.xxhash64("node", "band", F.lit(turn))).alias("other"))
-        tries = minor.join(delegates, "band").select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
-        of = _joined(of, cut(_verified(tries, cells, threshold)))
+        tries = spread_join(minor, delegates, ["band"], ["node"], hot).select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+        of = _joined(of, cut(_verified(cut(tries), cells, threshold)))
     if left:
-        live = cut(_possible(open_, cells, threshold).join(of, "node").join(cells.select("node", "sketch"), "node"))
-        minor = live.join(mixed.select(F.col("band").alias("_band"), "major"), F.col("band") == F.col("_band")).filter("root <> major")
-        some = minor.select("band", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("common").alias("mx"), F.col("cells").alias("cx"), F.col("sketch").alias("sx"))
-        every = live.select(F.col("band").alias("_band"), F.col("node").alias("y"), F.col("root").alias("ry"), F.col("common").alias("my"), F.col("cells").alias("cy"), F.col("sketch").alias("sy"))
-        most = F.least("mx", "my")
-        can = most >= threshold * (F.col("cx") + F.col("cy") - most)
-        agree = F.aggregate(F.zip_with("sx", "sy", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
-        rest = (
-            some.join(every, (F.col("band") == F.col("_band")) & (F.col("rx") != F.col("ry")) & can & (agree >= _agreeing(threshold)))
-            .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-        )
+        rest = cut(_by_prefix(live, cells, of, threshold))
         of = _joined(of, cut(_verified(rest, cells, threshold)))
 
     named = nodes.select("node", "k1", "k2", "doc_id").join(of, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -254,10 +268,11 @@ def unique_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     Of rows with one doc_id in one class, all stay.  Each row is decided by
     doc_id and text, since rows with one doc_id may be in several classes.
     """
-    copies = _classes(docs.select("doc_id", "text", *text_key(F.col("text"))), threshold).filter(~F.col("doc_id").eqNullSafe(F.col("class_id")))
+    t1, t2 = text_key(F.col("text"))
+    copies = _classes(docs.select("doc_id", "text", t1, t2), threshold).filter(~F.col("doc_id").eqNullSafe(F.col("class_id")))
     gone = small(copies.select(F.col("doc_id").alias("_gone"), F.col("_t1").alias("_g1"), F.col("_t2").alias("_g2")).distinct())
-    t1, t2 = text_key(docs["text"])
-    return docs.join(gone, (t1 == gone["_g1"]) & (t2 == gone["_g2"]) & docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    rows = packed(docs, doc_id=F.col("doc_id").cast("long"), t1=t1, t2=t2)
+    return rows.join(gone, (F.col("t1") == F.col("_g1")) & (F.col("t2") == F.col("_g2")) & F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti").select("_row.*")
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

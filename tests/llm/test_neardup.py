@@ -1,7 +1,10 @@
 import random
 from collections import Counter
 
-from corpusq.llm import neardup
+import numpy as np
+from pyspark.sql import functions as F
+
+from corpusq.llm import common, dartminhash, neardup
 from corpusq.llm.components import components
 
 
@@ -59,6 +62,53 @@ def test_classes_against_brute_force(spark):
     assert neardup.classes(docs.limit(0)).collect() == []
 
 
+def test_darts_estimate_weighted_similarity():
+    r = np.random.default_rng(5)
+    elements = r.integers(0, 2**63, 60).astype(np.uint64)
+    a, b = r.uniform(0.1, 6, 60), r.uniform(0.1, 6, 60)
+    b[:40] = a[:40]
+    heavy = np.array([40_000.0, 3.0])
+    for x, y in ((a, b), (a, a * 1.25), (np.ones(60), np.full(60, 3.0)), (a, a)):
+        k = 3000
+        s, t = (dartminhash.signatures(elements, w, np.array([60]), k)[0] for w in (x, y))
+        want = np.minimum(x, y).sum() / np.maximum(x, y).sum()
+        assert abs((s == t).mean() - want) < 4 * (want * (1 - want) / k) ** 0.5 + 1e-12
+    together = dartminhash.signatures(np.concatenate([elements, elements[:2]]), np.concatenate([a, heavy]), np.array([60, 2]), 64)
+    assert (together[0] == dartminhash.signatures(elements, a, np.array([60]), 64)[0]).all()
+    assert (together[1] == dartminhash.signatures(elements[:2], heavy, np.array([2]), 64)[0]).all()
+
+
+def test_prefixes_find_what_is_still_apart(spark):
+    r = random.Random(6)
+    nodes = []
+    for family in range(6):
+        base = [r.randrange(1 << 40) for _ in range(r.choice([6, 20, 50]))]
+        for _ in range(12):
+            cell = set(base)
+            for _ in range(r.choice([0, 1, 2, 5, 9])):
+                cell.discard(r.choice(base))
+                cell.add(r.randrange(1 << 40))
+            nodes.append((len(nodes), sorted(cell)))
+    cells = spark.createDataFrame(nodes, "node long, cells array<long>")
+    of = spark.createDataFrame([(i, i) for i, _ in nodes], "node long, root long")
+    pairs = neardup._by_prefix(cells.select("node"), cells, of, 0.8)
+    got = {tuple(x) for x in neardup._verified(pairs, cells, 0.8).collect()}
+    want = {(i, j) for i, a in nodes for j, b in nodes if i > j and len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b))}
+    assert got == want and len(want) > 30
+
+
+def test_hot_keys_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 20)
+    monkeypatch.setattr(common, "PART", 7)
+    rows = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(300)], "k long, v long").repartition(4)
+    facts = rows.groupBy("k").agg(F.max("v").alias("m"))
+    got = common.spread_join(rows, facts, ["k"], ["v"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(facts, "k").collect()))
+    assert common.hot_keys(rows, ["k"]).collect()[0]["_parts"] == 29
+    links = spark.createDataFrame([(0, i) for i in range(1, 200)] + [(i, i + 1) for i in range(300, 330)], "a long, b long")
+    assert {r.node: r.root for r in components(links).collect()} == {i: 0 for i in range(200)} | {i: 300 for i in range(300, 331)}
+
+
 def test_null_and_repeated_ids(spark):
     t = "a b c d e f g h i j"
     docs = spark.createDataFrame([(None, t), (5, t), (5, t), (5, "other words here entirely now"), (None, "z y x w v u")], "doc_id long, text string")
