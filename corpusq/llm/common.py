@@ -17,8 +17,8 @@ _LIBC = ctypes.CDLL(None)
 #: Rows of a few numbers each that are broadcast at most, about 40 MB; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: A key with more rows is dealt out in parts of about ``PART``.
-HOT = 1000
-PART = 250
+HOT = 250
+PART = 100
 #: Keys that are dealt out in parts, at most; with more, only the heaviest are.
 HOT_KEYS = 200_000
 

@@ -14,11 +14,12 @@ the node that shares most buckets with others, which in a family of edited copie
 is the original.  Nodes with too many shingles that no other candidate has are
 then out, since they reach no one.  In further rounds the nodes outside a bucket's largest component
 are checked against one member of it that changes with bucket and round, as
-long as that joins a fifth of them.  What is then still apart is settled exactly by prefixes: with
-shingles in order of how many open nodes have them, rarest first, two nodes of
-similarity 0.8 share one of the first fifth of either's, so nodes of
-different components that do are checked.  No bucket's pairs are listed, and a large
-family costs a few checks for each member.
+long as that joins a fifth of them and many are left.  At last all pairs of a bucket that are still in
+different components are compared inside the join, by their sizes, by how many of their shingles any other has, and
+by their signatures, which at similarity 0.8 agree in too few places for 1 pair in
+100,000; those that pass are checked exactly.  So every pair of nodes that shares a band
+is either checked or already in one class, and a large family costs a few checks for
+each member, not one for each pair.
 
 Bands, centres and hubs may be those of any share of the nodes: their rows are dealt out in
 parts and the one row that all of them meet is copied to each part.
@@ -46,6 +47,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 42
 ROWS = 7
+PAIRS_EACH = 4  # pairs for each membership of a bucket that are compared without further rounds
 REMEMBERED = 200_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -124,11 +126,12 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One hash for each shingle and occurrence, so that sets of them compare as the multisets do."""
+    """One hash for each shingle and occurrence, so that sets of them compare as the multisets do, and one byte of each coordinate of the signature."""
     for batch in _slices(batches, 200):
         shingles = [_SHINGLER(text) for text in map(pa.StringScalar.as_py, batch.column(1))]
         keys = [_key(x) for x in shingles]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), _ragged([dartminhash.cells(x) for x in shingles])], ["doc_id", "k1", "k2", "cells"])
+        sketch = pa.array([(x & np.uint64(255)).astype(np.uint8).view(np.int8) for x in _all_signatures(shingles)], pa.list_(pa.int8()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), _ragged([dartminhash.cells(x) for x in shingles]), sketch], ["doc_id", "k1", "k2", "cells", "sketch"])
 
 
 def _verified(pairs: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
@@ -152,47 +155,46 @@ def _joined(of: DataFrame, links: DataFrame) -> DataFrame:
     return cut(of.join(new, "root", "left").select("node", F.coalesce("joined", "root").alias("root")))
 
 
-def _facts(nodes: DataFrame, cells: DataFrame) -> DataFrame:
-    """node, size, common: the number of its cells, and of those that another of ``nodes`` has as well."""
-    some = cells.join(nodes, "node", "left_semi")
-    own = some.select("node", F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("own"))
-    return some.select("node", F.size("cells").alias("size")).join(own, "node", "left").select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("common"))
+def _agreeing(threshold: float) -> int:
+    """Coordinates in which two signatures of that similarity agree but for 1 pair in 100,000."""
+    n = BANDS * ROWS
+    return int(n * threshold - 4.27 * (n * threshold * (1 - threshold)) ** 0.5)
 
 
 def _possible(open_: DataFrame, cells: DataFrame, threshold: float, hot: DataFrame | None) -> DataFrame:
-    """Rows (band, node) of ``open_`` whose node can reach the threshold with any node of its bucket.
+    """Rows (band, node, size, common) of ``open_`` whose node can reach the threshold with any node of its bucket.
 
     What two nodes have in common is at most the cells of either that are in
     more than one node, so a node with too many cells of its own is
     out for good; this takes one count of cells, no pairs.
     """
-    rows = open_.select("band", "node").join(_facts(open_.select("node").distinct(), cells), "node")
+    some = cells.join(open_.select("node").distinct(), "node", "left_semi")
+    own = some.select("node", F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("own"))
+    facts = some.select("node", F.size("cells").alias("size")).join(own, "node", "left").select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("common"))
+    rows = open_.select("band", "node").join(facts, "node")
     least = rows.groupBy("band").agg(F.min("size").alias("least"))
-    return spread_join(rows, least, ["band"], ["node"], hot).filter(F.col("common") >= threshold * (F.col("size") + F.col("least") - F.col("common"))).select("band", "node")
+    near = F.col("common") >= threshold * (F.col("size") + F.col("least") - F.col("common"))
+    return spread_join(rows, least, ["band"], ["node"], hot).filter(near).select("band", "node", "size", "common")
 
 
-def _by_prefix(open_: DataFrame, cells: DataFrame, of: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of the nodes of ``open_`` in different components that can reach the threshold.
+def _apart(live: DataFrame, mixed: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of one bucket in different components that can reach the threshold.
 
-    Cells are in order of how many of these nodes have them, then of their hash.  Of n cells, two
-    nodes that reach the threshold have at least threshold * n in common, so one
-    of the first n - ceil(threshold * n) + 1 of each.
+    ``live`` has band, node, root, size, common and sketch; ``mixed`` the largest
+    component of each bucket.  The nodes outside it are dealt out in parts, and each part meets the bucket.
     """
-    nodes = cells.join(open_.select("node").distinct(), "node", "left_semi")
-    each = nodes.select("node", F.size("cells").alias("size"), F.explode("cells").alias("cell"))
-    counts = each.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = spread_join(each, counts, ["cell"], ["node"], hot_keys(each, ["cell"], counts))
-    # cells of one node alone come first and meet no one: only how many they are matters
-    alone = F.col("size") - F.size("order")
-    length = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1 - alone
-    first = (
-        shared.groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "cell"))).alias("order"))
-        .filter(length > 0).select("node", "size", F.explode(F.slice("order", F.lit(1), length.cast("int"))).alias("at")).select("node", "size", F.col("at.cell").alias("cell"))
-        .join(of, "node")
-    )
-    left, right = (first.select("cell", F.col("node").alias(x), F.col("size").alias(f"s{x}"), F.col("root").alias(f"r{x}")) for x in ("x", "y"))
-    fits = F.least("sx", "sy") >= threshold * F.greatest("sx", "sy")
-    return left.join(right, "cell").filter((F.col("x") > F.col("y")) & (F.col("rx") != F.col("ry")) & fits).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    counts = live.groupBy("band").agg(F.count("*").alias("n"))
+    hot = hot_keys(live, ["band"], counts)
+    part = lambda df: df.withColumn("_parts", F.lit(1)) if hot is None else df.join(hot, "band", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    minor = part(live.join(mixed, "band").filter("root <> major"))
+    some = minor.select("band", F.pmod(F.xxhash64("node"), "_parts").cast("int").alias("part"), F.col("node").alias("x"), F.col("root").alias("rx"), F.col("common").alias("mx"), F.col("size").alias("cx"), F.col("sketch").alias("sx"))
+    every = part(live).select("band", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"), F.col("node").alias("y"), F.col("root").alias("ry"), F.col("common").alias("my"), F.col("size").alias("cy"), F.col("sketch").alias("sy"))
+    every = every.select(F.col("band").alias("_b"), F.col("part").alias("_p"), "y", "ry", "my", "cy", "sy")
+    most = F.least("mx", "my")
+    can = most >= threshold * (F.col("cx") + F.col("cy") - most)
+    agree = F.aggregate(F.zip_with("sx", "sy", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
+    on = (F.col("band") == F.col("_b")) & (F.col("part") == F.col("_p")) & (F.col("rx") != F.col("ry")) & can & (agree >= _agreeing(threshold))
+    return some.join(every, on).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -224,32 +226,34 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     if degree.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     texts = ids.join(wanted.select("d").distinct(), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
-    hashed = texts.mapInArrow(_cells, "doc_id long, k1 long, k2 long, cells array<long>")
+    hashed = texts.mapInArrow(_cells, "doc_id long, k1 long, k2 long, cells array<long>, sketch array<tinyint>")
     on = hashed["doc_id"].eqNullSafe(wanted["d"]) & (hashed["k1"] == wanted["x1"]) & (hashed["k2"] == wanted["x2"])
-    cells = cut(hashed.join(wanted, on).select("node", "cells").dropDuplicates(["node"]))
+    cells = cut(hashed.join(wanted, on).select("node", "cells", "sketch").dropDuplicates(["node"]))
 
     of = _joined(cut(degree.select("node", F.col("node").alias("root"))), cut(_verified(stars, cells, threshold)))
     live, left, turn = None, None, 0
     while True:
         labelled = (members.select("band", "node") if live is None else live).join(of, "node")
         sizes = labelled.groupBy("band", "root").agg(F.count("*").alias("n"))
-        mixed = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count("*").alias("roots")).filter("roots > 1").select("band", "major")
+        mixed = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.sum("n").alias("n"), F.count("*").alias("roots")).filter("roots > 1").select("band", "major", "n")
         # a bucket whose nodes are in one component is done with
         open_ = cut(spread_join(labelled, mixed, ["band"], ["node"], hot))
         if live is None:
             live = cut(_possible(open_, cells, threshold, hot))
+            n_members = live.count()
             continue
-        live = open_.select("band", "node")
-        minor = open_.filter("root <> major").select("band", "node")
-        before, left = left, minor.count()
-        if not left or before is not None and left > 0.8 * before:
+        live = open_.select("band", "node", "size", "common")
+        minor = open_.filter("root <> major")
+        before, left = left, minor.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if left <= PAIRS_EACH * n_members or before is not None and left > 0.8 * before:
             break
         turn += 1
         delegates = open_.filter("root = major").groupBy("band").agg(F.max_by("node", F.xxhash64("node", "band", F.lit(turn))).alias("other"))
-        tries = spread_join(minor, delegates, ["band"], ["node"], hot).select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+        tries = spread_join(minor.select("band", "node"), delegates, ["band"], ["node"], hot).select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
         of = _joined(of, cut(_verified(cut(tries), cells, threshold)))
     if left:
-        rest = cut(_by_prefix(live, cells, of, threshold))
+        live = cut(_possible(live, cells, threshold, hot).join(of, "node").join(cells.select("node", "sketch"), "node"))
+        rest = cut(_apart(live, mixed.select("band", "major"), threshold))
         of = _joined(of, cut(_verified(rest, cells, threshold)))
 
     named = nodes.select("node", "k1", "k2", "doc_id").join(of, "node", "left").withColumn("root", F.coalesce("root", "node"))

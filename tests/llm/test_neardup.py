@@ -78,23 +78,25 @@ def test_darts_estimate_weighted_similarity():
     assert (together[1] == dartminhash.signatures(elements[:2], heavy, np.array([2]), 64)[0]).all()
 
 
-def test_prefixes_find_what_is_still_apart(spark):
+def test_what_is_apart_is_compared(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 30)
+    monkeypatch.setattr(common, "PART", 7)
     r = random.Random(6)
-    nodes = []
-    for family in range(6):
-        base = [r.randrange(1 << 40) for _ in range(r.choice([6, 20, 50]))]
-        for _ in range(12):
-            cell = set(base)
-            for _ in range(r.choice([0, 1, 2, 5, 9])):
-                cell.discard(r.choice(base))
-                cell.add(r.randrange(1 << 40))
-            nodes.append((len(nodes), sorted(cell)))
-    cells = spark.createDataFrame(nodes, "node long, cells array<long>")
-    of = spark.createDataFrame([(i, i) for i, _ in nodes], "node long, root long")
-    pairs = neardup._by_prefix(cells.select("node"), cells, of, 0.8)
-    got = {tuple(x) for x in neardup._verified(pairs, cells, 0.8).collect()}
-    want = {(i, j) for i, a in nodes for j, b in nodes if i > j and len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b))}
-    assert got == want and len(want) > 30
+    base, nodes = [r.randrange(1 << 40) for _ in range(40)], []
+    for i in range(60):
+        cell = set(base)
+        for _ in range(r.choice([0, 2, 5, 9])):
+            cell.discard(r.choice(base))
+            cell.add(r.randrange(1 << 40))
+        nodes.append((7, i, i % 3, sorted(cell)))
+    sigs = dartminhash.signatures(np.concatenate([np.array(x, np.uint64) for *_, x in nodes]), np.ones(sum(len(x) for *_, x in nodes)), np.array([len(x) for *_, x in nodes]), neardup.BANDS * neardup.ROWS)
+    sketches = (sigs & np.uint64(255)).astype(np.uint8).view(np.int8).tolist()
+    rows = [(b, i, root, len(x), len(x), x, s) for (b, i, root, x), s in zip(nodes, sketches)]
+    live = spark.createDataFrame(rows, "band long, node long, root long, size int, common int, cells array<long>, sketch array<tinyint>")
+    pairs = neardup._apart(live, spark.createDataFrame([(7, 0)], "band long, major long"), 0.8)
+    got = {tuple(x) for x in neardup._verified(pairs, live.select("node", "cells"), 0.8).collect()}
+    sets = {i: (root, set(x)) for _, i, root, x in nodes}
+    assert got == {(i, j) for i, (p, a) in sets.items() for j, (q, b) in sets.items() if i > j and p != q and len(a & b) >= 0.8 * len(a | b)} and len(got) > 30
 
 
 def test_hot_keys_are_dealt_out(spark, monkeypatch):
