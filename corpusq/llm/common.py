@@ -70,13 +70,12 @@ def free_name(docs: DataFrame, name: str) -> str:
     return name
 
 
-def hot_keys(rows: DataFrame, key: list[str], counts: DataFrame | None = None) -> DataFrame | None:
+def hot_keys(counts: DataFrame, key: list[str]) -> DataFrame | None:
     """``key`` and ``_parts``: into how many parts of ``PART`` rows each key of over ``HOT`` rows is cut; None if there is none.
 
-    ``counts`` has the key and its number of rows ``n``, if known.  ``HOT_KEYS`` rows
-    at most, so the result is marked for broadcast.
+    ``counts`` has the key and its number of rows ``n``.  ``HOT_KEYS`` rows at most, so
+    the result is marked for broadcast.
     """
-    counts = rows.groupBy(*key).agg(F.count("*").alias("n")) if counts is None else counts
     hot = cut(counts.select(*key, "n").filter(F.col("n") > HOT))
     n, total = hot.agg(F.count("*"), F.sum("n")).first()
     if not n:
@@ -93,7 +92,7 @@ def spread_join(rows: DataFrame, facts: DataFrame, key: list[str], by: list[str]
     copied to each part, so no task gets all of them.  ``key`` columns are not null.
     ``hot`` is ``hot_keys`` of the rows, if known.
     """
-    hot = hot_keys(rows.select(*key), key) if hot is True else hot
+    hot = hot_keys(rows.groupBy(*key).agg(F.count("*").alias("n")), key) if hot is True else hot
     if hot is None:
         return rows.join(facts, key)
     part = F.pmod(F.xxhash64(*by), F.coalesce("_parts", F.lit(1))).cast("int")

@@ -21,8 +21,8 @@ by their signatures, which at similarity 0.8 agree in too few places for 1 pair
 is either checked or already in one class, and a large family costs a few checks for
 each member, not one for each pair.
 
-Bands, centres and hubs may be those of any share of the nodes: their rows are dealt out in
-parts and the one row that all of them meet is copied to each part.
+A band may be that of any share of the nodes: its rows are dealt out in
+parts, and the one row that all of them meet is copied to each part.
 
 Defined cases: texts that are null or have no words are not compared, each is a
 class by itself; the class id is its smallest doc_id, null if it has none;
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusq.llm import dartminhash
-from corpusq.llm.common import BROADCAST_ROWS, cut, give_back, hot_keys, packed, small, spread_join, table, text_batches, text_key
+from corpusq.llm.common import BROADCAST_ROWS, PART, cut, give_back, hot_keys, packed, small, spread_join, table, text_batches, text_key
 from corpusq.llm.components import components
 
 SHINGLE = 5
@@ -48,6 +48,7 @@ THRESHOLD = 0.8
 BANDS = 42
 ROWS = 7
 PAIRS_EACH = 4  # pairs for each membership of a bucket that are compared without further rounds
+TOGETHER = 1000
 REMEMBERED = 200_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -142,7 +143,7 @@ def _verified(pairs: DataFrame, cells: DataFrame, threshold: float) -> DataFrame
     near = both >= threshold * (F.size("ca") + F.size("cb") - both)
     # no similarity reaches the threshold if the sizes differ by more
     fits = F.least(F.size("ca"), F.size("cb")) >= threshold * F.greatest(F.size("ca"), F.size("cb"))
-    return spread_join(spread_join(pairs, left, ["a"], ["b"]), right, ["b"], ["a"], hot_keys(pairs, ["b"])).filter(fits & near).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").filter(fits & near).select("a", "b")
 
 
 def _joined(of: DataFrame, links: DataFrame) -> DataFrame:
@@ -177,15 +178,14 @@ def _possible(open_: DataFrame, cells: DataFrame, threshold: float, hot: DataFra
     return spread_join(rows, least, ["band"], ["node"], hot).filter(near).select("band", "node", "size", "common")
 
 
-def _apart(live: DataFrame, mixed: DataFrame, threshold: float) -> DataFrame:
+def _apart(live: DataFrame, mixed: DataFrame, threshold: float, hot: DataFrame | None) -> DataFrame:
     """Pairs (a, b) of one bucket in different components that can reach the threshold.
 
     ``live`` has band, node, root, size, common and sketch; ``mixed`` the largest
-    component of each bucket.  The nodes outside it are dealt out in parts, and each part meets the bucket.
+    component of each bucket.  The nodes outside it are dealt out in parts of ``TOGETHER``, and each part meets the bucket.
     """
-    counts = live.groupBy("band").agg(F.count("*").alias("n"))
-    hot = hot_keys(live, ["band"], counts)
-    part = lambda df: df.withColumn("_parts", F.lit(1)) if hot is None else df.join(hot, "band", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    parts = F.ceil(F.coalesce("_parts", F.lit(1)) * PART / TOGETHER).cast("int")
+    part = lambda df: df.withColumn("_parts", F.lit(1)) if hot is None else df.join(hot, "band", "left").withColumn("_parts", parts)
     minor = part(live.join(mixed, "band").filter("root <> major"))
     some = minor.select("band", F.pmod(F.xxhash64("node"), "_parts").cast("int").alias("part"), F.col("node").alias("x"), F.col("root").alias("rx"), F.col("common").alias("mx"), F.col("size").alias("cx"), F.col("sketch").alias("sx"))
     every = part(live).select("band", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"), F.col("node").alias("y"), F.col("root").alias("ry"), F.col("common").alias("my"), F.col("size").alias("cy"), F.col("sketch").alias("sy"))
@@ -215,7 +215,7 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     )
     keyed = nodes.select("node", F.explode("bands").alias("band"))
     shared = cut(keyed.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"))
-    hot = hot_keys(keyed, ["band"], shared)
+    hot = hot_keys(shared, ["band"])
     members = cut(spread_join(keyed, shared, ["band"], ["node"], hot))
     degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
     ranked = members.join(degree, "node").select("band", "node", "degree")
@@ -253,7 +253,7 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
         of = _joined(of, cut(_verified(cut(tries), cells, threshold)))
     if left:
         live = cut(_possible(live, cells, threshold, hot).join(of, "node").join(cells.select("node", "sketch"), "node"))
-        rest = cut(_apart(live, mixed.select("band", "major"), threshold))
+        rest = cut(_apart(live, mixed.select("band", "major"), threshold, hot))
         of = _joined(of, cut(_verified(rest, cells, threshold)))
 
     named = nodes.select("node", "k1", "k2", "doc_id").join(of, "node", "left").withColumn("root", F.coalesce("root", "node"))
