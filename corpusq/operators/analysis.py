@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from corpusq.functions.text import basename
 
+#: Fixed value: what stands for the chunks of a file beyond its budget.
+OMITTED = "\n...(后续内容因长度限制省略)"
 
 
 def _numbered(chunks: DataFrame) -> DataFrame:
@@ -36,10 +38,11 @@ def stratified_sample(chunks: DataFrame) -> DataFrame:
 
 
 def char_budget(chunks: DataFrame, chars: int = 4000, total: int = 60000) -> DataFrame:
-    """Chunks of each file, cut to ``chars``, while their lengths sum to at most ``total``; adds ``used``."""
+    """Chunks of each file, cut to ``chars``, while their lengths sum to at most ``total``; adds ``used``, and ``more``: whether the file goes on after them."""
     upto = Window.partitionBy("source_file").orderBy("chunk_index", "rowid").rowsBetween(Window.unboundedPreceding, 0)
-    cut = chunks.withColumn("text", F.substring("text", 1, chars))
-    return cut.withColumn("used", F.sum(F.length("text")).over(upto)).filter(F.col("used") <= total)
+    whole = Window.partitionBy("source_file")
+    cut = chunks.withColumn("text", F.substring("text", 1, chars)).withColumn("used", F.sum(F.length("text")).over(upto))
+    return cut.withColumn("more", F.max("used").over(whole) > total).filter(F.col("used") <= total)
 
 
 def files_by_hits(hits: DataFrame) -> DataFrame:
@@ -61,8 +64,11 @@ def compare_context(hits: DataFrame, max_files: int = 40) -> DataFrame:
     order = Window.orderBy(F.desc("hits"), "source_file")  # over max_files rows
     top = top.withColumn("ord", F.row_number().over(order).cast("long"))
     kept = char_budget(stratified_sample(hits.join(top.select("source_file"), "source_file", "left_semi")))
-    part = F.concat(F.lit("--- Chunk "), (F.col("chunk_index") + 1).cast("string"), F.lit("/"), F.col("total_chunks").cast("string"), F.lit(" ---\n"), "text")
-    texts = kept.withColumn("part", part).groupBy("source_file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "rowid", "part"))), lambda x: x["part"]), "\n\n").alias("content"))
+    page = F.get_json_object("metadata", "$.page") if "metadata" in kept.columns else F.lit(None).cast("string")
+    tag = F.when(page.isNotNull() & (page != "0"), F.concat(F.lit(" [第"), page, F.lit("页]"))).otherwise("")
+    part = F.concat(F.lit("--- Chunk "), (F.col("chunk_index") + 1).cast("string"), F.lit("/"), F.col("total_chunks").cast("string"), tag, F.lit(" ---\n"), "text")
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "rowid", "part"))), lambda x: x["part"])
+    texts = kept.withColumn("part", part).groupBy("source_file").agg(F.array_join(F.concat(parts, F.when(F.max("more"), F.array(F.lit(OMITTED))).otherwise(F.array().cast("array<string>"))), "\n\n").alias("content"))
     return top.join(texts, "source_file").select("ord", "source_file", F.concat(F.lit("===== "), basename(F.col("source_file")), F.lit(" =====\n"), "content").alias("content"))
 
 

@@ -44,13 +44,14 @@ def embed_chunks(chunks: DataFrame, embed: Callable[[list[str]], list[list[float
 
 def ingest(
     spark: SparkSession, source: str | DataFrame, store: ChunkStore, embed: Callable[[list[str]], list], manifest: DataFrame | None = None, context: Context | None = None, indexed_at: float = 0.0,
-    lossless: bool = True,
+    lossless: bool = True, replaced: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Index what is new or changed below a folder; the manifest afterwards, and the status of every file.
 
     Files already indexed under their path are passed over by hash, so a run
     that was broken off continues where it stopped.  Long chunks go on in
-    further chunks; with ``lossless=False`` their rest is dropped.
+    further chunks; with ``lossless=False`` their rest is dropped.  Chunks of changed files, and of the
+    files ``replaced``, go in the version that brings the new ones, and stay if a file cannot be read now.
     """
     files = scan_directory(spark, source) if isinstance(source, str) else source
     listed = files.select("path", F.md5("content").alias("hash"))
@@ -60,10 +61,10 @@ def ingest(
     parsed = cut(parse_files(files.join(wanted.select("path"), "path", "left_semi"), context))
     chunks = cut(embed_chunks(chunk_documents(parsed.filter("error is null"), lossless=lossless).drop("page"), embed))
     changed = judged.filter("verdict = 'changed'").select("path")
-    if not changed.isEmpty():
-        store.delete_sources(changed)
-    if not chunks.isEmpty():
-        store.upsert(chunks)
+    changed = changed if replaced is None else changed.unionByName(replaced.select(F.col(replaced.columns[0]).alias("path")))
+    changed = cut(changed.join(parsed.filter("error is null").select(F.col("file_path").alias("path")), "path", "left_semi").distinct())
+    if not chunks.isEmpty() or not changed.isEmpty():
+        store.upsert(chunks, changed)
     per = chunks.groupBy("source_file").agg(F.count("*").alias("chunks"), F.count("vector").alias("vectors"))
     state = (
         judged.join(parsed.select(F.col("file_path").alias("path"), "error"), "path", "left").join(per, F.col("path") == F.col("source_file"), "left")
@@ -80,10 +81,9 @@ def ingest(
 
 
 def retry_file(spark: SparkSession, path: str, store: ChunkStore, embed: Callable[[list[str]], list], manifest: DataFrame, context: Context | None = None, lossless: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Delete a file's chunks and index it again; manifest and status."""
-    store.delete_sources([path])
-    rest = status.remove_paths(manifest, spark.createDataFrame([(path,)], "path string"))
-    return ingest(spark, scan_directory(spark, path), store, embed, rest, context, lossless=lossless)
+    """Index a file again in place of its chunks; manifest and status."""
+    one = spark.createDataFrame([(path,)], "path string")
+    return ingest(spark, scan_directory(spark, path), store, embed, status.remove_paths(manifest, one), context, lossless=lossless, replaced=one)
 
 
 def merged_ocr(batches: DataFrame) -> DataFrame:

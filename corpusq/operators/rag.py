@@ -12,7 +12,9 @@ from corpusq.settings import HISTORY_TURNS
 
 MAX_TARGETS = 10
 GRAM = 6
+#: What a source without file is called, and the start of its key.
 UNKNOWN = "（来源未知）"
+ORPHAN = "__orphan__"
 
 
 def filename_targets(files: DataFrame, query: str) -> DataFrame:
@@ -33,7 +35,11 @@ def filename_targets(files: DataFrame, query: str) -> DataFrame:
 
 
 def targeted_injection(hits: DataFrame, chunks: DataFrame, targets: DataFrame, per_file: int = 5) -> DataFrame:
-    """``hits`` and chunks spread over every target file (score 5, ``targeted``), until the file has ``per_file`` hits; best first."""
+    """``hits`` and chunks spread over every target file (score 5, ``targeted``); best first.
+
+    A file's chunks at every third of it are gone through in order; those not among the hits are added, until the file
+    has ``per_file`` hits, which is looked at after each chunk: so the first one is always added.
+    """
     in_file = Window.partitionBy("source_file").orderBy("chunk_index", "rowid")
     step = F.greatest(F.lit(1), F.floor(F.count("*").over(Window.partitionBy("source_file")) / 3))
     picked = (
@@ -41,8 +47,11 @@ def targeted_injection(hits: DataFrame, chunks: DataFrame, targets: DataFrame, p
         .withColumn("nth", F.row_number().over(in_file) - 1).withColumn("step", step).filter(F.col("nth") % F.col("step") == 0)
     )
     have = hits.groupBy("source_file").agg(F.count("*").alias("have"))
-    new = picked.join(hits.select("rowid"), "rowid", "left_anti").join(have, "source_file", "left").withColumn("have", F.coalesce("have", F.lit(0)))
-    taken = new.withColumn("k", F.row_number().over(Window.partitionBy("source_file").orderBy("nth"))).filter(F.col("have") + F.col("k") <= per_file)
+    known = hits.select("rowid", F.lit(1).alias("known"))
+    gone_through = picked.join(known, "rowid", "left").join(have, "source_file", "left").withColumn("have", F.coalesce("have", F.lit(0)))
+    earlier = Window.partitionBy("source_file").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.when(F.col("known").isNull(), 1).otherwise(0)).over(earlier), F.lit(0))
+    taken = gone_through.withColumn("before", before).filter(F.col("known").isNull() & ((F.col("nth") == 0) | (F.col("have") + F.col("before") < per_file)))
     names = [c for c in hits.columns if c in chunks.columns]
     added = taken.select(*names, F.lit(5.0).alias("score"), F.lit("targeted").alias("match_type"))
     return hits.select(*names, "score", "match_type").unionByName(added).orderBy(F.desc("score"), "rowid")
@@ -53,25 +62,32 @@ def _shown(path: Column, many: Column) -> Column:
     return F.when(path == "", F.lit(UNKNOWN)).when(many & (parent != ""), F.concat(parent, F.lit("/"), basename(path))).otherwise(basename(path))
 
 
-def numbered_sources(hits: DataFrame, rank: str = "rank") -> DataFrame:
-    """number, file, file_path, snippet, score: one row a file, by lower-cased name and path.
+def _source_key(id_col: str) -> Column:
+    """A hit's file; a hit without file is a source of its own."""
+    path = F.coalesce("source_file", F.lit(""))
+    return F.when(path == "", F.concat(F.lit(ORPHAN), F.col(id_col).cast("string"))).otherwise(path)
+
+
+def numbered_sources(hits: DataFrame, rank: str = "rank", id_col: str = "rowid") -> DataFrame:
+    """number, file, file_path, snippet, score, source: one row a file or hit without file, by lower-cased name and path.
 
-    Files of one name show their folder too.  Snippet (200 characters) and score (3
-    places) are of the file's first hit.
+    Files of one name show their folder too; hits without file come first.  Snippet (200 characters) and score (3
+    places) are of the source's first hit; ``source`` is what ``context`` joins on.
     """
-    first = hits.groupBy("source_file").agg(F.min_by(F.struct("text", "score"), rank).alias("hit"))
-    same_name = Window.partitionBy(basename(F.col("source_file")))
-    order = Window.orderBy(F.lower(basename(F.col("source_file"))), F.lower("source_file"), "source_file")  # one row a file of the hits
-    return first.withColumn("many", F.count("*").over(same_name) > 1).select(
-        F.row_number().over(order).cast("long").alias("number"), _shown(F.col("source_file"), F.col("many")).alias("file"), F.col("source_file").alias("file_path"),
-        F.substring("hit.text", 1, 200).alias("snippet"), F.round("hit.score", 3).alias("score"))
+    first = hits.groupBy(_source_key(id_col).alias("source")).agg(F.min_by(F.struct("text", "score"), rank).alias("hit"))
+    path = F.when(F.col("source").startswith(ORPHAN), "").otherwise(F.col("source"))
+    same_name = Window.partitionBy(basename(F.col("file_path")))
+    order = Window.orderBy(F.lower(basename(F.col("file_path"))), F.lower("source"), "source")  # one row a source of the hits
+    return first.withColumn("file_path", path).withColumn("many", F.count("*").over(same_name) > 1).select(
+        F.row_number().over(order).cast("long").alias("number"), _shown(F.col("file_path"), F.col("many")).alias("file"), "file_path",
+        F.substring("hit.text", 1, 200).alias("snippet"), F.round("hit.score", 3).alias("score"), "source")
 
 
-def context(hits: DataFrame, sources: DataFrame, rank: str = "rank", page: str | None = None, chars: int = 3000) -> DataFrame:
+def context(hits: DataFrame, sources: DataFrame, rank: str = "rank", page: str | None = None, chars: int = 3000, id_col: str = "rowid") -> DataFrame:
     """context: one row, the hits by source number and rank, each headed by its number, file and place."""
     p = F.col(page) if page else F.lit(None).cast("int")
     part = F.concat(F.lit("["), F.col("number").cast("string"), F.lit("] (Source: "), "file", place_label(p, F.col("chunk_index"), F.col("total_chunks")), F.lit(")\n"), F.substring("text", 1, chars))
-    parts = hits.join(sources.select("number", "file", "file_path"), F.col("source_file") == F.col("file_path")).select("number", rank, part.alias("part"))
+    parts = hits.withColumn("source", _source_key(id_col)).join(sources.select("number", "file", "source"), "source").select("number", rank, part.alias("part"))
     return parts.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("number", rank, "part"))), lambda x: x["part"]), "\n\n").alias("context"))
 
 
@@ -83,13 +99,14 @@ def recent_history(turns: DataFrame, n: int = HISTORY_TURNS) -> DataFrame:
 
 def annotate_citations(content: Column, names: Column) -> Column:
     """``[n]`` becomes ``[n](指上轮「name」)`` where the map ``names`` (int to string) has n."""
-    pieces = F.regexp_extract_all(content, F.lit(r"(?s)(\[\d+\]|.)"), F.lit(1))
+    marks = F.regexp_extract_all(content, F.lit(r"(\[\d+\])"), F.lit(1))
+    between = F.split(content, r"\[\d+\]")
 
     def shown(x: Column) -> Column:
         name = F.try_element_at(names, F.regexp_extract(x, r"^\[(\d+)\]$", 1).try_cast("int"))
         return F.when(name.isNotNull(), F.concat(x, F.lit("(指上轮「"), name, F.lit("」)"))).otherwise(x)
 
-    return F.when(content.rlike(r"\[\d+\]"), F.array_join(F.transform(pieces, shown), "")).otherwise(content)
+    return F.when(content.rlike(r"\[\d+\]"), F.array_join(F.zip_with(between, marks, lambda t, m: F.concat(t, F.coalesce(shown(m), F.lit("")))), "")).otherwise(content)
 
 
 def last_sources(turns: DataFrame) -> DataFrame:
@@ -113,4 +130,28 @@ def answer(hits: DataFrame, query: str, generate: Callable[[str], str | None], r
     sources = numbered_sources(hits, rank)
     text = given_context or context(hits, sources, rank).first()["context"]
     reply = generate(f"{text}\n\n{query}" if text else query)
-    return {"answer": reply, "sources": [r.asDict() for r in sources.orderBy("number").collect()]}
+    return {"answer": reply, "sources": [r.asDict() for r in sources.drop("source").orderBy("number").collect()]}
+
+
+def ask(chunks: DataFrame, query: str, embed: Callable[[str], list[float]], generate: Callable[[str], str | None], top_k: int = 50, turns: DataFrame | None = None, session_id=None, given_context: str | None = None) -> dict:
+    """A question from search to answer: hybrid search (keywords alone if ``embed`` fails), files that the query names,
+    numbered sources, context, and the session's last turns with their citations explained.
+    """
+    from corpusq.operators import search
+
+    try:
+        hits = search.hybrid_search(chunks, query, embed(query), top_k)
+    except Exception:  # whatever the embedding service raises
+        hits = search.keyword_search(chunks, query, top_k)
+    hits = targeted_injection(hits, chunks, filename_targets(chunks, query))
+    ranked = hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "rowid")))  # a few times top_k rows
+    told = ""
+    if turns is not None:
+        own = turns.filter(F.col("session_id") == session_id)
+        names = last_sources(own).first() if "sources" in own.columns else None
+        said = recent_history(own)
+        if names is not None:
+            legend = F.create_map(*[F.lit(x) for pair in names["names"].items() for x in pair])
+            said = said.withColumn("content", F.when(F.col("role") == "user", annotate_citations(F.col("content"), legend)).otherwise(F.col("content")))
+        told = "\n".join(f"{r['role']}: {r['content']}" for r in said.orderBy("id").collect())  # HISTORY_TURNS rows at most
+    return answer(ranked, f"{told}\n\n{query}" if told else query, generate, given_context=given_context)

@@ -313,8 +313,9 @@ def filename_targets(spark, sf_dir):
 
 @query(f"""{_c()}, {_merged_sql(COMMON, TOP_K)}, t AS (SELECT * FROM (VALUES ('/kb/en/src0.pdf'), ('/kb/fr/src1.docx')) v(source_file)),
 k AS (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY chunk_index, rowid) - 1 AS nth, greatest(1, count(*) OVER (PARTITION BY source_file) // 3) AS step FROM c WHERE source_file IN (SELECT source_file FROM t)),
-n AS (SELECT k.*, row_number() OVER (PARTITION BY k.source_file ORDER BY nth) AS kn, (SELECT count(*) FROM h WHERE h.source_file = k.source_file) AS have FROM k WHERE nth % step = 0 AND rowid NOT IN (SELECT rowid FROM h))
-SELECT rowid, source_file, round(score, 4) AS score, match_type FROM h UNION ALL SELECT rowid, source_file, 5.0, 'targeted' FROM n WHERE have + kn <= 5""")
+p AS (SELECT k.*, rowid NOT IN (SELECT rowid FROM h) AS absent, (SELECT count(*) FROM h WHERE h.source_file = k.source_file) AS have FROM k WHERE nth % step = 0),
+n AS (SELECT *, coalesce(sum(absent::INT) OVER (PARTITION BY source_file ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p)
+SELECT rowid, source_file, round(score, 4) AS score, match_type FROM h UNION ALL SELECT rowid, source_file, 5.0, 'targeted' FROM n WHERE absent AND (nth = 0 OR have + before < 5)""")
 def targeted_injection(spark, sf_dir):
     targets = spark.createDataFrame([("/kb/en/src0.pdf",), ("/kb/fr/src1.docx",)], "source_file string")
     return rag.targeted_injection(_hybrid(spark, sf_dir), chunks(spark, sf_dir, with_vector=False), targets).select("rowid", "source_file", F.round("score", 4).alias("score"), "match_type")
@@ -329,7 +330,7 @@ src AS (SELECT row_number() OVER (ORDER BY lower(regexp_extract(source_file, '[^
 
 @query(_SRC + " SELECT * FROM src")
 def source_numbering(spark, sf_dir):
-    return rag.numbered_sources(_hybrid(spark, sf_dir, constant_ext=".txt"))
+    return rag.numbered_sources(_hybrid(spark, sf_dir, constant_ext=".txt")).drop("source")
 
 
 @query(_SRC + """ SELECT string_agg('[' || number || '] (Source: ' || file || ', Chunk ' || (chunk_index + 1) || '/' || total_chunks || ')' || chr(10) || substr(text, 1, 3000), chr(10) || chr(10) ORDER BY number, rank) AS context
@@ -368,8 +369,9 @@ def file_text(spark, sf_dir):
 top AS (SELECT source_file, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source_file) AS ord FROM hit GROUP BY source_file ORDER BY ord LIMIT 40),
 s AS (SELECT hit.*, row_number() OVER (PARTITION BY source_file ORDER BY chunk_index, rowid) AS rn, count(*) OVER (PARTITION BY source_file) AS n FROM hit WHERE source_file IN (SELECT source_file FROM top)),
 k AS (SELECT *, sum(least(length(text), 4000)) OVER (PARTITION BY source_file ORDER BY chunk_index, rowid) AS used FROM s WHERE n <= 50 OR rn <= 15 OR rn > n - 15 OR (rn - 16) % greatest(1, (n - 30) // 20) = 0)
-SELECT top.ord, top.source_file, md5('===== ' || regexp_extract(top.source_file, '[^/]*$') || ' =====' || chr(10) || string_agg('--- Chunk ' || (chunk_index + 1) || '/' || total_chunks || ' ---' || chr(10) || substr(text, 1, 4000), chr(10) || chr(10) ORDER BY chunk_index, rowid)) AS digest
-FROM k JOIN top USING (source_file) WHERE used <= 60000 GROUP BY top.ord, top.source_file""")
+SELECT top.ord, top.source_file, md5('===== ' || regexp_extract(top.source_file, '[^/]*$') || ' =====' || chr(10) || string_agg('--- Chunk ' || (chunk_index + 1) || '/' || total_chunks || ' ---' || chr(10) || substr(text, 1, 4000), chr(10) || chr(10) ORDER BY chunk_index, rowid) FILTER (used <= 60000)
+|| CASE WHEN max(used) > 60000 THEN chr(10) || chr(10) || chr(10) || '...(后续内容因长度限制省略)' ELSE '' END) AS digest
+FROM k JOIN top USING (source_file) GROUP BY top.ord, top.source_file""")
 def compare_context(spark, sf_dir):
     hits = search.exhaustive_search(chunks(spark, sf_dir, with_vector=False), COMMON)
     return analysis.compare_context(hits).select("ord", "source_file", F.md5(F.col("content").cast("binary")).alias("digest"))
@@ -456,22 +458,6 @@ def framework_tree(spark, sf_dir):
     return outline.tree_sections(_outlines(spark, sf_dir)).select("id", "ord", "number", "title", "depth")
 
 
-# ---- summaries with a stand-in for the model
-
-def _echo(prompt: str) -> str:
-    return f"{len(prompt)}:{prompt[:8]}"
-
-
-@query()
-def summary_tree(spark, sf_dir):
-    return analysis.summarise(chunks(spark, sf_dir, with_vector=False), _echo)
-
-
-@query()
-def focus_batches(spark, sf_dir):
-    return analysis.focus(chunks(spark, sf_dir, with_vector=False), "task", _echo, 30).select("batch", F.array_join("files", ",").alias("files"), "answer")
-
-
 # ---- index, outlines to documents, chunking, pages
 
 @query(f"{_c()} SELECT rowid, 1.0::DOUBLE AS score FROM (SELECT * FROM c WHERE {_match_sql(WORDS)} OR contains({PADDED_SQL.format('text')}, ' of the ') ORDER BY rowid LIMIT 250)")

@@ -166,6 +166,8 @@ def vsdx(name: str, data: bytes, ctx: Context) -> Parsed:
 
 
 def pdf(name: str, data: bytes, ctx: Context) -> Parsed:
+    if ctx.pdf_pages is None and ctx.ocr is None:
+        raise ValueError("no reader for PDF text")
     try:
         texts = ctx.pdf_pages(data) if ctx.pdf_pages else []
     except Exception as e:  # a damaged file must not end the job

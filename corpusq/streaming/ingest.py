@@ -1,7 +1,7 @@
 """Files as a stream: every micro-batch is one ingest into the store.
 
 The stream's checkpoint remembers which files were seen; the store's
-manifest, kept as versions of a small table, makes a repeated batch harmless.
+manifest, to which every batch adds its files, makes a repeated batch harmless.
 """
 
 from __future__ import annotations
@@ -23,12 +23,13 @@ FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def read_manifest(store: ChunkStore) -> DataFrame:
-    versions = store._versions("manifest")
-    return store.spark.read.schema(MANIFEST).parquet(f"{store.base}/manifest/seq={versions[-1]}") if versions else store.spark.createDataFrame([], MANIFEST)
+    rows = store._read("manifest", MANIFEST)
+    return rows.groupBy("path").agg(F.max_by(F.struct("hash", "indexed_at"), "seq").alias("m")).select("path", "m.hash", "m.indexed_at")
 
 
-def write_manifest(store: ChunkStore, manifest: DataFrame) -> None:
-    store._write(manifest, "manifest", max([0, *store._versions("manifest")]) + 1)
+def write_manifest(store: ChunkStore, new: DataFrame) -> None:
+    """Add or replace entries; a batch writes its own only."""
+    store.commit(manifest=new.select("path", "hash", "indexed_at"))
 
 
 def file_stream(spark: SparkSession, path: str, per_batch: int = 1000) -> DataFrame:
@@ -45,8 +46,8 @@ def ingest_stream(spark: SparkSession, path: str, store: ChunkStore, embed: Call
     """Start ingesting; ``lastProgress`` of the query is the progress, ``stop`` ends it between batches."""
 
     def batch(files: DataFrame, number: int) -> None:
-        manifest, _ = ingest(files.sparkSession, files, store, embed, read_manifest(store), context, float(number), lossless)
-        write_manifest(store, manifest)
+        _, state = ingest(files.sparkSession, files, store, embed, read_manifest(store), context, float(number), lossless)
+        write_manifest(store, state.filter("status = 'embedded'").withColumn("indexed_at", F.lit(float(number))))
 
     writer = file_stream(spark, path, per_batch).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).queryName(f"ingest-{uuid.uuid4().hex[:8]}")
     return (writer.trigger(availableNow=True) if available_now else writer).start()

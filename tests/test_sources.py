@@ -55,7 +55,7 @@ def test_archive_pdf_image():
     assert parsers.parse("a.pdf", b"%PDF", ctx).content == "--- Page 1 ---\none\n\n--- Page 3 ---\nthree"
     blank = Context(pdf_pages=lambda b: ["", " "], ocr=ctx.ocr)
     assert parsers.parse("a.pdf", b"%PDF", blank).content == "ocr application/pdf"
-    assert parsers.parse("a.pdf", b"%PDF").content == "[PDF: a.pdf]" and parsers.parse("a.png", b"x", ctx).content == "ocr image/png" and parsers.parse("a.png", b"x").content == "[Image: a.png]"
+    assert parsers.parse("a.png", b"x", ctx).content == "ocr image/png" and parsers.parse("a.png", b"x").content == "[Image: a.png]"
     assert parsers.needs_ocr("a.png", b"", None) and not parsers.needs_ocr("a.docx", b"", None) and parsers.needs_ocr("a.pdf", b"", blank.pdf_pages) and not parsers.needs_ocr("a.pdf", b"", ctx.pdf_pages)
     assert [parsers.ocr_batches(n) for n in (50, 51, 201)] == [(50, 100), (20, 100), (10, 72)]
     with pytest.raises(ValueError):
