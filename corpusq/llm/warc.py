@@ -12,6 +12,7 @@ time) and the last response of a range is handed to the ranges after it, so no
 task needs a whole URL.  Only row numbers and validators take part in
 the join; headers and bodies are fetched afterwards, by a key of the row's
 record_id, URL, time and validators, since record_id may be null or repeated.
+The revisits of one response are dealt out in parts when they are many.
 
 Defined cases: a null URL or time resolves nothing (``no_response``); responses at the
 revisit's own time are not earlier, and of responses at one time that with the largest
@@ -27,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusq.llm.common import cut, table
+from corpusq.llm.common import cut, hot_keys, spread_join, table
 
 #: Headers that describe the stored body or one connection; a 304 does not change them.
 KEPT_HEADERS = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade")
@@ -100,17 +101,19 @@ def resolve(captures: DataFrame) -> DataFrame:
         .when(F.col("etag").isNotNull(), F.when(F.col("etag") == F.col("stored.etag"), "resolved").otherwise("changed"))
         .when(F.col("modified").isNotNull(), F.when(F.col("modified") == F.col("stored.modified"), "resolved").otherwise("changed"))
         .otherwise("no_validator"),
-    ).select("k1", "k2", "outcome", *[F.when(F.col("outcome") == "resolved", F.col(f"stored.{c}")).alias(n) for c, n in (("record_id", "response_id"), ("k1", "r1"), ("k2", "r2"))]).distinct()
+    )
+    found = cut(found.select("k1", "k2", "outcome", *[F.when(F.col("outcome") == "resolved", F.col(f"stored.{c}")).alias(n) for c, n in (("record_id", "response_id"), ("k1", "r1"), ("k2", "r2"))]).distinct())
     headers = _lower_keys(F.col("headers"))
     b1, b2 = _row_key(headers)
-    bodies = captures.filter("status = 200").filter(known).select(b1.alias("_b1"), b2.alias("_b2"), F.struct("body", F.to_json(headers).alias("h")).alias("stored"))
-    wanted = found.filter("r1 is not null").select(F.col("r1").alias("_w1"), F.col("r2").alias("_w2")).distinct()
-    bodies = bodies.join(wanted, (F.col("_b1") == F.col("_w1")) & (F.col("_b2") == F.col("_w2")), "left_semi").groupBy("_b1", "_b2").agg(F.min("stored").alias("stored"))
+    bodies = captures.filter("status = 200").filter(known).select(b1.alias("r1"), b2.alias("r2"), F.struct("body", F.to_json(headers).alias("h")).alias("stored"))
+    revisits = found.filter("r1 is not null").groupBy("r1", "r2").agg(F.count("*").alias("n"))
+    bodies = bodies.join(revisits, ["r1", "r2"], "left_semi").groupBy("r1", "r2").agg(F.min("stored").alias("stored"))
     own = captures.filter("status = 304").select("record_id", "url", "captured", headers.alias("own"))
     o1, o2 = _row_key(F.col("own"))
     told = own.filter(known).withColumn("_o1", o1).withColumn("_o2", o2).join(found, (F.col("_o1") == F.col("k1")) & (F.col("_o2") == F.col("k2")))
     columns = ["record_id", "url", "captured", "outcome", "response_id"]
-    with_body = told.filter("outcome = 'resolved'").join(bodies, (F.col("r1") == F.col("_b1")) & (F.col("r2") == F.col("_b2"))).select(
+    # a popular response's revisits are dealt out in parts, each of which gets a copy of the body
+    with_body = spread_join(told.filter("outcome = 'resolved'"), bodies, ["r1", "r2"], ["k1", "k2"], hot_keys(revisits, ["r1", "r2"])).select(
         *columns, merged_headers(F.from_json("stored.h", "map<string,string>"), F.col("own")).alias("headers"), F.col("stored.body").alias("body"))
     # the others have no response to join with; as null keys they would meet in one task
     unknown = own.filter(~known).withColumn("outcome", F.lit("no_response")).withColumn("response_id", F.lit(None).cast(captures.schema["record_id"].dataType))
@@ -135,7 +138,7 @@ def captures_of_pages(pages: DataFrame) -> DataFrame:
     common = [("Date", served), ("Cache-Control", F.lit("max-age=60")), ("Content-Length", F.lit("0")), ("Connection", F.lit("close"))]
     full = pages.select(
         (p * 2).alias("record_id"), "url", (p * 10).alias("captured"), F.lit(200).alias("status"),
-        text(("ETag", tag), ("Last-Modified", date), ("Content-Length", F.octet_length("html").cast("string")), ("Date", F.concat(F.lit("second "), (p * 10).cast("string")))).alias("headers"), F.col("html").alias("body"))
+        text(("ETag", tag), ("Last-Modified", date), ("Content-Length", F.coalesce(F.octet_length("html"), F.lit(0)).cast("string")), ("Date", F.concat(F.lit("second "), (p * 10).cast("string")))).alias("headers"), F.col("html").alias("body"))
     again = pages.select(
         (p * 2 + 1).alias("record_id"), F.concat(F.regexp_replace("url", r"#.*$", ""), F.lit("#again")).alias("url"), (p * 10 + 5).alias("captured"), F.lit(304).alias("status"),
         F.when(p % 5 <= 1, text(("etag", F.concat(F.lit('"'), digest, F.lit('"'))), *common)).when(p % 5 == 2, text(("last-modified", date), *common))
@@ -165,7 +168,7 @@ r AS (
 )
 SELECT record_id, captured, outcome, CASE WHEN outcome = 'resolved' THEN q * 2 END AS response_id,
   CASE WHEN outcome = 'resolved' THEN
-    'cache-control: max-age=60' || chr(10) || 'content-length: ' || strlen(html) || chr(10) || 'date: second ' || captured || chr(10)
+    'cache-control: max-age=60' || chr(10) || 'content-length: ' || coalesce(strlen(html), 0) || chr(10) || 'date: second ' || captured || chr(10)
     || 'etag: ' || CASE WHEN p % 5 <= 1 THEN '"' || own || '"' ELSE CASE WHEN q % 3 = 0 THEN 'W/' ELSE '' END || '"' || digest || '"' END || chr(10) || 'last-modified: ' || day
   ELSE 'cache-control: max-age=60' || chr(10) || 'connection: close' || chr(10) || 'content-length: 0' || chr(10) || 'date: second ' || captured
     || CASE WHEN p % 5 <= 1 THEN chr(10) || 'etag: "' || own || '"' WHEN p % 5 = 2 THEN chr(10) || 'last-modified: ' || own_day WHEN p % 5 = 3 THEN chr(10) || 'etag: "another"' ELSE '' END
