@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusq.functions.text import basename
+from corpusq.session import cut
 
 #: Fixed value: what stands for the chunks of a file beyond its budget.
 OMITTED = "\n...(后续内容因长度限制省略)"
@@ -53,9 +54,17 @@ def files_by_hits(hits: DataFrame) -> DataFrame:
 def batches(rows: DataFrame, order: list[str], size: int, group: list[str] | None = None) -> DataFrame:
     """Add ``batch``: consecutive slices of ``size`` in order, within group.
 
-    ``rows`` are files, sections or chunks of one file; a group is numbered in one task.
+    A group (the chunks of one file) is numbered in one task.  Without group the rows are
+    dealt out by ranges of ``order`` and numbered within each, after those of the ranges before.
     """
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*(group or [])).orderBy(*order)) - 1) / size).cast("long"))
+    if group:
+        number = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+        return rows.withColumn("batch", F.floor((number - 1) / size).cast("long"))
+    ranged = cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    before = ranged.groupBy("_range").agg(F.count("*").alias("n")).select("_range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
+    number = F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.join(before, "_range").withColumn("batch", F.floor((number - 1) / size).cast("long")).drop("_range", "_before")
 
 
 def compare_context(hits: DataFrame, max_files: int = 40) -> DataFrame:
@@ -81,28 +90,67 @@ def generated(df: DataFrame, prompt: str, generate: Callable[[str], str | None],
     return df.withColumn(name, F.pandas_udf(each, "string")(F.col(prompt)))
 
 
+def _in_order(order: list[str], text: str):
+    """The values of ``text`` of a group, in order, as an array."""
+    return F.transform(F.sort_array(F.collect_list(F.struct(*order, text))), lambda x: x[text])
+
+
+def _reduced(level: DataFrame, key: list[str], n: int, generate: Callable[[str], str | None], tree: int) -> DataFrame:
+    """key, summary: ``level`` (key, part, summary), in batches of ``tree`` parts until each key has one.
+
+    ``n`` is the largest number of parts of a key.  A single summary goes up as it is; where
+    the model gives none, the summaries it was given stand.
+    """
+    while n > 1:
+        joined = batches(level, ["part"], tree, key).groupBy(*key, "batch").agg(_in_order(["part"], "summary").alias("s"))
+        asked = generated(joined.withColumn("prompt", F.array_join("s", "\n\n")), "prompt", generate, "made")
+        summary = F.when(F.size("s") == 1, F.element_at("s", 1)).otherwise(F.coalesce("made", "prompt"))
+        level = asked.select(*key, F.col("batch").alias("part"), summary.alias("summary"))
+        n = -(-n // tree)
+    return level.select(*key, "summary")
+
+
 def summarise(chunks: DataFrame, generate: Callable[[str], str | None], batch: int = 10, tree: int = 30) -> DataFrame:
     """source_file, summary: batches of chunks are summarised, then summaries in batches until one is left.
 
     Deterministic: parts are joined in order.  Each level is one DataFrame step; the number of levels is the
     logarithm of the largest file.
     """
-    parts = batches(chunks, ["chunk_index", "rowid"], batch, ["source_file"]).groupBy("source_file", "batch").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "rowid", "text"))), lambda x: x["text"]), "\n\n").alias("prompt"))
+    parts = batches(chunks, ["chunk_index", "rowid"], batch, ["source_file"]).groupBy("source_file", "batch").agg(F.array_join(_in_order(["chunk_index", "rowid"], "text"), "\n\n").alias("prompt"))
     level = generated(parts, "prompt", generate, "summary").select("source_file", F.col("batch").alias("part"), "summary")
     most = chunks.groupBy("source_file").count().agg(F.max("count")).first()[0] or 0
-    n = -(-most // batch)
-    while n > 1:
-        joined = batches(level, ["part"], tree, ["source_file"]).groupBy("source_file", "batch").agg(F.sort_array(F.collect_list(F.struct("part", "summary"))).alias("s"))
-        one = F.size("s") == 1  # a single summary goes up as it is
-        asked = joined.withColumn("prompt", F.array_join(F.transform("s", lambda x: x["summary"]), "\n\n"))
-        level = generated(asked, "prompt", generate, "made").select("source_file", F.col("batch").alias("part"), F.when(one, F.element_at("s", 1)["summary"]).otherwise(F.col("made")).alias("summary"))
-        n = -(-n // tree)
-    return level.select("source_file", "summary")
+    return _reduced(level, ["source_file"], -(-most // batch), generate, tree)
+
+
+def file_context(chunks: DataFrame, generate: Callable[[str], str | None], key: tuple[str, ...] = ("source_file",), n: int = 30, chars: int = 12000, part_chars: int = 15000, tree: int = 30) -> DataFrame:
+    """key, content: what the model is told of each file, all of it read.
+
+    A file of at most ``n`` chunks and ``chars`` characters is told whole.  Of others, batches of n
+    chunks are summarised, a batch in several parts where it is over ``part_chars`` (a part ends
+    with the chunk that reaches them), and the summaries reduced to one; a part without answer is "(failed)".
+    """
+    key, long_ = list(key), (F.col("n") > n) | (F.col("len") > chars)
+    in_file = Window.partitionBy(*key)
+    size = F.coalesce(F.length("text"), F.lit(0))
+    sized = chunks.withColumn("rn", F.row_number().over(in_file.orderBy("chunk_index", "rowid"))).withColumn("n", F.count("*").over(in_file)).withColumn("len", F.sum(size).over(in_file))
+    whole = sized.filter(~long_).groupBy(*key).agg(F.array_join(_in_order(["rn"], "text"), "\n\n").alias("content"))
+
+    earlier = Window.partitionBy(*key, "batch").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.col("total_chunks") if "total_chunks" in chunks.columns else F.col("n")
+    told = F.concat(F.lit("[Chunk "), (F.col("chunk_index") + 1).cast("string"), F.lit("/"), total.cast("string"), F.lit("]\n"), "text")
+    parts = (
+        sized.filter(long_).withColumn("batch", F.floor((F.col("rn") - 1) / n)).withColumn("within", F.floor(F.coalesce(F.sum(size).over(earlier), F.lit(0)) / part_chars))
+        .withColumn("told", told).groupBy(*key, "batch", "within").agg(F.array_join(_in_order(["rn"], "told"), "\n\n").alias("prompt"))
+    )
+    most = parts.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
+    level = generated(parts, "prompt", generate, "summary").select(*key, F.struct("batch", "within").alias("part"), F.coalesce("summary", F.lit("(failed)")).alias("summary"))
+    return whole.unionByName(_reduced(level, key, most, generate, tree).withColumnRenamed("summary", "content"))
 
 
 def reduce_all(summaries: DataFrame, order: str, generate: Callable[[str], str | None], size: int = 30) -> DataFrame:
     """summary: one row, summaries of many files reduced in batches until one is left."""
-    level, n = summaries.select(F.col(order).cast("string").alias("part"), "summary"), summaries.count()
+    level = cut(summaries.select(F.col(order).cast("string").alias("part"), "summary"))  # the model is not asked again
+    n = level.count()
     while n > 1:
         joined = batches(level, ["part"], size).groupBy("batch").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "summary"))), lambda x: x["summary"]), "\n\n").alias("prompt"))
         level = generated(joined, "prompt", generate, "summary").select(F.format_string("%012d", "batch").alias("part"), "summary")
@@ -110,14 +158,25 @@ def reduce_all(summaries: DataFrame, order: str, generate: Callable[[str], str |
     return level.select("summary")
 
 
+def _told(files: str):
+    """Files (source_file, content) one after the other, each under its name."""
+    return F.array_join(F.transform(files, lambda x: F.concat(F.lit("【"), basename(x["source_file"]), F.lit("】\n"), x["content"])), "\n\n")
+
+
 def focus(chunks: DataFrame, task: str, generate: Callable[[str], str | None], size: int = 30) -> DataFrame:
-    """batch, files, answer: files in order, in batches, each answered for ``task``; failures say so."""
-    texts = file_text(chunks)
-    grouped = batches(texts, ["source_file"], size).groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("source_file", "content"))).alias("f"))
-    asked = grouped.select("batch", F.transform("f", lambda x: x["source_file"]).alias("files"), F.concat(F.lit(task + "\n\n"), F.array_join(F.transform("f", lambda x: F.concat(F.lit("【"), basename(x["source_file"]), F.lit("】\n"), x["content"])), "\n\n")).alias("prompt"))
+    """batch, files, answer: files in order, in batches, each answered for ``task`` from the files' contexts; failures say so."""
+    batch = batches(chunks.select("source_file").distinct(), ["source_file"], size)
+    grouped = file_context(chunks, generate).join(batch, "source_file").groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("source_file", "content"))).alias("f"))
+    asked = grouped.select("batch", F.transform("f", lambda x: x["source_file"]).alias("files"), F.concat(F.lit(task + "\n\n"), _told("f")).alias("prompt"))
     return generated(asked, "prompt", generate).withColumn("answer", F.coalesce("answer", F.lit("(failed)"))).drop("prompt")
 
 
+def focus_report(chunks: DataFrame, task: str, generate: Callable[[str], str | None], size: int = 30) -> DataFrame:
+    """summary: one row, the answers of all batches of ``focus`` made one; no row without chunks."""
+    answers = focus(chunks, task, generate, size).select(F.format_string("%012d", "batch").alias("part"), F.col("answer").alias("summary"))
+    return reduce_all(answers, "part", generate)
+
+
 def union_sources(batches_of_sources: DataFrame) -> DataFrame:
     """First occurrence of each file_path over batches, in order of (batch, pos)."""
     first = Window.partitionBy("file_path").orderBy("batch", "pos")
@@ -125,16 +184,20 @@ def union_sources(batches_of_sources: DataFrame) -> DataFrame:
 
 
 def scan_report(sections: DataFrame, hits: DataFrame, generate: Callable[[str], str | None], size: int = 30) -> DataFrame:
-    """ord, title, files, report: for every section the files that match it, most hits first, answered in batches and joined.
+    """ord, title, files, report: for every section the files that match it, most hits first, answered in batches and the answers made one.
 
-    ``hits`` has ord (of the section), source_file, chunk_index, rowid, text.
+    ``hits`` has ord (of the section), source_file, chunk_index, rowid, text.  Of every file all hits are read.
     """
-    counted = hits.groupBy("ord", "source_file").agg(F.count("*").alias("hits"), F.array_join(F.transform(F.slice(F.sort_array(F.collect_list(F.struct("chunk_index", "rowid", F.substring("text", 1, 2000).alias("t")))), 1, 30), lambda x: x["t"]), "\n\n").alias("content"))
-    in_section = Window.partitionBy("ord").orderBy(F.desc("hits"), "source_file")
-    placed = counted.withColumn("batch", F.floor((F.row_number().over(in_section) - 1) / size).cast("long"))
-    asked = placed.groupBy("ord", "batch").agg(F.count("*").alias("files"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("hits")).alias("h"), "source_file", "content"))), lambda x: x["content"]), "\n\n").alias("prompt"))
-    answers = generated(asked, "prompt", generate).groupBy("ord").agg(F.sum("files").alias("files"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("batch", "answer"))), lambda x: x["answer"]), "\n\n").alias("body"))
-    return sections.join(answers, "ord", "left").select("ord", "title", F.coalesce("files", F.lit(0)).alias("files"), F.concat(F.lit("## "), "title", F.lit("\n"), F.coalesce("body", F.lit(""))).alias("report")).orderBy("ord")
+    counted = hits.groupBy("ord", "source_file").agg(F.count("*").alias("hits")).withColumn("less", -F.col("hits"))
+    placed = batches(counted, ["less", "source_file"], size, ["ord"])
+    grouped = file_context(hits, generate, ("ord", "source_file")).join(placed, ["ord", "source_file"]).groupBy("ord", "batch").agg(F.count("*").alias("files"), F.sort_array(F.collect_list(F.struct("less", "source_file", "content"))).alias("f"))
+    asked = grouped.join(sections.select("ord", "title"), "ord").withColumn("prompt", F.concat("title", F.lit("\n\n"), _told("f")))
+    answers = cut(generated(asked, "prompt", generate).select("ord", F.col("batch").alias("part"), "files", F.coalesce("answer", F.lit("(failed)")).alias("summary")))
+    facts = answers.groupBy("ord").agg(F.sum("files").alias("files"), F.count("*").alias("n"))
+    most = facts.agg(F.max("n")).first()[0] or 0
+    body = _reduced(answers.drop("files"), ["ord"], most, generate, 30).withColumnRenamed("summary", "body")
+    told = sections.join(facts, "ord", "left").join(body, "ord", "left")
+    return told.select("ord", "title", F.coalesce("files", F.lit(0)).alias("files"), F.concat(F.lit("## "), "title", F.lit("\n"), F.coalesce("body", F.lit(""))).alias("report")).orderBy("ord")
 
 
 def material(sections: DataFrame, hits: DataFrame, generate: Callable[[str], str | None], chars: int = 1000) -> DataFrame:

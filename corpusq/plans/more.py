@@ -171,8 +171,39 @@ def summary_tree(spark, sf_dir):
     return analysis.summarise(chunks(spark, sf_dir, with_vector=False), _digest)
 
 
-@query(f"""WITH c AS ({chunks_sql()}), t AS (SELECT source_file, string_agg(substr(text, 1, 2000), chr(10) || chr(10) ORDER BY chunk_index) AS whole FROM (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY chunk_index, rowid) AS rn FROM c) WHERE rn <= 30 GROUP BY source_file),
-f AS (SELECT source_file, (row_number() OVER (ORDER BY source_file) - 1) // 30 AS batch, CASE WHEN length(whole) > 12000 THEN substr(whole, 1, 12000) || chr(10) || '...(truncated)' ELSE whole END AS content FROM t)
-SELECT batch, string_agg(source_file, ',' ORDER BY source_file) AS files, md5('task' || chr(10) || chr(10) || string_agg('【' || regexp_extract(source_file, '[^/]*$') || '】' || chr(10) || content, chr(10) || chr(10) ORDER BY source_file)) AS answer FROM f GROUP BY batch""")
+_FOCUS = f"""WITH c AS ({chunks_sql()}), r AS (SELECT source_file, chunk_index, total_chunks, text, row_number() OVER (PARTITION BY source_file ORDER BY chunk_index, rowid) AS rn,
+count(*) OVER (PARTITION BY source_file) > 30 OR sum(length(text)) OVER (PARTITION BY source_file) > 12000 AS big FROM c),
+p AS (SELECT *, (rn - 1) // 30 AS run, coalesce(sum(length(text)) OVER (PARTITION BY source_file, (rn - 1) // 30 ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 15000 AS within FROM r WHERE big),
+q AS (SELECT source_file, run, within, md5(string_agg('[Chunk ' || (chunk_index + 1) || '/' || total_chunks || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rn)) AS s FROM p GROUP BY ALL),
+a AS (SELECT source_file, row_number() OVER (PARTITION BY source_file ORDER BY run, within) - 1 AS part, s FROM q), {_UP.format(to='b', of='a')}, {_UP.format(to='d', of='b')}, {_UP.format(to='e', of='d')},
+t AS (SELECT source_file, s AS content FROM e UNION ALL SELECT source_file, string_agg(text, chr(10) || chr(10) ORDER BY rn) FROM r WHERE NOT big GROUP BY source_file),
+f AS (SELECT source_file, (row_number() OVER (ORDER BY source_file) - 1) // 30 AS batch, content FROM t),
+g AS (SELECT batch, string_agg(source_file, ',' ORDER BY source_file) AS files, md5('task' || chr(10) || chr(10) || string_agg('【' || regexp_extract(source_file, '[^/]*$') || '】' || chr(10) || content, chr(10) || chr(10) ORDER BY source_file)) AS answer FROM f GROUP BY batch)"""
+
+
+@query(f"{_FOCUS} SELECT batch, files, answer FROM g")
 def focus_batches(spark, sf_dir):
     return analysis.focus(chunks(spark, sf_dir, with_vector=False), "task", _digest, 30).select("batch", F.array_join("files", ",").alias("files"), "answer")
+
+
+@query(f"{_FOCUS} SELECT CASE WHEN count(*) = 1 THEN min(answer) ELSE md5(string_agg(answer, chr(10) || chr(10) ORDER BY batch)) END AS report FROM g")
+def focus_report(spark, sf_dir):
+    return analysis.focus_report(chunks(spark, sf_dir, with_vector=False), "task", _digest, 30).withColumnRenamed("summary", "report")
+
+
+@query("""WITH s AS (SELECT item_id AS ord, 'S' || item_id AS title FROM benchmark), h AS (SELECT doc_id % 7 AS ord, '/kb/' || lang AS source_file, count(*) AS hits,
+count(*) > 30 OR sum(length(text)) > 12000 AS big, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS whole FROM documents GROUP BY ALL),
+r AS (SELECT doc_id % 7 AS ord, '/kb/' || lang AS source_file, doc_id, text, row_number() OVER (PARTITION BY doc_id % 7, lang ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY doc_id % 7, lang) AS n FROM documents),
+p AS (SELECT r.*, (rn - 1) // 30 AS run, coalesce(sum(length(text)) OVER (PARTITION BY ord, source_file, (rn - 1) // 30 ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 15000 AS within FROM r),
+q AS (SELECT ord, source_file, run, within, md5(string_agg('[Chunk ' || (doc_id + 1) || '/' || n || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rn)) AS s FROM p GROUP BY ALL),
+a AS (SELECT ord, source_file, row_number() OVER (PARTITION BY ord, source_file ORDER BY run, within) - 1 AS part, s FROM q),
+b AS (SELECT ord, source_file, part // 30 AS part, CASE WHEN count(*) = 1 THEN min(s) ELSE md5(string_agg(s, chr(10) || chr(10) ORDER BY part)) END AS s FROM a GROUP BY ord, source_file, part // 30),
+d AS (SELECT ord, source_file, part // 30 AS part, CASE WHEN count(*) = 1 THEN min(s) ELSE md5(string_agg(s, chr(10) || chr(10) ORDER BY part)) END AS s FROM b GROUP BY ord, source_file, part // 30),
+e AS (SELECT ord, source_file, CASE WHEN count(*) = 1 THEN min(s) ELSE md5(string_agg(s, chr(10) || chr(10) ORDER BY part)) END AS s FROM d GROUP BY ALL),
+t AS (SELECT h.ord, h.source_file, hits, CASE WHEN big THEN s ELSE whole END AS content FROM h JOIN e ON e.ord = h.ord AND e.source_file = h.source_file),
+g AS (SELECT ord, count(*) AS files, string_agg('【' || regexp_extract(source_file, '[^/]*$') || '】' || chr(10) || content, chr(10) || chr(10) ORDER BY hits DESC, source_file) AS told FROM t GROUP BY ord)
+SELECT s.ord, coalesce(files, 0) AS files, '## ' || title || chr(10) || coalesce(md5(title || chr(10) || chr(10) || told), '') AS report FROM s LEFT JOIN g ON g.ord = s.ord""")
+def scan_report(spark, sf_dir):
+    sections = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), F.concat(F.lit("S"), F.col("item_id").cast("string")).alias("title"))
+    hits = table(spark, sf_dir, "documents").select((F.col("doc_id") % 7).alias("ord"), F.concat(F.lit("/kb/"), "lang").alias("source_file"), F.col("doc_id").alias("chunk_index"), F.col("doc_id").alias("rowid"), "text")
+    return analysis.scan_report(sections, hits, _digest).select("ord", "files", "report")

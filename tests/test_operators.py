@@ -38,12 +38,22 @@ def test_summary_tree_and_reduce(spark):
 
 def test_focus_scan_material(spark):
     c = file_chunks(spark, {"b": 2, "a": 40})
+    assert analysis.batches(c, ["source_file", "chunk_index"], 10).groupBy("batch").count().orderBy("batch").collect() == [(0, 10), (1, 10), (2, 10), (3, 10), (4, 2)]
     got = analysis.focus(c, "do it", lambda p: None if "【a】" in p else p[:5], size=1).orderBy("batch").collect()
     assert [(r.files, r.answer) for r in got] == [(["a"], "(failed)"), (["b"], "do it")]
     sections = spark.createDataFrame([(1, "One"), (2, "Two")], "ord int, title string")
     hits = c.select(*[c[x] for x in ("rowid", "text", "source_file", "chunk_index")]).selectExpr("1 as ord", "*")
     report = analysis.scan_report(sections, hits, lambda p: str(len(p.split("\n\n"))), size=30).collect()
-    assert [(r.ord, r.files, r.report) for r in report] == [(1, 2, "## One\n32"), (2, 0, "## Two\n")]
+    assert [(r.ord, r.files, r.report) for r in report] == [(1, 2, "## One\n4"), (2, 0, "## Two\n")]
+    report = analysis.scan_report(sections, hits, lambda p: None, size=1).collect()
+    assert report[0].report == "## One\n(failed)\n\n(failed)"
+    long = {r.source_file: r.content for r in analysis.file_context(c, lambda p: f"<{p.count('[Chunk')}{p.count('<')}>").collect()}
+    assert long["b"].count("\n\n") == 1 and long["a"] == "<02>"
+    wide = spark.createDataFrame([("w", i, i, "x" * 8000) for i in range(5)] + [("w", 5, 5, None)], "source_file string, chunk_index long, rowid long, text string")
+    assert [r.content for r in analysis.file_context(wide, lambda p: f"<{p.count('x')}>").collect()] == ["<0>"]
+    assert [r.content for r in analysis.file_context(wide, lambda p: None).collect()] == ["(failed)\n\n(failed)\n\n(failed)"]
+    assert len(analysis.focus_report(c, "do it", lambda p: p[:5], size=1).collect()) == 1
+    assert analysis.focus_report(c.limit(0), "do it", lambda p: p).collect() == []
     tree = outline.tree_sections(spark.createDataFrame([(1, "1. Aim\nnote\n1.1 Part\n2. End")], "id long, text string"))
     h = spark.createDataFrame([(1, 1, 1, "x" * 2000), (1, 1, 2, "y")], "id long, ord long, rank int, text string")
     made = analysis.material(tree, h, lambda p: str(len(p))).orderBy("ord").collect()
