@@ -106,7 +106,7 @@ def whole(views: DataFrame) -> DataFrame:
 
 
 def op9_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = perspectives(table(spark, sf_dir, "conversations").withColumnRenamed("role", "speaker"))
+    got = perspectives(table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("speaker"), "text"))
     spans = F.array_join(F.transform("masks", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     return got.select("conv_id", "perspective", F.col("part").cast("long").alias("part"), F.col("n_turns").cast("long").alias("n_turns"), "start", "rendered", spans.alias("masks"))
 
