@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusq.functions.text import basename
+from corpusq.operators import outline
+from corpusq.operators.search import keyword_search, vector_search_many
 from corpusq.session import cut
 
 #: Fixed value: what stands for the chunks of a file beyond its budget.
@@ -203,14 +205,44 @@ def scan_report(sections: DataFrame, hits: DataFrame, generate: Callable[[str],
 def material(sections: DataFrame, hits: DataFrame, generate: Callable[[str], str | None], chars: int = 1000) -> DataFrame:
     """id, ord, number, title, depth, content: for every top section of an outline a text made of its hits.
 
-    ``sections`` is of ``outline.tree_sections``; ``hits`` has id, ord, rank and text of the search for each top section.
+    ``sections`` is of ``outline.tree_sections``; ``hits`` has id, ord, rank and text of the search for each top section; with source_file each text is headed by its file.
     """
-    found = hits.groupBy("id", "ord").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.substring("text", 1, chars).alias("t")))), lambda x: x["t"]), "\n\n").alias("context"))
+    head = F.concat(F.lit("[Source: "), basename(F.col("source_file")), F.lit("]\n")) if "source_file" in hits.columns else F.lit("")
+    told = F.concat(head, F.substring("text", 1, chars))
+    found = hits.groupBy("id", "ord").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", told.alias("t")))), lambda x: x["t"]), "\n\n").alias("context"))
     top = sections.filter("parent_ord is null").join(found, ["id", "ord"], "left")
     prompt = F.concat(F.col("number"), F.lit(" "), "title", F.lit("\n"), F.array_join("extra", "\n"), F.lit("\n\n"), F.coalesce("context", F.lit("")))
     return generated(top.withColumn("prompt", prompt), "prompt", generate, "content").select("id", "ord", "number", "title", "depth", F.coalesce("content", F.lit("(failed)")).alias("content"))
 
 
+def written_material(outlines: DataFrame, chunks: DataFrame, embed: Callable[[str], list[float]], generate: Callable[[str], str | None], top_k: int = 50, polish: str = "Polish this document; return all of it.\n\n") -> tuple[DataFrame, DataFrame]:
+    """The sections of ``material`` with their sources (file, file_path, score), and (id, document): from outlines (id, text) to polished documents.
+
+    Every top section's title is searched by its vector, by words where ``embed`` fails, and all hits fetched are told.
+    The titles, of outlines that people wrote, come to the driver.  Without an answer the unpolished document stands.
+    """
+    tree = cut(outline.tree_sections(outlines))
+    top = tree.filter("parent_ord is null").select("id", "ord", "title").collect()
+    vectors, found = {}, []
+    for title in sorted({r["title"] for r in top}):
+        try:
+            vectors[title] = embed(title)
+        except Exception:  # whatever the embedding service raises
+            hits = keyword_search(chunks, title, top_k).select("source_file", "rowid", "text", "score")
+            found.append(hits.select(F.lit(title).alias("title"), "source_file", "text", "score", F.row_number().over(Window.orderBy("rowid")).alias("rank")))  # the few hits fetched
+    hits = vector_search_many(chunks, list(vectors.items()), top_k).select(F.col("point").alias("title"), "source_file", "text", "score", "rank")
+    for more in found:
+        hits = hits.unionByName(more)
+    hits = cut(tree.filter("parent_ord is null").select("id", "ord", "title").join(hits, "title"))
+    made = cut(material(tree, hits.select("id", "ord", "rank", "text", "source_file"), generate))  # the model is not asked again
+    firsts = hits.groupBy("id", "ord", "source_file").agg(F.min_by(F.struct("rank", "score"), "rank").alias("h"))
+    source = F.struct(F.col("h.rank").alias("rank"), basename(F.col("source_file")).alias("file"), F.col("source_file").alias("file_path"), F.round("h.score", 3).alias("score"))
+    sources = firsts.groupBy("id", "ord").agg(F.transform(F.sort_array(F.collect_list(source)), lambda x: F.struct(x["file"].alias("file"), x["file_path"].alias("file_path"), x["score"].alias("score"))).alias("sources"))
+    whole = outline.assemble(made).withColumn("prompt", F.concat(F.lit(polish), "document"))
+    polished = generated(whole, "prompt", generate, "polished").select("id", F.coalesce(F.nullif("polished", F.lit("")), "document").alias("document"))
+    return made.join(sources, ["id", "ord"], "left"), polished
+
+
 def templates(named: dict[str, str], prefix: str | None = None) -> dict[str, str]:
     """Outline templates, those whose name starts with ``prefix`` if given."""
     return {k: v for k, v in named.items() if prefix is None or k.startswith(prefix)}

@@ -44,7 +44,7 @@ def embed_chunks(chunks: DataFrame, embed: Callable[[list[str]], list[list[float
 
 def ingest(
     spark: SparkSession, source: str | DataFrame, store: ChunkStore, embed: Callable[[list[str]], list], manifest: DataFrame | None = None, context: Context | None = None, indexed_at: float = 0.0,
-    lossless: bool = True, replaced: DataFrame | None = None,
+    lossless: bool = True, replaced: DataFrame | None = None, cancelled: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Index what is new or changed below a folder; the manifest afterwards, and the status of every file.
 
@@ -52,12 +52,17 @@ def ingest(
     that was broken off continues where it stopped.  Long chunks go on in
     further chunks; with ``lossless=False`` their rest is dropped.  Chunks of changed files, and of the
     files ``replaced``, go in the version that brings the new ones, and stay if a file cannot be read now.
+    Files of ``cancelled`` (path) that would be indexed are left alone and have that status.
     """
     files = scan_directory(spark, source) if isinstance(source, str) else source
     listed = files.select("path", F.md5("content").alias("hash"))
     numbered = listed.withColumn("pos", F.col("path"))
     judged = cut(status.dedup(numbered, manifest).select("path", "hash", "verdict"))
     wanted = judged.filter(F.col("verdict").isin("new", "changed"))
+    if cancelled is not None:
+        kept = status.remove_paths(wanted, cancelled)
+        judged = cut(judged.join(wanted.join(kept.select("path"), "path", "left_anti").select("path", F.lit("cancelled").alias("_off")), "path", "left").select("path", "hash", F.coalesce("_off", "verdict").alias("verdict")))
+        wanted = judged.filter(F.col("verdict").isin("new", "changed"))
     parsed = cut(parse_files(files.join(wanted.select("path"), "path", "left_semi"), context))
     chunks = cut(embed_chunks(chunk_documents(parsed.filter("error is null"), lossless=lossless).drop("page"), embed))
     changed = judged.filter("verdict = 'changed'").select("path")
@@ -70,7 +75,7 @@ def ingest(
         judged.join(parsed.select(F.col("file_path").alias("path"), "error"), "path", "left").join(per, F.col("path") == F.col("source_file"), "left")
         .select(
             "path", "hash",
-            F.when(F.col("verdict").startswith("duplicate"), "duplicate").when(F.col("verdict") == "unchanged", "embedded").when(F.col("error").isNotNull(), "error")
+            F.when(F.col("verdict").startswith("duplicate"), "duplicate").when(F.col("verdict") == "unchanged", "embedded").when(F.col("verdict") == "cancelled", "cancelled").when(F.col("error").isNotNull(), "error")
             .when(F.col("chunks").isNull(), "parsed").when(F.col("vectors") < F.col("chunks"), "error").otherwise("embedded").alias("status"),
             F.coalesce("error", F.when(F.col("vectors") < F.col("chunks"), "embedding failed")).alias("error"), F.coalesce("chunks", F.lit(0)).alias("chunks"),
         )

@@ -107,6 +107,19 @@ def vector_search(chunks: DataFrame, query_vector: list[float] | None, top_k: in
     )
 
 
+def vector_search_many(chunks: DataFrame, queries: list[tuple[str, list[float]]], top_k: int = 5, n_vectors: int | None = None) -> DataFrame:
+    """``vector_search`` for many (point, vector) in one pass over the chunks; adds ``point`` and ``rank``."""
+    with_vector = chunks.filter(F.col("vector").isNotNull())
+    if not queries:
+        return with_vector.select(F.lit("").alias("point"), *HIT_COLUMNS, F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
+    if 5 * top_k < 200 and n_vectors is None:
+        n_vectors = with_vector.count()
+    near = [F.struct(F.lit(p).alias("point"), dot(F.col("vector"), F.array(*[F.lit(float(x)) for x in v])).alias("score")) for p, v in queries]
+    by_score = Window.partitionBy("point").orderBy(F.desc("score"), "rowid")  # a rank limit, applied before the shuffle too
+    ranked = with_vector.select(*HIT_COLUMNS, F.inline(F.array(*near))).withColumn("rank", F.row_number().over(by_score))
+    return ranked.filter(F.col("rank") <= fetch_size(n_vectors or 200, top_k)).select("point", *HIT_COLUMNS, "score", "rank")
+
+
 def vector_search_arrow(chunks: DataFrame, query_vector: list[float], fetch_k: int) -> DataFrame:
     """The same by one matrix product an Arrow batch, each batch keeping its best ``fetch_k``."""
     import numpy as np

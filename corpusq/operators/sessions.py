@@ -6,6 +6,10 @@ created_at); the view of sessions is derived from them and from session events.
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +40,74 @@ def current_sessions(events: DataFrame, turns: DataFrame) -> DataFrame:
         F.col("session_id").alias("id"), "topic", "is_active", "created_at", F.greatest("event_at", "turn_at").alias("updated_at"), F.coalesce("turn_count", F.lit(0)).alias("turn_count"))
 
 
+EVENTS = "seq long, session_id string, kind string, value string, at long"
+TURNS = f"id long, session_id string, role string, content string, sources {SOURCES}, created_at long"
+
+
+@dataclass
+class SessionLog:
+    """Sessions and turns below a folder, written by appending; times are numbers that the caller gives and grow."""
+
+    spark: SparkSession
+    base: str
+
+    def _read(self, part: str, schema: str) -> DataFrame:
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.base}/{part}")
+        except AnalysisException:  # nothing written yet
+            return self.spark.createDataFrame([], schema)
+
+    def append_events(self, events: DataFrame) -> None:
+        """Rows (session_id, kind, value, at) of any number of sessions."""
+        events.select(F.col("at").cast("long").alias("seq"), F.col("session_id").cast("string").alias("session_id"), "kind", "value", F.col("at").cast("long").alias("at")).write.mode("append").parquet(f"{self.base}/events")
+
+    def append_turns(self, turns: DataFrame) -> None:
+        """Rows (session_id, role, content, at), and sources if there are."""
+        sources = F.col("sources").cast(SOURCES) if "sources" in turns.columns else F.lit(None).cast(SOURCES)
+        at = F.col("at").cast("long")
+        turns.select(at.alias("id"), F.col("session_id").cast("string").alias("session_id"), "role", "content", sources.alias("sources"), at.alias("created_at")).write.mode("append").parquet(f"{self.base}/turns")
+
+    def _one(self, session_id: str, kind: str, value: str, at: int) -> None:
+        self.append_events(self.spark.createDataFrame([(session_id, kind, value, at)], "session_id string, kind string, value string, at long"))
+
+    def turns(self) -> DataFrame:
+        gone = self._read("events", EVENTS).filter("kind = 'delete'").select("session_id").distinct()
+        return delete_sessions(self._read("turns", TURNS), gone)
+
+    def sessions(self) -> DataFrame:
+        return current_sessions(self._read("events", EVENTS), self.turns())
+
+    def create(self, at: int, topic: str = "") -> str:
+        made = uuid.uuid4().hex[:12]
+        self._one(made, "create", topic, at)
+        return made
+
+    def _known(self, session_id: str) -> bool:
+        return not self.sessions().filter(F.col("id") == session_id).isEmpty()
+
+    def change(self, session_id: str, kind: str, at: int, value: str = "") -> bool:
+        """topic, switch, close or delete; False for a session that is not there."""
+        if not self._known(session_id):
+            return False
+        self._one(session_id, kind, value, at)
+        return True
+
+    def active(self, at: int, session_id: str | None = None) -> str:
+        """The session asked for, or without one the active one updated last; a new one where there is none."""
+        found = active_session(self.sessions(), session_id).select("id").first()
+        return found["id"] if found else self.create(at)
+
+    def add_turn(self, session_id: str, role: str, content: str, at: int, sources: list[dict] | None = None) -> None:
+        one = self.spark.createDataFrame([(session_id, role, content, at, [tuple(s.get(k) for k in ("file", "file_path", "snippet", "score")) for s in sources or []])], f"session_id string, role string, content string, at long, sources {SOURCES}")
+        self.append_turns(one)
+
+    def enforce_limits(self, at: int, keep: int = MAX_SESSIONS) -> None:
+        """Delete the oldest inactive sessions in excess of ``keep``."""
+        all_ = self.sessions()
+        gone = all_.join(retained_sessions(all_, keep).select("id"), "id", "left_anti")
+        self.append_events(gone.select(F.col("id").alias("session_id"), F.lit("delete").alias("kind"), F.lit("").alias("value"), F.lit(at).alias("at")))
+
+
 def session_turns(sessions: DataFrame, turns: DataFrame) -> DataFrame:
     return sessions.select(F.col("id").alias("session_id"), "topic").join(turns, "session_id").orderBy("session_id", "id")
 

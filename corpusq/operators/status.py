@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusq.functions.text import basename
+
 STATES = ("pending", "parsing", "parsed", "embedding", "embedded", "duplicate", "error", "cancelling", "cancelled")
 UNFINISHED = ("pending", "parsing", "parsed", "embedding")
 
@@ -74,6 +79,58 @@ def remove_paths(table: DataFrame, paths: DataFrame, key: str = "path") -> DataF
     return table.join(gone, normal_path(key) == gone["_p"], "left_anti")
 
 
+def paths_of(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """source_file: the files that the paths of ``wanted`` name, both kinds of slashes being one.
+
+    If none of the paths is that of a file, they go by basename; of files with one basename the last path counts.
+    """
+    slashed = lambda c: F.regexp_replace(c, r"\\", "/")
+    known = files.select("source_file").distinct()
+    exact = known.join(wanted.select(slashed("path").alias("_p")).distinct(), slashed("source_file") == F.col("_p"), "left_semi")
+    if not exact.isEmpty():
+        return exact
+    last = known.groupBy(basename(F.col("source_file")).alias("_n")).agg(F.max("source_file").alias("source_file"))
+    return last.join(wanted.select(basename(F.col("path")).alias("_n")).distinct(), "_n", "left_semi").select("source_file")
+
+
+FAILED = "group string, name string, path string, status string, error string"
+
+
+@dataclass
+class FailedFiles:
+    """Failed files of the last run as a table that is only appended to; files retried with success leave it."""
+
+    spark: SparkSession
+    base: str
+
+    def _rows(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(f"seq int, kind string, {FAILED}").option("recursiveFileLookup", True).parquet(self.base)
+        except AnalysisException:  # nothing written yet
+            return self.spark.createDataFrame([], f"seq int, kind string, {FAILED}")
+
+    def _append(self, rows: DataFrame, kind: str) -> None:
+        seq = (self._rows().agg(F.max("seq")).first()[0] or 0) + 1
+        names = [c.split()[0] for c in FAILED.split(", ")]
+        given = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in names]
+        # a save without rows has to be known too
+        none = self.spark.createDataFrame([(seq, "none")], "seq int, kind string")
+        rows.select(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), *given).unionByName(none.withColumn("kind", F.lit(f"{kind} ends")), True).write.mode("append").parquet(self.base)
+
+    def save(self, failed: DataFrame) -> None:
+        """``failed`` (rows of ``failed_groups``, with name) takes the place of what was saved before."""
+        self._append(failed, "save")
+
+    def remove(self, paths: DataFrame) -> None:
+        self._append(paths.select("path"), "gone")
+
+    def load(self) -> DataFrame:
+        rows = self._rows()
+        last = rows.filter("kind = 'save ends'").agg(F.max("seq")).first()[0] or 0
+        gone = rows.filter((F.col("kind") == "gone") & (F.col("seq") > last))
+        return remove_paths(rows.filter((F.col("kind") == "save") & (F.col("seq") == last)), gone).drop("seq", "kind")
+
+
 def profile(timings: DataFrame, slowest: int = 3) -> tuple[DataFrame, DataFrame]:
     """Totals of (path, chunks, ms), and the slowest files."""
     total = timings.agg(F.sum("ms").alias("total_ms"), F.sum("chunks").alias("chunks"), F.try_divide(F.sum("ms"), F.sum("chunks")).alias("ms_per_chunk"))

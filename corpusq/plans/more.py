@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusq.functions import text as tx
-from corpusq.operators import analysis, rag, sessions
+from corpusq.operators import analysis, model, rag, sessions, status
 from corpusq.operators.ingest import ingest
-from corpusq.operators.store import ChunkStore
+from corpusq.operators.store import ChunkStore, Libraries
 from corpusq.plans.catalog import ORACLE_SQL, QUERIES, query
 from corpusq.plans.views import chunks, chunks_sql, table
 from corpusq.session import shared_dir
@@ -137,8 +137,133 @@ def ingested(spark, sf_dir):
     return store.load().join(state.select(F.col("path").alias("source_file"), "status"), "source_file").select("source_file", "text", "status", F.round(F.col("vector")[0].cast("double"), 4).alias("first"))
 
 
+@query("""SELECT '/kb/b' || item_id || '.csv' AS path, CASE WHEN item_id % 5 = 0 THEN 'cancelled' ELSE 'embedded' END AS status, CASE WHEN item_id % 5 = 0 THEN 0 ELSE 1 END AS stored FROM benchmark""")
+def cancelled_files(spark, sf_dir):
+    """Every fifth file is cancelled before its turn, by a path of other case and slashes."""
+    store = ChunkStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    n = F.col("item_id")
+    folder = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("/kb/b"), n.cast("string"), F.lit(".csv")).alias("path"), F.concat(F.lit("item,"), n.cast("string"), F.lit("\n")).cast("binary").alias("content"))
+    off = table(spark, sf_dir, "benchmark").filter(n % 5 == 0).select(F.concat(F.lit("\\KB\\B"), n.cast("string"), F.lit(".csv")).alias("path"))
+    _, state = ingest(spark, folder, store, lambda texts: [[1.0]] * len(texts), cancelled=off)
+    stored = store.load().groupBy(F.col("source_file").alias("path")).agg(F.count("*").cast("int").alias("stored"))
+    return state.join(stored, "path", "left").select("path", "status", F.coalesce("stored", F.lit(0)).alias("stored"))
+
+
+# ---- paths of files, failed files, libraries
+
+@query(f"""WITH c AS ({chunks_sql()}), w AS (SELECT item_id % 4 = 0 AS exact, item_id, '/kb/' || ['en', 'fr', 'de', 'es'][item_id % 4 + 1] || '/src' || item_id % 20 || ['.pdf', '.docx', '.xlsx', '.pptx'][item_id % 4 + 1] AS p FROM benchmark)
+SELECT DISTINCT 'exact' AS by, source_file FROM c WHERE source_file IN (SELECT p FROM w)
+UNION ALL SELECT 'name', max(source_file) FROM c WHERE regexp_extract(source_file, '[^/]*$') IN (SELECT regexp_extract(p, '[^/]*$') FROM w) GROUP BY regexp_extract(source_file, '[^/]*$')""")
+def path_lookup(spark, sf_dir):
+    n = F.col("item_id")
+    at = lambda *names: F.element_at(F.array(*map(F.lit, names)), (n % 4 + 1).cast("int"))
+    w = table(spark, sf_dir, "benchmark").select(at("en", "fr", "de", "es").alias("lang"), F.concat(F.lit("src"), (n % 20).cast("string"), at(".pdf", ".docx", ".xlsx", ".pptx")).alias("name"))
+    c = chunks(spark, sf_dir, with_vector=False)
+    exact = status.paths_of(c, w.select(F.concat(F.lit("\\kb\\"), "lang", F.lit("\\"), "name").alias("path")))
+    named = status.paths_of(c, w.select(F.concat(F.lit("/elsewhere/"), "name").alias("path")))
+    return exact.select(F.lit("exact").alias("by"), "source_file").unionByName(named.select(F.lit("name").alias("by"), "source_file"))
+
+
+@query("""SELECT '/KB//x/' || item_id AS path, md5(text) AS hash FROM benchmark WHERE item_id % 3 <> 0""")
+def manifest_removed(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark")
+    manifest = b.select(F.concat(F.lit("/KB//x/"), F.col("item_id").cast("string")).alias("path"), F.md5(F.col("text").cast("binary")).alias("hash"))
+    return status.remove_paths(manifest, b.filter("item_id % 3 = 0").select(F.concat(F.lit("\\kb\\x\\.\\"), F.col("item_id").cast("string")).alias("path")))
+
+
+@query("""SELECT ['parse_error', 'embed_error', 'duplicate', 'cancelled'][item_id % 4 + 1] AS group, '/kb/' || item_id AS path, 'n' || item_id AS name FROM benchmark WHERE item_id % 3 <> 0""")
+def failed_table(spark, sf_dir):
+    """Failures of a run are saved over those of the run before, and every third file is retried with success."""
+    n = F.col("item_id")
+    failed = table(spark, sf_dir, "benchmark").select(
+        F.element_at(F.array(*map(F.lit, ("parse_error", "embed_error", "duplicate", "cancelled"))), (n % 4 + 1).cast("int")).alias("group"), F.concat(F.lit("n"), n.cast("string")).alias("name"), F.concat(F.lit("/kb/"), n.cast("string")).alias("path"))
+    kept = status.FailedFiles(spark, f"{shared_dir(spark)}/failed-{uuid.uuid4().hex}")
+    kept.save(failed.withColumn("name", F.lit("before")))
+    kept.remove(failed.select("path"))
+    kept.save(failed)
+    kept.remove(failed.filter("substring(name, 2) % 3 = 0").select("path"))
+    return kept.load().select("group", "path", "name")
+
+
+@query("""SELECT n_nationkey, n_name AS found FROM nation WHERE n_nationkey <> 3""")
+def library_names(spark, sf_dir):
+    """A library is made for every nation but one and is found in any case and with blanks around."""
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect()  # 25 rows
+    libs = Libraries(spark, f"{shared_dir(spark)}/libraries-{uuid.uuid4().hex}")
+    for row in nations:
+        libs.create(row["n_name"])
+    libs.delete(next(r["n_name"] for r in nations if r["n_nationkey"] == 3).lower())
+    found = [(r["n_nationkey"], libs.find(f" {r['n_name'].lower()} ")) for r in nations]
+    return spark.createDataFrame([r for r in found if r[1]], "n_nationkey int, found string")
+
+
+@query("""SELECT item_id, CASE WHEN length(text) % 3 = 0 THEN NULL WHEN length(text) % 3 = 1 THEN md5(text) ELSE 'again' END AS answer FROM benchmark""")
+def model_calls(spark, sf_dir):
+    """A model that never answers some prompts, and others only when asked again."""
+    def call(prompt: str, asked: list[int]) -> str:
+        asked.append(1)
+        if len(prompt) % 3 == 0 or len(prompt) % 3 == 2 and len(asked) < 3:
+            raise TimeoutError
+        return _digest(prompt) if len(asked) == 1 else "again"
+
+    generate = lambda prompt: model.patient(call, sleep=lambda seconds: None)(prompt, [])
+    return analysis.generated(table(spark, sf_dir, "benchmark"), "text", generate).select("item_id", "answer")
+
+
 # ---- sessions
 
+@query("""WITH n AS (SELECT conv_id, count(*) AS n, max(turn) AS t FROM conversations WHERE conv_id % 3 <> 0 GROUP BY conv_id)
+SELECT CASE WHEN c.conv_id = 7 THEN 'one' ELSE CAST(c.conv_id AS VARCHAR) END AS topic, CASE WHEN conv_id % 2 = 0 THEN 0 ELSE 1 END AS is_active, n AS turn_count FROM n c
+UNION ALL SELECT 'asked', 1, 2""")
+def session_writes(spark, sf_dir):
+    """Sessions are written in bulk and one by one, a third of them deleted, and one that is missing made."""
+    log = sessions.SessionLog(spark, f"{shared_dir(spark)}/sessions-{uuid.uuid4().hex}")
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), "role", F.col("text").alias("content"), F.col("turn").alias("at"))
+    one = c.select("session_id").distinct()
+    event = lambda kind, value, at: one.select("session_id", F.lit(kind).alias("kind"), value.alias("value"), F.lit(at).alias("at"))
+    log.append_events(event("create", F.col("session_id"), 1))
+    log.append_turns(c)
+    log.append_events(event("close", F.lit(""), 2).filter("session_id % 2 = 0").unionByName(event("delete", F.lit(""), 3).filter("session_id % 3 = 0")))
+    log.change("7", "topic", 4, "one")
+    assert not log.change("nobody", "switch", 5)
+    made = log.active(10**6, "nobody")
+    log.change(made, "topic", 10**6 + 1, "asked")
+    log.add_turn(made, "user", "q", 10**6 + 2)
+    log.add_turn(log.active(10**6 + 3), "assistant", "a", 10**6 + 3, [{"file": "f", "file_path": "/f", "snippet": "s", "score": 1.0}])
+    return log.sessions().select("topic", "is_active", "turn_count")
+
+
+@query("""SELECT 'c' || conv_id AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS id, role, md5(text) AS digest FROM conversations WHERE conv_id <> 7""")
+def migrated_sessions(spark, sf_dir):
+    """Sessions as JSON files are read, but for one that is there already."""
+    c = table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("session_id"), "turn", "role", F.coalesce("text", F.lit("")).alias("content"))
+    turns = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "content"))), lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
+    path = f"{shared_dir(spark)}/json-{uuid.uuid4().hex}"
+    # an array in a file of one line, as a file of one session would be
+    c.groupBy("session_id").agg(turns.alias("turns")).repartition("session_id").groupBy(F.spark_partition_id()).agg(F.to_json(F.collect_list(F.struct("session_id", "turns"))).alias("value")).select("value").write.text(path)
+    _, got = sessions.sessions_from_json(spark, path, spark.createDataFrame([("c7",)], "id string"))
+    return got.select("session_id", "id", "role", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+# ---- material from an outline
+
+_OUTLINE = "1. S7\nnote\n1.1 Sub\n2. S8"
+
+
+@query(f"""WITH c AS ({chunks_sql()}), s AS (SELECT * FROM (VALUES (1, '1', 'S7', 'note', 7), (3, '2', 'S8', '', 8)) t(ord, number, title, extra, vec)),
+d AS (SELECT ord, rowid, source_file, substr(text, 1, 1000) AS text, list_dot_product(CAST(vector AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS score FROM c, s JOIN embeddings ON vec_id = vec WHERE vector IS NOT NULL),
+h AS (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY score DESC, rowid) AS rank FROM d QUALIFY rank <= 250),
+m AS (SELECT ord, any_value(number) AS number, any_value(title) AS title, md5(any_value(number) || ' ' || any_value(title) || chr(10) || any_value(extra) || chr(10) || chr(10) || string_agg('[Source: ' || regexp_extract(source_file, '[^/]*$') || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank)) AS content,
+count(DISTINCT source_file) AS sources FROM h JOIN s USING (ord) GROUP BY ord),
+a AS (SELECT '# 审核/核实材料' || chr(10) || chr(10) || string_agg(chr(10) || '## ' || number || ' ' || title || chr(10) || chr(10) || chr(10) || content || chr(10), chr(10) ORDER BY ord) AS document FROM m)
+SELECT CAST(ord AS BIGINT) AS ord, title, content, sources, md5('polish' || document) AS document FROM m, a""")
+def written_material(spark, sf_dir):
+    vectors = {f"S{r['vec_id']}": [float(x) for x in r["embedding"]] for r in table(spark, sf_dir, "embeddings").filter("vec_id in (7, 8)").collect()}  # two rows
+    given = spark.createDataFrame([(1, _OUTLINE)], "id long, text string")
+    made, whole = analysis.written_material(given, chunks(spark, sf_dir), vectors.__getitem__, _digest, 50, "polish")
+    return made.join(whole, "id").select("ord", "title", "content", F.size("sources").cast("long").alias("sources"), "document")
+
+
 @query("""SELECT conv_id AS id, 't' || conv_id AS topic, 1 AS is_active, count(*) AS turn_count, greatest(max(turn), 3) AS updated_at FROM conversations GROUP BY conv_id""")
 def session_log(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")

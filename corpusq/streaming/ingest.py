@@ -42,11 +42,14 @@ def file_stream(spark: SparkSession, path: str, per_batch: int = 1000) -> DataFr
     )
 
 
-def ingest_stream(spark: SparkSession, path: str, store: ChunkStore, embed: Callable[[list[str]], list], checkpoint: str, context: Context | None = None, per_batch: int = 1000, available_now: bool = True, lossless: bool = True) -> StreamingQuery:
-    """Start ingesting; ``lastProgress`` of the query is the progress, ``stop`` ends it between batches."""
+def ingest_stream(spark: SparkSession, path: str, store: ChunkStore, embed: Callable[[list[str]], list], checkpoint: str, context: Context | None = None, per_batch: int = 1000, available_now: bool = True, lossless: bool = True, cancelled: Callable[[], DataFrame | None] = lambda: None) -> StreamingQuery:
+    """Start ingesting; ``lastProgress`` of the query is the progress, ``stop`` ends it between batches.
+
+    ``cancelled`` is asked before every batch for the files (path) that are to be left alone.
+    """
 
     def batch(files: DataFrame, number: int) -> None:
-        _, state = ingest(files.sparkSession, files, store, embed, read_manifest(store), context, float(number), lossless)
+        _, state = ingest(files.sparkSession, files, store, embed, read_manifest(store), context, float(number), lossless, cancelled=cancelled())
         write_manifest(store, state.filter("status = 'embedded'").withColumn("indexed_at", F.lit(float(number))))
 
     writer = file_stream(spark, path, per_batch).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).queryName(f"ingest-{uuid.uuid4().hex[:8]}")
