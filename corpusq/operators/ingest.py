@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusq.functions.text import basename, extension, file_type, tagged_text
 from corpusq.operators import status
 from corpusq.operators.chunk import chunk_documents
 from corpusq.operators.store import ChunkStore
 from corpusq.session import cut
 from corpusq.settings import EMBED_BATCH, EMBED_CHARS
-from corpusq.sources.files import parse_files, scan_directory
-from corpusq.sources.parsers import Context
+from corpusq.sources.files import PARSED, parse_files, routed, scan_directory
+from corpusq.sources.parsers import Context, ocr_batches
 
 MANIFEST = "path string, hash string, indexed_at double"
 
@@ -63,7 +64,7 @@ def ingest(
         kept = status.remove_paths(wanted, cancelled)
         judged = cut(judged.join(wanted.join(kept.select("path"), "path", "left_anti").select("path", F.lit("cancelled").alias("_off")), "path", "left").select("path", "hash", F.coalesce("_off", "verdict").alias("verdict")))
         wanted = judged.filter(F.col("verdict").isin("new", "changed"))
-    parsed = cut(parse_files(files.join(wanted.select("path"), "path", "left_semi"), context))
+    parsed = cut(parsed_or_read(files.join(wanted.select("path"), "path", "left_semi"), context))
     chunks = cut(embed_chunks(chunk_documents(parsed.filter("error is null"), lossless=lossless).drop("page"), embed))
     changed = judged.filter("verdict = 'changed'").select("path")
     changed = changed if replaced is None else changed.unionByName(replaced.select(F.col(replaced.columns[0]).alias("path")))
@@ -91,6 +92,42 @@ def retry_file(spark: SparkSession, path: str, store: ChunkStore, embed: Callabl
     return ingest(spark, scan_directory(spark, path), store, embed, status.remove_paths(manifest, one), context, lossless=lossless, replaced=one)
 
 
+def ocr_documents(files: DataFrame, context: Context) -> DataFrame:
+    """Documents as of ``parse_files`` of scanned PDFs, read by batches of pages; one that fails makes the file an error, so that no text is lost unseen."""
+    pages, read = context.pdf_pages, context.ocr_pages
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                rows, n = [], len(pages(content))
+                step, dpi = ocr_batches(n)
+                for first in range(0, n, step):
+                    try:
+                        rows.append((path, first, read(content, first, min(first + step, n), dpi), None))
+                    except Exception as e:  # whatever the service raises; one file must not end the job
+                        rows.append((path, first, None, f"OCR from page {first + 1}: {type(e).__name__}: {e}"[:500]))
+                yield pd.DataFrame(rows, columns=["path", "first_page", "text", "error"])
+
+    batches = cut(files.select("path", "content").mapInPandas(run, "path string, first_page int, text string, error string").withColumn("text", tagged_text(F.col("text"))))  # the service is not asked again
+    texts = merged_ocr(batches.filter("text <> ''")).join(batches.groupBy("path").agg(F.min("error").alias("_failed")), "path", "full")
+    known = files.select("path", F.md5("content").alias("hash")).join(texts, "path", "left")
+    error = F.coalesce("_failed", F.when(F.col("content").isNull(), "OCR found no text"))
+    path = F.col("path")
+    return known.select(
+        path.alias("file_path"), basename(path).alias("file_name"), file_type(path).alias("file_type"), F.when(error.isNull(), F.col("content")).alias("content"), F.when(error.isNull(), F.array("content")).alias("pages"),
+        F.create_map(F.lit("ocr"), F.lit("true")).alias("metadata"), "hash", error.alias("error"))
+
+
+def parsed_or_read(files: DataFrame, context: Context | None = None) -> DataFrame:
+    """``parse_files``, with scanned PDFs read by batches of pages where ``context`` has functions for it."""
+    if context is None or context.skip_ocr or context.ocr_pages is None or context.pdf_pages is None:
+        return parse_files(files, context)
+    fast, slow = routed(files, context)
+    is_pdf = extension(F.col("path")) == "pdf"
+    names = [c.split()[0] for c in PARSED.split(", ")]
+    return parse_files(fast.unionByName(slow.filter(~is_pdf)), context).unionByName(ocr_documents(slow.filter(is_pdf), context).select(*names))
+
+
 def merged_ocr(batches: DataFrame) -> DataFrame:
     """path, content: OCR results (path, first_page, text) of page batches joined in order of pages."""
     return batches.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("first_page", "text"))), lambda x: x["text"]), "\n\n").alias("content"))

@@ -149,6 +149,27 @@ def cancelled_files(spark, sf_dir):
     return state.join(stored, "path", "left").select("path", "status", F.coalesce("stored", F.lit(0)).alias("stored"))
 
 
+@query("""WITH b AS (SELECT item_id AS n, [40, 60, 205][item_id % 3 + 1] AS pages, [50, 20, 10][item_id % 3 + 1] AS step, ['100', '100', '72'][item_id % 3 + 1] AS dpi FROM benchmark),
+p AS (SELECT n, string_agg(n || ':' || f || '-' || least(f + step, pages) || '@' || dpi, chr(10) || chr(10) ORDER BY f) AS t FROM (SELECT *, unnest(range(0, pages, step)) AS f FROM b) GROUP BY n)
+SELECT '/kb/' || n || '.pdf' AS path, CASE WHEN n % 7 = 0 THEN 'error' ELSE 'embedded' END AS status, CASE WHEN n % 7 <> 0 THEN md5(t) END AS digest FROM p""")
+def scanned_files(spark, sf_dir):
+    """Scanned PDFs are read by batches of pages into the store; of every seventh the last batch fails."""
+    def read(data: bytes, first: int, end: int, dpi: int) -> str:
+        n, pages = map(int, data.decode().split())
+        if n % 7 == 0 and end == pages:
+            raise TimeoutError
+        return f"x <|ref|>{n}:{first}-{end}@{dpi}<|/ref|>"
+
+    n = F.col("item_id")
+    size = F.element_at(F.array(F.lit("40"), F.lit("60"), F.lit("205")), (n % 3 + 1).cast("int"))
+    given = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("/kb/"), n.cast("string"), F.lit(".pdf")).alias("path"), F.concat_ws(" ", n.cast("string"), size).cast("binary").alias("content"))
+    store = ChunkStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    context = parsers.Context(pdf_pages=lambda data: [""] * int(data.decode().split()[1]), ocr_pages=read)
+    _, state = ingest(spark, given, store, lambda texts: [[1.0]] * len(texts), context=context)
+    text = store.load().groupBy("source_file").agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "|").cast("binary")).alias("digest"))
+    return state.join(text, F.col("path") == F.col("source_file"), "left").select("path", "status", "digest")
+
+
 # ---- paths of files, failed files, libraries
 
 @query(f"""WITH c AS ({chunks_sql()}), w AS (SELECT item_id % 4 = 0 AS exact, item_id, '/kb/' || ['en', 'fr', 'de', 'es'][item_id % 4 + 1] || '/src' || item_id % 20 || ['.pdf', '.docx', '.xlsx', '.pptx'][item_id % 4 + 1] AS p FROM benchmark)

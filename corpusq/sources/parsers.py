@@ -34,6 +34,7 @@ class Context:
     rar_members: Callable[[bytes], list[tuple[str, bytes]]] | None = None
     xls_sheets: Callable[[bytes], list[tuple[str, list[list[str]]]]] | None = None
     skip_ocr: bool = False
+    ocr_pages: Callable[[bytes, int, int, int], str | None] | None = None  # (PDF, first page, page after the last, dots per inch) to text
 
 
 OLE2 = bytes.fromhex("D0CF11E0")
