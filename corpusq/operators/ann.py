@@ -1,8 +1,8 @@
 """Approximate vector search: vectors in cells around centroids, few cells read a query.
 
-Centroids are fitted on a bounded sample; every vector gets the cell of its nearest centroid as a
-column, which partitions the written table, so a search reads only the cells
-nearest to its query.
+Centroids are fitted on a bounded sample, their number grows with the whole table; every vector gets
+the cell of its nearest centroid as a column, which partitions the table that ``write`` makes, so a
+search reads only the cells nearest to its query.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from corpusq.functions.vectors import dot
 
 SAMPLE = 50_000
 MAX_CELLS = 10_000
+BLOCK = 2_000  # vectors that meet all centroids at a time
 
 
 def n_cells(n: int) -> int:
@@ -25,13 +26,14 @@ def n_cells(n: int) -> int:
 
 
 def fit(vectors: DataFrame, cells: int | None = None, steps: int = 8, seed: int = 5) -> np.ndarray:
-    """Centroids of unit vectors (rowid, vector) by spherical k-means on at most ``SAMPLE`` of them."""
-    rows = vectors.filter("vector is not null").orderBy(F.xxhash64("rowid"), "rowid").limit(SAMPLE).select("vector").collect()  # bounded
-    x = np.array([r[0] for r in rows], np.float64)
-    k = min(len(x), cells or n_cells(len(x)))
+    """Centroids of unit vectors (rowid, vector) by spherical k-means on at most ``SAMPLE`` of them, ``n_cells`` of all by default."""
+    some = vectors.filter("vector is not null")
+    sample = some.orderBy(F.xxhash64("rowid"), "rowid").limit(SAMPLE).select(F.col("vector").cast("array<double>")).toArrow().column(0).combine_chunks()  # bounded
+    x = np.asarray(sample.flatten()).reshape(len(sample), -1)
+    k = min(len(x), cells or n_cells(some.count()))
     c = x[np.random.default_rng(seed).choice(len(x), k, replace=False)]
     for _ in range(steps):
-        near = (x @ c.T).argmax(axis=1)
+        near = np.concatenate([(x[i: i + BLOCK] @ c.T).argmax(axis=1) for i in range(0, len(x), BLOCK)])
         sums = np.zeros_like(c)
         np.add.at(sums, near, x)
         norms = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -48,6 +50,11 @@ def assign(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
     return vectors.filter("vector is not null").withColumn("cell", F.pandas_udf(near, "int")(F.col("vector")))
 
 
+def write(indexed: DataFrame, path: str) -> None:
+    """The table by cells; a cell of many vectors is written by several tasks."""
+    indexed.repartitionByRange("cell", "rowid").write.mode("overwrite").partitionBy("cell").parquet(path)
+
+
 def search(indexed: DataFrame, centroids: np.ndarray, query: list[float], k: int, probes: int) -> DataFrame:
     """rowid, score of the best k in the ``probes`` cells nearest to the query."""
     q = np.asarray(query, np.float64)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusq.functions import text as tx
 from corpusq.functions.vectors import l2_normalize
 from corpusq.operators import analysis, ann, evidence, outline, postings, rag, search, sessions, status
-from corpusq.operators.chunk import chunk_documents
+from corpusq.operators.chunk import chunk_documents, page_of
 from corpusq.plans.views import PADDED_SQL, chunks, chunks_sql, table
+from corpusq.session import shared_dir
 from corpusq.sources.files import page_text
 from corpusq.streaming.ingest import event_windows as windows_of
 
@@ -463,7 +466,9 @@ def framework_tree(spark, sf_dir):
 @query(f"{_c()} SELECT rowid, 1.0::DOUBLE AS score FROM (SELECT * FROM c WHERE {_match_sql(WORDS)} OR contains({PADDED_SQL.format('text')}, ' of the ') ORDER BY rowid LIMIT 250)")
 def postings_search(spark, sf_dir):
     c = chunks(spark, sf_dir, with_vector=False)
-    return postings.keyword_search(c, postings.build(c), WORDS + " of-the", 50).select("rowid", "score")
+    path = f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}"
+    postings.write(postings.build(c), path)
+    return postings.keyword_search(c, spark.read.parquet(path), WORDS + " of-the", 50).select("rowid", "score")
 
 
 @query(f"""{_c()}, t AS (SELECT unnest(regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+')) AS token, rowid FROM c) SELECT token, count(*) AS n, count(DISTINCT rowid) AS chunks FROM t GROUP BY token""")
@@ -475,7 +480,9 @@ def token_statistics(spark, sf_dir):
 def ann_search(spark, sf_dir):
     v = chunks(spark, sf_dir).select("rowid", "vector")
     centroids = ann.fit(v)
-    return ann.search(ann.assign(v, centroids), centroids, _query_vector(spark, sf_dir), 20, max(1, len(centroids) // 3))
+    path = f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}"
+    ann.write(ann.assign(v, centroids), path)
+    return ann.search(spark.read.parquet(path), centroids, _query_vector(spark, sf_dir), 20, max(1, len(centroids) // 3))
 
 
 @query("""SELECT item_id AS id, '# 审核/核实材料' || chr(10) || chr(10) || string_agg(chr(10) || repeat('#', least(d + 1, 6)) || ' ' || item_id || '.' || d || ' T' || d || chr(10) || chr(10) || chr(10) || text || chr(10), chr(10) ORDER BY d) AS document
@@ -488,9 +495,12 @@ def assembled_documents(spark, sf_dir):
 _GRAMS = "list_distinct(list_transform(range(1, length({0}) - 1), lambda i: substr({0}, i, 3)))"
 
 
-@query(f"""WITH p AS (SELECT doc_id, substr(text, 1, 200) AS start, unnest(string_split(text, chr(10))) AS page, generate_subscripts(string_split(text, chr(10)), 1) AS n, len(string_split(text, chr(10))) AS pages FROM documents),
+_PAGES = f"""WITH p AS (SELECT doc_id, substr(text, 1, 200) AS start, unnest(string_split(text, chr(10))) AS page, generate_subscripts(string_split(text, chr(10)), 1) AS n, len(string_split(text, chr(10))) AS pages FROM documents),
 s AS (SELECT doc_id, n, CAST(len(list_intersect({_GRAMS.format('start')}, {_GRAMS.format('page')})) AS DOUBLE) / len({_GRAMS.format('start')}) AS share FROM p WHERE pages > 1 AND length(start) > 2),
-b AS (SELECT doc_id, arg_min(n, (-share, n)) AS page, max(share) AS share FROM s GROUP BY doc_id)
+b AS (SELECT doc_id, arg_min(n, (-share, n)) AS page, max(share) AS share FROM s GROUP BY doc_id)"""
+
+
+@query(f"""{_PAGES}
 SELECT doc_id, CAST(CASE WHEN share > 0.3 THEN page END AS INTEGER) AS page, round(share, 4) AS share FROM b""")
 def page_attribution(spark, sf_dir):
     pages = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 200).alias("start"), F.split("text", "\n").alias("p")).filter((F.size("p") > 1) & (F.length("start") > 2))
@@ -499,6 +509,16 @@ def page_attribution(spark, sf_dir):
     return best.select("doc_id", F.when(F.col("b.share") > 0.3, F.col("b.n") + 1).alias("page"), F.round("b.share", 4).alias("share"))
 
 
+@query(f"""{_PAGES} SELECT doc_id, CAST(CASE WHEN share > 0.3 THEN page END AS INTEGER) AS page FROM b""")
+def chunk_pages(spark, sf_dir):
+    """The chunker's own page of a text among the lines of it."""
+    def each(texts: pd.Series) -> pd.Series:
+        return pd.Series([page_of(t, t.split("\n")) for t in texts], dtype="Int32")
+
+    d = table(spark, sf_dir, "documents").filter((F.size(F.split("text", "\n")) > 1) & (F.length("text") > 2))
+    return d.select("doc_id", F.pandas_udf(each, "int")("text").alias("page"))
+
+
 @query()
 def chunk_table(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(

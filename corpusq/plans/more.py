@@ -124,6 +124,14 @@ def store_cycle(spark, sf_dir):
     return store.load().select("chunk_id", F.md5(F.col("text").cast("binary")).alias("digest"), "source_file")
 
 
+@query("""SELECT count(*) AS chunks, count(embedding) AS vectors, count(DISTINCT (lang, source)) AS files FROM documents LEFT JOIN embeddings ON vec_id = doc_id""")
+def store_status(spark, sf_dir):
+    store = ChunkStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    store.upsert(chunks(spark, sf_dir).withColumn("metadata", F.lit("{}")).drop("rowid"))
+    found = store.status()
+    return spark.createDataFrame([(found["chunks"], found["vectors"], found["files"])], "chunks long, vectors long, files long")
+
+
 @query("""SELECT '/kb/b' || item_id || '.csv' AS source_file, t AS text, 'embedded' AS status, round(length(t) / sqrt(length(t) * length(t) + 1.0), 4) AS first
 FROM (SELECT item_id, 'item' || chr(9) || item_id || chr(9) || CASE WHEN item_id % 4 = 0 THEN 'new' ELSE 'old' END AS t FROM benchmark)""")
 def ingested(spark, sf_dir):
