@@ -176,3 +176,27 @@ def test_patient_model():
     assert model.patient(lambda: 1 / 0, retry=lambda e: False, sleep=lambda s: None)() is None
     pick = model.in_turn(["a", "b"])
     assert [pick() for _ in range(3)] == ["a", "b", "a"]
+
+
+def test_session_log_limits(spark, tmp_path):
+    log = sessions.SessionLog(spark, str(tmp_path / "log"))
+    assert log.sessions().count() == 0 and not log.change("x", "topic", 1, "t")
+    ids = [log.create(n, f"t{n}") for n in range(4)]
+    assert len(ids[0]) == 12 and log.active(9) == ids[3] and log.active(9, ids[1]) == ids[1]
+    for n, i in enumerate(ids[:3]):
+        assert log.change(i, "close", 10 + n)
+    log.add_turn(ids[0], "user", "q", 20)
+    log.enforce_limits(30, keep=2)
+    # the oldest inactive ones go; ids[0] has the newest turn
+    assert {r.id for r in log.sessions().collect()} == {ids[0], ids[3]} and log.turns().first().content == "q"
+
+
+def test_failed_files(spark, tmp_path):
+    kept = status.FailedFiles(spark, str(tmp_path / "failed"))
+    assert kept.load().collect() == []
+    row = spark.createDataFrame([("parse_error", "a", "/K/a"), ("duplicate", "b", "/k/b")], "group string, name string, path string")
+    kept.save(row)
+    kept.remove(spark.createDataFrame([("\\k\\A",)], "path string"))
+    assert [r.name for r in kept.load().collect()] == ["b"]
+    kept.save(row.limit(0))
+    assert kept.load().collect() == []
