@@ -85,20 +85,21 @@ def hot_keys(counts: DataFrame, key: list[str]) -> DataFrame | None:
     return F.broadcast(hot.select(*key, F.ceil(F.col("n") / PART).cast("int").alias("_parts")))
 
 
-def spread_join(rows: DataFrame, facts: DataFrame, key: list[str], by: list[str], hot: DataFrame | None | bool = True) -> DataFrame:
-    """Inner join of ``rows`` with ``facts``, which has one row a key, where a key may hold any share of ``rows``.
+def spread_join(rows: DataFrame, facts: DataFrame, key: list[str], by: list[str], hot: DataFrame | None | bool = True, how: str = "inner") -> DataFrame:
+    """Inner (or left) join of ``rows`` with ``facts``, which has one row a key, where a key may hold any share of ``rows``.
 
     The rows of a hot key are dealt out into parts by a hash of ``by``, and its fact is
     copied to each part, so no task gets all of them.  ``key`` columns are not null.
+    Rows with values of their own in ``by`` spread evenly.
     ``hot`` is ``hot_keys`` of the rows, if known.
     """
     hot = hot_keys(rows.groupBy(*key).agg(F.count("*").alias("n")), key) if hot is True else hot
     if hot is None:
-        return rows.join(facts, key)
+        return rows.join(facts, key, how)
     part = F.pmod(F.xxhash64(*by), F.coalesce("_parts", F.lit(1))).cast("int")
     left = rows.join(hot, key, "left").withColumn("_part", part).drop("_parts")
     right = facts.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
-    return left.join(right, [*key, "_part"]).drop("_part")
+    return left.join(right, [*key, "_part"], how).drop("_part")
 
 
 def running_total(df: DataFrame, group: list[str], order: list[str], value: str, name: str) -> DataFrame:

@@ -20,7 +20,7 @@ CLASHES = (
     "_n _row _id _source _size _score _t1 _t2 _g1 _g2 _gone _part _parts _range _r _band _batch score predicted held_out rules sentences licences secrets spans k1 k2 bands band node root class_id compared "
     "size source_size target taken repeats finish t1 t2 key n part start n_tokens ids_crc32 cells sketch site etag modified full revisit stored outcome response_id h own speaker perspective place rendered masks row rows id rank query_id vector found item width"
 ).split()
-ONE_A_DOCUMENT = {"op1_mix_sources", "op4_secrets", "op6_token_files", "op7_near_duplicates", "op10_quality"}
+ONE_A_DOCUMENT = {"op1_mix_sources", "op4_secrets", "op6_token_files", "op7_near_duplicates", "op10_quality", "op11_line_dedup", "op13_merkle_manifest"}
 
 
 def awkward():
