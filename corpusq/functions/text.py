@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusq.settings import FILE_TYPES
 
-#: Letters with marks and the letters that they fold to (Latin-1).
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-FOLDED = "aaaaaaceeeeiiiinooooouuuuyy"
+#: Combining marks, which fold to nothing.
+MARKS = "".join(map(chr, range(0x300, 0x370)))
+
+
+def _with_marks() -> tuple[str, str]:
+    """Lower-case letters with marks (Latin, Greek, Cyrillic), and the letters without."""
+    of = {}
+    for code in [*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)]:
+        base, *marks = unicodedata.normalize("NFD", chr(code))
+        if marks and base.isalpha() and chr(code).lower() == chr(code) and all(map(unicodedata.combining, marks)):
+            of[chr(code)] = base
+    return "".join(of), "".join(of.values())
+
+
+ACCENTED, FOLDED = _with_marks()
 CJK = r"[一-鿿]"
 #: Seven ranges of wide characters that the token budget counts in full.
 WIDE = r"[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}\x{20000}-\x{2a6df}\x{f900}-\x{faff}\x{3040}-\x{309f}\x{30a0}-\x{30ff}\x{ac00}-\x{d7af}]"
@@ -37,8 +52,13 @@ def budget_tokens(text: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without marks (Latin-1)."""
-    return F.translate(F.lower(text), ACCENTED, FOLDED)
+    """Lower case without marks."""
+    return F.translate(F.lower(text), ACCENTED + MARKS, FOLDED)
+
+
+def python_tokens(text: str) -> list[str]:
+    """``tokens`` of one text."""
+    return re.findall(r"[^\W_]+", text.lower().translate(str.maketrans(ACCENTED, FOLDED, MARKS)))
 
 
 def tokens(text: Column) -> Column:

@@ -11,14 +11,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusq.functions.text import tokens
-from corpusq.operators.search import python_tokens, query_phrases
+from corpusq.functions.text import python_tokens
+from corpusq.operators import fulltext
+from corpusq.operators.fulltext import postings as build
+from corpusq.operators.search import query_phrases, typed_tree
 
-
-def build(chunks: DataFrame) -> DataFrame:
-    """token, rowid, part (text or path), pos."""
-    each = lambda part, column: chunks.select("rowid", F.lit(part).alias("part"), F.posexplode(tokens(F.col(column))).alias("pos", "token"))
-    return each("text", "text").unionByName(each("path", "source_file")).select("token", "rowid", "part", "pos")
+__all__ = ["build", "keyword_search", "matching_rows", "write"]
 
 
 def write(postings: DataFrame, path: str) -> None:
@@ -26,7 +24,10 @@ def write(postings: DataFrame, path: str) -> None:
 
 
 def matching_rows(postings: DataFrame, query: str) -> DataFrame:
-    """rowid of the chunks that hold any phrase of the query; a phrase is tokens in a row in one part."""
+    """rowid of the chunks that hold any phrase of the query; a phrase is tokens in a row in one part.  Queries with quotes: ``search.typed_tree``."""
+    typed, tree = typed_tree(query)
+    if typed:
+        return fulltext.rows(postings, tree)
     phrases = [w for w in (python_tokens(p) for p in dict.fromkeys(query_phrases(query))) if w]
     if not phrases:
         return postings.select("rowid").limit(0)
@@ -41,6 +42,6 @@ def matching_rows(postings: DataFrame, query: str) -> DataFrame:
 
 
 def keyword_search(chunks: DataFrame, postings: DataFrame, query: str, top_k: int = 5) -> DataFrame:
-    """As ``search.keyword_search`` without quotes: rows found in the index, texts fetched for those shown."""
+    """As ``search.keyword_search``: rows found in the index, texts fetched for those shown."""
     rows = matching_rows(postings, query).orderBy("rowid").limit(max(5 * top_k, 200))
     return chunks.join(F.broadcast(rows), "rowid", "left_semi").withColumn("score", F.lit(1.0)).withColumn("match_type", F.lit("keyword"))  # at most the limit's rows

@@ -9,14 +9,15 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from functools import reduce
-from operator import and_, or_
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusq.functions.text import ACCENTED, FOLDED, fold, padded
+from corpusq.functions.text import fold, padded, python_tokens
 from corpusq.functions.vectors import dot
+from corpusq.operators import fulltext
 
 HIT_COLUMNS = ("rowid", "chunk_id", "text", "source_file", "file_type", "chunk_index", "total_chunks")
 
@@ -25,8 +26,7 @@ def query_phrases(query: str) -> list[str]:
     """Phrases of a query, any of which may match; each is tokens between spaces.
 
     CJK runs give their pairs of characters (a run of one gives nothing), the
-    rest its words.  Without any, or with a quote inside a word, the query's
-    own tokens all have to match; see ``keyword_predicate``.
+    rest its words.  Without any, or with a quote inside a word, the query is taken as typed; see ``typed_tree``.
     """
     out = []
     for run in re.findall(r"[一-鿿]+|[^一-鿿]+", query):
@@ -34,9 +34,19 @@ def query_phrases(query: str) -> list[str]:
     return out
 
 
-def python_tokens(text: str) -> list[str]:
-    """Index tokens of a query part, as ``functions.text.tokens`` makes them of a column."""
-    return re.findall(r"[^\W_]+", text.lower().translate(str.maketrans(ACCENTED, FOLDED)))
+def typed_tree(query: str) -> tuple[bool, fulltext.Node]:
+    """Whether a query is full-text language as typed, and its tree.
+
+    It is where it has quotes, or no phrases of its own.  One that does not follow the
+    syntax asks for all its words, each in either column.
+    """
+    phrases = query_phrases(query)
+    if phrases and not any('"' in p for p in phrases):
+        return False, None
+    try:
+        return True, fulltext.parse(query)
+    except fulltext.QueryError:
+        return True, fulltext.all_words(query)
 
 
 def _padded_phrase(phrase: str) -> str | None:
@@ -45,7 +55,7 @@ def _padded_phrase(phrase: str) -> str | None:
 
 
 def keyword_predicate(query: str, mode: str = "compat") -> Column:
-    """Whether text or path of a chunk match.
+    """Whether text or path of a chunk hold any phrase of a query without quotes.
 
     compat: phrases are whole tokens.  cjk_bigram: a pair of CJK characters
     may also stand inside a run.  A phrase cannot span text and path.
@@ -62,10 +72,6 @@ def keyword_predicate(query: str, mode: str = "compat") -> Column:
     def either(c: Column, phrase: str) -> Column:
         return F.contains(c["t"], F.lit(phrase)) | F.contains(c["p"], F.lit(phrase))
 
-    if not phrases or any('"' in p for p in phrases):
-        # the query as typed: all its tokens, each in either column
-        words = [f" {w} " for w in python_tokens(query)]
-        return F.exists(bound, lambda c: reduce(and_, (either(c, w) for w in words))) if words else F.lit(False)
     whole = [w for w in map(_padded_phrase, dict.fromkeys(phrases)) if w]
     inside = [p for p in dict.fromkeys(phrases) if mode == "cjk_bigram" and re.fullmatch(r"[一-鿿]{2}", p)]
     if not whole:
@@ -75,14 +81,15 @@ def keyword_predicate(query: str, mode: str = "compat") -> Column:
 
 def keyword_search(chunks: DataFrame, query: str, top_k: int = 5, fetch_k: int | None = None, mode: str = "compat") -> DataFrame:
     """Matching chunks by rowid, score 1, at most ``fetch_k`` (max(5 top_k, 200)); not cut to top_k."""
-    return (
-        chunks.select(*HIT_COLUMNS).filter(keyword_predicate(query, mode)).orderBy("rowid").limit(fetch_k or max(5 * top_k, 200))
-        .withColumn("score", F.lit(1.0)).withColumn("match_type", F.lit("keyword"))
-    )
+    return exhaustive_search(chunks, query, mode).orderBy("rowid").limit(fetch_k or max(5 * top_k, 200)).withColumn("score", F.lit(1.0)).withColumn("match_type", F.lit("keyword"))
 
 
 def exhaustive_search(chunks: DataFrame, query: str, mode: str = "compat") -> DataFrame:
-    """All matching chunks, without limit."""
+    """All matching chunks, without limit.  A query with quotes is read as ``typed_tree`` says."""
+    typed, tree = typed_tree(query)
+    if typed:
+        found = fulltext.rows(fulltext.postings(chunks).filter(fulltext.wanted(tree)), tree)
+        return chunks.select(*HIT_COLUMNS).join(found, "rowid", "left_semi")
     return chunks.select(*HIT_COLUMNS).filter(keyword_predicate(query, mode))
 
 
@@ -188,21 +195,20 @@ def hybrid_search_many(chunks: DataFrame, queries: list[tuple[str, str, list[flo
     base = chunks.select(*HIT_COLUMNS, "vector", padded(F.col("text")).alias("_text"), padded(F.col("source_file")).alias("_path"))
 
     def matches(query: str) -> Column:
-        cond, phrases = F.lit(False), query_phrases(query)
-        if not phrases or any('"' in p for p in phrases):
-            words = python_tokens(query)
-            both = F.lit(bool(words))
-            for w in words:
-                both = both & (F.contains("_text", F.lit(f" {w} ")) | F.contains("_path", F.lit(f" {w} ")))
-            return both
-        for words in filter(None, map(python_tokens, dict.fromkeys(phrases))):
+        cond = F.lit(False)
+        for words in filter(None, map(python_tokens, dict.fromkeys(query_phrases(query)))):
             text = F.lit(f" {' '.join(words)} ")
             cond = cond | F.contains("_text", text) | F.contains("_path", text)
         return cond
 
-    hit = F.array_compact(F.array(*[F.when(matches(q), F.lit(p)) for p, q, _ in queries]))
+    typed = [(p, q) for p, q, _ in queries if typed_tree(q)[0]]
+    plain = [(p, q) for p, q, _ in queries if (p, q) not in typed]
+    hit = F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(matches(q), F.lit(p)) for p, q in plain]))
     by_row = Window.partitionBy("point").orderBy("rowid")
-    kw = base.select(*HIT_COLUMNS, F.explode(hit).alias("point")).withColumn("kr", F.row_number().over(by_row)).filter(F.col("kr") <= fetch_k).drop("kr")
+    hits = base.select(*HIT_COLUMNS, F.explode(hit).alias("point"))
+    for p, q in typed:  # each a search of its own
+        hits = hits.unionByName(exhaustive_search(chunks, q).withColumn("point", F.lit(p)))
+    kw = hits.withColumn("kr", F.row_number().over(by_row)).filter(F.col("kr") <= fetch_k).drop("kr")
     near = [F.struct(F.lit(p).alias("point"), dot(F.col("vector"), F.array(*[F.lit(float(x)) for x in v])).alias("v_score")) for p, _, v in queries if v is not None]
     if not near:
         near = [F.struct(F.lit(None).cast("string").alias("point"), F.lit(0.0).alias("v_score"))]
