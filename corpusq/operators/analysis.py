@@ -8,13 +8,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusq.functions.text import basename
-from corpusq.operators import outline
+from corpusq.functions.text import basename, bigrams, tokens
+from corpusq.operators import fulltext, outline
 from corpusq.operators.search import keyword_search, vector_search_many
 from corpusq.session import cut
 
 #: Fixed value: what stands for the chunks of a file beyond its budget.
 OMITTED = "\n...(后续内容因长度限制省略)"
+#: A section, and a whole outline, that no file matches.
+NO_FILES = "（未找到相关文件）"
+NOTHING = "未在知识库中找到与框架相关的文件内容。"
+BROADCAST_ROWS = 1_000_000
 
 
 def _numbered(chunks: DataFrame) -> DataFrame:
@@ -185,23 +189,79 @@ def union_sources(batches_of_sources: DataFrame) -> DataFrame:
     return batches_of_sources.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n").orderBy("batch", "pos")
 
 
+def _section_bodies(sections: DataFrame, hits: DataFrame, generate: Callable[[str], str | None], size: int, key: list[str]) -> DataFrame:
+    """key, files, body: the files that match a section, most hits first, answered in batches and the answers made one.  No row for a section without files."""
+    asks = F.concat_ws("\n", "title", F.nullif("detail", F.lit(""))) if "detail" in sections.columns else F.col("title")
+    counted = hits.groupBy(*key, "source_file").agg(F.count("*").alias("hits")).withColumn("less", -F.col("hits"))
+    placed = batches(counted, ["less", "source_file"], size, key)
+    grouped = file_context(hits, generate, (*key, "source_file")).join(placed, [*key, "source_file"]).groupBy(*key, "batch").agg(F.count("*").alias("files"), F.sort_array(F.collect_list(F.struct("less", "source_file", "content"))).alias("f"))
+    asked = grouped.join(sections.select(*key, asks.alias("asks")), key).withColumn("prompt", F.concat("asks", F.lit("\n\n"), _told("f")))
+    answers = cut(generated(asked, "prompt", generate).select(*key, F.col("batch").alias("part"), "files", F.coalesce("answer", F.lit("(failed)")).alias("summary")))
+    facts = answers.groupBy(*key).agg(F.sum("files").alias("files"), F.count("*").alias("n"))
+    most = facts.agg(F.max("n")).first()[0] or 0
+    body = _reduced(answers.drop("files"), key, most, generate, 30).withColumnRenamed("summary", "body")
+    return facts.drop("n").join(body, key)
+
+
 def scan_report(sections: DataFrame, hits: DataFrame, generate: Callable[[str], str | None], size: int = 30) -> DataFrame:
     """ord, title, files, report: for every section the files that match it, most hits first, answered in batches and the answers made one.
 
     ``hits`` has ord (of the section), source_file, chunk_index, rowid, text.  Of every file all hits are read.
     """
-    counted = hits.groupBy("ord", "source_file").agg(F.count("*").alias("hits")).withColumn("less", -F.col("hits"))
-    placed = batches(counted, ["less", "source_file"], size, ["ord"])
-    grouped = file_context(hits, generate, ("ord", "source_file")).join(placed, ["ord", "source_file"]).groupBy("ord", "batch").agg(F.count("*").alias("files"), F.sort_array(F.collect_list(F.struct("less", "source_file", "content"))).alias("f"))
-    asked = grouped.join(sections.select("ord", "title"), "ord").withColumn("prompt", F.concat("title", F.lit("\n\n"), _told("f")))
-    answers = cut(generated(asked, "prompt", generate).select("ord", F.col("batch").alias("part"), "files", F.coalesce("answer", F.lit("(failed)")).alias("summary")))
-    facts = answers.groupBy("ord").agg(F.sum("files").alias("files"), F.count("*").alias("n"))
-    most = facts.agg(F.max("n")).first()[0] or 0
-    body = _reduced(answers.drop("files"), ["ord"], most, generate, 30).withColumnRenamed("summary", "body")
-    told = sections.join(facts, "ord", "left").join(body, "ord", "left")
+    told = sections.join(_section_bodies(sections, hits, generate, size, ["ord"]), "ord", "left")
     return told.select("ord", "title", F.coalesce("files", F.lit(0)).alias("files"), F.concat(F.lit("## "), "title", F.lit("\n"), F.coalesce("body", F.lit(""))).alias("report")).orderBy("ord")
 
 
+def section_phrases(sections: DataFrame) -> DataFrame:
+    """key, phrase, n, i, token: the words of the phrases that title and detail of a section search for.
+
+    As ``search.query_phrases`` has them, quotes being punctuation: pairs of a CJK run, and what stands between blanks,
+    each the words in it.  A section without any searches for its words.
+    """
+    asked = F.concat_ws(" ", "title", "detail")
+    runs = F.regexp_extract_all(asked, F.lit(r"([一-鿿]+|[^一-鿿\s]+)"), F.lit(1))
+    parts = F.flatten(F.transform(runs, lambda r: F.when(r.rlike("^[一-鿿]"), bigrams(r)).otherwise(F.array(r))))
+    split = F.filter(F.transform(parts, tokens), lambda w: F.size(w) > 0)
+    phrases = F.array_distinct(F.when(F.size(split) > 0, split).otherwise(F.transform(tokens(asked), lambda t: F.array(t))))
+    each = sections.select("id", "ord", F.posexplode(phrases).alias("phrase", "words"))
+    return each.select("id", "ord", "phrase", F.size("words").alias("n"), F.posexplode("words").alias("i", "token"))
+
+
+def section_hits(sections: DataFrame, postings: DataFrame) -> DataFrame:
+    """id, ord, rowid: the chunks that hold any phrase of a section (id, ord, title, detail), for all sections in one pass over the postings.
+
+    The sections' words meet the postings once, by token; a phrase is there where all of its words are at their places.
+    The words are broadcast if there are a million at most.
+    """
+    words = cut(section_phrases(sections))
+    met = postings.join(F.broadcast(words) if words.count() <= BROADCAST_ROWS else words, "token")
+    place = ["id", "ord", "phrase", "n", "rowid", "part", F.when(F.col("n") == 1, 0).otherwise(F.col("pos") - F.col("i")).alias("at")]
+    return met.groupBy(*place).agg(F.count("*").alias("found")).filter("found >= n").select("id", "ord", "rowid").distinct()
+
+
+def scan(outlines: DataFrame, chunks: DataFrame, generate: Callable[[str], str | None], postings: DataFrame | None = None, size: int = 30) -> tuple[DataFrame, DataFrame]:
+    """Outlines (id, text) filled in from the whole corpus: (id, ord, title, files, body) and (id, document, files, sources).
+
+    Every section's title and detail are searched without limit, in stored ``postings`` if given; its files go to the model by ``file_context`` in
+    batches of ``size``, most hits first.  ``sources`` are the files (file, file_path), those of earlier sections first; ``files`` counts them.
+    """
+    sections = cut(outline.flat_sections(outlines))
+    found = section_hits(sections, fulltext.postings(chunks) if postings is None else postings)
+    hits = cut(found.join(chunks.select("rowid", "source_file", "chunk_index", "total_chunks", "text"), "rowid"))
+    bodies = cut(_section_bodies(sections, hits, generate, size, ["id", "ord"]))  # the model is not asked again
+    told = sections.select("id", "ord", "title").join(bodies, ["id", "ord"], "left").withColumn("files", F.coalesce("files", F.lit(0).cast("long")))
+    told = told.withColumn("body", F.when(F.col("files") > 0, F.coalesce("body", F.lit(""))).otherwise(NO_FILES))
+    per = hits.groupBy("id", "ord", "source_file").agg((-F.count("*")).alias("less"))
+    first = per.groupBy("id", "source_file").agg(F.min(F.struct("ord", "less")).alias("at"))
+    file = F.struct(basename(F.col("source_file")).alias("file"), F.col("source_file").alias("file_path"))
+    sources = first.groupBy("id").agg(F.count("*").alias("files"), F.transform(F.sort_array(F.collect_list(F.struct("at", "source_file", file.alias("f")))), lambda x: x["f"]).alias("sources"))
+    part = F.concat(F.lit("## "), "title", F.lit("\n\n"), "body", F.lit("\n"))
+    written = told.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", part.alias("p")))), lambda x: x["p"]), "\n\n").alias("document"))
+    documents = written.join(sources, "id", "left").select(
+        "id", F.when(F.col("files").isNull(), F.lit(NOTHING)).otherwise(F.col("document")).alias("document"), F.coalesce("files", F.lit(0).cast("long")).alias("files"), F.coalesce("sources", F.array().cast("array<struct<file:string,file_path:string>>")).alias("sources"))
+    return told.select("id", "ord", "title", "files", "body"), documents
+
+
 def material(sections: DataFrame, hits: DataFrame, generate: Callable[[str], str | None], chars: int = 1000) -> DataFrame:
     """id, ord, number, title, depth, content: for every top section of an outline a text made of its hits.
 

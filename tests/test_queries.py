@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from corpusq.plans import catalog, more  # more adds its queries to those of catalog
+from corpusq.plans import advanced, catalog, more  # the others add their queries to those of catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -25,7 +25,7 @@ def plain(v):
     return "nan" if isinstance(v, float) and math.isnan(v) else repr(v) if isinstance(v, float) else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(more.QUERIES))
+@pytest.mark.parametrize("name", sorted({**more.QUERIES, **advanced.QUERIES}))
 def test_query(spark, oracle, name):
     df = catalog.QUERIES[name](spark, SF)
     rows, columns = df.collect(), sorted(df.columns)
