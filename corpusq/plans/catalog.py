@@ -478,11 +478,12 @@ def token_statistics(spark, sf_dir):
 
 @query()
 def ann_search(spark, sf_dir):
+    """The 20 nearest of one vector, by codes and exact scores of the best."""
     v = chunks(spark, sf_dir).select("rowid", "vector")
-    centroids = ann.fit(v)
-    path = f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}"
-    ann.write(ann.assign(v, centroids), path)
-    return ann.search(spark.read.parquet(path), centroids, _query_vector(spark, sf_dir), 20, max(1, len(centroids) // 3))
+    model = ann.fit_quantiser(v)
+    path = f"{shared_dir(spark)}/codes-{uuid.uuid4().hex}"
+    ann.write_codes(v, model, path)
+    return ann.nearest(spark, path, model, [(QUERY_ID, _query_vector(spark, sf_dir))], 20).select("rowid", "score")
 
 
 @query("""SELECT item_id AS id, '# 审核/核实材料' || chr(10) || chr(10) || string_agg(chr(10) || repeat('#', least(d + 1, 6)) || ' ' || item_id || '.' || d || ' T' || d || chr(10) || chr(10) || chr(10) || text || chr(10), chr(10) ORDER BY d) AS document
