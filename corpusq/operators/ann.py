@@ -39,7 +39,7 @@ def n_cells(n: int) -> int:
 def _sample(vectors: DataFrame) -> np.ndarray:
     """At most ``SAMPLE`` of the vectors, the same each time."""
     sample = vectors.orderBy(F.xxhash64("rowid"), "rowid").limit(SAMPLE).select(F.col("vector").cast("array<double>")).toArrow().column(0).combine_chunks()  # bounded
-    return np.asarray(sample.flatten()).reshape(len(sample), -1)
+    return np.asarray(sample.flatten()).reshape(len(sample), -1) if len(sample) else np.zeros((0, 0))
 
 
 def fit(vectors: DataFrame, cells: int | None = None, steps: int = 8, seed: int = 5) -> np.ndarray:
