@@ -5,8 +5,8 @@ table, and get their place in their language's tree from the counts of the parti
 them; only the first and last language of a partition can go on in another, so the driver
 holds four numbers a partition.  A task walks its rows in chunks of ``arity ** CHUNK``
 places and builds every subtree that lies whole within them.  What is left at the ragged ends of partitions, a
-few nodes each, is shuffled by its coordinates (level and index): each round one task gets the nodes under one node
-``LIFT`` levels further up and finishes the subtree, until the highest tree is done.  Going back
+few nodes each, is shuffled by its coordinates (level and index): one task gets the nodes under one node at the height of
+a chunk and finishes the subtree; each round after goes ``LIFT`` levels further up, until the highest tree is done.  Going back
 down the rounds, every node gets its siblings up to the root, and a last pass over the chunks
 joins them with the siblings within the chunk: that is the proof of a row.
 
@@ -225,8 +225,7 @@ def trees(rows: DataFrame, arity: int = ARITY, chunk: int = CHUNK, lift: int = L
     most = sizes.agg(F.max("n")).first()[0] or 0
     rounds, height, highest = [], chunk, len(level_sizes(max(1, most), arity)) - 1
     roots = None
-    while not rounds or height < highest:
-        height += lift
+    while True:
         done = _round(nodes, arity, height)
         rounds.append(done.filter("hash is null").drop("hash"))
         made = done.filter("hash is not null").select("g", "n", F.lit(0).cast("long").alias("start"), "level", "index", "hash")
@@ -234,6 +233,9 @@ def trees(rows: DataFrame, arity: int = ARITY, chunk: int = CHUNK, lift: int = L
         whole = alone.filter("whole").select("g", "n", F.col("hash").alias("root"))
         roots = whole if roots is None else roots.unionByName(whole)
         nodes = made.join(alone.filter("whole").select("g"), "g", "left_anti")
+        if height >= highest:
+            break
+        height += lift
     above = None
     for done in reversed(rounds):
         if above is not None:
