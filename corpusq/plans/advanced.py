@@ -12,6 +12,7 @@ from corpusq.operators import analysis, fulltext, postings
 from corpusq.plans.catalog import ORACLE_SQL, QUERIES, query
 from corpusq.plans.views import PADDED_SQL, chunks, chunks_sql, table
 from corpusq.session import shared_dir
+from corpusq.streaming import states
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -106,3 +107,35 @@ def outline_report(spark, sf_dir):
     """Outlines to one document each, with its sources; the corpus is scanned as it stands."""
     made = analysis.scan(_outlines(spark, sf_dir), chunks(spark, sf_dir, with_vector=False), _digest)[1]
     return made.select("id", "document", "files", F.array_join(F.transform("sources", lambda x: x["file_path"]), ",").alias("sources"))
+
+
+# ---- statuses of files as a stream with state
+
+_STATUSES = ("pending", "parsing", "parsed", "embedding", "embedded", "error", "cancelling", "cancelled", "duplicate")
+_PATIENCE_HOURS = 12
+_RANGES = 3
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT '/kb/' || user_id AS path, event_id AS seq, ts, {list(_STATUSES)}[CAST(event_id % 9 + 1 AS INT)] AS status, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+m(f, t) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, to in states.MOVES.items() for b in to)}),
+w AS (SELECT DISTINCT path, CAST(0 AS BIGINT) AS n, '' AS held, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS TIMESTAMP) AS ts, '' AS before, '' AS status, '' AS verdict FROM e
+ UNION ALL SELECT e.path, e.n, CASE WHEN m.t IS NULL THEN w.held ELSE e.status END, e.seq, e.ts, w.held, e.status, CASE WHEN m.t IS NULL THEN 'illegal' ELSE 'moved' END
+ FROM w JOIN e ON e.path = w.path AND e.n = w.n + 1 LEFT JOIN m ON m.f = w.held AND m.t = e.status),
+l AS (SELECT *, epoch_us(ts) AS us, lead(epoch_us(ts)) OVER (PARTITION BY path ORDER BY n) AS next FROM w WHERE verdict = 'moved')
+SELECT path, seq, epoch_us(ts) AS at_us, before, status, verdict FROM w WHERE n > 0
+UNION ALL SELECT path, NULL, us + {_PATIENCE_HOURS * 3_600_000_000}, status, status, 'stuck' FROM l
+WHERE status IN {states.UNFINISHED} AND (next IS NULL OR next > us + {_PATIENCE_HOURS * 3_600_000_000}) AND us // 1000 + {_PATIENCE_HOURS * 3_600_000} <= (SELECT epoch_us(max(ts)) // 1000 FROM events)""")
+def file_state_changes(spark, sf_dir):
+    """Events come in ranges of time; after each the stream starts again from its checkpoint."""
+    status = F.element_at(F.array(*map(F.lit, _STATUSES)), (F.col("event_id") % 9 + 1).cast("int"))
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("/kb/"), F.col("user_id").cast("string")).alias("path"), F.col("event_id").alias("seq"), "ts", status.alias("status"))
+    base = f"{shared_dir(spark)}/states-{uuid.uuid4().hex}"
+    bounds = e.select(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [i / _RANGES for i in range(1, _RANGES)])).first()[0] or []  # two numbers
+    us, low = F.unix_micros(F.col("ts").cast("timestamp")), None
+    for high in [*bounds, None]:
+        some = e.filter((F.lit(True) if low is None else us > low) & (F.lit(True) if high is None else us <= high))
+        some.write.mode("append").parquet(f"{base}/events")
+        given = spark.readStream.schema(e.schema).parquet(f"{base}/events")
+        states.start_states(given, f"{base}/changes", f"{base}/checkpoint", f"{_PATIENCE_HOURS} hours").awaitTermination()
+        low = high
+    return spark.read.schema(states.CHANGES).parquet(f"{base}/changes").select("path", "seq", F.unix_micros("at").alias("at_us"), "before", "status", "verdict")
