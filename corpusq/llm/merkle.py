@@ -11,7 +11,7 @@ down the rounds, every node gets its siblings up to the root, and a last pass ov
 joins them with the siblings within the chunk: that is the proof of a row.
 
 ``manifest`` returns each row's leaf, roots and proof; ``fold`` computes the root that a leaf and its proof
-lead to, which is how one row is checked without the others.
+lead to, which is how one row is checked without the others, and ``folded`` does so for rows of a kept manifest.
 
 A node above the leaves is the digest of the digests of ``arity`` consecutive nodes below it, joined as lowercase
 hexadecimal; the last run of a level may be shorter, even one node.  A tree of one leaf is that leaf.
@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.llm.common import BROADCAST_ROWS, cut, small, spread_join, table
+from corpusq.llm.common import BROADCAST_ROWS, cut, give_back, small, spread_join, table
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 ARITY = 2
@@ -247,54 +247,71 @@ def trees(rows: DataFrame, arity: int = ARITY, chunk: int = CHUNK, lift: int = L
 
 
 def _proofs(chunks: DataFrame, arity: int, chunk: int) -> DataFrame:
-    """g, place, n, proof and what goes with a leaf: one row a leaf."""
+    """One row a leaf: g, place, n, proof and what else a chunk has.
+
+    With ``rest``, the proof goes on by it, from the group's root to that of the whole, and where rows have ``shown``,
+    ``folded`` is the root that leads from it (or from the leaf, where it is null) by the proof.
+    """
     struct = chunks.schema["rows"].dataType.elementType
-    own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in struct.fields)
+    own = [f"{f.name} {f.dataType.simpleString()}" for f in struct.fields]
+    same = [f for f in chunks.schema.fields if f.name not in ("g", "start", "n", "rows", "paths", "rest")]
+    folds = "shown" in struct.names
+    out = ["g string", "place long", "n long", "proof string", *own, *[f"{f.name} {f.dataType.simpleString()}" for f in same], *["folded string"] * folds]
+    names = [c.split()[0] for c in out]
 
     def prove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                g, start, n = (batch.column(c)[k].as_py() for c in ("g", "start", "n"))
+                row = {c: batch.column(c)[k].as_py() for c in batch.schema.names if c not in ("rows", "paths")}
+                g, start, n, end = row["g"], row["start"], row["n"], (row.get("rest") or "").encode()
                 some = batch.column("rows")[k].values
-                rest = {(x["level"], x["index"]): x["path"].encode() for x in batch.column("paths")[k].as_py()}
+                rest = {(x["level"], x["index"]): x["path"].encode() + end for x in batch.column("paths")[k].as_py()}
                 leaves = some.field("leaf").cast(pa.binary()).to_pylist()
                 sizes = level_sizes(n, arity)
                 levels = build({0: dict(enumerate(leaves, start))}, sizes, min(chunk, len(sizes) - 1), arity)
-                proofs = []
-                for i in range(start, start + len(leaves)):
-                    path, level, at = climb(levels, sizes, 0, i, arity)
-                    proofs.append((path + rest[level, at]).decode())
-                for i in range(0, len(leaves), 1024):
-                    part = some.slice(i, 1024)
+                for first in range(0, len(leaves), 1024):
+                    part = some.slice(first, 1024)
                     m = len(part)
+                    proofs, roots = [], []
+                    shown = part.field("shown").to_pylist() if folds else [None] * m
+                    for i, other in enumerate(shown, first):
+                        path, level, at = climb(levels, sizes, 0, start + i, arity)
+                        path += rest[level, at]
+                        proofs.append(path.decode())
+                        if folds:
+                            sub, used = fold(other.encode() if other else leaves[i], start + i, n, path, arity)
+                            roots.append(fold(sub, row["tree"], row["trees"], path, arity, used)[0].decode())
+                    places = pa.array(np.arange(start + first, start + first + m))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([g] * m), pa.array(np.arange(start + i, start + i + m)), pa.array(np.full(m, n)), pa.array(proofs[i: i + m]), *[part.field(f.name) for f in part.type]],
-                        ["g", "place", "n", "proof", *[f.name for f in part.type]])
+                        [pa.array([g] * m), places, pa.array(np.full(m, n)), pa.array(proofs), *[part.field(c) for c in struct.names], *[pa.array([row[f.name]] * m) for f in same], *[pa.array(roots)] * folds], names)
+            give_back()
 
-    return chunks.mapInArrow(prove, f"g string, place long, n long, proof string, {own}")
+    return chunks.mapInArrow(prove, ", ".join(out))
 
 
-def manifest(docs: DataFrame, arity: int = ARITY, chunk: int = CHUNK, lift: int = LIFT, **carried: Column) -> DataFrame:
+def manifest(docs: DataFrame, arity: int = ARITY, chunk: int = CHUNK, lift: int = LIFT, shown: Column | None = None, **carried: Column) -> DataFrame:
     """One row for each row of ``docs``: doc_id, lang, leaf, place, leaves, subroot, tree, trees, root, proof and ``carried``.
 
     ``place`` of ``leaves`` is the leaf's place in its language's tree; ``tree`` of ``trees`` that of the
     language's root, ``subroot``, in the tree of the whole; ``proof`` is the siblings on the way to ``root``, joined.
+    With ``shown``, a leaf that is to be checked in place of the row's own where not null, ``folded`` is the root that it leads to.
     """
     named = F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit(""))  # null before any language, and apart from the empty one
-    digests = docs.select(named.alias("g"), leaf(**{f: F.col(f) for f in FIELDS}).alias("leaf"), F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(name) for name, c in carried.items()])
+    more = carried | ({} if shown is None else {"shown": shown})
+    digests = docs.select(named.alias("g"), leaf(**{f: F.col(f) for f in FIELDS}).alias("leaf"), F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(name) for name, c in more.items()])
     order = ["g", "doc_id", "leaf", "tie"]
     rows = digests.withColumn("tie", F.monotonically_increasing_id())  # deals out equal rows
     chunks, roots = trees(cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("tie")), arity, chunk, lift)
     roots = cut(roots)
-    named = roots.select(F.lit("").alias("g"), F.col("root").alias("leaf"), F.col("g").alias("name"), F.col("n").alias("leaves"))
+    named = roots.select(F.lit("").alias("g"), F.col("root").alias("leaf"), F.col("g").alias("name"))
     top, whole = trees(cut(named.repartitionByRange("name").sortWithinPartitions("name")), arity, chunk, lift)
     tree = small(
         _proofs(top, arity, chunk).join(F.broadcast(whole.select("g", "root")), "g")
         .select(F.col("name").alias("g"), F.col("leaf").alias("subroot"), F.col("place").alias("tree"), F.col("n").alias("trees"), "root", F.col("proof").alias("rest")))
-    found = spread_join(_proofs(chunks, arity, chunk), tree, ["g"], ["place"], None if tree.count() <= BROADCAST_ROWS else True)
+    found = _proofs(spread_join(chunks, tree, ["g"], ["start"], None if tree.count() <= BROADCAST_ROWS else True), arity, chunk)
     return found.select(
         "doc_id", F.when(F.col("g") != "", F.substring("g", 2, 1 << 30)).alias("lang"), "leaf", "place", F.col("n").alias("leaves"),
-        "subroot", "tree", "trees", "root", F.concat("proof", "rest").alias("proof"), *carried)
+        "subroot", "tree", "trees", "root", "proof", *carried, *["folded"] * (shown is not None))
 
 
 def folded(arity: int = ARITY):
@@ -316,9 +333,8 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fields = {f: F.col(f) for f in FIELDS} | {"n_chars": F.try_add(F.col("n_chars"), F.lit(1).cast("long"))}
     chosen = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0) & fields["n_chars"].isNotNull()
-    made = manifest(docs, tampered=F.when(chosen, leaf(**fields)))
-    shown = made.withColumn("folded_root", folded()(F.coalesce("tampered", "leaf"), "place", "leaves", "tree", "trees", "proof"))
-    return shown.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+    made = manifest(docs, shown=F.when(chosen, leaf(**fields)))
+    return made.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
 
 
 #: Unsigned crc32 of the decimal digits of doc_id: of each byte, then 8 shifts (marked 256).
