@@ -1,19 +1,21 @@
 """Conversation log: sessions and their turns.
 
-Turns are append-only rows (id, session_id, role, content, sources,
-created_at); the view of sessions is derived from them and from session events.
+Turns are rows (id, session_id, role, content, sources, created_at), numbered within their session; the view of
+sessions is derived from them and from session events.  ``SessionLog`` keeps both in tables bucketed by
+session, so that the view and joins by session need no shuffle.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusq.functions.text import budget_tokens
+from corpusq.session import cut, exists
 from corpusq.settings import MAX_INPUT_TOKENS, MAX_SESSIONS, MAX_TURNS
 
 SOURCES = "array<struct<file:string,file_path:string,snippet:string,score:double>>"
@@ -40,42 +42,88 @@ def current_sessions(events: DataFrame, turns: DataFrame) -> DataFrame:
         F.col("session_id").alias("id"), "topic", "is_active", "created_at", F.greatest("event_at", "turn_at").alias("updated_at"), F.coalesce("turn_count", F.lit(0)).alias("turn_count"))
 
 
-EVENTS = "seq long, session_id string, kind string, value string, at long"
-TURNS = f"id long, session_id string, role string, content string, sources {SOURCES}, created_at long"
+EVENTS = "session_id string, seq long, kind string, value string, at long"
+TURNS = f"session_id string, id long, role string, content string, sources {SOURCES}, created_at long"
+BUCKETS = 8
+#: A change of turns rewrites the slots of its sessions only.
+SLOTS = 16
+
+
+def _slot(session_id: Column) -> Column:
+    return F.pmod(F.xxhash64(session_id), F.lit(SLOTS)).cast("int")
 
 
 @dataclass
 class SessionLog:
-    """Sessions and turns below a folder, written by appending; times are numbers that the caller gives and grow."""
+    """Sessions and turns below a folder; times are numbers that the caller gives.
+
+    Events are appended, numbered within their session.  Turns are numbered within their session in order of time, those
+    of one time in the order given, after all that it ever had; its newest ``max_turns`` stay.  After turns were added
+    the oldest inactive sessions beyond ``max_sessions`` are deleted.  A slot is replaced as a whole; one writer at a time.
+    """
 
     spark: SparkSession
     base: str
-
-    def _read(self, part: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.base}/{part}")
-        except AnalysisException:  # nothing written yet
-            return self.spark.createDataFrame([], schema)
+    max_turns: int = MAX_TURNS
+    max_sessions: int = MAX_SESSIONS
+
+    def _table(self, part: str) -> str:
+        """The name of the table over ``part``, which this session's catalog gets to know."""
+        name = f"{part}_{hashlib.md5(self.base.encode()).hexdigest()[:16]}"
+        if not self.spark.catalog.tableExists(name):
+            columns, slots = (TURNS + ", slot int", "PARTITIONED BY (slot)") if part == "turns" else (EVENTS, "")
+            self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet {slots} CLUSTERED BY (session_id) INTO {BUCKETS} BUCKETS LOCATION '{self.base}/{part}'")
+            if slots and exists(self.spark, f"{self.base}/{part}"):
+                self.spark.catalog.recoverPartitions(name)
+        return name
+
+    def _events(self) -> DataFrame:
+        return self.spark.table(self._table("events"))
 
     def append_events(self, events: DataFrame) -> None:
         """Rows (session_id, kind, value, at) of any number of sessions."""
-        events.select(F.col("at").cast("long").alias("seq"), F.col("session_id").cast("string").alias("session_id"), "kind", "value", F.col("at").cast("long").alias("at")).write.mode("append").parquet(f"{self.base}/events")
+        new = events.select(F.col("session_id").cast("string").alias("session_id"), "kind", "value", F.col("at").cast("long").alias("at"), F.monotonically_increasing_id().alias("_p"))
+        before = self._events().groupBy("session_id").agg(F.max("seq").alias("_top"))
+        number = F.row_number().over(Window.partitionBy("session_id").orderBy("at", "_p"))  # the events of one session
+        numbered = new.join(before, "session_id", "left").withColumn("seq", F.coalesce("_top", F.lit(0)) + number)
+        rows = cut(numbered.select("session_id", "seq", "kind", "value", "at"))
+        rows.repartition(BUCKETS, "session_id").write.insertInto(self._table("events"))
 
     def append_turns(self, turns: DataFrame) -> None:
         """Rows (session_id, role, content, at), and sources if there are."""
         sources = F.col("sources").cast(SOURCES) if "sources" in turns.columns else F.lit(None).cast(SOURCES)
-        at = F.col("at").cast("long")
-        turns.select(at.alias("id"), F.col("session_id").cast("string").alias("session_id"), "role", "content", sources.alias("sources"), at.alias("created_at")).write.mode("append").parquet(f"{self.base}/turns")
+        new = cut(turns.select(F.col("session_id").cast("string").alias("session_id"), "role", "content", sources.alias("sources"), F.col("at").cast("long").alias("created_at"), F.monotonically_increasing_id().alias("_p")).withColumn("slot", _slot(F.col("session_id"))))
+        slots = [r[0] for r in new.select("slot").distinct().collect()]  # ``SLOTS`` at most
+        if not slots:
+            return
+        table = self._table("turns")
+        old = self.spark.table(table).filter(F.col("slot").isin(*slots))
+        top = old.groupBy("session_id").agg(F.max("id").alias("_top"))
+        facts = new.groupBy("session_id").agg(F.count("*").alias("_n")).join(top, "session_id", "left").select("session_id", (F.col("_n") + F.coalesce("_top", F.lit(0))).alias("_last"))
+        # counted from the newest on, so that Spark drops what is beyond the limit before it shuffles
+        back = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("created_at"), F.desc("_p")))
+        newest = new.withColumn("_back", back).filter(F.col("_back") <= self.max_turns).join(facts, "session_id").withColumn("id", F.col("_last") - F.col("_back") + 1)
+        kept = old.join(facts, "session_id", "left").filter(F.col("_last").isNull() | (F.col("id") > F.col("_last") - self.max_turns))
+        names = self.spark.table(table).columns
+        rows = cut(kept.select(*names).unionByName(newest.select(*names)))
+        conf, key = self.spark.conf, "spark.sql.sources.partitionOverwriteMode"
+        before = conf.get(key)
+        conf.set(key, "dynamic")
+        try:
+            rows.repartition(BUCKETS, "session_id").write.insertInto(table, overwrite=True)
+        finally:
+            conf.set(key, before)
+        self.enforce_limits(rows.agg(F.max("created_at")).first()[0])
 
     def _one(self, session_id: str, kind: str, value: str, at: int) -> None:
         self.append_events(self.spark.createDataFrame([(session_id, kind, value, at)], "session_id string, kind string, value string, at long"))
 
     def turns(self) -> DataFrame:
-        gone = self._read("events", EVENTS).filter("kind = 'delete'").select("session_id").distinct()
-        return delete_sessions(self._read("turns", TURNS), gone)
+        gone = self._events().filter("kind = 'delete'").select("session_id").distinct()
+        return delete_sessions(self.spark.table(self._table("turns")).drop("slot"), gone)
 
     def sessions(self) -> DataFrame:
-        return current_sessions(self._read("events", EVENTS), self.turns())
+        return current_sessions(self._events(), self.turns())
 
     def create(self, at: int, topic: str = "") -> str:
         made = uuid.uuid4().hex[:12]
@@ -83,7 +131,8 @@ class SessionLog:
         return made
 
     def _known(self, session_id: str) -> bool:
-        return not self.sessions().filter(F.col("id") == session_id).isEmpty()
+        kinds = self._events().filter(F.col("session_id") == session_id).agg(F.max(F.col("kind") == "create"), F.max(F.col("kind") == "delete")).first()
+        return bool(kinds[0]) and not kinds[1]
 
     def change(self, session_id: str, kind: str, at: int, value: str = "") -> bool:
         """topic, switch, close or delete; False for a session that is not there."""
@@ -101,11 +150,12 @@ class SessionLog:
         one = self.spark.createDataFrame([(session_id, role, content, at, [tuple(s.get(k) for k in ("file", "file_path", "snippet", "score")) for s in sources or []])], f"session_id string, role string, content string, at long, sources {SOURCES}")
         self.append_turns(one)
 
-    def enforce_limits(self, at: int, keep: int = MAX_SESSIONS) -> None:
-        """Delete the oldest inactive sessions in excess of ``keep``."""
+    def enforce_limits(self, at: int, keep: int | None = None) -> None:
+        """Delete the oldest inactive sessions in excess of ``keep`` (``max_sessions``)."""
         all_ = self.sessions()
-        gone = all_.join(retained_sessions(all_, keep).select("id"), "id", "left_anti")
-        self.append_events(gone.select(F.col("id").alias("session_id"), F.lit("delete").alias("kind"), F.lit("").alias("value"), F.lit(at).alias("at")))
+        old = excess_sessions(all_, self.max_sessions if keep is None else keep)
+        if old is not None:
+            self.append_events(old.select(F.col("id").alias("session_id"), F.lit("delete").alias("kind"), F.lit("").alias("value"), F.lit(at).alias("at")))
 
 
 def session_turns(sessions: DataFrame, turns: DataFrame) -> DataFrame:
@@ -133,11 +183,16 @@ def retained_turns(turns: DataFrame, keep: int = MAX_TURNS) -> DataFrame:
     return turns.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= keep).drop("_n")
 
 
+def excess_sessions(sessions: DataFrame, keep: int = MAX_SESSIONS) -> DataFrame | None:
+    """The oldest inactive sessions in excess of ``keep``; None if there is no excess."""
+    excess = max(0, sessions.count() - keep)
+    return sessions.filter("is_active = 0").orderBy("updated_at", "id").limit(excess) if excess else None
+
+
 def retained_sessions(sessions: DataFrame, keep: int = MAX_SESSIONS) -> DataFrame:
     """All but the oldest inactive sessions in excess of ``keep``."""
-    excess = max(0, sessions.count() - keep)
-    old = sessions.filter("is_active = 0").orderBy("updated_at", "id").limit(excess)
-    return sessions.join(old.select("id"), "id", "left_anti") if excess else sessions
+    old = excess_sessions(sessions, keep)
+    return sessions if old is None else sessions.join(old.select("id"), "id", "left_anti")
 
 
 def delete_sessions(table: DataFrame, ids: DataFrame, key: str = "session_id") -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusq.functions.text import basename
+from corpusq.session import read_or_empty
 
 STATES = ("pending", "parsing", "parsed", "embedding", "embedded", "duplicate", "error", "cancelling", "cancelled")
 UNFINISHED = ("pending", "parsing", "parsed", "embedding")
@@ -93,21 +93,20 @@ def paths_of(files: DataFrame, wanted: DataFrame) -> DataFrame:
     return last.join(wanted.select(basename(F.col("path")).alias("_n")).distinct(), "_n", "left_semi").select("source_file")
 
 
+#: What ``ingest`` says of a file of which a chunk has no vector.
+EMBED_FAILED = "embedding failed"
 FAILED = "group string, name string, path string, status string, error string"
 
 
 @dataclass
 class FailedFiles:
-    """Failed files of the last run as a table that is only appended to; files retried with success leave it."""
+    """Failed files as a table that is only appended to: those of the last run saved, those added since, less what was retried with success."""
 
     spark: SparkSession
     base: str
 
     def _rows(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(f"seq int, kind string, {FAILED}").option("recursiveFileLookup", True).parquet(self.base)
-        except AnalysisException:  # nothing written yet
-            return self.spark.createDataFrame([], f"seq int, kind string, {FAILED}")
+        return read_or_empty(self.spark, self.base, f"seq int, kind string, {FAILED}", recursiveFileLookup=True)
 
     def _append(self, rows: DataFrame, kind: str) -> None:
         seq = (self._rows().agg(F.max("seq")).first()[0] or 0) + 1
@@ -121,14 +120,27 @@ class FailedFiles:
         """``failed`` (rows of ``failed_groups``, with name) takes the place of what was saved before."""
         self._append(failed, "save")
 
+    def add(self, failed: DataFrame) -> None:
+        """``failed`` joins what was saved; of a path that is there already the new row counts."""
+        self._append(failed, "add")
+
     def remove(self, paths: DataFrame) -> None:
         self._append(paths.select("path"), "gone")
 
     def load(self) -> DataFrame:
         rows = self._rows()
-        last = rows.filter("kind = 'save ends'").agg(F.max("seq")).first()[0] or 0
-        gone = rows.filter((F.col("kind") == "gone") & (F.col("seq") > last))
-        return remove_paths(rows.filter((F.col("kind") == "save") & (F.col("seq") == last)), gone).drop("seq", "kind")
+        start = rows.filter("kind = 'save ends'").agg(F.max("seq")).first()[0] or 0
+        since = rows.filter((F.col("seq") >= start) & F.col("kind").isin("save", "add", "gone")).withColumn("_p", normal_path("path"))
+        last = since.groupBy("_p").agg(F.max("seq").alias("_last"))
+        held = since.join(last, "_p").filter((F.col("seq") == F.col("_last")) & (F.col("kind") != "gone"))
+        return held.drop("_p", "_last", "seq", "kind")
+
+
+def failed_of(state: DataFrame) -> DataFrame:
+    """Rows of ``failed_groups`` of a run's ``state`` (path, status, error)."""
+    kind = F.when(F.col("error") == EMBED_FAILED, "embed_error").otherwise("parse_error")
+    errors = state.filter("status = 'error'").select(F.lit(0).alias("pos"), "path", kind.alias("type"))
+    return failed_groups(state.select("path", basename(F.col("path")).alias("name"), "status", "error"), errors)
 
 
 def profile(timings: DataFrame, slowest: int = 3) -> tuple[DataFrame, DataFrame]:

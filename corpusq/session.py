@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -34,3 +35,19 @@ def cut(df: DataFrame) -> DataFrame:
     done = df.checkpoint(eager=True)
     df.sparkSession._jvm.System.gc()
     return done
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether anything has been written at ``path`` yet."""
+    try:
+        spark.read.schema("_ int").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str, **options) -> DataFrame:
+    """The Parquet table at ``path``, without rows if nothing has been written there yet."""
+    return spark.read.options(**options).schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)

@@ -7,6 +7,10 @@ TOP_K = 50
 MAX_INPUT_TOKENS = 400_000
 EMBED_CHARS = 3000
 EMBED_BATCH = 20
+EMBED_ATTEMPTS = 3
+#: Seconds that a file may take to parse, and one whose text is read from pictures.
+PARSE_SECONDS = 60
+OCR_SECONDS = 300
 EXTENSIONS = ("docx", "xlsx", "vsdx", "pdf", "zip", "rar", "png", "jpg", "jpeg", "bmp", "tiff", "tif", "dxf", "csv", "doc", "xls", "ppt", "pptx")
 PLAIN_EXTENSIONS = ("txt", "csv", "md", "py", "json", "xml", "html", "htm", "log")
 FILE_TYPES = {

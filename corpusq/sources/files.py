@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusq.functions.text import basename, extension, file_type, format_size
-from corpusq.settings import EXTENSIONS, PLAIN_EXTENSIONS
+from corpusq.settings import EXTENSIONS, OCR_SECONDS, PARSE_SECONDS, PLAIN_EXTENSIONS
 from corpusq.sources import parsers
+from corpusq.sources.limits import CallFailed, Limited, OutOfTime
 
 PARSED = "file_path string, file_name string, file_type string, content string, pages array<string>, metadata map<string,string>, hash string, error string"
 
@@ -29,21 +30,38 @@ def scan_directory(spark: SparkSession, path: str, extensions: tuple[str, ...] =
     )
 
 
-def parse_files(files: DataFrame, context: parsers.Context | None = None, known: dict | None = None) -> DataFrame:
-    """Parsed documents of (path, content); a file that cannot be parsed has an ``error`` and no content."""
+def parse_files(files: DataFrame, context: parsers.Context | None = None, known: dict | None = None, seconds: tuple[float, float] | None = (PARSE_SECONDS, OCR_SECONDS)) -> DataFrame:
+    """Parsed documents of (path, content); a file that cannot be parsed has an ``error`` and no content.
+
+    A file is given ``seconds``, the second figure if it is a picture or a PDF, in a child process of the
+    worker; one that hangs or ends its process is an error and costs no other file.  With None there is no limit and no child.
+    """
     ctx, table = context or parsers.Context(), known or parsers.PARSERS
 
+    def one(name: str, content: bytes) -> tuple:
+        got = parsers.parse(name, content, ctx, table)
+        return got and (got.content, got.pages, got.metadata)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for path, content, digest, kind in zip(pdf["path"], pdf["content"], pdf["hash"], pdf["kind"]):
-                name = path.replace("\\", "/").rsplit("/", 1)[-1]
-                try:
-                    got, error = parsers.parse(name, content, ctx, table), None
-                except Exception as e:  # one bad file must not end the job
-                    got, error = None, f"{type(e).__name__}: {e}"[:500]
-                out.append((path, name, kind, got and got.content, got and got.pages, got and got.metadata, digest, error))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in PARSED.split(", ")])
+        limited = Limited(one)
+        try:
+            for pdf in batches:
+                out = []
+                for path, content, digest, kind in zip(pdf["path"], pdf["content"], pdf["hash"], pdf["kind"]):
+                    name = path.replace("\\", "/").rsplit("/", 1)[-1]
+                    try:
+                        if seconds is None:
+                            got, error = one(name, content), None
+                        else:
+                            got, error = limited(seconds[kind in ("image", "pdf")], name, content), None
+                    except OutOfTime as e:
+                        got, error = None, f"timeout: {e}"
+                    except Exception as e:  # one bad file must not end the job
+                        got, error = None, (str(e) if isinstance(e, CallFailed) else f"{type(e).__name__}: {e}")[:500]
+                    out.append((path, name, kind, *(got or (None, None, None)), digest, error))
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in PARSED.split(", ")])
+        finally:
+            limited.close()
 
     rows = files.select("path", "content", F.md5("content").alias("hash"), file_type(F.col("path")).alias("kind"))
     return rows.mapInPandas(run, PARSED)

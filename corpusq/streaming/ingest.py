@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusq.functions.text import basename, extension, format_size
+from corpusq.operators import status
 from corpusq.operators.ingest import MANIFEST, ingest
+from corpusq.operators.status import FailedFiles
 from corpusq.operators.store import ChunkStore
 from corpusq.settings import EXTENSIONS
 from corpusq.sources.parsers import Context
@@ -42,14 +44,17 @@ def file_stream(spark: SparkSession, path: str, per_batch: int = 1000) -> DataFr
     )
 
 
-def ingest_stream(spark: SparkSession, path: str, store: ChunkStore, embed: Callable[[list[str]], list], checkpoint: str, context: Context | None = None, per_batch: int = 1000, available_now: bool = True, lossless: bool = True, cancelled: Callable[[], DataFrame | None] = lambda: None) -> StreamingQuery:
+def ingest_stream(spark: SparkSession, path: str, store: ChunkStore, embed: Callable[[list[str]], list], checkpoint: str, context: Context | None = None, per_batch: int = 1000, available_now: bool = True, lossless: bool = True, cancelled: Callable[[], DataFrame | None] = lambda: None, failed: FailedFiles | None = None) -> StreamingQuery:
     """Start ingesting; ``lastProgress`` of the query is the progress, ``stop`` ends it between batches.
 
-    ``cancelled`` is asked before every batch for the files (path) that are to be left alone.
+    ``cancelled`` is asked before every batch for the files (path) that are to be left alone.  Files that
+    did not end well join ``failed``.
     """
 
     def batch(files: DataFrame, number: int) -> None:
         _, state = ingest(files.sparkSession, files, store, embed, read_manifest(store), context, float(number), lossless, cancelled=cancelled())
+        if failed is not None:
+            failed.add(status.failed_of(state))
         write_manifest(store, state.filter("status = 'embedded'").withColumn("indexed_at", F.lit(float(number))))
 
     writer = file_stream(spark, path, per_batch).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).queryName(f"ingest-{uuid.uuid4().hex[:8]}")

@@ -1,9 +1,15 @@
+import os
+import time
+import uuid
+import zipfile
+
 import pytest
 
 from corpusq import doubles
 from corpusq.operators import ingest as ing
-from corpusq.operators import search
+from corpusq.operators import search, status
 from corpusq.operators.store import ChunkStore, Libraries
+from corpusq.sources import files, parsers
 from corpusq.streaming import ingest as stream
 
 
@@ -48,18 +54,76 @@ def test_errors_and_retry(spark, tmp_path):
     assert [r.status for r in state.collect()] == ["embedded"] and texts(store) == ["x\ty"] and after.count() == 1
 
 
-def test_embedding_failures(spark):
-    calls = []
+class Answer(Exception):
+    def __init__(self, code):
+        self.code = code
 
-    def flaky(batch):
-        calls.append(len(batch))
-        if max(map(len, batch)) > 10:
-            raise ValueError("too long")
-        return [[1.0, 0.0]] * len(batch)
 
+def test_embedding_failures(spark, tmp_path):
+    """Only a 413 halves the texts; a busy service gets the same texts again; other codes are final."""
     df = spark.createDataFrame([("c", "x" * 35)] * 3, "chunk_id string, text string").coalesce(1)
-    assert all(list(r.vector) == [1.0, 0.0] for r in ing.embed_chunks(df, flaky).collect())
-    assert all(r.vector is None for r in ing.embed_chunks(df.selectExpr("chunk_id", "repeat(text, 9) as text"), flaky).collect())
+
+    def vectors(*codes):
+        calls, log = list(codes), str(tmp_path / uuid.uuid4().hex)
+
+        def embed(batch):
+            with open(log, "a") as f:
+                f.write(f"{max(map(len, batch))}\n")
+            code = calls.pop(0) if calls else None
+            if code is not None:
+                raise code if isinstance(code, Exception) else Answer(code)
+            return [[float(len(t)), 0.0] for t in batch]
+
+        got = [r.vector and r.vector[0] for r in ing.embed_chunks(df, embed, sleep=lambda s: open(log, "a").write(f"wait {s:g}\n")).collect()]
+        return got, open(log).read().split("\n")[:-1]
+
+    assert vectors() == ([35.0] * 3, ["35"])
+    assert vectors(503, TimeoutError()) == ([35.0] * 3, ["35", "wait 1", "35", "wait 2", "35"])
+    assert vectors(413) == ([17.0] * 3, ["35", "17"])
+    assert vectors(413, 413) == ([None] * 3, ["35", "17"])
+    assert vectors(429, 429, 500) == ([None] * 3, ["35", "wait 1", "35", "wait 2", "35"])
+    assert vectors(401) == ([None] * 3, ["35"])
+
+
+def slow_parser(name, data, context):
+    if name.startswith("hang"):
+        time.sleep(600)
+    if name.startswith("die"):
+        os._exit(1)
+    if name.startswith("bad"):
+        raise ValueError("broken")
+    return parsers.Parsed(data.decode(), [], {})
+
+
+def test_a_file_that_hangs_costs_itself_only(spark):
+    names = ["a.csv", "hang1.csv", "b.csv", "die.csv", "c.csv", "bad.csv", "hang2.csv", "d.csv", "none.xyz"]
+    given = spark.createDataFrame([(f"/k/{n}", n.encode()) for n in names], "path string, content binary").coalesce(1)
+    began = time.time()
+    got = {r.file_name: (r.content, r.error) for r in files.parse_files(given, known={"csv": slow_parser}, seconds=(1.5, 1.5)).collect()}
+    assert time.time() - began < 60
+    assert {n: got[n] for n in ("a.csv", "b.csv", "c.csv", "d.csv")} == {n: (n, None) for n in ("a.csv", "b.csv", "c.csv", "d.csv")}
+    assert got["hang1.csv"] == got["hang2.csv"] == (None, "timeout: over 1.5 s")
+    assert got["die.csv"][1].startswith("ChildDied") and got["bad.csv"] == (None, "ValueError: broken") and got["none.xyz"][1] == "ValueError: no parser for .xyz"
+
+
+def test_failed_files_of_runs(spark, tmp_path):
+    """A run saves what failed, a retry with success takes it out, one without keeps it."""
+    src = tmp_path / "src"
+    put(src, good="x\n")
+    (src / "bad.docx").write_bytes(b"PKno")
+    (src / "worse.docx").write_bytes(b"PKworse")
+    store, kept = ChunkStore(spark, str(tmp_path / "store")), status.FailedFiles(spark, str(tmp_path / "failed"))
+    manifest, state = ing.ingest(spark, str(src), store, doubles.hash_embed, failed=kept)
+    assert sorted((r.group, r.name) for r in kept.load().collect()) == [("parse_error", "bad.docx"), ("parse_error", "worse.docx")]
+    manifest = spark.createDataFrame(manifest.collect(), ing.MANIFEST)
+    paths = {r.path.rsplit("/", 1)[1]: r.path for r in state.collect()}
+    again = lambda name: ing.retry_file(spark, paths[name], store, doubles.hash_embed, manifest, parsers.Context(), failed=kept)
+    again("worse.docx")
+    assert sorted(r.name for r in kept.load().collect()) == ["bad.docx", "worse.docx"]
+    with zipfile.ZipFile(src / "bad.docx", "w") as z:
+        z.writestr("word/document.xml", "<w:document xmlns:w='w'><w:p><w:r><w:t>mended</w:t></w:r></w:p></w:document>")
+    again("bad.docx")
+    assert [r.name for r in kept.load().collect()] == ["worse.docx"] and "mended" in texts(store)
 
 
 def test_store_and_libraries(spark, tmp_path):
