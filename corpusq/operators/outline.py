@@ -65,6 +65,18 @@ def tree_sections(outlines: DataFrame) -> DataFrame:
     )
 
 
+def section_paths(sections: DataFrame) -> DataFrame:
+    """``tree_sections`` with ``path``, the titles from the top section down, and ``top_ord``.
+
+    A chain has three sections at most, so parents are joined twice.
+    """
+    up = sections.select("id", F.col("ord").alias("parent_ord"), F.col("parent_ord").alias("_grand"), F.col("title").alias("_parent"))
+    top = sections.select("id", F.col("ord").alias("_grand"), F.col("title").alias("_top"))
+    joined = sections.join(up, ["id", "parent_ord"], "left").join(top, ["id", "_grand"], "left")
+    path = F.array_compact(F.array("_top", "_parent", "title"))
+    return joined.select(*sections.columns, path.alias("path"), F.coalesce("_grand", "parent_ord", "ord").alias("top_ord"))
+
+
 def assemble(sections: DataFrame) -> DataFrame:
     """id, document: (id, ord, number, title, depth, content) as one Markdown text; headings at most 6 deep."""
     part = F.concat(F.lit("\n"), F.repeat(F.lit("#"), F.least(F.col("depth") + 1, F.lit(6)).cast("int")), F.lit(" "), "number", F.lit(" "), "title", F.lit("\n\n\n"), F.coalesce("content", F.lit("")), F.lit("\n"))
