@@ -15,6 +15,12 @@ GRAM = 6
 #: What a source without file is called, and the start of its key.
 UNKNOWN = "（来源未知）"
 ORPHAN = "__orphan__"
+#: Fixed value: the answer where the model gives none.
+FAILED = "API 调用失败，请检查网络连接和 API 密钥。"
+WITH_CONTEXT = "Answer from the numbered references below. Put the number of its reference after each fact, use no other numbers, and say so where the references do not tell.\n\n"
+WITHOUT_CONTEXT = "Answer the question in view of the conversation."
+LEGEND = "\n\nIn the last answer the numbers stood for:\n"
+LEGEND_ENDS = "\nThey hold for the conversation so far; cite by the numbers of the references above."
 
 
 def filename_targets(files: DataFrame, query: str) -> DataFrame:
@@ -125,17 +131,56 @@ def prompt_messages(history: DataFrame, names: DataFrame, system: str, query: st
     return turns.select("session_id", F.concat(one("system", system), F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))), one("user", query)).alias("messages"))
 
 
+def legend(names: Column) -> Column:
+    """What the numbers of the last answer's sources stood for, as a part of the instructions; nothing without any."""
+    listed = F.transform(F.array_sort(F.map_keys(names)), lambda n: F.concat(F.lit("  ["), n.cast("string"), F.lit("] → "), F.coalesce(F.element_at(names, n), F.lit(""))))
+    told = F.concat(F.lit(LEGEND), F.array_join(listed, "\n"), F.lit(LEGEND_ENDS))
+    return F.when(F.coalesce(F.size(names), F.lit(0)) > 0, told).otherwise("")
+
+
+def conversations(questions: DataFrame, turns: DataFrame | None = None, n: int = HISTORY_TURNS) -> DataFrame:
+    """session_id, messages: for each question (session_id, query, context) what a model is told, as (role, content).
+
+    Instructions with the context, or those without, and the legend of the session's last sources; its last n turns, the
+    citations of the user's explained by the same names; the question.
+    """
+    head = F.when(F.coalesce("context", F.lit("")) != "", F.concat(F.lit(WITH_CONTEXT), F.col("context"))).otherwise(WITHOUT_CONTEXT)
+    names_of, told = None, None
+    if turns is not None:
+        asked = turns.join(questions.select("session_id").distinct(), "session_id", "left_semi")
+        names_of = last_sources(asked) if "sources" in turns.columns else None
+        said = recent_history(asked, n)
+        if names_of is not None:
+            said = said.join(names_of, "session_id", "left").withColumn("content", F.when((F.col("role") == "user") & F.col("names").isNotNull(), annotate_citations(F.col("content"), F.col("names"))).otherwise(F.col("content")))
+        told = said.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("id", "role", "content"))).alias("t"))  # n turns at most
+    q = questions if told is None else questions.join(told, "session_id", "left")
+    q = q if names_of is None else q.join(names_of, "session_id", "left")
+    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    history = F.array() if told is None else F.coalesce(F.transform("t", lambda t: F.struct(t["role"].alias("role"), F.coalesce(t["content"], F.lit("")).alias("content"))), F.array())
+    system = head if names_of is None else F.concat(head, legend(F.col("names")))
+    kind = "array<struct<role:string,content:string>>"
+    return q.select("session_id", F.concat(F.array(message("system", system)).cast(kind), history.cast(kind), F.array(message("user", F.col("query"))).cast(kind)).alias("messages"))
+
+
+def answers(told: DataFrame, generate: Callable[[str], str | None]) -> DataFrame:
+    """``conversations`` with ``answer``: the model gets the messages as JSON; where it gives nothing the answer says that it failed."""
+    from corpusq.operators.analysis import generated
+
+    asked = generated(told.withColumn("_prompt", F.to_json("messages")), "_prompt", generate)
+    return asked.withColumn("answer", F.coalesce(F.nullif("answer", F.lit("")), F.lit(FAILED))).drop("_prompt")
+
+
 def answer(hits: DataFrame, query: str, generate: Callable[[str], str | None], rank: str = "rank", given_context: str | None = None) -> dict:
     """Answer and sources, as an application wants them; ``generate`` is the model."""
     sources = numbered_sources(hits, rank)
     text = given_context or context(hits, sources, rank).first()["context"]
     reply = generate(f"{text}\n\n{query}" if text else query)
-    return {"answer": reply, "sources": [r.asDict() for r in sources.drop("source").orderBy("number").collect()]}
+    return {"answer": reply or FAILED, "sources": [r.asDict() for r in sources.drop("source").orderBy("number").collect()]}
 
 
 def ask(chunks: DataFrame, query: str, embed: Callable[[str], list[float]], generate: Callable[[str], str | None], top_k: int = 50, turns: DataFrame | None = None, session_id=None, given_context: str | None = None) -> dict:
     """A question from search to answer: hybrid search (keywords alone if ``embed`` fails), files that the query names,
-    numbered sources, context, and the session's last turns with their citations explained.
+    numbered sources, and a model told of them as ``conversations`` says.  answer and sources.
     """
     from corpusq.operators import search
 
@@ -145,13 +190,9 @@ def ask(chunks: DataFrame, query: str, embed: Callable[[str], list[float]], gene
         hits = search.keyword_search(chunks, query, top_k)
     hits = targeted_injection(hits, chunks, filename_targets(chunks, query))
     ranked = hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "rowid")))  # a few times top_k rows
-    told = ""
-    if turns is not None:
-        own = turns.filter(F.col("session_id") == session_id)
-        names = last_sources(own).first() if "sources" in own.columns else None
-        said = recent_history(own)
-        if names is not None:
-            legend = F.create_map(*[F.lit(x) for pair in names["names"].items() for x in pair])
-            said = said.withColumn("content", F.when(F.col("role") == "user", annotate_citations(F.col("content"), legend)).otherwise(F.col("content")))
-        told = "\n".join(f"{r['role']}: {r['content']}" for r in said.orderBy("id").collect())  # HISTORY_TURNS rows at most
-    return answer(ranked, f"{told}\n\n{query}" if told else query, generate, given_context=given_context)
+    sources = numbered_sources(ranked)
+    about = F.lit(given_context) if given_context else F.col("context")
+    key = F.lit(session_id) if turns is None else F.lit(session_id).cast(turns.schema["session_id"].dataType)
+    question = context(ranked, sources).select(key.alias("session_id"), F.lit(query).alias("query"), about.alias("context"))
+    row = answers(conversations(question, turns), generate).first()
+    return {"answer": row["answer"], "sources": [r.asDict() for r in sources.drop("source").orderBy("number").collect()]}

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusq.operators import analysis, fulltext, postings
+from corpusq.functions import metadata
+from corpusq.operators import analysis, fulltext, outline, postings, rag, search
+from corpusq.plans import catalog
 from corpusq.plans.catalog import ORACLE_SQL, QUERIES, query
 from corpusq.plans.views import PADDED_SQL, chunks, chunks_sql, table
 from corpusq.session import shared_dir
@@ -139,3 +142,102 @@ def file_state_changes(spark, sf_dir):
         states.start_states(given, f"{base}/changes", f"{base}/checkpoint", f"{_PATIENCE_HOURS} hours").awaitTermination()
         low = high
     return spark.read.schema(states.CHANGES).parquet(f"{base}/changes").select("path", "seq", F.unix_micros("at").alias("at_us"), "before", "status", "verdict")
+
+
+# ---- answers, all modes of search, wide characters
+
+def _lines(role: str, text: str) -> str:
+    return f"'{role}:' || {text} || chr(10)"
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations),
+k AS (SELECT DISTINCT conv_id FROM t), l AS (SELECT conv_id, max(turn) AS turn FROM t WHERE role = 'assistant' GROUP BY conv_id),
+h AS (SELECT t.conv_id, string_agg(role || ':' || CASE WHEN role = 'user' THEN text || ' [1][3]' || CASE WHEN l.turn IS NULL THEN '' ELSE '(指上轮「t' || l.turn || '」)' END ELSE text END || chr(10), '' ORDER BY t.turn) AS said
+  FROM t LEFT JOIN l ON l.conv_id = t.conv_id WHERE n <= 50 AND role IN ('user', 'assistant') GROUP BY t.conv_id)
+SELECT k.conv_id AS session_id, CASE WHEN k.conv_id % 7 = 0 THEN {_q(rag.FAILED)} ELSE md5({_lines('system', f"CASE WHEN k.conv_id % 2 = 0 THEN {_q(rag.WITH_CONTEXT)} || 'about ' || k.conv_id ELSE {_q(rag.WITHOUT_CONTEXT)} END || CASE WHEN l.turn IS NULL THEN '' ELSE {_q(rag.LEGEND)} || '  [1] → a.pdf' || chr(10) || '  [2] → b.pdf' || chr(10) || '  [3] → t' || l.turn || {_q(rag.LEGEND_ENDS)} END")}
+  || coalesce(said, '') || {_lines('user', "'what of [2]?'")}) END AS answer FROM k LEFT JOIN h ON h.conv_id = k.conv_id LEFT JOIN l ON l.conv_id = k.conv_id""".replace("|| ' [1][3]' ||", "|| ' [1]' || CASE WHEN l.turn IS NULL THEN '' ELSE '(指上轮「a.pdf」)' END || '[3]' ||"))
+def asked(spark, sf_dir):
+    """Every session is asked one more question, half of them with a context; the last answer's sources are explained, and some answers fail."""
+    t = table(spark, sf_dir, "conversations")
+    source = lambda *names: F.array(*[F.struct(F.lit("").alias("file"), n.alias("file_path")) for n in names])
+    given = source(F.lit("/k/a.pdf"), F.lit("b.pdf"), F.concat(F.lit("/t"), F.col("turn").cast("string")))
+    turns = t.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("id"), "role", F.when(F.col("role") == "user", F.concat(F.coalesce("text", F.lit("")), F.lit(" [1][3]"))).otherwise(F.col("text")).alias("content"), F.when(F.col("role") == "assistant", given).alias("sources"))
+    c = F.col("session_id")
+    questions = turns.select("session_id").distinct().select("session_id", F.lit("what of [2]?").alias("query"), F.when(c % 2 == 0, F.concat(F.lit("about "), c.cast("string"))).alias("context"))
+
+    def generate(prompt: str) -> str:
+        return _digest("".join(f"{m['role']}:{m['content']}\n" for m in json.loads(prompt)))
+
+    told = rag.conversations(questions, turns)
+    made = rag.answers(told.filter(c % 7 != 0), generate).unionByName(rag.answers(told.filter(c % 7 == 0), lambda prompt: None))
+    return made.select("session_id", "answer")
+
+
+_MODES = f"""WITH c AS ({chunks_sql()}), {catalog._merged_sql(catalog.WORDS, 60)},
+v AS (SELECT rowid, round(s, 4) AS score FROM (SELECT rowid, s FROM vec) t)"""
+
+
+@query(f"""{_MODES} SELECT 'keyword' AS mode, rowid, 1.0::DOUBLE AS score FROM kw UNION ALL SELECT 'fallback', rowid, 1.0::DOUBLE FROM kw UNION ALL SELECT 'vector', rowid, score FROM v
+UNION ALL SELECT 'hybrid', rowid, round(score, 4) FROM h UNION ALL SELECT 'unembedded', rowid, 3.0::DOUBLE FROM
+(SELECT rowid, row_number() OVER (ORDER BY fr <> 1, rowid) AS rank FROM (SELECT rowid, row_number() OVER (PARTITION BY source_file ORDER BY rowid) AS fr FROM kw)) WHERE rank <= 60""")
+def search_modes(spark, sf_dir):
+    """Every branch of the dispatcher: keywords, vectors with and without a model, both merged, and both without a model."""
+    c, vector = chunks(spark, sf_dir), catalog._query_vector(spark, sf_dir)
+    found = None
+    for mode, name, embed in (("keyword", "keyword", None), ("vector", "fallback", lambda q: None), ("vector", "vector", lambda q: vector), ("any", "hybrid", lambda q: vector), ("any", "unembedded", None)):
+        part = search.search(c, catalog.WORDS, mode, embed, 60).select(F.lit(name).alias("mode"), "rowid", "score")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+@query(f"""WITH d AS (SELECT doc_id AS rowid, text, lang FROM documents), w AS (SELECT rowid, replace(replace(replace(text, ' the ', ' 质量 '), ' and ', ' 量管理体 '), ' of ', '系') AS text, '/质量/' || lang || '.txt' AS source_file FROM d),
+p AS (SELECT rowid, {PADDED_SQL.format('text')} AS t, {PADDED_SQL.format('source_file')} AS f, lower(text) AS g FROM w)
+SELECT 'tokens' AS mode, rowid FROM p WHERE contains(t, ' 管理 ') OR contains(t, ' 理体 ') OR contains(t, ' whou ') UNION ALL
+SELECT 'pairs', rowid FROM p WHERE contains(g, '管理') OR contains(g, '理体') OR contains(t, ' whou ') UNION ALL
+SELECT 'runs', rowid FROM p WHERE contains(t, ' 量管理体 ')""")
+def wide_search(spark, sf_dir):
+    """Texts with runs of CJK characters: pairs as whole tokens, pairs inside runs, and a run as a quoted phrase."""
+    text = F.col("text")
+    for word, wide in ((" the ", " 质量 "), (" and ", " 量管理体 "), (" of ", "系")):
+        text = F.replace(text, F.lit(word), F.lit(wide))
+    c = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("rowid"), F.col("doc_id").cast("string").alias("chunk_id"), text.alias("text"), F.concat(F.lit("/质量/"), "lang", F.lit(".txt")).alias("source_file"), F.lit("text").alias("file_type"), F.lit(0).alias("chunk_index"), F.lit(1).alias("total_chunks"))
+    named = lambda mode, df: df.select(F.lit(mode).alias("mode"), "rowid")
+    pairs = named("tokens", search.exhaustive_search(c, "管理体 whou")).unionByName(named("pairs", search.exhaustive_search(c, "管理体 whou", "cjk_bigram")))
+    return pairs.unionByName(named("runs", search.exhaustive_search(c, '"量管理体"')))
+
+
+# ---- metadata of any shape, paths of sections, progress
+
+_SHAPES = ('{"page": 7, "tags": ["a", "b"]}', '{"page": "12", "deep": {"k": [1, {"x": 2.5}]}}', "[1, 2]", '{"broken": ')
+
+
+@query(f"""WITH j AS (SELECT event_id, CASE WHEN event_id % 6 = 4 THEN NULL WHEN event_id % 6 = 5 THEN props ELSE [{', '.join(_q(x) for x in _SHAPES)}][CAST(event_id % 6 + 1 AS INT)] END AS m FROM events), v AS (SELECT event_id, CASE WHEN json_valid(m) THEN m END AS m FROM j)
+SELECT event_id, m IS NOT NULL AS valid, CASE json_type(m) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' END AS kind, TRY_CAST(json_extract_string(m, '$.page') AS INTEGER) AS page,
+TRY_CAST(json_extract_string(m, '$.k') AS BIGINT) AS k, json_extract_string(m, '$.tags[1]') AS tag, TRY_CAST(json_extract_string(m, '$.deep.k[1].x') AS DOUBLE) AS x FROM v""")
+def metadata_values(spark, sf_dir):
+    """Metadata of four shapes beside the events' own, some of it broken or missing."""
+    n = F.col("event_id") % 6
+    text = F.when(n == 5, F.col("props"))
+    for i, shape in enumerate(_SHAPES):
+        text = text.when(n == i, shape)
+    rows = table(spark, sf_dir, "events").select("event_id", metadata.parsed(text).alias("v"))
+    v = F.col("v")
+    return rows.select("event_id", v.isNotNull().alias("valid"), metadata.kind(v).alias("kind"), metadata.value(v, "$.page", "int").alias("page"), metadata.value(v, "$.k", "long").alias("k"), metadata.value(v, "$.tags[1]", "string").alias("tag"), metadata.value(v, "$.deep.k[1].x", "double").alias("x"))
+
+
+@query("""WITH RECURSIVE w AS (SELECT item_id AS id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM benchmark),
+s(ord, number, depth, parent_ord, word) AS (VALUES (1, '2.1.1', 3, NULL, 1), (2, '1', 1, NULL, 2), (3, '1.1', 2, 2, 3), (4, '1.1.1', 3, 3, 4), (5, '1.1.1.1', 4, 3, 5), (6, '2', 1, NULL, 6), (7, '2.1', 2, 6, 7)),
+n AS (SELECT id, s.*, w[word] AS title FROM w, s), r AS (SELECT id, ord, title AS path, ord AS top_ord FROM n WHERE parent_ord IS NULL UNION ALL SELECT n.id, n.ord, r.path || ' > ' || n.title, r.top_ord FROM n JOIN r ON r.id = n.id AND r.ord = n.parent_ord)
+SELECT n.id, CAST(n.ord AS BIGINT) AS ord, number, depth, CAST(parent_ord AS BIGINT) AS parent_ord, path, CAST(top_ord AS BIGINT) AS top_ord, CASE n.ord WHEN 2 THEN 'note one|note two' WHEN 6 THEN 'last' ELSE '' END AS extra FROM n JOIN r USING (id, ord)""")
+def framework_paths(spark, sf_dir):
+    """An outline of four depths for each item of the benchmark, its first section an orphan."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1)).alias("w"))
+    line = lambda number, word: F.concat(F.lit(f"{number} "), F.element_at("w", word))
+    text = F.array_join(F.array(F.lit("preamble"), line("2.1.1", 1), line("1.", 2), F.lit("note one"), line("1.1", 3), line("1.1.1", 4), F.lit("  note two "), line("1.1.1.1", 5), line("2.", 6), line("2.1", 7), F.lit("last")), "\n")
+    made = outline.section_paths(outline.tree_sections(b.select("id", text.alias("text"))))
+    return made.select("id", "ord", "number", "depth", "parent_ord", F.array_join("path", " > ").alias("path"), "top_ord", F.array_join("extra", "|").alias("extra"))
