@@ -4,7 +4,7 @@ A text is cut into sentences; each is normalised and mapped to the identifier of
 known licence sentence that it equals: a sentence of a published notice or text (``TEXTS``), a
 sentence that says under which licence something is (any of ``SUBJECT``, ``VERB`` and a name), or
 a name alone (a title, or the value of a tag).  The identifiers of a text, in order, are one
-sequence; ``-`` stands for a sentence that is not known.  A rule names a licence and a
+sequence; ``-`` stands for a sentence that is not known.  Known sentences may have slots (``SLOTS``), such as a holder's name.  A rule names a licence and a
 sequence of identifiers, and holds if they occur in order, with any others between or next
 to each other as the rule says.  Rules are ordered: once one holds, the later rules
 that it covers are not reported.
@@ -27,10 +27,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusq.llm.common import free_name, packed, table
-from corpusq.llm.license_texts import AFTER, NAMES, SUBJECT, TEXTS, VERB
+from corpusq.llm.license_texts import AFTER, NAMES, SLOTS, SUBJECT, TEXTS, VERB
 
 #: Every known sentence has one of these.
-ANY = "(?i)licen[sc]e|software|redistribution|cc.by|cc0|permission|warranty|rights reserved|copyright|gpl|spdx|apache|mit\\b|mpl|bsd|zlib|isc\\b|creative commons|disclaim"
+ANY = "(?i)licen[sc]e|later version|software|redistribution|cc.by|cc0|permission|warranty|rights reserved|copyright|gpl|spdx|apache|mit\\b|mpl|bsd|zlib|isc\\b|creative commons|disclaim"
 #: Ends of sentences, and of paragraphs; comment signs at the start of a line are part of the break.
 ENDS = r"[.!?;:]+[\s\")]+|[.!?;:]+$|\n[ \t]*(?:[#*/%;-]+[ \t]*)?\n"
 LINES = r"\n"
@@ -96,7 +96,14 @@ def _identifier(sentence: Column) -> Column:
     name = F.regexp_replace(sentence, f"^(?:{SUBJECT}){VERB}", "")
     said = F.try_element_at(literal({k: v.replace("NAME:", "SAYS:") for k, v in TITLES.items()}), name)
     shorter = F.try_element_at(literal({k: v.replace("NAME:", "SAYS:") for k, v in TITLES.items()}), F.regexp_replace(name, f"{AFTER}$", ""))
-    return F.coalesce(F.try_element_at(literal(KNOWN), sentence), F.try_element_at(literal(TITLES), sentence), F.when(name != sentence, F.coalesce(said, shorter)))
+    return F.coalesce(F.try_element_at(literal(KNOWN), _slotted(sentence)), F.try_element_at(literal(TITLES), sentence), F.when(name != sentence, F.coalesce(said, shorter)))
+
+
+def _slotted(sentence: Column) -> Column:
+    """A normalised sentence with what its slots hold put as in the known one."""
+    for pattern, meant in SLOTS:
+        sentence = F.regexp_replace(sentence, pattern, meant.replace("\\1", "$1"))
+    return sentence
 
 
 def _normal(sentence: Column) -> Column:
@@ -142,8 +149,11 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     values = lambda d: ", ".join(f"('{k}', '{v}')" for k, v in d.items())
     n = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
+    slotted = n.format("x")
+    for pattern, meant in SLOTS:
+        slotted = f"regexp_replace({slotted}, '{pattern}', '{meant}')"
     name = f"regexp_replace({n.format('x')}, '^(?:{SUBJECT}){VERB}', '')"
-    ident = f"""CASE WHEN regexp_matches(x, '{ANY}') OR regexp_matches(x, '^\\W*\\d[\\d\\W]*$') THEN coalesce((SELECT id FROM known WHERE sentence = {n.format('x')}), (SELECT id FROM titles WHERE sentence = {n.format('x')}),
+    ident = f"""CASE WHEN regexp_matches(x, '{ANY}') OR regexp_matches(x, '^\\W*\\d[\\d\\W]*$') THEN coalesce((SELECT id FROM known WHERE sentence = {slotted}), (SELECT id FROM titles WHERE sentence = {n.format('x')}),
       CASE WHEN {name} <> {n.format('x')} THEN replace(coalesce((SELECT id FROM titles WHERE sentence = {name}), (SELECT id FROM titles WHERE sentence = regexp_replace({name}, '{AFTER}$', ''))), 'NAME:', 'SAYS:') END) END"""
     holds = {r: f"regexp_matches(seq, '{_pattern(ids, loose)}')" for r, _, ids, loose, _ in RULES}
     whole = {r: " AND ".join([holds[r], *[f"NOT {holds[o]}" for o, *_, covers in RULES if r in covers]]) for r, *_ in RULES}

@@ -76,3 +76,12 @@ NAMES = (
 SUBJECT = r"(?:this|the) (?:file|project|software|work|code|program|library|package|source code|repository|document|content|dataset|data)(?: is| are)? |(?:all )?(?:code|content|files|data) (?:is|are) |it is |"
 VERB = r"(?:available|distributed|licen[sc]ed|published|released|made available|provided) under (?:the terms of )?(?:the |an? )?"
 AFTER = r"(?: licen[sc]e)?(?: the license)?"
+
+#: Places in normalised sentences that differ from notice to notice (a holder's name, which may have cut the sentence, or a wording), and the sentence of ``TEXTS`` that is meant.
+SLOTS = (
+    (r"^(?:neither the names? of .+|nor the names? of .+|the names? of .+) may (?:not )?be used to endorse or promote products derived from this software(?: without .*)?$",
+     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    (r"^(?:this software is provided by .+|and (?:its )?contributors) as is and any express(?:ed)? or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed$",
+     "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    (r"either version (\d(?: \d)?) or at your option any later version$", r"either version \1 of the license or at your option any later version"),
+)

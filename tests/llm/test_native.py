@@ -261,3 +261,26 @@ def test_native_plans(spark, tmp_path, some_docs):
     for df in (mix.taken(docs), mix.mixed_documents(docs), decontaminate.found(docs, bench), decontaminate.clean(docs, bench), perspectives.perspectives(turns)):
         plan = df._jdf.queryExecution().toString()
         assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_license_slots(spark, tmp_path):
+    """A holder's name or an older wording does not make another licence of a text."""
+    t = dict(TEXTS)
+    bsd, name, warranty = t["BSD"], t["BSD-NAME"], t["BSD-WARRANTY"]
+    google = name.replace("the copyright holder", "Google Inc.")
+    owner = warranty.replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "THE REGENTS OF FOO Inc. AND CONTRIBUTORS")
+    rows = [
+        (1, f"{bsd}\n\n3. {google}\n\n{warranty}"), (2, f"{bsd}\n\n* {name.replace('the copyright holder', 'the University')}\n\n{owner}"), (3, f"{bsd}\n\n{warranty}"), (4, f"{bsd}\n\n{owner.replace('Inc. ', 'Co ')}"),
+        (5, f"{bsd}\n\n3. The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission.\n\n{warranty}"), (6, t["GPL2"].replace("version 2 of the License, or", "version 2, or")), (7, t["GPL3"].replace("version 3 of the License, or", "version 3, or")),
+        (8, "Neither the name of the game nor its rules may be used."), (9, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.licences for r in license_scan.recognise(docs).collect()}
+    assert got == {1: ["BSD-3-Clause"], 2: ["BSD-3-Clause"], 3: ["BSD-2-Clause"], 4: ["BSD-2-Clause"], 5: ["BSD-3-Clause"], 6: ["GPL-2.0-or-later"], 7: ["GPL-3.0-or-later"], 8: [], 9: []}
+    docs.selectExpr("*", "'en' AS lang").write.parquet(f"{tmp_path}/documents.parquet")
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = {r[0]: r[3] for r in con.sql(license_scan.ORACLE_SQL).select("doc_id, sentences, rules, licences").fetchall()}
+    assert want == {k: ",".join(v) for k, v in got.items()}
