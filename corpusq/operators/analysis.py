@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusq.functions.text import basename, bigrams, tokens
 from corpusq.operators import fulltext, outline
-from corpusq.operators.search import keyword_search, vector_search_many
+from corpusq.operators.search import exhaustive_search, keyword_search, vector_search_many
 from corpusq.session import cut
 
 #: Fixed value: what stands for the chunks of a file beyond its budget.
@@ -18,6 +18,9 @@ OMITTED = "\n...(后续内容因长度限制省略)"
 #: A section, and a whole outline, that no file matches.
 NO_FILES = "（未找到相关文件）"
 NOTHING = "未在知识库中找到与框架相关的文件内容。"
+#: What follows the files shown where there are more, and the answer where the model gives none.
+SHOWN = ("\n（共命中 ", " 个文件，此处展示最相关的 ", " 个）")
+NOT_COMPARED = "对比分析未能完成，请重试。"
 BROADCAST_ROWS = 1_000_000
 
 
@@ -87,6 +90,23 @@ def compare_context(hits: DataFrame, max_files: int = 40) -> DataFrame:
     return top.join(texts, "source_file").select("ord", "source_file", F.concat(F.lit("===== "), basename(F.col("source_file")), F.lit(" =====\n"), "content").alias("content"))
 
 
+def compare(chunks: DataFrame, task: str, generate: Callable[[str], str | None], max_files: int = 40) -> DataFrame:
+    """answer, files, total_hit, sources: one row, the texts that match a task laid side by side before the model.
+
+    All matching files are counted; the ``max_files`` with most hits are shown (``compare_context``), and the context says so where there are
+    more.  Without any the answer is ``NOTHING``; where the model gives none it is ``NOT_COMPARED``.
+    """
+    hits = cut(exhaustive_search(chunks, task))
+    total = hits.select("source_file").distinct().agg(F.count("*").alias("total_hit"))
+    file = F.struct(basename(F.col("source_file")).alias("file"), F.col("source_file").alias("file_path"))
+    shown = compare_context(hits, max_files).agg(F.sort_array(F.collect_list(F.struct("ord", "content", file.alias("f")))).alias("t"), F.count("*").alias("files"))  # max_files rows
+    beyond = F.when(F.col("total_hit") > F.col("files"), F.array(F.concat(F.lit(SHOWN[0]), F.col("total_hit").cast("string"), F.lit(SHOWN[1]), F.col("files").cast("string"), F.lit(SHOWN[2])))).otherwise(F.array().cast("array<string>"))
+    told = F.array_join(F.concat(F.transform("t", lambda x: x["content"]), beyond), "\n\n")
+    one = cut(shown.crossJoin(total).select("files", "total_hit", F.transform("t", lambda x: x["f"]).alias("sources"), F.concat(F.lit(task + "\n\n"), told).alias("prompt")))  # one row by one row
+    asked = generated(one.filter("files > 0"), "prompt", generate).withColumn("answer", F.coalesce(F.nullif("answer", F.lit("")), F.lit(NOT_COMPARED)))
+    return asked.unionByName(one.filter("files = 0").withColumn("answer", F.lit(NOTHING))).select("answer", "files", "total_hit", "sources")
+
+
 def generated(df: DataFrame, prompt: str, generate: Callable[[str], str | None], name: str = "answer") -> DataFrame:
     """Add the model's answer to each row's prompt; the model runs in the Python workers."""
 

@@ -241,3 +241,17 @@ def framework_paths(spark, sf_dir):
     text = F.array_join(F.array(F.lit("preamble"), line("2.1.1", 1), line("1.", 2), F.lit("note one"), line("1.1", 3), line("1.1.1", 4), F.lit("  note two "), line("1.1.1.1", 5), line("2.", 6), line("2.1", 7), F.lit("last")), "\n")
     made = outline.section_paths(outline.tree_sections(b.select("id", text.alias("text"))))
     return made.select("id", "ord", "number", "depth", "parent_ord", F.array_join("path", " > ").alias("path"), "top_ord", F.array_join("extra", "|").alias("extra"))
+
+
+# ---- comparing texts
+
+_COMPARED = catalog.ORACLE_SQL["compare_context"].replace("AS digest\nFROM k", "AS content\nFROM k").replace("md5('===== '", "('===== '")
+
+
+@query(f"""WITH x AS ({_COMPARED}), n AS (SELECT count(*) AS total_hit FROM (SELECT DISTINCT source_file FROM ({chunks_sql()}) c WHERE {catalog._match_sql(catalog.COMMON)}))
+SELECT md5('{catalog.COMMON}' || chr(10) || chr(10) || string_agg(content, chr(10) || chr(10) ORDER BY ord) || CASE WHEN any_value(total_hit) > count(*) THEN chr(10) || chr(10) || {_q(analysis.SHOWN[0])} || any_value(total_hit) || {_q(analysis.SHOWN[1])} || count(*) || {_q(analysis.SHOWN[2])} ELSE '' END) AS answer,
+count(*) AS files, any_value(total_hit) AS total_hit, string_agg(source_file, ',' ORDER BY ord) AS sources FROM x, n""")
+def compare_report(spark, sf_dir):
+    """From a task to its answer over the texts of the files that match it."""
+    made = analysis.compare(chunks(spark, sf_dir, with_vector=False), catalog.COMMON, _digest)
+    return made.select("answer", "files", "total_hit", F.array_join(F.transform("sources", lambda x: x["file_path"]), ",").alias("sources"))
