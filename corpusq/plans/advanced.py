@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusq.functions import metadata
 from corpusq.operators import analysis, fulltext, outline, postings, rag, search
+from corpusq.operators.chunk import chunk_documents
 from corpusq.plans import catalog
 from corpusq.plans.catalog import ORACLE_SQL, QUERIES, query
 from corpusq.plans.views import PADDED_SQL, chunks, chunks_sql, table
@@ -255,3 +256,36 @@ def compare_report(spark, sf_dir):
     """From a task to its answer over the texts of the files that match it."""
     made = analysis.compare(chunks(spark, sf_dir, with_vector=False), catalog.COMMON, _digest)
     return made.select("answer", "files", "total_hit", F.array_join(F.transform("sources", lambda x: x["file_path"]), ",").alias("sources"))
+
+
+# ---- chunks of documents, their lines as paragraphs
+
+_ESTIMATE = "CAST(floor(2.0 * len(regexp_extract_all(p, '[a-zA-Z]+')) + length(regexp_replace(p, '[a-zA-Z]', '', 'g'))) AS BIGINT)"
+_PIECES = f"""p AS (SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS p FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12))), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL)),
+z AS (SELECT *, {_ESTIMATE} AS n FROM p),
+q AS (SELECT doc_id, pos, p, list_filter(list_transform(regexp_extract_all(p, '[^。！？!?]*[。！？!?]|[^。！？!?]+$'), lambda x: trim(x)), lambda x: x <> '') AS s FROM z WHERE n > 1024),
+u AS (SELECT doc_id, pos, 0 AS part, p FROM z WHERE n <= 1024 UNION ALL SELECT doc_id, pos, 0, p FROM q WHERE len(s) <= 1
+ UNION ALL SELECT doc_id, pos, unnest(range(0, len(s), 10)), unnest(list_transform(range(0, len(s), 10), lambda i: array_to_string(s[i + 1:i + 10], ''))) FROM q WHERE len(s) > 1),
+t AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, part) AS i, p, {_ESTIMATE} AS n FROM u),
+v AS (SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS upto FROM t)"""
+
+
+@query(f"""WITH RECURSIVE {_PIECES},
+k AS (SELECT a.doc_id, a.i, a.n, a.upto - a.n AS before, count(b.i) AS held FROM v a LEFT JOIN v b ON b.doc_id = a.doc_id AND b.i < a.i AND a.upto - a.n - (b.upto - b.n) <= 64 GROUP BY ALL),
+f AS (SELECT doc_id, i, CAST(1 AS BIGINT) AS start, CAST(0 AS BIGINT) AS low, CAST(NULL AS BIGINT) AS flushed FROM k WHERE i = 1
+ UNION ALL SELECT k.doc_id, k.i, CASE WHEN k.before - f.low + k.n > 1024 THEN k.i - k.held ELSE f.start END, CASE WHEN k.before - f.low + k.n > 1024 THEN o.upto - o.n ELSE f.low END, CASE WHEN k.before - f.low + k.n > 1024 THEN f.start END
+ FROM f JOIN k ON k.doc_id = f.doc_id AND k.i = f.i + 1 JOIN v o ON o.doc_id = k.doc_id AND o.i = k.i - k.held),
+r AS (SELECT doc_id, flushed AS a, i - 1 AS b FROM f WHERE flushed IS NOT NULL UNION ALL SELECT doc_id, arg_max(start, i), max(i) FROM f GROUP BY doc_id),
+c AS (SELECT r.doc_id, a, b, string_agg(p, chr(10) || chr(10) ORDER BY i) AS text FROM r JOIN v ON v.doc_id = r.doc_id AND v.i BETWEEN a AND b GROUP BY ALL),
+e AS (SELECT doc_id, b, a, 0 AS part, CAST(NULL AS VARCHAR) AS piece, text AS rest, CAST(0 AS BIGINT) AS at FROM c
+ UNION ALL SELECT doc_id, b, a, part + 1, substr(rest, 1, cut), ltrim(substr(rest, cut + 1), chr(10)), cut FROM
+ (SELECT *, CASE WHEN length(rest) <= 3000 THEN length(rest) WHEN strpos(reverse(substr(rest, 1, 3000)), chr(10)) BETWEEN 1 AND 2999 THEN 3000 - strpos(reverse(substr(rest, 1, 3000)), chr(10)) ELSE 3000 END AS cut FROM e WHERE rest <> '')),
+g AS (SELECT doc_id, trim(piece, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) AS text, row_number() OVER (PARTITION BY doc_id ORDER BY a, b, part) - 1 AS chunk_index, count(*) OVER (PARTITION BY doc_id) AS total_chunks FROM e WHERE part > 0)
+SELECT '/kb/' || doc_id || '.txt' AS source_file, chunk_index, total_chunks, md5(text) AS digest, length(text) AS chars FROM g""")
+def chunked_documents(spark, sf_dir):
+    """Lines as paragraphs, packed into chunks with an overlap, long ones split; what is over the limit goes on in further chunks."""
+    d = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("/kb/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_path"), F.lit("text").alias("file_type"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("content"),
+        F.lit(None).cast("array<string>").alias("pages"), F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"))
+    made = chunk_documents(d, lossless=True)
+    return made.select("source_file", "chunk_index", "total_chunks", F.md5(F.col("text").cast("binary")).alias("digest"), F.length("text").cast("long").alias("chars"))

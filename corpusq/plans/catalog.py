@@ -528,7 +528,11 @@ def chunk_table(spark, sf_dir):
     return chunk_documents(d, lossless=True).drop("page")
 
 
-@query()
+@query(r"""WITH t AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g') AS h FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?i)<(?:/?(?:p|div|h\d|li|tr|article|nav|section)\b[^>]*|br\s*/?)>', chr(10), 'g'), '<[^>]*>', '', 'g') AS h FROM t),
+e AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&nbsp;?', ' ', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS h FROM b),
+l AS (SELECT page_id, array_to_string(list_filter(list_transform(string_split(h, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS t FROM e)
+SELECT page_id, CAST(length(t) AS INTEGER) AS chars, md5(t) AS digest FROM l""")
 def html_text(spark, sf_dir):
     return page_text(table(spark, sf_dir, "pages")).select("page_id", F.length("text").alias("chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
