@@ -11,6 +11,10 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
 
+#: Whether Spark interrupts the threads of tasks that are cancelled.
+INTERRUPT = "spark.sql.execution.interruptOnCancel"
+
+
 class Stopped(RuntimeError):
     """The work was stopped before it ended."""
 
@@ -30,11 +34,15 @@ class Running:
 
         def run() -> None:
             spark.sparkContext.addJobTag(self.tag)
+            # a task that is interrupted leaves a closed channel to its Python worker behind; one that is only told to stop has its worker killed
+            before = spark.conf.get(INTERRUPT, None)
+            spark.conf.set(INTERRUPT, "false")
             try:
                 self._result = work()
             except BaseException as e:  # told to whoever asks for the result
                 self._error = e
             finally:
+                spark.conf.unset(INTERRUPT) if before is None else spark.conf.set(INTERRUPT, before)
                 spark.sparkContext.removeJobTag(self.tag)
 
         self.thread = threading.Thread(target=inheritable_thread_target(spark)(run), name=self.tag, daemon=True)

@@ -71,8 +71,9 @@ class SessionLog:
         """The name of the table over ``part``, which this session's catalog gets to know."""
         name = f"{part}_{hashlib.md5(self.base.encode()).hexdigest()[:16]}"
         if not self.spark.catalog.tableExists(name):
+            path = f"{self.base}/{part}".replace("\\", "\\\\").replace("'", "\\'")
             columns, slots = (TURNS + ", slot int", "PARTITIONED BY (slot)") if part == "turns" else (EVENTS, "")
-            self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet {slots} CLUSTERED BY (session_id) INTO {BUCKETS} BUCKETS LOCATION '{self.base}/{part}'")
+            self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet {slots} CLUSTERED BY (session_id) INTO {BUCKETS} BUCKETS LOCATION '{path}'")
             if slots and exists(self.spark, f"{self.base}/{part}"):
                 self.spark.catalog.recoverPartitions(name)
         return name

@@ -1,4 +1,4 @@
-"""Stand-ins for the embedding, text and OCR models, for tests and dry runs."""
+"""Stand-ins for the embedding, text and OCR models."""
 
 from __future__ import annotations
 

@@ -5,12 +5,12 @@ import zipfile
 
 import pytest
 
-from corpusq import doubles
 from corpusq.operators import ingest as ing
 from corpusq.operators import search, status
 from corpusq.operators.store import ChunkStore, Libraries
 from corpusq.sources import files, parsers
 from corpusq.streaming import ingest as stream
+from tests import doubles
 
 
 def put(folder, **names):

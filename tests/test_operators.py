@@ -1,9 +1,9 @@
 
 import numpy as np
 
-from corpusq import doubles
 from corpusq.operators import analysis, ann, model, outline, postings, rag, search, sessions, status
 from corpusq.plans import catalog
+from tests import doubles
 
 CHUNK = "rowid long, chunk_id string, text string, source_file string, file_type string, chunk_index long, total_chunks long"
 

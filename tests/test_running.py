@@ -5,13 +5,13 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from corpusq import doubles
 from corpusq.functions import metadata
 from corpusq.operators import ingest as ing
 from corpusq.operators import outline
 from corpusq.operators.running import Running, Stopped
 from corpusq.operators.store import ChunkStore
 from corpusq.streaming import ingest as stream
+from tests import doubles
 
 
 def folder(path, n):
