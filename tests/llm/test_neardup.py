@@ -123,3 +123,20 @@ def test_unique_documents_decides_each_row(spark):
     got = Counter(map(tuple, neardup.unique_documents(docs).collect()))
     gone = {(None, t), (7, t), (8, "k l m n o p")}
     assert got == Counter(x for x in rows if x not in gone)
+
+
+def template_family(n, template, passage, stock=40, take=3, seed=1):
+    """Distinct texts of one template, each with ``take`` of ``stock`` passages."""
+    r = random.Random(seed)
+    words = [f"w{i}" for i in range(5000)]
+    base = [r.choice(words) for _ in range(template)]
+    passages = [[r.choice(words) for _ in range(passage)] for _ in range(stock)]
+    texts = [" ".join(base + sum((passages[j] for j in r.sample(range(stock), take)), [])) for _ in range(n)]
+    return list(enumerate(dict.fromkeys(texts)))
+
+
+def test_template_families_against_brute_force(spark):
+    # two of three passages in common are a link in the first family, in the second hardly any
+    rows = template_family(250, 160, 20) + [(1000 + i, t) for i, t in template_family(120, 140, 20, seed=2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert sorted(map(tuple, neardup.classes(docs).collect())) == brute(rows)
