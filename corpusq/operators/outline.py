@@ -6,11 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusq.functions.text import clean
-
-#: Java: a line that starts a section of a flat outline.
-HEADER = r"^[（(]?[一二三四五六七八九十\d]+[）).、]|^第.*[节章条]|^[A-Z][.!]"
-NUMBERED = r"^(\d+(?:\.\d+)*)[.、\s]\s*(.*)"
-WHOLE = "分析任务"
+from corpusq.settings import OUTLINE_HEADER, OUTLINE_NUMBERED, OUTLINE_WHOLE
 
 
 def lines(outlines: DataFrame) -> DataFrame:
@@ -24,11 +20,11 @@ def flat_sections(outlines: DataFrame) -> DataFrame:
     Without any header the text is one section.
     """
     so_far = Window.partitionBy("id").orderBy("pos")  # lines of one outline
-    marked = lines(outlines).withColumn("head", F.col("line").rlike(HEADER)).withColumn("ord", F.sum(F.when(F.col("head"), 1).otherwise(0)).over(so_far))
+    marked = lines(outlines).withColumn("head", F.col("line").rlike(OUTLINE_HEADER)).withColumn("ord", F.sum(F.when(F.col("head"), 1).otherwise(0)).over(so_far))
     found = marked.filter("ord > 0").groupBy("id", "ord").agg(
         F.max(F.when(F.col("head"), F.col("line"))).alias("title"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("head"), F.struct("pos", "line")))), lambda x: x["line"]), "\n").alias("detail"))
-    none = outlines.join(found.select("id").distinct(), "id", "left_anti").select("id", F.lit(1).cast("long").alias("ord"), F.lit(WHOLE).alias("title"), clean(F.coalesce("text", F.lit(""))).alias("detail"))
+    none = outlines.join(found.select("id").distinct(), "id", "left_anti").select("id", F.lit(1).cast("long").alias("ord"), F.lit(OUTLINE_WHOLE).alias("title"), clean(F.coalesce("text", F.lit(""))).alias("detail"))
     return found.select("id", F.col("ord").cast("long").alias("ord"), "title", "detail").unionByName(none)
 
 
@@ -39,7 +35,7 @@ def tree_sections(outlines: DataFrame) -> DataFrame:
     without such it is a top section itself.
     """
     so_far = Window.partitionBy("id").orderBy("pos")
-    marked = lines(outlines).withColumn("number", F.regexp_extract("line", NUMBERED, 1)).withColumn("depth", F.when(F.col("number") != "", F.size(F.split("number", r"\."))).otherwise(0))
+    marked = lines(outlines).withColumn("number", F.regexp_extract("line", OUTLINE_NUMBERED, 1)).withColumn("depth", F.when(F.col("number") != "", F.size(F.split("number", r"\."))).otherwise(0))
     marked = marked.withColumn("ord", F.sum(F.when(F.col("depth") > 0, 1).otherwise(0)).over(so_far))
     # a top section: depth 1, or depth 2 before any top, or deeper without a section of depth 2 since the last top
     walk = F.sort_array(F.collect_list(F.when(F.col("depth") > 0, F.struct("ord", "depth"))))
@@ -60,7 +56,7 @@ def tree_sections(outlines: DataFrame) -> DataFrame:
         marked.filter("depth = 0 and ord > 0").join(places.select("id", "ord", "top"), ["id", "ord"])
         .groupBy("id", F.col("top").alias("ord")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]).alias("extra")))
     return (
-        marked.filter("depth > 0").select("id", "ord", "number", clean(F.regexp_extract("line", NUMBERED, 2)).alias("title"), "depth")
+        marked.filter("depth > 0").select("id", "ord", "number", clean(F.regexp_extract("line", OUTLINE_NUMBERED, 2)).alias("title"), "depth")
         .join(places.drop("top"), ["id", "ord"]).join(extra, ["id", "ord"], "left").withColumn("extra", F.coalesce("extra", F.array().cast("array<string>")))
     )
 

@@ -20,3 +20,7 @@ FILE_TYPES = {
 MAX_SESSIONS = 200
 MAX_TURNS = 500
 HISTORY_TURNS = 50
+# Lines that start a section of a flat outline and of a numbered one, the title of an outline without any.
+OUTLINE_HEADER = r"^[（(]?[一二三四五六七八九十\d]+[）).、]|^[第].*[节章条]|^[A-Z][.!]"
+OUTLINE_NUMBERED = r"^(\d+(?:\.\d+)*)[.、\s]\s*(.*)"
+OUTLINE_WHOLE = "分析任务"
