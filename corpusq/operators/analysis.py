@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from corpusq.functions.text import basename, bigrams, tokens
 from corpusq.operators import fulltext, outline
 from corpusq.operators.search import exhaustive_search, keyword_search, vector_search_many
-from corpusq.session import cut
+from corpusq.session import cut, kept
 
 #: Fixed value: what stands for the chunks of a file beyond its budget.
 OMITTED = "\n...(后续内容因长度限制省略)"
@@ -22,6 +23,8 @@ NOTHING = "未在知识库中找到与框架相关的文件内容。"
 SHOWN = ("\n（共命中 ", " 个文件，此处展示最相关的 ", " 个）")
 NOT_COMPARED = "对比分析未能完成，请重试。"
 BROADCAST_ROWS = 1_000_000
+#: Chunks of a file that are read at once for all sections that they answer.
+BLOCK_CHUNKS = 1024
 
 
 def _numbered(chunks: DataFrame) -> DataFrame:
@@ -155,24 +158,67 @@ def file_context(chunks: DataFrame, generate: Callable[[str], str | None], key:
     chunks are summarised, a batch in several parts where it is over ``part_chars`` (a part ends
     with the chunk that reaches them), and the summaries reduced to one; a part without answer is "(failed)".
     """
-    key, long_ = list(key), (F.col("n") > n) | (F.col("len") > chars)
-    in_file = Window.partitionBy(*key)
-    size = F.coalesce(F.length("text"), F.lit(0))
-    sized = chunks.withColumn("rn", F.row_number().over(in_file.orderBy("chunk_index", "rowid"))).withColumn("n", F.count("*").over(in_file)).withColumn("len", F.sum(size).over(in_file))
-    whole = sized.filter(~long_).groupBy(*key).agg(F.array_join(_in_order(["rn"], "text"), "\n\n").alias("content"))
+    key = list(key)
+    sized = _parts(chunks.withColumn("size", F.coalesce(F.length("text"), F.lit(0))), key, n, chars, part_chars)
+    whole = sized.filter("whole").groupBy(*key).agg(F.array_join(_in_order(["rn"], "text"), "\n\n").alias("content"))
 
-    earlier = Window.partitionBy(*key, "batch").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
-    total = F.col("total_chunks") if "total_chunks" in chunks.columns else F.col("n")
-    told = F.concat(F.lit("[Chunk "), (F.col("chunk_index") + 1).cast("string"), F.lit("/"), total.cast("string"), F.lit("]\n"), "text")
-    parts = (
-        sized.filter(long_).withColumn("batch", F.floor((F.col("rn") - 1) / n)).withColumn("within", F.floor(F.coalesce(F.sum(size).over(earlier), F.lit(0)) / part_chars))
-        .withColumn("told", told).groupBy(*key, "batch", "within").agg(F.array_join(_in_order(["rn"], "told"), "\n\n").alias("prompt"))
-    )
+    parts = sized.filter("not whole").withColumn("told", F.concat("head", "text")).groupBy(*key, "batch", "within").agg(F.array_join(_in_order(["rn"], "told"), "\n\n").alias("prompt"))
     most = parts.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
     level = generated(parts, "prompt", generate, "summary").select(*key, F.struct("batch", "within").alias("part"), F.coalesce("summary", F.lit("(failed)")).alias("summary"))
     return whole.unionByName(_reduced(level, key, most, generate, tree).withColumnRenamed("summary", "content"))
 
 
+def _parts(chunks: DataFrame, key: list[str], n: int, chars: int, part_chars: int) -> DataFrame:
+    """Adds rn, whole, batch, within, head: the part of its file to which a chunk of ``size`` characters goes, as ``file_context`` has them; no text is needed."""
+    in_file = Window.partitionBy(*key)
+    sized = chunks.withColumn("rn", F.row_number().over(in_file.orderBy("chunk_index", "rowid"))).withColumn("n", F.count("*").over(in_file)).withColumn("len", F.sum("size").over(in_file))
+    earlier = Window.partitionBy(*key, "batch").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.col("total_chunks") if "total_chunks" in chunks.columns else F.col("n")
+    head = F.concat(F.lit("[Chunk "), (F.col("chunk_index") + 1).cast("string"), F.lit("/"), total.cast("string"), F.lit("]\n"))
+    dealt = sized.withColumn("whole", (F.col("n") <= n) & (F.col("len") <= chars)).withColumn("batch", F.floor((F.col("rn") - 1) / n))
+    return dealt.withColumn("within", F.floor(F.coalesce(F.sum("size").over(earlier), F.lit(0)) / part_chars)).withColumn("head", head).drop("n", "len")
+
+
+def hits_context(hits: DataFrame, chunks: DataFrame, generate: Callable[[str], str | None], key: tuple[str, ...], n: int = 30, chars: int = 12000, part_chars: int = 15000, tree: int = 30, block: int = BLOCK_CHUNKS) -> DataFrame:
+    """``file_context`` of hits (key, source_file, chunk_index, total_chunks, rowid, size) whose texts are in ``chunks``, one of which many keys may hit.
+
+    The parts are made without texts.  Each text is then dealt out once, to its block of its file, and read there for
+    all keys.  A part within one block is answered there; others are put together from their pieces of blocks.
+    """
+    key, group = list(key), [*key, "batch", "within"]
+    block_of = F.coalesce(F.floor(F.col("chunk_index") / block), F.lit(-1)).cast("long").alias("block")
+    parts = _parts(hits, key, n, chars, part_chars).select("*", block_of)
+    parts = parts.withColumn("batch", F.when(F.col("whole"), -1).otherwise(F.col("batch")).cast("long")).withColumn("within", F.when(F.col("whole"), -1).otherwise(F.col("within")).cast("long"))
+    in_part = Window.partitionBy(*group)
+    parts = parts.withColumn("alone", F.min("block").over(in_part) == F.max("block").over(in_part))
+    slot = F.coalesce("chunk_index", F.lit(-1)).alias("slot")
+    given = parts.select(*group, *[c for c in ("source_file",) if c not in key], "block", "rn", "whole", "alone", F.when(~F.col("whole"), F.col("head")).alias("head"), slot, "rowid")
+    given = kept(given)  # so that the shuffles of hits are gone when texts are dealt out
+    texts = chunks.filter("source_file is not null").select(F.col("source_file").alias("file"), block_of, slot, F.col("rowid").alias("row"), "text")
+    names = [*group, "block", "whole", "alone"]
+
+    def read(of: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        text_at = dict(zip(zip(held["slot"], held["row"]), held["text"]))
+        rows = sorted(zip(zip(*(of[c] for c in names)), of["rn"], of["head"], of["slot"], of["rowid"]), key=lambda x: x[:2])
+        out = []
+        for part, lines in groupby(rows, key=lambda x: x[0]):
+            told = [(head or "") + text for _, _, head, slot, rowid in lines if (text := text_at[slot, rowid]) is not None]
+            joined = "\n\n".join(told)
+            whole, alone = part[-2:]
+            out.append((*part, (joined if whole else generate(joined)) if alone else joined if told else None))
+        return pd.DataFrame(out, columns=[*names, "made"])
+
+    schema = given.select(*names).schema.add("made", "string")
+    made = kept(given.groupBy("source_file", "block").cogroup(texts.groupBy("file", "block")).applyInPandas(read, schema))  # the model is not asked again
+    joined = made.filter("not alone").groupBy(*group, "whole").agg(F.array_join(_in_order(["block"], "made"), "\n\n").alias("made"))
+    whole = made.filter("whole and alone").select(*key, F.col("made").alias("content")).unionByName(joined.filter("whole").select(*key, F.col("made").alias("content")))
+    put = generated(joined.filter("not whole"), "made", generate, "summary").select(*group, "summary")
+    level = made.filter("not whole and alone").select(*group, F.col("made").alias("summary")).unionByName(put)
+    level = kept(level.select(*key, F.struct("batch", "within").alias("part"), F.coalesce("summary", F.lit("(failed)")).alias("summary")))
+    most = level.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
+    return whole.unionByName(_reduced(level, key, most, generate, tree).withColumnRenamed("summary", "content"))
+
+
 def reduce_all(summaries: DataFrame, order: str, generate: Callable[[str], str | None], size: int = 30) -> DataFrame:
     """summary: one row, summaries of many files reduced in batches until one is left."""
     level = cut(summaries.select(F.col(order).cast("string").alias("part"), "summary"))  # the model is not asked again
@@ -209,12 +255,12 @@ def union_sources(batches_of_sources: DataFrame) -> DataFrame:
     return batches_of_sources.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n").orderBy("batch", "pos")
 
 
-def _section_bodies(sections: DataFrame, hits: DataFrame, generate: Callable[[str], str | None], size: int, key: list[str]) -> DataFrame:
-    """key, files, body: the files that match a section, most hits first, answered in batches and the answers made one.  No row for a section without files."""
+def _section_bodies(sections: DataFrame, hits: DataFrame, context: DataFrame, generate: Callable[[str], str | None], size: int, key: list[str]) -> DataFrame:
+    """key, files, body: the files that match a section, most hits first, answered in batches from their ``context`` and the answers made one.  No row for a section without files."""
     asks = F.concat_ws("\n", "title", F.nullif("detail", F.lit(""))) if "detail" in sections.columns else F.col("title")
     counted = hits.groupBy(*key, "source_file").agg(F.count("*").alias("hits")).withColumn("less", -F.col("hits"))
     placed = batches(counted, ["less", "source_file"], size, key)
-    grouped = file_context(hits, generate, (*key, "source_file")).join(placed, [*key, "source_file"]).groupBy(*key, "batch").agg(F.count("*").alias("files"), F.sort_array(F.collect_list(F.struct("less", "source_file", "content"))).alias("f"))
+    grouped = context.join(placed, [*key, "source_file"]).groupBy(*key, "batch").agg(F.count("*").alias("files"), F.sort_array(F.collect_list(F.struct("less", "source_file", "content"))).alias("f"))
     asked = grouped.join(sections.select(*key, asks.alias("asks")), key).withColumn("prompt", F.concat("asks", F.lit("\n\n"), _told("f")))
     answers = cut(generated(asked, "prompt", generate).select(*key, F.col("batch").alias("part"), "files", F.coalesce("answer", F.lit("(failed)")).alias("summary")))
     facts = answers.groupBy(*key).agg(F.sum("files").alias("files"), F.count("*").alias("n"))
@@ -228,12 +274,12 @@ def scan_report(sections: DataFrame, hits: DataFrame, generate: Callable[[str],
 
     ``hits`` has ord (of the section), source_file, chunk_index, rowid, text.  Of every file all hits are read.
     """
-    told = sections.join(_section_bodies(sections, hits, generate, size, ["ord"]), "ord", "left")
+    told = sections.join(_section_bodies(sections, hits, file_context(hits, generate, ("ord", "source_file")), generate, size, ["ord"]), "ord", "left")
     return told.select("ord", "title", F.coalesce("files", F.lit(0)).alias("files"), F.concat(F.lit("## "), "title", F.lit("\n"), F.coalesce("body", F.lit(""))).alias("report")).orderBy("ord")
 
 
 def section_phrases(sections: DataFrame) -> DataFrame:
-    """key, phrase, n, i, token: the words of the phrases that title and detail of a section search for.
+    """key, phrase, n, i, token: the words of the numbered phrases that title and detail of a section search for.
 
     As ``search.query_phrases`` has them, quotes being punctuation: pairs of a CJK run, and what stands between blanks,
     each the words in it.  A section without any searches for its words.
@@ -243,7 +289,7 @@ def section_phrases(sections: DataFrame) -> DataFrame:
     parts = F.flatten(F.transform(runs, lambda r: F.when(r.rlike("^[一-鿿]"), bigrams(r)).otherwise(F.array(r))))
     split = F.filter(F.transform(parts, tokens), lambda w: F.size(w) > 0)
     phrases = F.array_distinct(F.when(F.size(split) > 0, split).otherwise(F.transform(tokens(asked), lambda t: F.array(t))))
-    each = sections.select("id", "ord", F.posexplode(phrases).alias("phrase", "words"))
+    each = sections.select("id", "ord", F.explode(phrases).alias("words")).withColumn("phrase", F.monotonically_increasing_id())
     return each.select("id", "ord", "phrase", F.size("words").alias("n"), F.posexplode("words").alias("i", "token"))
 
 
@@ -254,21 +300,25 @@ def section_hits(sections: DataFrame, postings: DataFrame) -> DataFrame:
     The words are broadcast if there are a million at most.
     """
     words = cut(section_phrases(sections))
-    met = postings.join(F.broadcast(words) if words.count() <= BROADCAST_ROWS else words, "token")
-    place = ["id", "ord", "phrase", "n", "rowid", "part", F.when(F.col("n") == 1, 0).otherwise(F.col("pos") - F.col("i")).alias("at")]
-    return met.groupBy(*place).agg(F.count("*").alias("found")).filter("found >= n").select("id", "ord", "rowid").distinct()
+    few = F.broadcast if words.count() <= BROADCAST_ROWS else lambda df: df
+    met = postings.join(few(words.select("phrase", "n", "i", "token")), "token")
+    place = ["phrase", "rowid", "part", F.when(F.col("n") == 1, 0).otherwise(F.col("pos") - F.col("i")).alias("at")]
+    whole = met.groupBy(*place).agg(F.count("*").alias("found")).join(few(words.select("id", "ord", "phrase", "n").distinct()), "phrase").filter("found >= n")
+    return whole.select("id", "ord", "rowid").distinct()
 
 
 def scan(outlines: DataFrame, chunks: DataFrame, generate: Callable[[str], str | None], postings: DataFrame | None = None, size: int = 30) -> tuple[DataFrame, DataFrame]:
     """Outlines (id, text) filled in from the whole corpus: (id, ord, title, files, body) and (id, document, files, sources).
 
-    Every section's title and detail are searched without limit, in stored ``postings`` if given; its files go to the model by ``file_context`` in
-    batches of ``size``, most hits first.  ``sources`` are the files (file, file_path), those of earlier sections first; ``files`` counts them.
+    Every section's title and detail are searched without limit, in stored ``postings`` if given; its files go to the model by ``hits_context`` in
+    batches of ``size``, most hits first; a chunk without a file is in none.  ``sources`` are the files (file, file_path), those of earlier sections first; ``files`` counts them.
     """
     sections = cut(outline.flat_sections(outlines))
-    found = section_hits(sections, fulltext.postings(chunks) if postings is None else postings)
-    hits = cut(found.join(chunks.select("rowid", "source_file", "chunk_index", "total_chunks", "text"), "rowid"))
-    bodies = cut(_section_bodies(sections, hits, generate, size, ["id", "ord"]))  # the model is not asked again
+    found = kept(section_hits(sections, fulltext.postings(chunks) if postings is None else postings))
+    facts = chunks.filter("source_file is not null").select("rowid", "source_file", "chunk_index", "total_chunks", F.coalesce(F.length("text"), F.lit(0)).alias("size"))
+    hits = kept(found.join(facts, "rowid"))
+    context = hits_context(hits, chunks, generate, ("id", "ord", "source_file"))
+    bodies = cut(_section_bodies(sections, hits, context, generate, size, ["id", "ord"]))  # the model is not asked again
     told = sections.select("id", "ord", "title").join(bodies, ["id", "ord"], "left").withColumn("files", F.coalesce("files", F.lit(0).cast("long")))
     told = told.withColumn("body", F.when(F.col("files") > 0, F.coalesce("body", F.lit(""))).otherwise(NO_FILES))
     per = hits.groupBy("id", "ord", "source_file").agg((-F.count("*")).alias("less"))
