@@ -21,6 +21,7 @@ __all__ = ["build", "keyword_search", "matching_rows", "write"]
 
 def write(postings: DataFrame, path: str) -> None:
     postings.repartitionByRange("token", "rowid").sortWithinPartitions("token", "rowid").write.mode("overwrite").parquet(path)
+    postings.sparkSession._jvm.System.gc()  # as in ``session.cut``: the shuffle of all postings is not needed any more
 
 
 def matching_rows(postings: DataFrame, query: str) -> DataFrame:
