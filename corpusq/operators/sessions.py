@@ -59,13 +59,13 @@ class SessionLog:
 
     Events are appended, numbered within their session.  Turns are numbered within their session in order of time, those
     of one time in the order given, after all that it ever had; its newest ``max_turns`` stay.  After turns were added
-    the oldest inactive sessions beyond ``max_sessions`` are deleted.  A slot is replaced as a whole; one writer at a time.
+    the oldest inactive sessions beyond ``max_sessions`` are deleted.  A limit of None is none.  A slot is replaced as a whole; one writer at a time.
     """
 
     spark: SparkSession
     base: str
-    max_turns: int = MAX_TURNS
-    max_sessions: int = MAX_SESSIONS
+    max_turns: int | None = MAX_TURNS
+    max_sessions: int | None = MAX_SESSIONS
 
     def _table(self, part: str) -> str:
         """The name of the table over ``part``, which this session's catalog gets to know."""
@@ -103,8 +103,8 @@ class SessionLog:
         facts = new.groupBy("session_id").agg(F.count("*").alias("_n")).join(top, "session_id", "left").select("session_id", (F.col("_n") + F.coalesce("_top", F.lit(0))).alias("_last"))
         # counted from the newest on, so that Spark drops what is beyond the limit before it shuffles
         back = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("created_at"), F.desc("_p")))
-        newest = new.withColumn("_back", back).filter(F.col("_back") <= self.max_turns).join(facts, "session_id").withColumn("id", F.col("_last") - F.col("_back") + 1)
-        kept = old.join(facts, "session_id", "left").filter(F.col("_last").isNull() | (F.col("id") > F.col("_last") - self.max_turns))
+        newest = new.withColumn("_back", back).filter(F.lit(True) if self.max_turns is None else F.col("_back") <= self.max_turns).join(facts, "session_id").withColumn("id", F.col("_last") - F.col("_back") + 1)
+        kept = old if self.max_turns is None else old.join(facts, "session_id", "left").filter(F.col("_last").isNull() | (F.col("id") > F.col("_last") - self.max_turns))
         names = self.spark.table(table).columns
         rows = cut(kept.select(*names).unionByName(newest.select(*names)))
         conf, key = self.spark.conf, "spark.sql.sources.partitionOverwriteMode"
@@ -153,8 +153,8 @@ class SessionLog:
 
     def enforce_limits(self, at: int, keep: int | None = None) -> None:
         """Delete the oldest inactive sessions in excess of ``keep`` (``max_sessions``)."""
-        all_ = self.sessions()
-        old = excess_sessions(all_, self.max_sessions if keep is None else keep)
+        keep = self.max_sessions if keep is None else keep
+        old = None if keep is None else excess_sessions(self.sessions(), keep)
         if old is not None:
             self.append_events(old.select(F.col("id").alias("session_id"), F.lit("delete").alias("kind"), F.lit("").alias("value"), F.lit(at).alias("at")))
 
