@@ -43,3 +43,9 @@ def test_small_functions(spark):
     assert value(spark, annotate_citations(F.col("c0"), names), "see [1] and [2] [x]") == "see [1](指上轮「a.pdf」) and [2] [x]"
     zero = spark.createDataFrame([([0.0, 0.0],), ([3.0, 4.0],)], "v array<float>").select(l2_normalize(F.col("v")).alias("v")).collect()
     assert [r.v for r in zero] == [[0.0, 0.0], [0.6, 0.8]]
+
+
+def test_pieces_of_long_texts(spark):
+    page = "x" * 300_000 + "abc"  # its own pieces would be counted off 300,000 times
+    assert value(spark, tx.share_held(tx.trigrams(F.col("c0")), F.col("c1")), "abcd", page) == 0.5
+    assert value(spark, tx.share_held(tx.trigrams(F.col("c0")), F.col("c1")), "ab", page) is None
