@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame
 
 from corpusq.settings import CHUNK_CHARS, CHUNK_OVERLAP, CHUNK_SIZE
 
+#: Documents and chunks that a Python worker holds at once; a batch is closed by bytes too.
+BATCH_ROWS = 200
+BATCH_BYTES = 16 << 20
 SCHEMA = "chunk_id string, text string, source_file string, file_type string, chunk_index long, total_chunks long, metadata string, page int"
 
 
@@ -109,7 +112,10 @@ def chunk_documents(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUN
     ``chunk_id`` is a digest of path, index and text, so a rerun gives the same ids.
     """
 
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = lambda rows: pd.DataFrame(rows, columns=names).astype({"page": "Int32"})
         for pdf in batches:
             out = []
             for path, kind, content, pages, meta in zip(pdf["file_path"], pdf["file_type"], pdf["content"], pdf["pages"], pdf["metadata"]):
@@ -119,6 +125,14 @@ def chunk_documents(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUN
                     digest = hashlib.sha256(f"{path}\0{i}\0{text}".encode()).hexdigest()
                     data = ({"page": page} if page else {}) | known
                     out.append((digest, text, path, kind, i, len(parts), json.dumps(data, ensure_ascii=False, sort_keys=True), page))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"page": "Int32"})
-
+                    if len(out) == BATCH_ROWS:
+                        yield frame(out)
+                        out = []
+            yield frame(out)
+
+    conf = docs.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
     return docs.select("file_path", "file_type", "content", "pages", "metadata").mapInPandas(run, SCHEMA)

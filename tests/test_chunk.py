@@ -48,3 +48,10 @@ def test_chunk_documents(spark):
     got = chunk.chunk_documents(docs).collect()
     assert [(r.text, r.chunk_index, r.total_chunks, r.metadata) for r in got] == [("one two\n\nthree", 0, 1, '{"k": "v", "page": 1}')]
     assert [r.chunk_id for r in got] == [r.chunk_id for r in chunk.chunk_documents(docs).collect()]
+
+
+def test_batches_of_documents_are_small(spark):
+    docs = spark.range(1000).selectExpr("concat('/a/', id) file_path", "'text' file_type", "concat('text ', id) content", "cast(null as array<string>) pages", "cast(null as map<string,string>) metadata").coalesce(1)
+    assert chunk.chunk_documents(docs).count() == 1000
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= chunk.BATCH_ROWS
+    assert 0 < int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= chunk.BATCH_BYTES
