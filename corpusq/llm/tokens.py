@@ -60,10 +60,10 @@ SETTINGS = {
 
 
 class Encoder(dict):
-    """Texts to ids; remembers the ids of the pieces of words as little-endian u16."""
+    """Texts to ids; remembers the ids of lower-cased pieces of words as little-endian u16."""
 
     PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xff]*").fullmatch
-    PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+").findall
+    PIECES = r"('s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+)"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -89,63 +89,69 @@ class Encoder(dict):
         ids = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters))]
         return struct.pack(f"<{len(ids)}H", *ids)
 
-    def __missing__(self, word: str) -> bytes:
-        """A lower-cased piece is encoded and remembered; other words are put together of pieces."""
-        low = word.lower()
-        if word.isalpha():
-            if low != word:
-                return self[low]
-        else:
-            pieces = self.PIECES(low)
-            if pieces != [word]:
-                return b"".join([self[p] for p in pieces])
-        got = self[word] = self.by_model(word) if self.direct else self.whole(word)
+    def __missing__(self, piece: str) -> bytes:
+        got = self[piece] = self.by_model(piece) if self.direct else self.whole(piece)
         return got
 
+    def words(self, words: pa.Array) -> pa.Array:
+        """The ids of each word as bytes.
+
+        Words are lower-cased and, unless of letters alone, cut into pieces in Arrow, and each distinct piece is looked up once.
+        """
+        import pyarrow.compute as pc
+
+        low = pc.utf8_lower(words)
+        mixed = pc.invert(pc.utf8_is_alpha(low))
+        cut = pc.utf8_split_whitespace(pc.replace_with_mask(low, mixed, pc.replace_substring_regex(low.filter(mixed), self.PIECES, r"\1 ")))
+        coded = cut.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # far faster than to_pylist
+        known = pa.array([self[p] for p in pieces], pa.large_binary())
+        self.forget(pieces)
+        laid = known.take(coded.indices)
+        bounds = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cut), [None, pa.py_buffer(_offsets(laid)[bounds]), laid.buffers()[2]])
+
     def batch(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with its end id, and the number of ids of each.
 
-        Words are made distinct in Arrow first, so that each is looked up once a
-        batch; ids are then laid out by array operations.
+        Words are made distinct in Arrow first, so that each is cut into pieces once a
+        batch; ids are then laid out by taking the bytes of word after word.
         """
         import pyarrow.compute as pc
 
         if not self.by_word:
             got = [np.array([*x.ids, end_id], np.uint32) for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
             return np.concatenate([np.empty(0, np.uint32), *got]), np.array([len(x) for x in got], np.int64)
-        self.forget()
         plain = [self.PLAIN(t) is not None and not any(s in t for s in self.specials) for t in texts]
         words = pc.utf8_split_whitespace(pa.array([t if p else "" for t, p in zip(texts, plain)], pa.string()))
         bounds = words.offsets.to_numpy().astype(np.int64)
+        bounds -= bounds[0]
         coded = words.flatten().dictionary_encode()
-        known = [self[w] for w in coded.dictionary.to_pylist()]
         of = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        if not all(plain):
-            parts = []
-            for i, p in enumerate(plain):
-                if not p:
-                    known.append(self.whole(texts[i]))
-                parts.append(of[bounds[i] - bounds[0]: bounds[i + 1] - bounds[0]] if p else np.array([len(known) - 1]))
-            of, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
-        else:
-            bounds = bounds - bounds[0]
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 2
-        flat = np.frombuffer(b"".join(known), "<u2")
-        n = sizes[of]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        at = np.arange(upto[-1])
-        at += np.repeat((np.cumsum(sizes) - sizes)[of] - upto[:-1], n)
-        ids = flat[at]
-        lengths = np.diff(upto[bounds]) + 1
-        return np.insert(ids, upto[bounds[1:]], end_id).astype(np.uint32), lengths
+        # a text that goes to the tokenizer whole is one word, the empty one, whose place it takes; then comes the end id of every text
+        others = [i for i, p in enumerate(plain) if not p]
+        n = len(coded.dictionary)
+        of[bounds[others]] = n + 1 + np.arange(len(others))
+        known = pa.concat_arrays([self.words(coded.dictionary), pa.array([struct.pack("<H", end_id), *[self.whole(texts[i]) for i in others]], pa.large_binary())])
+        laid = known.take(pa.array(np.insert(of, bounds[1:], n)))
+        upto = _offsets(laid)[bounds + np.arange(len(bounds))] // 2
+        return np.frombuffer(laid.buffers()[2], "<u2", upto[-1]), np.diff(upto)
 
     def __call__(self, text: str) -> list[int]:
         """Ids of one text, without end id."""
         return self.batch([text], 0)[0][:-1].tolist()
 
-    def forget(self) -> None:
+    def forget(self, pieces: list[str]) -> None:
+        """With too many remembered, only ``pieces``, those of the last batch, are kept, as far as they are not too many themselves."""
         if len(self) > REMEMBERED:
+            last = {p: self[p] for p in pieces[:REMEMBERED // 2]}
             self.clear()
+            self.update(last)
+
+
+def _offsets(x: pa.LargeBinaryArray) -> np.ndarray:
+    """Where in its bytes each value begins, and where the last one ends; ``x`` is no slice."""
+    return np.frombuffer(x.buffers()[1], np.int64, len(x) + 1)
 
 
 _ENCODERS: dict[str, Encoder] = {}

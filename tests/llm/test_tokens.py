@@ -39,6 +39,28 @@ def test_words_agree_with_the_whole_encoding(text):
         assert enc(t) == enc.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_pieces_of_a_batch_are_encoded_once(monkeypatch):
+    """Words that differ in case and signs alone share their pieces, and pieces of the last batch are known to the next, however many came before."""
+    enc = tokens.Encoder(tokens.tokenizer_path())
+    asked, by_model = [], enc.by_model
+    monkeypatch.setattr(enc, "by_model", lambda piece: asked.append(piece) or by_model(piece))
+    texts = ["Straße, straße! (STRASSE) It's it's", "", "日本 straße", "no <|endoftext|> here", " 12½ it's\n"]
+    want = [[*enc.tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    monkeypatch.setattr(tokens, "REMEMBERED", 4)
+    for _ in range(3):
+        ids, lengths = enc.batch(texts, 1)
+        assert ids.tolist() == sum(want, []) and lengths.tolist() == list(map(len, want))
+        assert len(asked) == len(set(asked))
+        asked.clear()
+    monkeypatch.setattr(tokens, "REMEMBERED", 24)
+    enc.clear()
+    enc.batch([" ".join(f"old{'x' * i}" for i in range(20)) + " straße it's"], 1)
+    enc.batch([" ".join(f"new{'y' * i}" for i in range(4)) + " straße it's"], 1)
+    asked.clear()
+    enc.batch(["Straße, It's newy"], 1)
+    assert asked == [","]
+
+
 def test_other_tokenizers_get_whole_texts(tmp_path):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
