@@ -118,6 +118,7 @@ def outline_report(spark, sf_dir):
 _STATUSES = ("pending", "parsing", "parsed", "embedding", "embedded", "error", "cancelling", "cancelled", "duplicate")
 _PATIENCE_HOURS = 12
 _RANGES = 3
+_FILES_EACH = 64
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT '/kb/' || user_id AS path, event_id AS seq, ts, {list(_STATUSES)}[CAST(event_id % 9 + 1 AS INT)] AS status, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
@@ -134,13 +135,14 @@ def file_state_changes(spark, sf_dir):
     status = F.element_at(F.array(*map(F.lit, _STATUSES)), (F.col("event_id") % 9 + 1).cast("int"))
     e = table(spark, sf_dir, "events").select(F.concat(F.lit("/kb/"), F.col("user_id").cast("string")).alias("path"), F.col("event_id").alias("seq"), "ts", status.alias("status"))
     base = f"{shared_dir(spark)}/states-{uuid.uuid4().hex}"
-    bounds = e.select(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [i / _RANGES for i in range(1, _RANGES)])).first()[0] or []  # two numbers
+    # two numbers, and that of the files
+    bounds, files = e.select(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [i / _RANGES for i in range(1, _RANGES)]), F.approx_count_distinct("path")).first()
     us, low = F.unix_micros(F.col("ts").cast("timestamp")), None
-    for high in [*bounds, None]:
+    for high in [*(bounds or []), None]:
         some = e.filter((F.lit(True) if low is None else us > low) & (F.lit(True) if high is None else us <= high))
         some.write.mode("append").parquet(f"{base}/events")
         given = spark.readStream.schema(e.schema).parquet(f"{base}/events")
-        states.start_states(given, f"{base}/changes", f"{base}/checkpoint", f"{_PATIENCE_HOURS} hours").awaitTermination()
+        states.start_states(given, f"{base}/changes", f"{base}/checkpoint", f"{_PATIENCE_HOURS} hours", files // _FILES_EACH + 1).awaitTermination()
         low = high
     return spark.read.schema(states.CHANGES).parquet(f"{base}/changes").select("path", "seq", F.unix_micros("at").alias("at_us"), "before", "status", "verdict")
 
